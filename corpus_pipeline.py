@@ -2,14 +2,42 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
-ORACLE_SQL = None
+from placard.llm import jaccard, language, packing, quality
+from placard.llm.training import remainder
+from placard.session import table, written
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, learned from the labels of these documents, accepts."""
+    return quality.accepted(docs, quality.learned(docs, table(spark, sf_dir, "labels")))
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language, learned from four fifths of the ids with a known one."""
+    return language.spoken(docs, language.labelled_text(docs, remainder(docs["doc_id"], 5) != 0))
+
+
+def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose five-word shingles are alike by 0.8 or more: the smallest id."""
+    return jaccard.one_of_each(docs, jaccard.Rule(words=5, num=80, den=100))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of power-of-two length with their token ids and sequence numbers."""
+    return packing.packed_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+STAGES = [("quality", quality_stage), ("language", language_stage), ("near copies", near_copy_stage), ("packing", packing_stage)]
+ORACLE_SQL = None  # models and tokens are beyond SQL; tests hold the stages against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = written(docs, f"stage-{name.replace(' ', '-')}")
     return docs

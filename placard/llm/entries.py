@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placard.llm import fingerprint, jaccard, packing, sharding, tokenize, topk, toxicity, urls
+from placard.llm import fingerprint, jaccard, language, packing, quality, sharding, tokenize, topk, toxicity, urls
 from placard.session import table
 
 
@@ -20,6 +20,10 @@ def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprinted(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.learned_and_scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages"))
 
@@ -42,12 +46,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_pieces(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN, with_ids=False)
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.learned_and_judged(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.learned_and_scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard, op2_fingerprint, op4_urls, op5_sharding, op6_topk, op7_bpe, op8_packing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_jaccard, op2_fingerprint, op3_quality, op4_urls, op5_sharding, op6_topk, op7_bpe, op8_packing, op9_language, op10_toxicity)}
 
 
 _TOP_K = """

@@ -442,3 +442,17 @@ def near_groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     rows = keyed.select("doc_id", "id", F.col("n").alias("n_shingles")).join(grouped.unionByName(lone), "id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """The rows of ``docs``, with all their columns, without those that a row with a smaller doc_id in their group
+    stands for. Rows with a null id stay; of rows with the same id and the same group one stays."""
+    groups = written(near_groups(docs, rule), "groups")
+    gone = groups.filter("component_id <> doc_id").select("doc_id").distinct()
+    few = gone.count() <= BROADCAST_IDS
+    kept = docs.join(F.broadcast(gone) if few else gone.hint("merge"), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    repeated = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if not repeated.take(1):
+        return kept
+    twice = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(twice)
