@@ -94,7 +94,7 @@ def shingle_hashes(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.nd
     A row with fewer than ``k`` words has its whole sequence as one shingle; a row without words has none.
     """
     counts = np.diff(first)
-    weights = [np.uint64((0xD1342543DE82EF95 * (2 * j + 1) + 0x632BE59BD9B4E019) % (1 << 64) | 1) for j in range(k)]
+    weights = mixed(np.arange(1, k + 1, dtype=np.uint64)) | np.uint64(1)  # unlike each other, so that no rearrangement cancels
     m = max(0, len(hashes) - k + 1)
     total = np.zeros(m, np.uint64)
     for j, w in enumerate(weights):
