@@ -23,6 +23,8 @@ BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 21
 #: Ids that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 FANOUT = 8
+#: Bits of a signature at most.
+MOST_BITS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -67,20 +69,26 @@ def set_id(s: np.ndarray) -> int:
 # The tree
 
 
+def signature(s: np.ndarray) -> np.ndarray:
+    """Bitmap of a set with two to four bits for each shingle, in 64-bit words; at most ``MOST_BITS`` bits."""
+    bits = 1 << int(np.clip(int(2 * len(s) - 1).bit_length(), 8, MOST_BITS.bit_length() - 1))
+    flags = np.zeros(bits, bool)
+    flags[((s >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(flags, bitorder="little").view(np.uint64)
+
+
+def folded(sig: np.ndarray, length: int) -> np.ndarray:
+    """The bitmap that fewer bits would have given."""
+    return np.bitwise_or.reduce(sig.reshape(-1, length), axis=0)
+
+
 class SignatureTree:
     """Bitmaps and size ranges of sets, combined upward: a node has the OR of its children's bitmaps, the range of
     their sizes and the most shingles that share a bit with another one of their set."""
 
-    def __init__(self, sets: list[np.ndarray], bits: int):
-        n = np.array([len(s) for s in sets], np.int64)
-        lead = np.array([s[0] if len(s) else 0 for s in sets], np.uint64)
-        self.order = np.lexsort((n, lead))  # sets alike often share their least shingle, so they become neighbours
-        rows = np.repeat(np.arange(len(sets)), n[self.order])
-        where = (np.concatenate([sets[i] for i in self.order]) >> np.uint64(20)) & np.uint64(bits - 1)
-        flags = np.zeros((len(sets), bits), bool)
-        flags[rows, where.astype(np.int64)] = True
-        sig = np.packbits(flags, axis=1).view(np.uint64)
-        n = n[self.order]
+    def __init__(self, sigs: np.ndarray, sizes: np.ndarray, leads: np.ndarray):
+        self.order = np.lexsort((sizes, leads))  # sets alike often share their least shingle, so they become neighbours
+        sig, n = sigs[self.order], sizes[self.order]
         self.levels = [(sig, n, n, n - np.bitwise_count(sig).sum(1, dtype=np.int64))]
         while len(self.levels[-1][0]) > FANOUT:
             sig, lo, hi, excess = self.levels[-1]
@@ -129,24 +137,37 @@ def _children(t: SignatureTree, nodes: np.ndarray, h: int) -> tuple[np.ndarray,
     return all_[all_ < size], source[all_ < size]
 
 
-def forest(sets: list[np.ndarray], groups: np.ndarray, left: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
-    """Links (positions) that join up what the links between different ``groups`` join up.
+def candidates(sigs: list[np.ndarray], sizes: np.ndarray, leads: np.ndarray, left: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (positions) that the trees can't rule out.
 
-    ``left``: if it isn't the same for all, only pairs of a left and another row are looked at.
+    ``left``: if it isn't the same for all, only pairs of a left and another row are looked at. Sets are put into
+    trees by the length of their bitmaps; neighbouring lengths meet at the smaller one (sizes further apart never link).
     """
+    lengths = np.array([len(s) for s in sigs])
+    both = left.all() or not left.any()
+    found_i, found_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for size in np.unique(lengths):
+        here, next_ = (np.flatnonzero(lengths == x) for x in (size, 2 * size))
+
+        def tree(rows: np.ndarray, size=size) -> SignatureTree:
+            return SignatureTree(np.stack([sigs[r] if len(sigs[r]) == size else folded(sigs[r], size) for r in rows]), sizes[rows], leads[rows])
+
+        for a, b, within in ((here, here, True), (here, next_, False)):
+            sides = [(a, b)] if both else [(a[left[a]], b[~left[b]])] + [(a[~left[a]], b[left[b]])] * (not within)
+            for p, q in sides:
+                if len(p) and len(q):
+                    same = within and both
+                    x = tree(p)
+                    i, j = dual_traversal(x, x if same else tree(q), rule, within=same)
+                    found_i.append(p[i])
+                    found_j.append(q[j])
+    return np.concatenate(found_i), np.concatenate(found_j)
+
+
+def forest(sets: list[np.ndarray], groups: np.ndarray, i: np.ndarray, j: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
+    """Of the candidate pairs (i, j), links that join up what the links between different ``groups`` join up."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
-    if n == 2:
-        i, j = np.array([0]), np.array([1])
-    else:
-        bits = 1 << int(np.clip(np.ceil(np.log2(4 * max(1, np.median(sizes)))), 8, 14))
-        if left.all() or not left.any():
-            tree = SignatureTree(sets, bits)
-            i, j = dual_traversal(tree, tree, rule, within=True)
-        else:
-            a, b = np.flatnonzero(left), np.flatnonzero(~left)
-            i, j = dual_traversal(SignatureTree([sets[r] for r in a], bits), SignatureTree([sets[r] for r in b], bits), rule, within=False)
-            i, j = a[i], b[j]
     root = np.unique(groups, return_inverse=True)[1]
     out = []
     while len(i):
@@ -288,56 +309,93 @@ def _live(keyed: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
-    """id and set (sorted 64-bit shingle hashes) of every text that has a shingle."""
+    """id, n, sig and set (sorted 64-bit shingle hashes) of the texts of ``docs(text, id)``; rows whose text has
+    another set than ``id`` says (ids of documents may come twice) go."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, packed, size = [], [], 0
-            for _, s in shingle_sets(batch.column("text"), rule.words):
-                if len(s):
-                    ids.append(set_id(s))
-                    packed.append(s.tobytes())
-                    size += len(packed[-1])
+            expected = batch.column("id").to_pylist()
+            rows, size = [], 0
+            for r, s in shingle_sets(batch.column("text"), rule.words):
+                if len(s) and set_id(s) == expected[r]:
+                    rows.append({"id": expected[r], "n": len(s), "sig": signature(s).tobytes(), "set": s.tobytes()})
+                    size += 8 * len(s)
                 if size > 1 << 24:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], ["id", "set"])
-                    ids, packed, size = [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], ["id", "set"])
+                    yield pa.RecordBatch.from_pylist(rows, _SETS)
+                    rows, size = [], 0
+            yield pa.RecordBatch.from_pylist(rows, _SETS)
 
-    return docs.select("text").mapInArrow(make, "id long, set binary")
+    return docs.select("text", "id").mapInArrow(make, "id long, n long, sig binary, set binary")
 
 
-def _links(dealt: DataFrame, rule: Rule) -> DataFrame:
-    """Links a, b found among ``dealt(run, x, y, side, id, root, set)``; (run, x, y) is the work of one tree or two."""
+_SETS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("set", pa.binary())])
+_CELL = ["run", "x", "y"]
 
-    def solve(keys: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
-        ids = np.array([r[1] for r in rows], np.int64)
-        _, first = np.unique(ids, return_index=True)
-        rows = [rows[i] for i in first]
-        if len(rows) < 2:
-            return []
-        sets = [np.frombuffer(r[3], np.uint64) for r in rows]
-        found = forest(sets, np.array([r[2] for r in rows]), np.array([bool(r[0]) for r in rows]), rule)
-        return [(rows[a][1], rows[b][1]) for a, b in found]
+
+def _solved(dealt: DataFrame, solve, schema: str) -> DataFrame:
+    """``solve(rows)`` gives result tuples for the rows (tuples of the other columns) of each cell (run, x, y)."""
+    columns = [c for c in dealt.columns if c not in _CELL]
+    names = [part.split()[0] for part in schema.split(", ")]
+
+    def packed(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names)
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows, out = None, [], []
         for batch in batches:
-            runs, xs, ys = (batch.column(c).to_pylist() for c in ("run", "x", "y"))
-            cells = zip(*(batch.column(c).to_pylist() for c in ("side", "id", "root", "set")), strict=True)
-            for now, row in zip(zip(runs, xs, ys, strict=True), cells, strict=True):
+            keys = zip(*(batch.column(c).to_pylist() for c in _CELL), strict=True)
+            cells = zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
+            for now, row in zip(keys, cells, strict=True):
                 if now != key:
-                    out += solve(key, rows)
+                    out += solve(key, rows) if rows else []
                     key, rows = now, []
                 rows.append(row)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+                yield packed(out)
                 out = []
-        out += solve(key, rows)
+        out += solve(key, rows) if rows else []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+            yield packed(out)
 
     parts = shuffle_partitions(dealt.sparkSession)
-    return dealt.repartition(parts, "run", "x", "y").sortWithinPartitions("run", "x", "y").mapInArrow(stream, "a long, b long").distinct()
+    return dealt.repartition(parts, *_CELL).sortWithinPartitions(*_CELL).mapInArrow(stream, schema)
+
+
+def _one_each(rows: list[tuple], id_at: int) -> list[tuple]:
+    _, first = np.unique([r[id_at] for r in rows], return_index=True)
+    return [rows[k] for k in first]
+
+
+def _links(dealt: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Links a, b found among the rows of each cell of ``dealt(run, x, y, side, id, root)``, a forest for a cell.
+
+    First the trees of signatures alone meet, and only rows that are left in a pair bring their sets.
+    """
+
+    def sift(key: tuple, rows: list[tuple]) -> list[tuple]:
+        rows = _one_each(rows, 1)
+        if len(rows) < 2:
+            return []
+        root = np.array([r[2] for r in rows])
+        i, j = candidates([np.frombuffer(r[4], np.uint64) for r in rows], np.array([r[3] for r in rows]), np.zeros(len(rows)), np.array([bool(r[0]) for r in rows]), rule)
+        open_ = root[i] != root[j]
+        stay = np.unique(np.concatenate([i[open_], j[open_]]))
+        return [(*key, *rows[k][:3]) for k in stay]
+
+    def solve(key: tuple, rows: list[tuple]) -> list[tuple]:
+        rows = _one_each(rows, 1)
+        if len(rows) < 2:
+            return []
+        sets = [np.frombuffer(r[4], np.uint64) for r in rows]
+        sigs = [np.frombuffer(r[3], np.uint64) for r in rows]
+        i, j = candidates(sigs, np.array([len(s) for s in sets]), np.array([s[0] for s in sets]), np.array([bool(r[0]) for r in rows]), rule)
+        return [(rows[a][1], rows[b][1]) for a, b in forest(sets, np.array([r[2] for r in rows]), i, j, rule)]
+
+    cell = "run long, x long, y long, side long, id long, root long"
+    near = written(_solved(dealt.join(sets.select("id", "n", "sig"), "id").select(*_CELL, "side", "id", "root", "n", "sig"), sift, cell), "shingle-near")
+    few = near.count() <= BROADCAST_IDS
+    full = sets.select("id", "sig", "set").join(F.broadcast(near) if few else near.hint("merge"), "id")
+    return _solved(full.select(*_CELL, "side", "id", "root", "sig", "set"), solve, "a long, b long").distinct()
 
 
 def _blocks_of(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -350,16 +408,16 @@ def _block(blocks: str) -> Column:
     return F.pmod(F.xxhash64("id", F.lit(5)), F.col(blocks)).cast("int")
 
 
-def _gather(live: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Sound links that join up most large groups: each set meets a block of the fullest run it is in, once."""
+def _gather(live: DataFrame) -> DataFrame:
+    """Cells in which each set meets a block of the fullest run that it is in, once; ``blocks`` of that run."""
     sizes = live.groupBy("run").agg(F.count("*").alias("size"))
     own = live.join(sizes, "run").groupBy("id", "n").agg(F.max_by("run", F.struct("size", "run")).alias("run"))
-    dealt = _blocks_of(own, ["run"]).select("run", _block("blocks").alias("x"), F.lit(0).alias("y"), F.lit(1).alias("side"), "id", F.col("id").alias("root"))
-    return _links(dealt.join(sets, "id"), rule)
+    zero = F.lit(0).cast("long")
+    return _blocks_of(own, ["run"]).select("run", _block("blocks").cast("long").alias("x"), zero.alias("y"), F.lit(1).cast("long").alias("side"), "id", F.col("id").alias("root"), "blocks")
 
 
-def _across(live: DataFrame, roots: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """All links of runs that still hold several components, but those inside one component.
+def _across(live: DataFrame, roots: DataFrame) -> DataFrame:
+    """Cells in which all pairs of runs that still hold several components meet, but those of one component.
 
     The largest component of a run is not compared with itself: only blocks of the other sets meet its blocks, and
     each other.
@@ -377,7 +435,7 @@ def _across(live: DataFrame, roots: DataFrame, sets: DataFrame, rule: Rule) -> D
     )
     rows = rows.join(counts, "run").withColumn("block", _block("blocks"))
     one = (F.col("minors") == 1) & (F.col("majors") == 1)
-    cell = lambda x, y, side: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), side.cast("int").alias("side"))
+    cell = lambda x, y, side: F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), side.cast("long").alias("side"))
     own, zero = F.col("block"), F.lit(0)
     minor_blocks, major_blocks = F.sequence(zero, F.col("minors") - 1), F.sequence(zero, F.col("majors") - 1)
     # x is a block of others; y is a block of others (from 0), or of the largest component (from -1 downward).
@@ -391,8 +449,7 @@ def _across(live: DataFrame, roots: DataFrame, sets: DataFrame, rule: Rule) -> D
             )
         )
     )
-    dealt = rows.select("run", "id", "root", F.explode(cells).alias("c")).select("run", "c.x", "c.y", "c.side", "id", "root")
-    return _links(dealt.join(sets, "id"), rule)
+    return rows.select("run", "id", "root", F.explode(cells).alias("c")).select("run", "c.x", "c.y", "c.side", "id", "root")
 
 
 def near_groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -422,18 +479,19 @@ def near_groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     live = written(_live(keyed, rule), "shingle-runs")
     firsts = keyed.filter("id IS NOT NULL AND doc_id IS NOT NULL").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
     ids = written(live.select("id").distinct().join(firsts, "id"), "shingle-live")
-    wanted = ids.select("doc_id").distinct()
-    few = wanted.count() <= BROADCAST_IDS
-    chosen = docs.join(F.broadcast(wanted) if few else wanted.hint("merge"), "doc_id", "left_semi")
-    sets = _sets(chosen, rule).dropDuplicates(["id"]).join(ids.select("id"), "id", "left_semi")
-    sets = written(sets, "shingle-sets")
-
-    links = written(_gather(live, sets, rule), "links")
-    roots = written(components(links), "roots")
-    heads = live.join(roots.filter("id <> root").select("id"), "id", "left_anti")
-    links = written(links.unionByName(_gather(heads, sets, rule)), "links")
-    roots = written(components(links), "roots")
-    roots = written(components(links.unionByName(_across(live, roots, sets, rule))), "roots")
+    few = ids.count() <= BROADCAST_IDS
+    sets = written(_sets(docs.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id"), rule), "shingle-sets")
+
+    cells = written(_gather(live), "shingle-cells")
+    links = written(_links(cells.drop("blocks"), sets, rule), "shingle-links")
+    roots = written(components(links), "shingle-roots")
+    if cells.filter("blocks > 1").take(1):
+        # The blocks of a large run know nothing of each other: the smallest sets of their components meet next.
+        heads = cells.filter("blocks > 1").select("id").join(roots.filter("id <> root").select("id"), "id", "left_anti")
+        heads = live.join(heads, "id", "left_semi")
+        links = written(links.unionByName(_links(_gather(heads).drop("blocks"), sets, rule)), "shingle-links")
+        roots = written(components(links), "shingle-roots")
+    roots = written(components(links.unionByName(_links(_across(live, roots), sets, rule))), "shingle-roots")
 
     named = ids.join(roots, "id")
     best = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
