@@ -342,7 +342,7 @@ def _solved(dealt: DataFrame, solve, schema: str) -> DataFrame:
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows, out = None, [], []
-        for batch in batches:
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):  # few Python objects at a time
             keys = zip(*(batch.column(c).to_pylist() for c in _CELL), strict=True)
             cells = zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
             for now, row in zip(keys, cells, strict=True):
@@ -393,6 +393,10 @@ def _links(dealt: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
     cell = "run long, x long, y long, side long, id long, root long"
     near = written(_solved(dealt.join(sets.select("id", "n", "sig"), "id").select(*_CELL, "side", "id", "root", "n", "sig"), sift, cell), "shingle-near")
+    # Cells left with the same rows say the same: one of them stays.
+    kinds = near.groupBy(*_CELL).agg(F.count("*").alias("size"), F.sum(F.xxhash64("id", "side").cast("decimal(20,0)")).alias("members"))
+    kept = kinds.groupBy("size", "members").agg(F.min(F.struct(*_CELL)).alias("c")).select("c.*")
+    near = written(near.join(kept, _CELL, "left_semi"), "shingle-cells")
     few = near.count() <= BROADCAST_IDS
     full = sets.select("id", "sig", "set").join(F.broadcast(near) if few else near.hint("merge"), "id")
     return _solved(full.select(*_CELL, "side", "id", "root", "sig", "set"), solve, "a long, b long").distinct()
