@@ -52,3 +52,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of so many rows: whole texts go to Python workers, so the usual 10,000 would take much memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
