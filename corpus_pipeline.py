@@ -7,26 +7,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 from placard.llm import jaccard, language, packing, quality
 from placard.llm.training import remainder
-from placard.session import table, written
+from placard.session import small_batches, table, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, learned from the labels of these documents, accepts."""
+    small_batches(spark)
     return quality.accepted(docs, quality.learned(docs, table(spark, sf_dir, "labels")))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language, learned from four fifths of the ids with a known one."""
+    small_batches(spark)
     return language.spoken(docs, language.labelled_text(docs, remainder(docs["doc_id"], 5) != 0))
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose five-word shingles are alike by 0.8 or more: the smallest id."""
+    small_batches(spark)
     return jaccard.one_of_each(docs, jaccard.Rule(words=5, num=80, den=100))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of power-of-two length with their token ids and sequence numbers."""
+    small_batches(spark)
     return packing.packed_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 

@@ -9,19 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placard.llm import fingerprint, jaccard, language, packing, quality, sharding, tokenize, topk, toxicity, urls
-from placard.session import table
+from placard.session import small_batches, table
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return table(spark, sf_dir, "documents")
 
 
 def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_groups(table(spark, sf_dir, "documents"), jaccard.Rule(words=4, num=85))
+    return jaccard.near_groups(_documents(spark, sf_dir), jaccard.Rule(words=4, num=85))
 
 
 def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint.fingerprinted(table(spark, sf_dir, "documents"))
+    return fingerprint.fingerprinted(_documents(spark, sf_dir))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.learned_and_scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.learned_and_scored(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +34,7 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.sharded(table(spark, sf_dir, "documents"))
+    return sharding.sharded(_documents(spark, sf_dir))
 
 
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,20 +43,20 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return tokenize.tokenized(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN, with_ids=False)
+    return tokenize.tokenized(_documents(spark, sf_dir), vocabulary, public_tokenizers.PATTERN, with_ids=False)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    return packing.packed_pieces(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN, with_ids=False)
+    return packing.packed_pieces(_documents(spark, sf_dir), vocabulary, public_tokenizers.PATTERN, with_ids=False)
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.learned_and_judged(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+    return language.learned_and_judged(_documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.learned_and_scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.learned_and_scored(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -308,9 +308,11 @@ def _live(keyed: DataFrame, rule: Rule) -> DataFrame:
     return rows.mapInArrow(sift, "run long, id long, n long")
 
 
-def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
-    """id, n, sig and set (sorted 64-bit shingle hashes) of the texts of ``docs(text, id)``; rows whose text has
-    another set than ``id`` says (ids of documents may come twice) go."""
+def _of_sets(docs: DataFrame, ids: DataFrame, rule: Rule, made, schema: pa.Schema) -> DataFrame:
+    """``made(id, set)`` (a result row) of the sets that ``ids(doc_id, id)`` names among ``docs(doc_id, text)``.
+
+    Rows whose text has another set than that (ids of documents may come twice) go. Ids are broadcast up to a bound.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -318,17 +320,29 @@ def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
             rows, size = [], 0
             for r, s in shingle_sets(batch.column("text"), rule.words):
                 if len(s) and set_id(s) == expected[r]:
-                    rows.append({"id": expected[r], "n": len(s), "sig": signature(s).tobytes(), "set": s.tobytes()})
+                    rows.append(made(expected[r], s))
                     size += 8 * len(s)
-                if size > 1 << 24:
-                    yield pa.RecordBatch.from_pylist(rows, _SETS)
+                if size > 1 << 22:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
                     rows, size = [], 0
-            yield pa.RecordBatch.from_pylist(rows, _SETS)
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    few = ids.count() <= BROADCAST_IDS
+    chosen = docs.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id").select("text", "id")
+    return chosen.mapInArrow(make, ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'binary'}" for f in schema))
 
-    return docs.select("text", "id").mapInArrow(make, "id long, n long, sig binary, set binary")
+
+def _signatures(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
+    """id, n and sig."""
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary())])
+    return _of_sets(docs, ids, rule, lambda i, s: {"id": i, "n": len(s), "sig": signature(s).tobytes()}, schema)
+
+
+def _sets(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
+    """id and set (sorted 64-bit shingle hashes)."""
+    return _of_sets(docs, ids, rule, lambda i, s: {"id": i, "set": s.tobytes()}, pa.schema([("id", pa.int64()), ("set", pa.binary())]))
 
 
-_SETS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("set", pa.binary())])
 _CELL = ["run", "x", "y"]
 
 
@@ -366,10 +380,10 @@ def _one_each(rows: list[tuple], id_at: int) -> list[tuple]:
     return [rows[k] for k in first]
 
 
-def _links(dealt: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+def _links(dealt: DataFrame, docs: DataFrame, ids: DataFrame, sigs: DataFrame, rule: Rule) -> DataFrame:
     """Links a, b found among the rows of each cell of ``dealt(run, x, y, side, id, root)``, a forest for a cell.
 
-    First the trees of signatures alone meet, and only rows that are left in a pair bring their sets.
+    First the trees of signatures alone meet, and only for rows that are left in a pair sets are made and dealt.
     """
 
     def sift(key: tuple, rows: list[tuple]) -> list[tuple]:
@@ -386,20 +400,20 @@ def _links(dealt: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
         rows = _one_each(rows, 1)
         if len(rows) < 2:
             return []
-        sets = [np.frombuffer(r[4], np.uint64) for r in rows]
-        sigs = [np.frombuffer(r[3], np.uint64) for r in rows]
-        i, j = candidates(sigs, np.array([len(s) for s in sets]), np.array([s[0] for s in sets]), np.array([bool(r[0]) for r in rows]), rule)
+        sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+        i, j = candidates([signature(s) for s in sets], np.array([len(s) for s in sets]), np.array([s[0] for s in sets]), np.array([bool(r[0]) for r in rows]), rule)
         return [(rows[a][1], rows[b][1]) for a, b in forest(sets, np.array([r[2] for r in rows]), i, j, rule)]
 
     cell = "run long, x long, y long, side long, id long, root long"
-    near = written(_solved(dealt.join(sets.select("id", "n", "sig"), "id").select(*_CELL, "side", "id", "root", "n", "sig"), sift, cell), "shingle-near")
+    near = written(_solved(dealt.join(sigs, "id").select(*_CELL, "side", "id", "root", "n", "sig"), sift, cell), "shingle-near")
     # Cells left with the same rows say the same: one of them stays.
     kinds = near.groupBy(*_CELL).agg(F.count("*").alias("size"), F.sum(F.xxhash64("id", "side").cast("decimal(20,0)")).alias("members"))
     kept = kinds.groupBy("size", "members").agg(F.min(F.struct(*_CELL)).alias("c")).select("c.*")
     near = written(near.join(kept, _CELL, "left_semi"), "shingle-cells")
+    wanted = written(ids.join(near.select("id").distinct(), "id", "left_semi"), "shingle-wanted")
     few = near.count() <= BROADCAST_IDS
-    full = sets.select("id", "sig", "set").join(F.broadcast(near) if few else near.hint("merge"), "id")
-    return _solved(full.select(*_CELL, "side", "id", "root", "sig", "set"), solve, "a long, b long").distinct()
+    full = _sets(docs, wanted, rule).join(F.broadcast(near) if few else near.hint("merge"), "id")
+    return _solved(full.select(*_CELL, "side", "id", "root", "set"), solve, "a long, b long").distinct()
 
 
 def _blocks_of(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -483,19 +497,18 @@ def near_groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     live = written(_live(keyed, rule), "shingle-runs")
     firsts = keyed.filter("id IS NOT NULL AND doc_id IS NOT NULL").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
     ids = written(live.select("id").distinct().join(firsts, "id"), "shingle-live")
-    few = ids.count() <= BROADCAST_IDS
-    sets = written(_sets(docs.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id"), rule), "shingle-sets")
+    sigs = written(_signatures(docs, ids, rule), "shingle-sigs")
 
     cells = written(_gather(live), "shingle-cells")
-    links = written(_links(cells.drop("blocks"), sets, rule), "shingle-links")
+    links = written(_links(cells.drop("blocks"), docs, ids, sigs, rule), "shingle-links")
     roots = written(components(links), "shingle-roots")
     if cells.filter("blocks > 1").take(1):
         # The blocks of a large run know nothing of each other: the smallest sets of their components meet next.
         heads = cells.filter("blocks > 1").select("id").join(roots.filter("id <> root").select("id"), "id", "left_anti")
         heads = live.join(heads, "id", "left_semi")
-        links = written(links.unionByName(_links(_gather(heads).drop("blocks"), sets, rule)), "shingle-links")
+        links = written(links.unionByName(_links(_gather(heads).drop("blocks"), docs, ids, sigs, rule)), "shingle-links")
         roots = written(components(links), "shingle-roots")
-    roots = written(components(links.unionByName(_links(_across(live, roots), sets, rule))), "shingle-roots")
+    roots = written(components(links.unionByName(_links(_across(live, roots), docs, ids, sigs, rule))), "shingle-roots")
 
     named = ids.join(roots, "id")
     best = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
