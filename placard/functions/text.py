@@ -15,7 +15,7 @@ SPACE = r"[\s   -     　﻿]"
 _QUOTES = (("&#8217;|&rsquo;", "’"), ("&#8216;|&lsquo;", "‘"), ("&#8220;|&ldquo;", "“"), ("&#8221;|&rdquo;", "”"))
 _DASHES = (("&#8211;|&ndash;", "–"), ("&#8212;|&mdash;", "—"))
 _MARKS = (("&quot;", '"'), ("&#39;", "'"))
-_PAGE = (("&amp;", "&"), ("&nbsp;", " "), *_QUOTES, *_DASHES, ("&bull;", "•"), ("&hellip;", "…"), ("&copy;", "©"), *_MARKS)
+PAGE_ENTITIES = (("&amp;", "&"), ("&nbsp;", " "), *_QUOTES, *_DASHES, ("&bull;", "•"), ("&hellip;", "…"), ("&copy;", "©"), *_MARKS)
 _FEED = (("&amp;", "&"), *_QUOTES, *_DASHES, ("&nbsp;|&#160;", " "), *_MARKS)
 _PRESS = (("&amp;", "&"), *_QUOTES, *_DASHES, ("&nbsp;", " "), *_MARKS)
 _WRAPPED = (("&amp;", "&"), ("&nbsp;", " "), *_QUOTES[:2], *_DASHES, *_MARKS)
@@ -37,7 +37,7 @@ def page_text(html: Column) -> Column:
     """Text of a whole page: scripts and styles go, tags become blanks."""
     for element in ("script", "style"):
         html = F.regexp_replace(html, rf"(?is)<{element}.*?</{element}>", " ")
-    return _plain(html, " ", _PAGE)
+    return _plain(html, " ", PAGE_ENTITIES)
 
 
 def feed_text(html: Column) -> Column:
