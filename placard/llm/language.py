@@ -15,7 +15,7 @@ from placard.llm.common import blocks, text_bytes
 from placard.llm.training import remainder
 
 #: Bounds of the labelled sample: languages, texts of each, bytes of a text, symbols of each language's joined text.
-LANGUAGES, TEXTS, TEXT_BYTES, SYMBOLS = 64, 120, 32_768, 60_000
+LANGUAGES, TEXTS, TEXT_BYTES, SYMBOLS = 64, 120, 32_768, 30_000
 #: Symbols parsed in one go; a longer text is parsed in segments of so many.
 SEGMENT = 512
 BLOCK_BYTES = 1 << 23
@@ -107,10 +107,13 @@ class Parser:
         self._dense[met] = np.arange(2, 2 + len(met))
         self._dense[0] = 0
         width = (len(met) + 3) // 2 * 2
-        tables = [SuffixAutomaton(self._dense[f].tolist()).table(width) for f in folded]
-        starts = np.cumsum([0, *(t.size for t in tables)])[:-1]
-        self._starts = starts.astype(np.int32)
-        self._table = np.concatenate([t.ravel() + s for t, s in zip(tables, starts, strict=True)]).astype(np.int32) if tables else np.zeros(0, np.int32)
+        starts, tables = [0], []
+        for f in folded:
+            tables.append(SuffixAutomaton(self._dense[f].tolist()).table(width).ravel())
+            tables[-1] += np.int32(starts[-1])
+            starts.append(starts[-1] + tables[-1].size)
+        self._starts = np.array(starts[:-1], np.int32)
+        self._table = np.concatenate([np.zeros(0, np.int32), *tables])
         self._weights = np.array([np.log2(max(2, len(f))) for f in folded])
 
     def phrases(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

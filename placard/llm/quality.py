@@ -117,7 +117,9 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, seed: int = 5
     the scale and offset of the logits, where ``weights`` give the classes their true shares."""
     column = pa.array(texts, pa.large_string())
     offsets, data = text_bytes(column)
-    features, at = passages(data, offsets) if texts else (np.zeros((0, WIDTH)), np.zeros(1, np.int64))
+    parts = [passages(data[offsets[a] : offsets[b]], offsets[a : b + 1]) for a, b in blocks(offsets)]
+    features = np.concatenate([np.zeros((0, WIDTH)), *(p[0] for p in parts)])
+    at = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *(np.diff(p[1]) for p in parts)]))]).astype(np.int64)
     centre = features.mean(0) if len(features) else np.zeros(WIDTH)
     scale = 1 / np.maximum(features.std(0), 0.02) if len(features) else np.ones(WIDTH)
     rng = np.random.default_rng(seed)
