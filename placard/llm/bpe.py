@@ -10,7 +10,7 @@ import ahocorasick
 import regex
 
 #: Pieces that an encoder keeps; a fuller cache starts anew, so its memory is bounded.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 200_000
 
 # The classes \p{L}, \p{N} and \s of the split pattern, restricted to Latin-1.
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
@@ -111,7 +111,7 @@ class Backtracker:
     def compatible(self, left: int, right: int) -> bool:
         known = self.fits.get((left, right))
         if known is None:
-            if len(self.fits) > 4 * CACHE_PIECES:
+            if len(self.fits) > 2 * CACHE_PIECES:
                 self.fits.clear()
             known = self.fits[left, right] = self._compatible(left, right)
         return known

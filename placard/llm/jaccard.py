@@ -21,7 +21,7 @@ COUNTED = 1 << 21
 #: Documents, and shingles, in a block of a run.
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 21
 #: Ids that are broadcast at most; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 250_000
 FANOUT = 8
 #: Bits of a signature at most.
 MOST_BITS = 1 << 16

@@ -17,6 +17,8 @@ from placard.llm.bpe import Cached, ranks_of, splitter
 from placard.session import written
 
 MAX_LENGTH = 2048
+#: Pieces that a worker keeps; encoding one anew costs little.
+CACHED = 50_000
 _encoders: dict[tuple[str, str], PieceEncoder] = {}
 
 
@@ -26,7 +28,7 @@ class PieceEncoder:
     def __init__(self, path: str, pattern: str):
         self.pieces = splitter(pattern)
         encoding = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks_of(path), special_tokens={})
-        self._packed = Cached(lambda piece: np.array(encoding.encode_ordinary(piece), "<u4").tobytes())
+        self._packed = Cached(lambda piece: np.array(encoding.encode_ordinary(piece), "<u4").tobytes(), limit=CACHED)
 
     def packed(self, text: str) -> bytes:
         known = self._packed
