@@ -18,11 +18,13 @@ from placard.llm.training import remainder
 LANGUAGES, TEXTS, TEXT_BYTES, SYMBOLS = 64, 120, 32_768, 30_000
 #: Symbols parsed in one go; a longer text is parsed in segments of so many.
 SEGMENT = 512
-BLOCK_BYTES = 1 << 23
+BLOCK_BYTES = 1 << 21
 #: How much a phrase less tells for a language, in natural logarithms of odds.
 EVIDENCE = 0.5
 #: Phrases for a byte from which on a text is like no language that was learned.
 FOREIGN = 0.7
+#: Bytes below which a text is too short to be judged by that.
+SHORT = 40
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -86,10 +88,13 @@ class SuffixAutomaton:
                 if to not in number:
                     number[to] = len(order)
                     order.append(to)
-        out = np.ones((len(order), width), np.int32)
+        # The last state is that after a symbol which the sequence lacks: such a symbol is a phrase of its own.
+        lost = len(order) * width
+        out = np.full((len(order) + 1, width), lost + 1, np.int32)
+        out[0] = lost
         for symbol, to in self.moves[0].items():
             out[:, symbol] = number[to] * width + 1
-        for row, state in zip(out, order, strict=True):
+        for row, state in zip(out[:-1], order, strict=True):
             for symbol, to in self.moves[state].items():
                 row[symbol] = number[to] * width
         out[:, 0] = 0
@@ -196,12 +201,12 @@ def judged(docs: DataFrame, samples: dict[str, bytes], held_out: Column) -> Data
 
 def spoken(docs: DataFrame, samples: dict[str, bytes], most_phrases: float = FOREIGN) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text has a language: not ``und``, and not so unlike all
-    languages that nearly every byte begins a phrase (``most_phrases`` for a byte)."""
+    languages that nearly every byte begins a phrase (``most_phrases`` for a byte, from ``SHORT`` bytes on)."""
     name = "verdict"
     while name in docs.columns:
         name += "_"
     found = docs.withColumn(name, verdict_of(docs.sparkSession, samples, F.col("text")))
-    return found.filter((F.col(f"{name}.lang_pred") != UNDETERMINED) & (F.col(f"{name}.phrase_rate") < most_phrases)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return found.filter((F.col(f"{name}.lang_pred") != UNDETERMINED) & ((F.col(f"{name}.phrase_rate") < most_phrases) | (F.octet_length("text") < SHORT))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def labelled_text(docs: DataFrame, learned: Column) -> dict[str, bytes]:
