@@ -11,6 +11,8 @@ from placard import schemas
 from placard.functions.dates import instant, status
 from placard.functions.text import excerpt, exhibition_id
 from placard.operators import changes, corrections, gate, resolve, views
+from placard.session import written
+from placard.sources.files import exists
 
 
 def normalized(raw: DataFrame, now_iso: str) -> DataFrame:
@@ -45,7 +47,7 @@ class Inputs:
 
 
 def plan(inputs: Inputs, now_iso: str, adapters: tuple[str, ...] = ("sanity", "artlogic", "wordpress", "squarespace", "manual")) -> dict[str, DataFrame]:
-    """Tables that the run would write; nothing is written. Keys: exhibitions, venues, articles, events, log, verdicts,
+    """Tables that the run would write; nothing is published. Keys: exhibitions, venues, articles, events, log, verdicts,
     report.
 
     Venues without one of ``adapters`` have no turn, and what they showed before is not carried over. Blocked
@@ -60,8 +62,8 @@ def plan(inputs: Inputs, now_iso: str, adapters: tuple[str, ...] = ("sanity", "a
     gated_prior = prior.join(turn.filter("adapter <> 'manual'").select("venue_id"), "venue_id", "left_semi")
     verdicts = gate.verdicts(gated, gated_prior)
     shown = by_hand.unionByName(gate.published(gated, gated_prior, verdicts), allowMissingColumns=True).drop("pos")
-    order = F.row_number().over(_by_id())
-    shown = shown.withColumn("pos", order.cast("bigint"))
+    # Used by several tables, and numbered: computed once, into the shared scratch folder.
+    shown = written(shown.withColumn("pos", F.monotonically_increasing_id()), "shown")
     hand = turn.filter("adapter = 'manual'").join(by_hand.groupBy("venue_id").agg(F.count("*").alias("got")), "venue_id", "left").select("venue_id", F.coalesce("got", F.lit(0)).alias("got"), F.lit(gate.OK).alias("verdict"))
     quiet = turn.filter("adapter <> 'manual'").join(verdicts, "venue_id", "left_anti").select("venue_id", F.lit(0).cast("bigint").alias("got"), F.lit(gate.OK).alias("verdict"))
     outcome = verdicts.select("venue_id", "got", "verdict").unionByName(hand).unionByName(quiet)
@@ -76,12 +78,6 @@ def plan(inputs: Inputs, now_iso: str, adapters: tuple[str, ...] = ("sanity", "a
     return {"exhibitions": corrected, "venues": venues, "articles": articles, "events": events, "log": log, "verdicts": verdicts, "report": report(venues, corrected, articles, events, verdicts, now_iso)}
 
 
-def _by_id():
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy("venue_id").orderBy("id", "title")
-
-
 def report(venues: DataFrame, exhibitions: DataFrame, articles: DataFrame, events: DataFrame, verdicts: DataFrame, now_iso: str) -> DataFrame:
     """metric and value: venues by adapter, events by type, articles by outcome, withheld venues, weak records, age."""
     count = lambda rows, name: rows.groupBy(name.alias("metric")).agg(F.count("*").cast("double").alias("value"))
@@ -111,9 +107,7 @@ def commit(tables: dict[str, DataFrame], root: str, version: str) -> str:
 
 def latest(spark: SparkSession, root: str) -> str | None:
     """Folder of the newest complete version."""
-    from placard.sources.files import _exists
-
-    if not _exists(spark, f"{root}/*/_complete"):
+    if not exists(spark, f"{root}/*/_complete"):
         return None
     rows = spark.read.schema("version string, schema_version string").json(f"{root}/*/_complete").filter(F.col("schema_version") == schemas.SCHEMA_VERSION)
     newest = rows.agg(F.max("version")).first()[0]

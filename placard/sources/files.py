@@ -10,7 +10,7 @@ from placard import schemas
 CORRUPT = "_corrupt_record"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     found = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop)
     return found is not None and len(found) > 0
@@ -21,11 +21,18 @@ def json_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
     A file that can't be parsed is one row whose ``_corrupt_record`` is not null.
     """
-    full = f"{schema}, {CORRUPT} string"
-    if not _exists(spark, path):
-        return spark.createDataFrame([], f"{full}, file string")
-    rows = spark.read.schema(full).option("multiLine", True).option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    return rows.withColumn("file", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.json)?$", 1))
+    names = [f.name for f in spark.createDataFrame([], schema).schema]
+    if not exists(spark, path):
+        return spark.createDataFrame([], f"{schema}, {CORRUPT} string, file string")
+    raw = spark.read.text(path, wholetext=True).withColumn("file", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.json)?$", 1))
+    parsed = raw.withColumn("items", F.from_json("value", f"array<struct<{_fields(spark, schema)}>>"))
+    whole = F.col("items").isNotNull()
+    rows = parsed.withColumn("item", F.explode(F.when(whole, F.col("items")).otherwise(F.array(F.lit(None)))))
+    return rows.select(*(F.col(f"item.{n}").alias(n) for n in names), F.when(~whole, F.col("value")).alias(CORRUPT), "file")
+
+
+def _fields(spark: SparkSession, schema: str) -> str:
+    return ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in spark.createDataFrame([], schema).schema)
 
 
 def sound(rows: DataFrame) -> DataFrame:
@@ -62,7 +69,7 @@ def _map_file(spark: SparkSession, path: str, value: str, key: str) -> DataFrame
     """Rows of a file that holds one JSON object of key to struct; missing or damaged: no rows."""
     kind = f"map<string, struct<{value}>>"
     names = [v.split(":")[0].strip() for v in value.split(",")]
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], ", ".join([f"{key} string", *(v.replace(":", " ") for v in value.split(","))]))
     rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", kind)).alias(key, "v"))
     return rows.select(key, *(F.col(f"v.{n}").alias(n) for n in names))
@@ -79,4 +86,4 @@ def geocode_cache(spark: SparkSession, registry: str) -> DataFrame:
 
 def prior_state(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
     """An earlier run's table, or None on the first run."""
-    return spark.read.schema(schema).parquet(path) if _exists(spark, path) else None
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else None
