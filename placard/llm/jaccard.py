@@ -491,6 +491,12 @@ def near_groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
     Returns doc_id, n_shingles, component_id (the smallest doc_id of the group).
     """
+    return _grouped(docs, rule).select("doc_id", "n_shingles", "component_id")
+
+
+def _grouped(docs: DataFrame, rule: Rule) -> DataFrame:
+    """doc_id, id (digest of the row's set; null without shingles), root (of the group that the set is in; doc_ids may
+    repeat, so component_id alone does not tell groups apart), n_shingles and component_id of every row."""
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
     keyed = written(_keyed(docs, rule, _hot(docs, rule)), "shingle-keys")
@@ -512,22 +518,48 @@ def near_groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
     named = ids.join(roots, "id")
     best = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    grouped = named.join(best, "root").select("id", "component_id")
-    lone = firsts.join(grouped, "id", "left_anti").select("id", F.col("doc_id").alias("component_id"))
+    grouped = named.join(best, "root").select("id", "root", "component_id")
+    lone = firsts.join(grouped, "id", "left_anti").select("id", F.col("id").alias("root"), F.col("doc_id").alias("component_id"))
     rows = keyed.select("doc_id", "id", F.col("n").alias("n_shingles")).join(grouped.unionByName(lone), "id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"))
+    return rows.select("doc_id", "id", "root", "n_shingles", component.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """The rows of ``docs``, with all their columns, without those that a row with a smaller doc_id in their group
-    stands for. Rows with a null id stay; of rows with the same id and the same group one stays."""
-    groups = written(near_groups(docs, rule), "groups")
-    gone = groups.filter("component_id <> doc_id").select("doc_id").distinct()
-    few = gone.count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(gone) if few else gone.hint("merge"), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
-    repeated = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if not repeated.take(1):
-        return kept
-    twice = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(twice)
+    stands for. Rows with a null id stay, and so do texts without shingles; of rows with the same id and the same group
+    one stays: that of the smallest set digest, then of the smallest text.
+
+    Where an id repeats, rows are told apart by the id and the digest of their set, which are made anew for that.
+    """
+    groups = written(_grouped(docs, rule).filter("doc_id IS NOT NULL"), "groups")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if not groups.groupBy("doc_id").count().filter("count > 1").take(1):
+        gone = groups.filter("component_id <> doc_id").select("doc_id")
+        few = gone.count() <= BROADCAST_IDS
+        return docs.join(F.broadcast(gone) if few else gone.hint("merge"), "doc_id", "left_anti").select(*columns)
+    own = "digest"
+    while own in docs.columns:
+        own += "_"
+    sets = groups.filter("id IS NOT NULL").groupBy("doc_id", "id", "root", "component_id").agg(F.count("*").alias("rows"))
+    stays = sets.filter("component_id = doc_id").groupBy("doc_id", "root").agg(F.min("id").alias("id"))
+    gone = written(sets.join(stays, ["doc_id", "id"], "left_anti").select("doc_id", F.col("id").alias(own)), "gone")
+    twice = sets.join(stays, ["doc_id", "id"], "left_semi").filter("rows > 1").select("doc_id", F.col("id").alias(own))
+    twice = written(twice, "twice")
+    marked = docs.withColumn(own, _digest(rule)("text"))
+    hinted = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
+    kept = marked.join(hinted(gone), ["doc_id", own], "left_anti")
+    again = kept.join(hinted(twice), ["doc_id", own], "left_semi")
+    row = F.struct(*columns)
+    one = again.groupBy("doc_id", own).agg(F.min_by(row, F.struct("text", F.to_json(row))).alias("row")).select("row.*")
+    return kept.join(hinted(twice), ["doc_id", own], "left_anti").select(*columns).unionByName(one)
+
+
+def _digest(rule: Rule):
+    """``set_id`` of the shingle set of a text column; null for a text without shingles."""
+
+    @F.arrow_udf("long")
+    def digest(column: pa.Array) -> pa.Array:
+        return pa.array([set_id(s) if len(s) else None for _, s in shingle_sets(column, rule.words)], pa.int64())
+
+    return digest

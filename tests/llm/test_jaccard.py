@@ -57,6 +57,17 @@ def test_one_of_each_keeps_columns_and_lone_rows(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [3, 7, None]
 
 
+def test_one_of_each_tells_texts_of_a_repeated_id_apart(spark):
+    a, b, x, y = (" ".join(f"{k}{i}" for i in range(50)) for k in "abxy")
+    rows = [(1, a), (5, a), (5, b), (7, x), (7, y), (7, y), (7, x + " z"), (8, y), (9, None), (9, None), (9, ""), (None, b), (7, y.upper())]
+    kept = sorted(((r.doc_id, r.text) for r in jaccard.one_of_each(documents(spark, rows)).collect()), key=str)
+    near = [r for r in kept if r in [(7, x), (7, x + " z")]]  # one of the two near copies
+    assert len(near) == 1
+    assert [r for r in kept if r not in near] == sorted([(1, a), (5, b), (7, y.upper()), (9, None), (9, None), (9, ""), (None, b)], key=str)
+    again = jaccard.one_of_each(documents(spark, rows[::-1], 5)).collect()
+    assert sorted(((r.doc_id, r.text) for r in again), key=str) == kept
+
+
 def test_traversal_loses_no_pair():
     rng = np.random.default_rng(0)
     rule = jaccard.Rule(5, 80, 100)
