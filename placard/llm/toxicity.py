@@ -19,6 +19,8 @@ GRAMS = (3, 4, 5)
 #: Shares of the greatest first gradient that rows of embeddings shrink by; the best on texts kept aside is taken.
 SHRINK = (0.3, 0.15, 0.07)
 STEPS = 60
+#: Characters of a word up to which a worker keeps its value; longer ones are worked out anew each time.
+CACHED_CHARS = 64
 _WORD = re.compile(r"\w+")
 
 
@@ -27,16 +29,37 @@ def words_of(text: str) -> list[str]:
 
 
 def subwords(word: str) -> list[int]:
-    """Buckets of the whole word and of its character n-grams, with ``<`` and ``>`` at the ends."""
-    marked = f"<{word[:64]}>"
+    """Buckets of the whole word, however long, and of its character n-grams, with ``<`` and ``>`` at the ends."""
+    marked = f"<{word}>"
     grams = [marked, *(marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1))]
     return [zlib.crc32(g.encode("utf-8", "replace")) % BUCKETS for g in grams]
 
 
+def counted_subwords(word: str, chunk: int = 1 << 14) -> np.ndarray:
+    """How often each bucket is among ``subwords(word)``, made for so many n-grams at a time."""
+    marked = f"<{word}>"
+    counts = np.zeros(BUCKETS, np.int64)
+    counts[zlib.crc32(marked.encode("utf-8", "replace")) % BUCKETS] += 1
+    for n in GRAMS:
+        last = len(marked) - n + 1
+        for a in range(0, last, chunk):
+            found = [zlib.crc32(marked[i : i + n].encode("utf-8", "replace")) % BUCKETS for i in range(a, min(last, a + chunk))]
+            counts += np.bincount(found, minlength=BUCKETS)
+    return counts
+
+
+class WordValues(Cached):
+    """As ``Cached``, but long words are not kept."""
+
+    def __missing__(self, word: str) -> float:
+        return self._encode(word) if len(word) > CACHED_CHARS else super().__missing__(word)
+
+
 class Model:
     """Embeddings of buckets and a softmax over two classes, trained together.
 
-    A word's vector is the mean of its subwords' embeddings, and a text's the mean of its words'.
+    A word's vector is the mean of its subwords' embeddings, and a text's the mean of its words'. A run without blanks
+    is one word, all of whose n-grams count.
     """
 
     def __init__(self, embeddings: np.ndarray, weights: np.ndarray, bias: np.ndarray):
@@ -44,7 +67,13 @@ class Model:
         # Softmax over two classes depends on the difference of logits, and means are linear: one number for a bucket.
         self._bucket = embeddings @ (weights[:, 1] - weights[:, 0])
         self._offset = float(bias[1] - bias[0])
-        self._word = Cached(lambda w: float(self._bucket[subwords(w)].mean()))
+        self._word = WordValues(self._value)
+
+    def _value(self, word: str) -> float:
+        if len(word) <= CACHED_CHARS:
+            return float(self._bucket[subwords(word)].mean())
+        counts = counted_subwords(word)
+        return float(counts @ self._bucket / counts.sum())
 
     def score(self, text: str) -> float:
         return float(sigmoid(np.array(self.logit(text))))

@@ -90,6 +90,19 @@ def test_attention_prefers_bad_passages():
     assert (model.logits(*quality.passages(data, offsets)) > 0).tolist() == [True, False]
 
 
+def test_toxicity_reads_long_runs_to_their_end():
+    rng = np.random.default_rng(1)
+    clean = ["_".join(rng.choice(["alpha", "beta", "gamma", "delta"], 40)) for _ in range(60)]
+    toxic = [t + "_" + "_".join(["zxqvile"] * 5) for t in clean]
+    assert min(map(len, clean)) > 128
+    model = toxicity.fit(clean + toxic, np.array([0.0] * 60 + [1.0] * 60), np.ones(120))
+    plain = "_".join(["delta", "gamma", "beta", "alpha"] * 10)
+    assert model.score(plain + "_" + "_".join(["zxqvile"] * 5)) > 0.5 > model.score(plain + "_alpha_beta")
+    for word in ("", "a", "日本語" * 50, plain * 20):
+        counts = toxicity.counted_subwords(word, chunk=100)
+        assert (counts == np.bincount(toxicity.subwords(word), minlength=toxicity.BUCKETS)).all()
+
+
 def oracle(d, sql):
     con = duckdb.connect()
     for f in glob.glob(f"{d}/*.parquet"):
