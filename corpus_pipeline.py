@@ -31,7 +31,7 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of power-of-two length with their token ids and sequence numbers."""
     small_batches(spark)
-    return packing.packed_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return packing.packed_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, added=True)
 
 
 STAGES = [("quality", quality_stage), ("language", language_stage), ("near copies", near_copy_stage), ("packing", packing_stage)]

@@ -48,7 +48,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    return packing.packed_pieces(_documents(spark, sf_dir), vocabulary, public_tokenizers.PATTERN, with_ids=False)
+    return packing.packed_pieces(_documents(spark, sf_dir), vocabulary, public_tokenizers.PATTERN, with_ids=False, added=True)
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,6 +59,26 @@ def test_packing_law(spark):
     assert packing.packed_pieces(spark.createDataFrame([], DOCS), PLAIN, public_tokenizers.PATTERN).collect() == []
 
 
+def test_added_tokens_have_their_ids():
+    tokenizer, coder = Tokenizer.from_file(PLAIN), packing.PieceEncoder(PLAIN, public_tokenizers.PATTERN, added=True)
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|>b  <|endoftext|>\n\nx", "<|ENDOFTEXT|> <|endoftext", *(t or "" for _, t in rows())]
+    for t in texts:
+        assert np.frombuffer(coder.packed(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_query_and_stage_pack_added_tokens(spark, tmp_path):
+    import __spark_entry__
+    import corpus_pipeline
+
+    documents(spark, [(1, "hello <|endoftext|> world")]).write.parquet(f"{tmp_path}/documents.parquet")
+    ids = [31373, 220, 50256, 995, 1]
+    op8 = __spark_entry__.queries()["op8_packing"](spark, str(tmp_path)).collect()
+    crc = lambda a: zlib.crc32(np.array(a, "<u4").tobytes())
+    assert sorted((r.start, r.ids_crc32, r.doc_tokens) for r in op8) == [(0, crc(ids[:4]), 5), (4, crc(ids[4:]), 5)]
+    stage = corpus_pipeline.packing_stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()
+    assert [i for r in sorted(stage, key=lambda r: r.start) for i in r.ids] == ids
+
+
 def test_shards_are_balanced_and_gapless(spark):
     data = [(i, t) for i, t in rows() if t is None or len(t) < 10_000] * 3
     got = sharding.sharded(documents(spark, data), shards=5).toPandas()
