@@ -68,8 +68,9 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, shard_rows: int = SHARD_ROWS
     ``is_query`` is a Column over ``id`` that tells the queries. Candidates and queries are dealt by hash into
     shards and query blocks of bounded size; each (block, shard) pair is one task's work and gives at most ``k``
     rows for a query, and the rows of all shards are merged by rank. Vectors of different lengths are compared
-    over the shorter one. Rows with a null id are neither query nor candidate; repeated ids are all candidates, but
-    a row is never matched with a row of its own id; ties go to the smaller id; fewer than ``k`` candidates give
+    over the shorter one. Rows with a null id are neither query nor candidate; repeated ids are all candidates and
+    queries, but a row is never matched with a row of its own id, and the matches of all query rows of one id are
+    ranked together; ties go to the smaller id; fewer than ``k`` candidates give
     fewer rows; no queries or an empty table give no rows.
 
     Returns query_id, rank (from 1), vec_id, score.
@@ -77,15 +78,16 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, shard_rows: int = SHARD_ROWS
     vectors = vectors.filter(F.col("id").isNotNull())
     n, nq = vectors.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
     shards, qblocks = max(1, -(-n // shard_rows)), max(1, -(-nq // query_rows))
-    place = F.xxhash64("id")
+    vectors = vectors.withColumn("row", F.monotonically_increasing_id())  # spreads the rows of a repeated id
+    place = F.xxhash64("id", "row")
     candidates = vectors.select(
         "id", "terms", F.pmod(place, F.lit(shards)).cast("int").alias("shard"),
         F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1))).alias("qblock"),
     )
     queries = vectors.filter(is_query).select(
         "id", "terms", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
-        F.pmod(F.xxhash64("id", F.lit(1)), F.lit(qblocks)).cast("int").alias("qblock"),
-    ).dropDuplicates(["id", "shard"])
+        F.pmod(F.xxhash64("id", "row", F.lit(1)), F.lit(qblocks)).cast("int").alias("qblock"),
+    )
 
     def pair(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):

@@ -142,6 +142,18 @@ def test_top_k_ties_and_repeats(spark):
     assert got == sorted(expected)
 
 
+def test_top_k_ranks_all_rows_of_a_repeated_query(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(int(i), rng.integers(-4, 4, 6).tolist()) for i in range(120)] + [(50, rng.integers(-4, 4, 6).tolist()) for _ in range(7)] + [(100, [1] * 6)] * 2 + [(3, [2] * 6)] * 9
+    vectors = spark.createDataFrame([(i, [x / 256 for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    vectors.coalesce(1).write.parquet(f"{tmp_path}/embeddings")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings/*.parquet')")
+    expected = sorted(con.execute(__spark_entry__.oracle_sql()["op6_topk"]).fetchall())
+    terms = spark.createDataFrame(rows, "id long, terms array<long>").repartition(4)
+    assert sorted(map(tuple, top_k(terms, terms["id"] % 50 == 0, shard_rows=16, query_rows=2).collect())) == expected
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
