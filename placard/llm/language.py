@@ -211,15 +211,19 @@ def spoken(docs: DataFrame, samples: dict[str, bytes], most_phrases: float = FOR
 
 def labelled_text(docs: DataFrame, learned: Column) -> dict[str, bytes]:
     """Joined texts of each of the ``LANGUAGES`` most frequent languages: at most ``TEXTS`` texts of at most
-    ``TEXT_BYTES`` bytes of the rows that ``learned`` lets in, chosen by hash of the id."""
+    ``TEXT_BYTES`` bytes of the rows that ``learned`` lets in, chosen by hash of the id; an id counts once in a language."""
     usable = docs.filter(learned & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    usable = usable.filter(F.octet_length("text").between(1, TEXT_BYTES)).select("doc_id", "lang", F.octet_length("text").alias("bytes"))
+    size = F.octet_length("text").alias("bytes")
+    usable = usable.filter(F.octet_length("text").between(1, TEXT_BYTES)).select("doc_id", "lang", "text", size)
     names = [r.lang for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    place = Window.partitionBy("lang").orderBy(~F.col("bytes").between(400, 4000), F.xxhash64("doc_id"), "doc_id", "bytes")
-    picks = usable.filter(F.col("lang").isin(names)).withColumn("place", F.row_number().over(place)).filter(F.col("place") <= TEXTS)
-    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(picks.select("doc_id", "lang", "place")), ["doc_id", "lang"]).toPandas()
+    odd = ~F.col("bytes").between(400, 4000)
+    ids = usable.filter(F.col("lang").isin(names)).groupBy("lang", "doc_id").agg(F.min(F.struct(odd.alias("odd"), "bytes")).alias("b"))
+    place = Window.partitionBy("lang").orderBy("b.odd", F.xxhash64("doc_id"), "doc_id")
+    picks = ids.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= TEXTS).select("doc_id", "lang", "b.bytes", "place")
+    chosen = usable.join(F.broadcast(picks), ["doc_id", "lang", "bytes"])
+    rows = chosen.groupBy("lang", "place").agg(F.min("text").alias("text")).toPandas()  # an id's rows may be many
     out: dict[str, bytes] = {}
-    for lang, group in rows.sort_values(["lang", "place", "text"], kind="stable").drop_duplicates(["lang", "place"]).groupby("lang"):
+    for lang, group in rows.sort_values(["lang", "place"], kind="stable").groupby("lang"):
         each = max(200, 2 * SYMBOLS // max(1, len(group)))  # long texts leave room for others
         out[lang] = b"\n".join(t.encode("utf-8")[:each] for t in group.text)[:SYMBOLS]
     return out

@@ -22,7 +22,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learned: Col
 
     Rows are chosen by hash of the id, so the choice is the same for any partitioning. Longer texts than
     ``text_bytes`` are left out of the sample. Weights restore the classes' shares among all learned labels. An id
-    with several labels counts once, with the smallest; ids or labels that are null are never used.
+    with several labels or texts counts once, with the smallest; ids or labels that are null are never used.
     """
     known = labels.select("doc_id", F.col(label).alias("y")).filter(learned & F.col("doc_id").isNotNull() & F.col("y").isin(0, 1))
     known = known.groupBy("doc_id").agg(F.min("y").alias("y"))
@@ -30,7 +30,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learned: Col
     picks = [known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(class_rows) for y in (0, 1)]
     texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.octet_length("text") <= text_bytes))
     chosen = texts.join(F.broadcast(picks[0].unionByName(picks[1])), "doc_id")  # at most two classes of class_rows ids
-    rows = chosen.select("doc_id", "text", "y").toPandas().sort_values(["doc_id", "text"], kind="stable").drop_duplicates("doc_id").reset_index(drop=True)
+    one = chosen.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")  # an id's rows may be many
+    rows = one.toPandas().sort_values("doc_id", kind="stable").reset_index(drop=True)
     taken = rows.y.value_counts()
     rows["weight"] = [counts[y] / taken[y] for y in rows.y] if len(rows) else []
     if len(rows):

@@ -5,9 +5,10 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
-from placard.llm import jaccard, language, quality, toxicity, urls
+from placard.llm import jaccard, language, quality, toxicity, training, urls
 from placard.session import table
 from placard.llm.topk import top_k
 from tests.llm.cases import DOCS, documents
@@ -154,6 +155,19 @@ def test_top_k_ranks_all_rows_of_a_repeated_query(spark, tmp_path):
     assert sorted(map(tuple, top_k(terms, terms["id"] % 50 == 0, shard_rows=16, query_rows=2).collect())) == expected
 
 
+def test_samples_reach_the_driver_once_for_an_id(spark, monkeypatch):
+    sizes, frame = [], type(spark.range(1))
+    own = frame.toPandas
+    monkeypatch.setattr(frame, "toPandas", lambda self: sizes.append(own(self)) or sizes[-1])
+    rows = [(i % 20 if i < 40 else 7, f"b text {i}" if i < 40 else f"a text {i}", "xx") for i in range(400)] + [(7, "a" * 40_000, "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    sample = training.labelled_sample(docs, labels, "toxic", F.lit(True))
+    assert len(sizes[0]) == 20 and dict(zip(sample.doc_id, sample.text, strict=True))[7] == "a text 100"
+    text = language.labelled_text(docs, F.lit(True))["xx"]
+    assert len(sizes[1]) == 20 and sizes[1].text.map(len).max() < 100 and text.count(b"\n") == 19
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
