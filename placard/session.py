@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +19,7 @@ def local_session(cpus: int = 8, app: str = "placard") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "6g")
+        .config("spark.executorEnv.PYTHONPATH", str(Path(__file__).resolve().parents[1]))
         .config("spark.sql.adaptive.enabled", "true")
         .getOrCreate()
     )
