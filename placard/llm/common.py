@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,19 @@ _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
+#: Bytes from which on a word is hashed by a cryptographic digest: sums of powers collide on some very long words.
+LONG_WORD = 256
 _powers: list[np.ndarray] = []
+_held: dict[tuple[str, object], object] = {}
+
+
+def only_one(kind: str, key: object, make: Callable[[], object]) -> object:
+    """What ``make`` gives, built once in a worker for ``kind`` and ``key``. A worker serves one stage after another, so
+    it holds one such object at a time: models, vocabularies and caches of earlier stages go."""
+    if (kind, key) not in _held:
+        _held.clear()
+        _held[kind, key] = make()
+    return _held[kind, key]
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -85,6 +98,9 @@ def words(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((_LOWER[data] if fold else data).astype(np.uint64) * up + up, out=total[1:])
     hashes = mixed((total[ends] - total[starts]) * down[starts])
+    for w in np.flatnonzero(ends - starts > LONG_WORD):
+        word = data[starts[w] : ends[w]]
+        hashes[w] = np.frombuffer(blake2b((_LOWER[word] if fold else word).tobytes(), digest_size=8).digest(), np.uint64)[0]
     return hashes, starts, ends, np.searchsorted(starts, offsets)
 
 

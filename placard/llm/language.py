@@ -11,20 +11,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from placard.llm.common import blocks, text_bytes
+from placard.llm.common import blocks, only_one, text_bytes
 from placard.llm.training import remainder
 
-#: Bounds of the labelled sample: languages, texts of each, bytes of a text, symbols of each language's joined text.
-LANGUAGES, TEXTS, TEXT_BYTES, SYMBOLS = 64, 120, 32_768, 30_000
-#: Symbols parsed in one go; a longer text is parsed in segments of so many.
+#: Symbols of each language's labelled text, and of all languages' together: with more languages each has less, down to
+#: the least. Bytes of a text in the sample.
+SYMBOLS, ALL_SYMBOLS, LEAST_SYMBOLS, TEXT_BYTES = 60_000, 960_000, 2_000, 32_768
+#: Symbols that are parsed side by side; what a longer text's segments miss of each other is mended afterwards.
 SEGMENT = 512
 BLOCK_BYTES = 1 << 21
 #: How much a phrase less tells for a language, in natural logarithms of odds.
 EVIDENCE = 0.5
-#: Phrases for a byte from which on a text is like no language that was learned.
-FOREIGN = 0.7
-#: Bytes below which a text is too short to be judged by that.
-SHORT = 40
+#: Phrases for a byte from which on a text is like no language that was learned, and how many more it must have.
+FOREIGN, SURPLUS = 0.7, 12
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -79,95 +78,150 @@ class SuffixAutomaton:
             last = new
         self.moves = moves
 
-    def table(self, width: int) -> np.ndarray:
-        """Dense moves, states numbered by breadth so that those met most lie together. An entry is the next
-        state times ``width``, plus 1 if the phrase broke there and a new one began with the symbol."""
-        order, number = [0], {0: 0}
-        for state in order:
-            for to in self.moves[state].values():
-                if to not in number:
-                    number[to] = len(order)
-                    order.append(to)
-        # The last state is that after a symbol which the sequence lacks: such a symbol is a phrase of its own.
-        lost = len(order) * width
-        out = np.full((len(order) + 1, width), lost + 1, np.int32)
-        out[0] = lost
-        for symbol, to in self.moves[0].items():
-            out[:, symbol] = number[to] * width + 1
-        for row, state in zip(out[:-1], order, strict=True):
-            for symbol, to in self.moves[state].items():
-                row[symbol] = number[to] * width
-        out[:, 0] = 0
-        return out
-
 
 class Parser:
-    """Counts the phrases of texts by every language's automaton, many segments at a time."""
+    """Counts the phrases of texts by every language's automaton, many segments at a time.
+
+    Most states have one move alone, which is kept as a symbol and a state; the others have a row of a dense table.
+    An entry is twice the next state, plus 1 if the phrase broke there and a new one began with the symbol.
+    """
 
     def __init__(self, samples: dict[str, bytes]):
         self.languages = sorted(samples)
-        folded = [symbols_of(np.frombuffer(samples[x], np.uint8))[:SYMBOLS] for x in self.languages]
+        most = symbols_each(len(samples))
+        folded = [symbols_of(np.frombuffer(samples[x], np.uint8))[:most] for x in self.languages]
         met = np.unique(np.concatenate([np.zeros(0, np.int32), *folded]))
-        self._dense = np.ones(_WIDTH, np.int32)  # symbols that no language has share one
-        self._dense[met] = np.arange(2, 2 + len(met))
-        self._dense[0] = 0
-        width = (len(met) + 3) // 2 * 2
-        starts, tables = [0], []
+        self._dense = np.zeros(_WIDTH, np.int32)  # symbols that no language has share one
+        self._dense[met] = np.arange(1, 1 + len(met))
+        width, states = len(met) + 1, 0
+        roots, own, to, rows, table = [], [], [], [], []
         for f in folded:
-            tables.append(SuffixAutomaton(self._dense[f].tolist()).table(width).ravel())
-            tables[-1] += np.int32(starts[-1])
-            starts.append(starts[-1] + tables[-1].size)
-        self._starts = np.array(starts[:-1], np.int32)
-        self._table = np.concatenate([np.zeros(0, np.int32), *tables])
+            moves = SuffixAutomaton(self._dense[f].tolist()).moves
+            # The last state is that after a symbol which the sequence lacks: such a symbol is a phrase of its own.
+            lost, first_row = states + len(moves), sum(map(len, table))
+            begin = np.full(width, 2 * lost, np.int32)
+            for symbol, next_ in moves[0].items():
+                begin[symbol] = 2 * (states + next_)
+            wide = [i for i, m in enumerate(moves) if i and len(m) > 1]
+            part = np.repeat((begin + 1)[None], len(wide) + 2, 0)  # the first row breaks, the second is the root's
+            part[1] = begin
+            for row, i in zip(part[2:], wide, strict=True):
+                for symbol, next_ in moves[i].items():
+                    row[symbol] = 2 * (states + next_)
+            own_symbol, own_next, row_of = np.full(len(moves) + 1, -1, np.int16), np.zeros(len(moves) + 1, np.int32), np.zeros(len(moves) + 1, np.int32)
+            for i, m in enumerate(moves):
+                if i and len(m) == 1:
+                    ((own_symbol[i], next_),) = m.items()
+                    own_next[i] = 2 * (states + next_)
+            row_of[0], row_of[wide] = 1, np.arange(2, len(wide) + 2)
+            roots.append(states)
+            own.append(own_symbol)
+            to.append(own_next)
+            rows.append((first_row + row_of) * width)
+            table.append(part)
+            states += len(moves) + 1
+        none = np.zeros(0, np.int32)
+        self._roots = np.array(roots, np.int32)
+        self._own, self._to, self._rows = np.concatenate([none.astype(np.int16), *own]), np.concatenate([none, *to]), np.concatenate([none, *rows]).astype(np.int32)
+        self._table = np.concatenate([none, *(t.ravel() for t in table)])
         self._weights = np.array([np.log2(max(2, len(f))) for f in folded])
 
-    def phrases(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Phrases of each text (row) by each language (column), times the logarithm of the language's sample over
-        the mean of these logarithms; an empty text has none."""
-        lengths = np.diff(offsets)
+    def _step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after one symbol more, and whether a phrase began with it."""
+        found = np.where(self._own.take(state) == symbol, self._to.take(state), self._table.take(self._rows.take(state) + symbol))
+        return found >> 1, (found & 1).astype(bool)
+
+    def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Phrases of each text (row) by each language (column); an empty text has none.
+
+        Segments are parsed as if each were a text. Then the phrase that is open at a segment's end goes on into the
+        next one until both parses begin a phrase at the same symbol: from there on they are the same. Texts whose
+        parses don't meet within a segment (they repeat themselves) are parsed once more, symbol by symbol.
+        """
+        offsets = offsets - offsets[0]
+        lengths, k = np.diff(offsets), len(self.languages)
         pieces = -(-lengths // SEGMENT)
-        rows, k = np.repeat(np.arange(len(lengths)), pieces), len(self.languages)
-        counts = np.zeros((k, len(rows)), np.int32)
-        if not len(rows) or not k:
-            return np.zeros((len(lengths), k))
+        owner = np.repeat(np.arange(len(lengths)), pieces)
+        if not len(owner) or not k:
+            return np.zeros((len(lengths), k), np.int64)
         symbols = self._dense[symbols_of(data)]
-        piece = np.arange(len(rows)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        first = offsets[rows] - offsets[0] + piece * SEGMENT
-        size = np.minimum(SEGMENT, lengths[rows] - piece * SEGMENT)
+        piece = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        first = offsets[owner] + piece * SEGMENT
+        size = np.minimum(SEGMENT, lengths[owner] - piece * SEGMENT)
+        begins = np.zeros((k, len(data)), bool)
+        own, state = self._lockstep(symbols, first, size, begins)
+        total = np.stack([np.bincount(owner, c, len(lengths)) for c in own], 1).astype(np.int64)
+        follows = np.flatnonzero(piece > 0)
+        if not len(follows):
+            return total
+        # Carried on: what an open phrase makes of the next segment, against that segment's own parse.
+        language, at = (g.ravel() for g in np.meshgrid(np.arange(k), follows, indexing="ij"))
+        now, place, end = state[language, at - 1], first[at], first[at] + size[at]
+        more, text = np.zeros(len(at), np.int64), owner[at]
+        row = np.arange(len(at))
+        apart: set[tuple[int, int]] = set()
+        while len(row):
+            now, broke = self._step(now, symbols[place])
+            own_too = begins[language[row], place]
+            more[row] += broke.astype(np.int64) - own_too
+            met = broke & own_too
+            place = place + 1
+            lost = ~met & (place == end[row])
+            apart.update(zip(text[row[lost]].tolist(), language[row[lost]].tolist(), strict=True))
+            go = ~met & ~lost
+            row, now, place = row[go], now[go], place[go]
+        np.add.at(total, (text, language), more)
+        for t, x in apart:
+            total[t, x] = self._one_by_one(symbols[offsets[t] : offsets[t + 1]], x)
+        return total
+
+    def _one_by_one(self, symbols: np.ndarray, language: int) -> int:
+        own, to, rows, table = map(memoryview, (self._own, self._to, self._rows, self._table))
+        state, count = int(self._roots[language]), 1
+        for symbol in memoryview(symbols):
+            found = to[state] if own[state] == symbol else table[rows[state] + symbol]
+            state = found >> 1
+            count += found & 1
+        return count
+
+    def _lockstep(self, symbols: np.ndarray, first: np.ndarray, size: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases and last states of stretches (columns) by languages (rows); ``begins`` gets where phrases begin."""
         order = np.argsort(-size, kind="stable")
         first, size = first[order], size[order]
-        state = np.repeat(self._starts[:, None], len(rows), 1)
+        state, counts = np.repeat(self._roots[:, None], len(size), 1), np.ones((len(self._roots), len(size)), np.int64)
+        begins[:, first] = True
         for step in range(int(size[0])):
             open_ = len(size) - int(np.searchsorted(size[::-1], step, "right"))
-            at = symbols[first[:open_] + step]
-            found = self._table.take(state[:, :open_] + at)
-            broke = found & 1
+            at = first[:open_] + step
+            state[:, :open_], broke = self._step(state[:, :open_], symbols[at])
             counts[:, :open_] += broke
-            state[:, :open_] = found - broke
-        by_row = np.stack([np.bincount(rows[order], c + 1, len(lengths)) for c in counts], 1)
-        return by_row * (self._weights / self._weights.mean())
+            begins[:, at] |= broke
+        back = np.argsort(order)
+        return counts[:, back], state[:, back]
+
+    def phrases(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """``counts`` times the logarithm of the language's sample over the mean of these logarithms."""
+        return self.counts(data, offsets) * (self._weights / self._weights.mean() if len(self._weights) else self._weights)
 
 
-_parsers: dict[int, Parser] = {}
+def symbols_each(languages: int) -> int:
+    return max(LEAST_SYMBOLS, min(SYMBOLS, ALL_SYMBOLS // max(1, languages)))
 
 
 def verdict_of(spark: SparkSession, samples: dict[str, bytes], text: Column) -> Column:
-    """lang_pred, score and phrase_rate (phrases for a byte, by the language that won) of a text column.
+    """lang_pred, score and phrases (by the language that won) of a text column.
 
-    ``samples``: labelled text of each language, bounded by ``SYMBOLS``; a worker builds the automata once.
+    ``samples``: labelled text of each language, bounded by ``symbols_each``; a worker builds the automata once.
     """
     kept = spark.sparkContext.broadcast(samples)
     key = zlib.crc32(repr(sorted(samples.items())).encode())
 
-    @F.arrow_udf("lang_pred string, score double, phrase_rate double")
+    @F.arrow_udf("lang_pred string, score double, phrases double")
     def judge(column: pa.Array) -> pa.Array:
-        if key not in _parsers:
-            _parsers.clear()
-            _parsers[key] = Parser(kept.value)
-        parser = _parsers[key]
+        parser = only_one("languages", key, lambda: Parser(kept.value))
         offsets, data = text_bytes(column)
         names: list[str] = []
-        scores, rates = [np.zeros(0)], [np.zeros(0)]
+        scores, phrases = [np.zeros(0)], [np.zeros(0)]
         for a, b in blocks(offsets, BLOCK_BYTES):
             counts = parser.phrases(data[offsets[a] : offsets[b]], offsets[a : b + 1])
             spoken = np.array([bool(t) and _LETTER.search(t) is not None for t in column.slice(a, b - a).to_pylist()], bool)
@@ -177,8 +231,8 @@ def verdict_of(spark: SparkSession, samples: dict[str, bytes], text: Column) ->
             odds = np.exp(-EVIDENCE * (counts - least[:, None])).sum(1)
             names += [parser.languages[i] if s else UNDETERMINED for i, s in zip(counts.argmin(1), spoken, strict=True)]
             scores.append(np.where(spoken, 1 / odds, 0.0))
-            rates.append(np.where(spoken, least / np.maximum(1, np.diff(offsets[a : b + 1])), 0.0))
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(scores)), pa.array(np.concatenate(rates))], ["lang_pred", "score", "phrase_rate"])
+            phrases.append(np.where(spoken, least, 0.0))
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(scores)), pa.array(np.concatenate(phrases))], ["lang_pred", "score", "phrases"])
 
     return judge(text)
 
@@ -193,39 +247,47 @@ def judged(docs: DataFrame, samples: dict[str, bytes], held_out: Column) -> Data
     samples; repeated rows and null ids pass through (``held_out`` of a null id is false); an empty table gives no rows;
     other columns are ignored.
 
-    Returns doc_id, held_out, lang_pred, score, phrase_rate.
+    Returns doc_id, held_out, lang_pred, score, phrases.
     """
     verdict = verdict_of(docs.sparkSession, samples, F.col("text")).alias("v")
     return docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), verdict).select("doc_id", "held_out", "v.*")
 
 
-def spoken(docs: DataFrame, samples: dict[str, bytes], most_phrases: float = FOREIGN) -> DataFrame:
+def spoken(docs: DataFrame, samples: dict[str, bytes], most_phrases: float = FOREIGN, surplus: float = SURPLUS) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text has a language: not ``und``, and not so unlike all
-    languages that nearly every byte begins a phrase (``most_phrases`` for a byte, from ``SHORT`` bytes on)."""
+    languages that it has ``surplus`` phrases more than ``most_phrases`` for a byte (random letters do; short texts can't).
+
+    Rows: null and empty texts and texts without letters go; null ids and repeated rows are judged like any other; an
+    empty table, or no samples, gives no rows.
+    """
     name = "verdict"
     while name in docs.columns:
         name += "_"
     found = docs.withColumn(name, verdict_of(docs.sparkSession, samples, F.col("text")))
-    return found.filter((F.col(f"{name}.lang_pred") != UNDETERMINED) & ((F.col(f"{name}.phrase_rate") < most_phrases) | (F.octet_length("text") < SHORT))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    like = F.col(f"{name}.phrases") < F.octet_length("text") * most_phrases + surplus
+    return found.filter((F.col(f"{name}.lang_pred") != UNDETERMINED) & like).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def labelled_text(docs: DataFrame, learned: Column) -> dict[str, bytes]:
-    """Joined texts of each of the ``LANGUAGES`` most frequent languages: at most ``TEXTS`` texts of at most
-    ``TEXT_BYTES`` bytes of the rows that ``learned`` lets in, chosen by hash of the id; an id counts once in a language."""
+    """Joined texts of every language of the rows that ``learned`` lets in: ``symbols_each`` bytes of it at most.
+
+    Different texts are chosen by hash of their smallest id, those of 400 to 4,000 bytes first and none above
+    ``TEXT_BYTES``; they are taken whole, only the last one is cut at the bound.
+    """
     usable = docs.filter(learned & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    size = F.octet_length("text").alias("bytes")
-    usable = usable.filter(F.octet_length("text").between(1, TEXT_BYTES)).select("doc_id", "lang", "text", size)
-    names = [r.lang for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    odd = ~F.col("bytes").between(400, 4000)
-    ids = usable.filter(F.col("lang").isin(names)).groupBy("lang", "doc_id").agg(F.min(F.struct(odd.alias("odd"), "bytes")).alias("b"))
-    place = Window.partitionBy("lang").orderBy("b.odd", F.xxhash64("doc_id"), "doc_id")
-    picks = ids.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= TEXTS).select("doc_id", "lang", "b.bytes", "place")
-    chosen = usable.join(F.broadcast(picks), ["doc_id", "lang", "bytes"])
-    rows = chosen.groupBy("lang", "place").agg(F.min("text").alias("text")).toPandas()  # an id's rows may be many
+    usable = usable.select("doc_id", "lang", "text", F.octet_length("text").cast("long").alias("bytes")).filter(F.col("bytes").between(1, TEXT_BYTES))
+    known = usable.groupBy("lang", F.xxhash64("text").alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.min("bytes").alias("bytes"))
+    known = known.groupBy("lang", "doc_id").agg(F.min(F.struct("bytes", "digest")).alias("b")).select("lang", "doc_id", "b.bytes", "b.digest")  # an id may have many texts
+    languages = known.select("lang").distinct().count()
+    most = symbols_each(languages)
+    order = Window.partitionBy("lang").orderBy(~F.col("bytes").between(400, 4000), F.xxhash64("doc_id"), "doc_id")
+    picks = known.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most // 64)  # enough unless all are tiny
+    picks = picks.withColumn("before", F.sum("bytes").over(Window.partitionBy("lang").orderBy("place")) - F.col("bytes")).filter(F.col("before") < most)
+    chosen = usable.withColumn("digest", F.xxhash64("text")).join(F.broadcast(picks.select("doc_id", "lang", "digest", "place")), ["doc_id", "lang", "digest"])
+    rows = chosen.groupBy("lang", "place").agg(F.min("text").alias("text")).toPandas()  # rows may be repeated
     out: dict[str, bytes] = {}
     for lang, group in rows.sort_values(["lang", "place"], kind="stable").groupby("lang"):
-        each = max(200, 2 * SYMBOLS // max(1, len(group)))  # long texts leave room for others
-        out[lang] = b"\n".join(t.encode("utf-8")[:each] for t in group.text)[:SYMBOLS]
+        out[lang] = b"\n".join(t.encode("utf-8") for t in group.text)[:most]
     return out
 
 
