@@ -11,16 +11,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placard.llm.bpe import Cached
+from placard.llm.common import only_one
 from placard.llm.training import calibrated, labelled_sample, remainder, sigmoid
 
-BUCKETS, DIMENSIONS = 1 << 15, 6
+BUCKET_BITS, DIMENSIONS = 20, 6
+BUCKETS = 1 << BUCKET_BITS
 GRAMS = (3, 4, 5)
 #: Shares of the greatest first gradient that rows of embeddings shrink by; the best on texts kept aside is taken.
 SHRINK = (0.3, 0.15, 0.07)
 STEPS = 60
-#: Characters of a word up to which a worker keeps its value; longer ones are worked out anew each time.
-CACHED_CHARS = 64
+#: Characters that are worked on at a time.
+CHUNK = 1 << 18
 _WORD = re.compile(r"\w+")
 
 
@@ -28,59 +29,75 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def subwords(word: str) -> list[int]:
-    """Buckets of the whole word, however long, and of its character n-grams, with ``<`` and ``>`` at the ends."""
-    marked = f"<{word}>"
-    grams = [marked, *(marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1))]
-    return [zlib.crc32(g.encode("utf-8", "replace")) % BUCKETS for g in grams]
-
-
-def counted_subwords(word: str, chunk: int = 1 << 14) -> np.ndarray:
-    """How often each bucket is among ``subwords(word)``, made for so many n-grams at a time."""
-    marked = f"<{word}>"
-    counts = np.zeros(BUCKETS, np.int64)
-    counts[zlib.crc32(marked.encode("utf-8", "replace")) % BUCKETS] += 1
-    for n in GRAMS:
-        last = len(marked) - n + 1
-        for a in range(0, last, chunk):
-            found = [zlib.crc32(marked[i : i + n].encode("utf-8", "replace")) % BUCKETS for i in range(a, min(last, a + chunk))]
-            counts += np.bincount(found, minlength=BUCKETS)
-    return counts
-
-
-class WordValues(Cached):
-    """As ``Cached``, but long words are not kept."""
-
-    def __missing__(self, word: str) -> float:
-        return self._encode(word) if len(word) > CACHED_CHARS else super().__missing__(word)
+def subwords(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index of the word and bucket of every word as a whole and of all its character n-grams, however long it is; a word
+    begins with ``<`` and ends with ``>``."""
+    marked = [f"<{w}>" for w in words]
+    yield np.arange(len(words)), np.array([zlib.crc32(w.encode("utf-8", "replace")) % BUCKETS for w in marked], np.int64)
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "replace"), np.uint32)
+    ends = np.cumsum([len(w) for w in marked])
+    for a in range(0, len(codes), CHUNK):
+        b = min(a + CHUNK, len(codes))
+        owner = np.searchsorted(ends, np.arange(a, b), "right")
+        room = ends[owner] - np.arange(a, b)
+        value = np.zeros(b - a, np.uint64)
+        for k in range(max(GRAMS)):
+            part = codes[a + k : b + k]  # shorter at the very end, where no n-gram has room
+            value[: len(part)] = value[: len(part)] * np.uint64(0x9E3779B97F4A7C15) + part + np.uint64(1)
+            if k + 1 in GRAMS:
+                fits = room > k
+                yield owner[fits], ((value[fits] * np.uint64(0xD1342543DE82EF95)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
 class Model:
-    """Embeddings of buckets and a softmax over two classes, trained together.
+    """Embeddings of buckets (``rows``; those of all others are zero) and a softmax over two classes, trained together.
 
     A word's vector is the mean of its subwords' embeddings, and a text's the mean of its words'. A run without blanks
     is one word, all of whose n-grams count.
     """
 
-    def __init__(self, embeddings: np.ndarray, weights: np.ndarray, bias: np.ndarray):
-        self.embeddings, self.weights, self.bias = embeddings, weights, bias
+    def __init__(self, rows: np.ndarray, embeddings: np.ndarray, weights: np.ndarray, bias: np.ndarray):
+        self.rows, self.embeddings, self.weights, self.bias = rows, embeddings, weights, bias
         # Softmax over two classes depends on the difference of logits, and means are linear: one number for a bucket.
-        self._bucket = embeddings @ (weights[:, 1] - weights[:, 0])
+        self._bucket = np.zeros(BUCKETS, np.float32)
+        self._bucket[rows] = embeddings @ (weights[:, 1] - weights[:, 0])
         self._offset = float(bias[1] - bias[0])
-        self._word = WordValues(self._value)
-
-    def _value(self, word: str) -> float:
-        if len(word) <= CACHED_CHARS:
-            return float(self._bucket[subwords(word)].mean())
-        counts = counted_subwords(word)
-        return float(counts @ self._bucket / counts.sum())
 
-    def score(self, text: str) -> float:
-        return float(sigmoid(np.array(self.logit(text))))
+    def _values(self, words: list[str]) -> np.ndarray:
+        total, count = np.zeros(len(words)), np.zeros(len(words))
+        for owner, bucket in subwords(words):
+            total += np.bincount(owner, self._bucket[bucket], len(words))
+            count += np.bincount(owner, minlength=len(words))
+        return total / np.maximum(1, count)
 
-    def logit(self, text: str) -> float:
-        found, word = words_of(text), self._word
-        return sum([word[w] for w in found]) / max(1, len(found)) + self._offset
+    def logits(self, texts: list[str]) -> np.ndarray:
+        """Of every whole text; each different word of a chunk is worked out once."""
+        sums, counts = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        index: dict[str, int] = {}
+        where, owner, chars = [], [], 0
+
+        def settle() -> None:
+            if where:
+                sums[:] += np.bincount(np.array(owner), self._values(list(index))[np.array(where)], len(texts))
+                index.clear()
+                where.clear()
+                owner.clear()
+
+        for t, text in enumerate(texts):
+            for found in _WORD.finditer(text.lower()) if len(text) > CHUNK else [None]:
+                words = words_of(text) if found is None else [found.group()]
+                counts[t] += len(words)
+                where += [index.setdefault(w, len(index)) for w in words]
+                owner += [t] * len(words)
+                chars += len(text) if found is None else len(words[0])
+                if chars > CHUNK:
+                    settle()
+                    chars = 0
+        settle()
+        return sums / np.maximum(1, counts) + self._offset
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        return sigmoid(self.logits(texts))
 
 
 def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> Model:
@@ -89,9 +106,9 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> Model:
     ``weights`` give the classes their true shares there; classes weigh the same in training.
     """
     if min((labels == 0).sum(), (labels == 1).sum()) < 10:
-        # Too little to learn from: the share of label 1, if there are any labels.
+        # No class can be told from so few: the share of label 1, if there are any labels.
         share = (labels.sum() + 0.5) / (len(labels) + 1) if len(labels) else 0.02
-        return Model(np.zeros((BUCKETS, DIMENSIONS)), np.zeros((DIMENSIONS, 2)), np.array([0.0, np.log(share / (1 - share))]))
+        return Model(np.zeros(0, np.int64), np.zeros((0, DIMENSIONS)), np.zeros((DIMENSIONS, 2)), np.array([0.0, np.log(share / (1 - share))]))
     rest = np.zeros(len(texts), bool)
     for y in (0, 1):
         rest[np.flatnonzero(labels == y)[::5]] = True
@@ -99,7 +116,7 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> Model:
     aside, best = [t for t, r in zip(texts, rest, strict=True) if r], None
     for shrink in SHRINK:
         model = _trained(bag, labels[~rest], shrink)
-        logits = np.array([model.logit(t) for t in aside])
+        logits = model.logits(aside)
         scale, offset = calibrated(logits, labels[rest], weights[rest])
         p = sigmoid(scale * logits + offset)
         loss = -(weights[rest] * np.log(np.where(labels[rest] == 1, p, 1 - p) + 1e-9)).sum()
@@ -107,7 +124,7 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> Model:
             best = loss, model, scale, offset
     _, model, scale, offset = best
     gap = float(model.bias[1] - model.bias[0])
-    return Model(model.embeddings.astype(np.float32), model.weights * scale, np.array([0.0, scale * gap + offset]))
+    return Model(model.rows, model.embeddings.astype(np.float32), model.weights * scale, np.array([0.0, scale * gap + offset]))
 
 
 class Bag:
@@ -121,14 +138,16 @@ class Bag:
         self.word = np.concatenate([p[0] for p in pairs])
         self.share = np.concatenate([p[1] / max(1, len(f)) for p, f in zip(pairs, found, strict=True)])
         self.text = np.repeat(np.arange(len(texts)), [len(p[0]) for p in pairs])
-        grams = [subwords(w) for w in index]
-        counts = np.array([len(g) for g in grams], np.int64)
-        self.gram = np.array([x for g in grams for x in g], np.int64)
-        self.gram_word = np.repeat(np.arange(len(grams)), counts)
+        found = list(subwords(list(index)))
+        words, buckets = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+        by = np.argsort(words, kind="stable")
+        self.gram_word = words[by]
+        self.rows, self.gram = np.unique(buckets[by], return_inverse=True)  # the buckets that occur
+        counts = np.bincount(self.gram_word, minlength=self.words)
         self.gram_share = 1 / counts[self.gram_word]
         # How much each bucket's share varies between texts; scarce buckets, which only tell single texts, count less.
         start = np.searchsorted(self.gram_word, np.arange(self.words + 1))
-        total, square, seen = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(BUCKETS)
+        total, square, seen = (np.zeros(len(self.rows)) for _ in range(3))
         first = np.searchsorted(self.text, np.arange(self.texts + 1))
         for t in range(self.texts):
             entries = slice(first[t], first[t + 1])
@@ -136,13 +155,20 @@ class Bag:
             if not len(n):
                 continue
             ramp = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            value = np.bincount(self.gram[np.repeat(start[self.word[entries]], n) + ramp], np.repeat(self.share[entries] / n, n), BUCKETS)
-            total += value
-            square += value * value
-            seen += value > 0
+            own, place = np.unique(self.gram[np.repeat(start[self.word[entries]], n) + ramp], return_inverse=True)
+            value = np.bincount(place, np.repeat(self.share[entries] / n, n), len(own))
+            total[own] += value
+            square[own] += value * value
+            seen[own] += 1
         self.mean = total / self.texts
         spread = square / self.texts - self.mean**2
-        self.scale = np.where(seen > 1, 1 / np.sqrt(np.maximum(spread, 1e-18)), 0) * np.sqrt(seen / (seen + 0.005 * self.texts))
+        self.scale = 1 / np.sqrt(np.maximum(spread, 1e-18)) * np.sqrt(seen / (seen + 0.005 * self.texts))
+        # Buckets of a single text can't be learned from: they count in the shares, and their embeddings stay zero.
+        usual = seen > 1
+        kept = usual[self.gram]
+        self.gram = (np.cumsum(usual) - 1)[self.gram[kept]]
+        self.gram_word, self.gram_share = self.gram_word[kept], self.gram_share[kept]
+        self.rows, self.mean, self.scale = self.rows[usual], self.mean[usual], self.scale[usual]
 
     def forward(self, bucket: np.ndarray) -> np.ndarray:
         """Logits of the texts for one number for each bucket, taken from the mean text."""
@@ -152,7 +178,7 @@ class Bag:
 
     def backward(self, text: np.ndarray) -> np.ndarray:
         word = np.bincount(self.word, text[self.text] * self.share, self.words)
-        bucket = np.bincount(self.gram, word[self.gram_word] * self.gram_share, BUCKETS)
+        bucket = np.bincount(self.gram, word[self.gram_word] * self.gram_share, len(self.rows))
         return (bucket - self.mean * text.sum()) * self.scale
 
 
@@ -169,7 +195,7 @@ def _trained(bag: Bag, labels: np.ndarray, shrink: float, seed: int = 7) -> Mode
     rate = 4 / bend
     gap = rng.normal(size=DIMENSIONS)
     gap /= np.linalg.norm(gap)
-    rows = ahead = np.zeros((BUCKETS, DIMENSIONS))
+    rows = ahead = np.zeros((len(bag.rows), DIMENSIONS))
     bias, pull = 0.0, None
     for step in range(STEPS):
         logit = bag.forward(ahead @ gap) + bias
@@ -187,7 +213,8 @@ def _trained(bag: Bag, labels: np.ndarray, shrink: float, seed: int = 7) -> Mode
         gap /= np.linalg.norm(gap)
     embeddings = rows * bag.scale[:, None]
     half = np.stack([-gap / 2, gap / 2], 1)
-    return Model(embeddings, half, np.array([0.0, bias - float(bag.mean @ (embeddings @ gap))]))
+    some = np.flatnonzero(embeddings.any(1))
+    return Model(bag.rows[some], embeddings[some], half, np.array([0.0, bias - float(bag.mean @ (embeddings @ gap))]))
 
 
 def scored(docs: DataFrame, model: Model, held_out: Column, threshold: float = 0.3) -> DataFrame:
@@ -195,18 +222,17 @@ def scored(docs: DataFrame, model: Model, held_out: Column, threshold: float = 0
 
     Rows: a null text counts as empty, and an empty one, or one without words, has the score of the bias alone;
     repeated rows and null ids pass through (``held_out`` of a null id is false); an empty table gives no rows; other
-    columns are ignored. The model is one table of a fixed number of buckets, so what is sent to tasks is bounded.
+    columns are ignored. The model has at most a fixed number of buckets, so what is sent to tasks is bounded.
 
     Returns doc_id, held_out, score, predicted.
     """
-    kept = docs.sparkSession.sparkContext.broadcast((model.embeddings, model.weights, model.bias))
-    loaded: list[Model] = []
+    kept = docs.sparkSession.sparkContext.broadcast((model.rows, model.embeddings, model.weights, model.bias))
+    key = zlib.crc32(model.embeddings.tobytes() + model.bias.tobytes())
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not loaded:
-            loaded.append(Model(*kept.value))
+        own = only_one("toxicity", key, lambda: Model(*kept.value))
         for batch in batches:
-            scores = [loaded[0].score(t.as_py() or "") for t in batch.column("text")]
+            scores = own.scores([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64())], ["doc_id", "held_out", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
