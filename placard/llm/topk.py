@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,8 +10,10 @@ from pyspark.sql.window import Window
 
 SHARD_ROWS = 8192
 QUERY_ROWS = 2048
-#: Groups that the terms are taken in.
-_STEPS = 8
+#: Candidates whose postings are kept together, and candidates of the first such block.
+BLOCK_ROWS, FIRST_ROWS = 2048, 256
+#: Terms that are probed between two looks at what is still competitive.
+PROBED = 8
 
 
 def quantized(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
@@ -23,43 +24,107 @@ def quantized(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     return vectors.filter(F.coalesce(whole, F.lit(False))).select(F.col(id_col).alias("id"), terms.alias("terms"))
 
 
-def maxscore(queries: np.ndarray, candidates: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``k`` best candidates of each query by exact integer inner product, ties to the earlier candidate.
-
-    ``own[q]`` is the candidate that query ``q`` itself is, or -1. A term's bound is the most that it can add over
-    all candidates. Terms are taken by falling bound; the first few of them are the essential ones, whose postings
-    all candidates of the block are scored on. After each step a candidate stays only while its score so far plus
-    the bounds of the terms left reaches the query's k-th best sure score; those terms are then probed for
-    the candidates that stay alone. Products of the default scale stay below 2**53, so sums in float64 are exact.
+class Postings:
+    """One block of candidates: for each term their components in rising order, with the rows that have them."""
+
+    def __init__(self, rows: np.ndarray, terms: np.ndarray):
+        self.rows, self.terms = rows, terms
+        self.order = np.argsort(terms, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(terms, self.order, 0).T.copy()  # a row of it is a term's postings
+        self.order = self.order.T.copy()
+        self.lo, self.hi = self.sorted[:, 0], self.sorted[:, -1]
+
+    def competitive(self, query: np.ndarray, base: np.ndarray, bound: np.ndarray, need: float) -> np.ndarray:
+        """The rows whose gains over ``base`` can reach ``need`` in all. ``bound``: the most that each term gains.
+
+        Terms with the least bounds are non-essential while their bounds together stay below ``need``. What they
+        can't give, the others must, so one of these gives at least its bound's share of it: postings of
+        essential terms are traversed from their better end down to that share.
+        """
+        by = np.argsort(bound, kind="stable")
+        sums = np.cumsum(bound[by])
+        first = int(np.searchsorted(sums, need, "left"))  # terms before this one are non-essential
+        essential = by[first:]
+        essential = essential[bound[essential] > 0]
+        if need <= 0 or not len(essential):
+            return np.arange(len(self.rows)) if need <= 0 else np.zeros(0, np.int64)
+        rest = sums[first - 1] if first else 0
+        share = (need - rest) / bound[essential].sum()
+        parts, size = [], 0
+        for t, least in zip(essential.tolist(), np.floor(base[essential] + share * (1 - 1e-9) * bound[essential]).tolist(), strict=True):
+            q = int(query[t])
+            if q > 0:
+                parts.append(self.order[t, np.searchsorted(self.sorted[t], -(-least // q), "left") :])
+            else:
+                parts.append(self.order[t, : np.searchsorted(self.sorted[t], least // q, "right")])
+            size += len(parts[-1])
+            if size >= 4 * len(self.rows):  # what so many postings name is nearly all
+                return np.arange(len(self.rows))
+        met = np.zeros(len(self.rows), bool)
+        met[np.concatenate(parts)] = True
+        return np.flatnonzero(met)
+
+
+class Counts(dict):
+    """How many pairs of query and candidate there were (``pairs``), how many of these were in a block that the query looked at
+    (``blocks``), were named by essential postings (``named``), and were scored on all terms (``whole``)."""
+
+    def add(self, name: str, n: int) -> None:
+        self[name] = self.get(name, 0) + int(n)
+
+
+def maxscore(queries: np.ndarray, candidates: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, k: int, counts: Counts | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` best candidates (places; -1 if there are fewer) of each query by exact integer inner product, and their
+    scores; ties go to the smaller id, then to the earlier place. A candidate of the query's own id is passed over.
+
+    Candidates are taken in blocks by falling norm. A query's threshold is its k-th best score so far. A block whose
+    bounds (of each term, or of the norms) stay below it is passed over, and in the others only rows that its
+    essential postings name are looked at: they are probed term by term, by falling bound, and stay while their score so
+    far plus the bounds of the terms left reaches the threshold. Sums are of integers throughout.
     """
-    nq, nc = len(queries), len(candidates)
-    hi, lo = candidates.max(0), candidates.min(0)
-    best_rows, best_scores = np.full((nq, k), -1), np.zeros((nq, k), np.int64)
-    weight = np.abs(queries).sum(0) * (hi - lo)
-    order = np.argsort(-weight, kind="stable")
-    steps = np.array_split(order, min(_STEPS, len(order)))
-    split = max(1, len(steps) * 5 // 8)
-    essential = np.concatenate(steps[:split])
-    scores = queries[:, essential].astype(np.float64) @ candidates[:, essential].astype(np.float64).T
-    rest = steps[split:]
-    for q in range(nq):
-        row = scores[q]
-        keep = np.arange(nc)
-        if own[q] >= 0:
-            keep = np.delete(keep, own[q])
-        value = row[keep]
-        for j, terms in enumerate(rest):
-            left = np.concatenate(rest[j:])
-            most = np.maximum(queries[q, left] * hi[left], queries[q, left] * lo[left]).sum()
-            least = np.minimum(queries[q, left] * hi[left], queries[q, left] * lo[left]).sum()
-            if len(value) > k:
-                sure = np.partition(value, len(value) - k)[len(value) - k] + least
-                stays = value + most >= sure
-                keep, value = keep[stays], value[stays]
-            value = value + candidates[keep][:, terms].astype(np.float64) @ queries[q, terms].astype(np.float64)
-        top = np.lexsort((keep, -value))[:k]
-        best_rows[q, : len(top)], best_scores[q, : len(top)] = keep[top], value[top].astype(np.int64)
-    return best_rows, best_scores
+    counts = Counts() if counts is None else counts
+    best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in queries]
+    queries, candidates = queries.astype(np.int64), candidates.astype(np.int64)
+    norms = np.sqrt((candidates.astype(np.float64) ** 2).sum(1))
+    order = np.argsort(-norms, kind="stable")
+    query_norms = np.sqrt((queries.astype(np.float64) ** 2).sum(1)) * (1 + 1e-9)
+    cuts = [0, *range(FIRST_ROWS, len(order), BLOCK_ROWS), len(order)] if len(order) else [0]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        block = Postings(order[a:b], candidates[order[a:b]])
+        longest = norms[order[a]] * (1 + 1e-9)
+        low, high = queries * block.lo, queries * block.hi
+        base, bound = np.minimum(low, high), np.abs(high - low)
+        bases, most = base.sum(1), np.maximum(low, high).sum(1)
+        counts.add("pairs", len(queries) * (b - a))
+        for q in range(len(queries)):
+            places, scores = best[q]
+            least = scores[-1] if len(scores) >= k else None
+            if least is not None and (most[q] < least or query_norms[q] * longest < least):
+                continue
+            counts.add("blocks", b - a)
+            at = np.arange(b - a) if least is None else block.competitive(queries[q], base[q], bound[q], least - bases[q])
+            counts.add("named", len(at))
+            if least is None:
+                value = block.terms @ queries[q]
+            else:
+                by = np.argsort(-bound[q], kind="stable")
+                left = most[q] - np.cumsum(np.maximum(low[q], high[q])[by])  # what the terms after each one can add
+                value = np.zeros(len(at), np.int64)
+                for j in range(0, len(by), PROBED):
+                    terms = by[j : j + PROBED]
+                    value = value + block.terms[at[:, None], terms] @ queries[q, terms]
+                    stays = value + left[min(j + PROBED, len(by)) - 1] >= least
+                    if not stays.all():
+                        at, value = at[stays], value[stays]
+            counts.add("whole", len(at))
+            own = ids[block.rows[at]] != query_ids[q]
+            places, scores = np.concatenate([places, block.rows[at][own]]), np.concatenate([scores, value[own]])
+            top = np.lexsort((places, ids[places], -scores))[:k]
+            best[q] = places[top], scores[top]
+    out, totals = np.full((len(queries), k), -1), np.zeros((len(queries), k), np.int64)
+    for q, (places, scores) in enumerate(best):
+        out[q, : len(places)], totals[q, : len(scores)] = places, scores
+    return out, totals
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 5, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
@@ -92,27 +157,11 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, shard_rows: int = SHARD_ROWS
     def pair(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        right = right.sort_values("id", kind="stable")
         width = max(map(len, [*left.terms, *right.terms]), default=0)
-        q, c = _matrix(left.terms, width), _matrix(right.terms, width)
-        ids, qids = right.id.to_numpy(), left.id.to_numpy()
-        at = np.searchsorted(ids, qids)
-        twice = np.searchsorted(ids, qids, "right") - at
-        parts = []
-        for own_count in np.unique(twice):
-            rows = np.flatnonzero(twice == own_count)
-            if own_count <= 1:
-                own = np.where(twice[rows] == 1, at[rows], -1)
-                parts.append((rows, *maxscore(q[rows], c, own, k)))
-            else:  # repeated ids: each such query goes against the candidates without its own id
-                for r in rows:
-                    others = np.flatnonzero(ids != qids[r])
-                    found, scores = maxscore(q[r : r + 1], c[others], np.array([-1]), k) if len(others) else (np.full((1, k), -1), np.zeros((1, k), np.int64))
-                    parts.append((np.array([r]), np.where(found >= 0, others[found] if len(others) else -1, -1), scores))
-        rows = np.concatenate([np.repeat(p[0], k) for p in parts])
-        found, scores = (np.concatenate([p[i].ravel() for p in parts]) for i in (1, 2))
-        real = found >= 0
-        return pd.DataFrame({"query_id": qids[rows[real]], "vec_id": ids[found[real]], "score": scores[real]})
+        ids, query_ids = right.id.to_numpy(), left.id.to_numpy()
+        found, scores = maxscore(_matrix(left.terms, width), _matrix(right.terms, width), query_ids, ids, k)
+        at, _ = np.nonzero(found >= 0)
+        return pd.DataFrame({"query_id": query_ids[at], "vec_id": ids[found[found >= 0]], "score": scores[found >= 0]})
 
     partial = (
         queries.groupBy("shard", "qblock")
@@ -130,5 +179,3 @@ def _matrix(rows, width: int) -> np.ndarray:
     for i, r in enumerate(rows):
         out[i, : len(r)] = r
     return out
-
-
