@@ -15,10 +15,10 @@ from pyspark.sql.window import Window
 from placard.llm.common import blocks, mixed, shingle_hashes, words
 from placard.session import shuffle_partitions, written
 
-#: 64-bit lanes summed modulo 2**64 (equality), and 16-bit lanes summed modulo 2**16 (likeness).
+#: 64-bit lanes summed modulo 2**64 (equality), and 32-bit lanes summed modulo 2**32 (likeness).
 EXACT, LANES = 8, 256
 #: Bytes of a fingerprint.
-WIDTH = EXACT * 8 + LANES * 2
+WIDTH = EXACT * 8 + LANES * 4
 #: Words in the shingles that the likeness lanes count.
 SHINGLE = 2
 
@@ -39,7 +39,7 @@ def paragraph_sums(documents: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray
     counts = np.array([len(d) for d in documents], np.int64)
     flat = [p for d in documents for p in d]
     if not flat:
-        return exact, like.astype(np.uint16)
+        return exact, like.astype(np.uint32)
     digests = np.frombuffer(b"".join([hashlib.blake2b(p).digest() for p in flat]), np.uint64).reshape(-1, EXACT)
     owner = np.repeat(np.arange(n), counts)
     some = np.flatnonzero(counts)
@@ -54,7 +54,7 @@ def paragraph_sums(documents: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray
             sign = (mixed(shingles) >> np.uint64(63)).astype(np.float64) * 2 - 1
             size = owner[b - 1] - owner[a] + 1
             like[owner[a] : owner[b - 1] + 1] += np.bincount(lane, sign, size * LANES).astype(np.int64).reshape(size, LANES)
-    return exact, like.astype(np.uint16)
+    return exact, like.astype(np.uint32)
 
 
 class Fingerprint:
@@ -62,7 +62,7 @@ class Fingerprint:
 
     def __init__(self, exact: np.ndarray | None = None, like: np.ndarray | None = None):
         self.exact = np.zeros(EXACT, np.uint64) if exact is None else exact
-        self.like = np.zeros(LANES, np.uint16) if like is None else like
+        self.like = np.zeros(LANES, np.uint32) if like is None else like
 
     @classmethod
     def of(cls, paragraphs: Iterable[str]) -> Fingerprint:
@@ -86,7 +86,7 @@ class Fingerprint:
 def likeness(exact_a: np.ndarray, like_a: np.ndarray, exact_b: np.ndarray, like_b: np.ndarray) -> np.ndarray:
     """Row by row 2<a,b> / (<a,a> + <b,b>) of the likeness lanes within 0 to 1, which estimates the same figure of
     the counts of word pairs; 1 exactly for equal fingerprints and below 1 for others."""
-    a, b = like_a.view(np.int16).astype(np.float64), like_b.view(np.int16).astype(np.float64)
+    a, b = like_a.view(np.int32).astype(np.float64), like_b.view(np.int32).astype(np.float64)
     total = (a * a).sum(1) + (b * b).sum(1)
     value = np.clip(2 * (a * b).sum(1) / np.maximum(total, 1), 0, np.nextafter(1, 0))
     same = (exact_a == exact_b).all(1) & (like_a == like_b).all(1)
@@ -107,12 +107,11 @@ def _compared(texts: list[str], following: list[str], own: tuple, then: tuple) -
     edits = [_edit(a, b) for a, b in zip(texts, following, strict=True)]
     minus, plus = paragraph_sums([e[1] for e in edits]), paragraph_sums([e[2] for e in edits])
     edited = own[0] - minus[0] + plus[0], own[1] - minus[1] + plus[1]
-    packed = lambda lanes: [e.tobytes() + x.tobytes() for e, x in zip(*lanes, strict=True)]
     return [
         [len(t) for t in texts],
         [hashlib.sha256(e[0].encode("utf-8")).hexdigest() for e in edits],
-        packed(own),
-        packed(edited),
+        _packed(own),
+        _packed(edited),
         likeness(*own, *edited).tolist(),
         likeness(*own, *then).tolist(),
     ]
@@ -123,6 +122,18 @@ _TYPES = [pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.fl
 _SCHEMA = "n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
+_EDGE, _EDGE_TYPES = ["part", "first_text", "first_lanes", "last_text"], [pa.int32(), pa.string(), pa.binary(), pa.string()]
+
+
+def _packed(lanes: tuple[np.ndarray, np.ndarray]) -> list[bytes]:
+    return [e.tobytes() + x.tobytes() for e, x in zip(*lanes, strict=True)]
+
+
+def _unpacked(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    flat = np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), WIDTH)
+    return flat[:, : EXACT * 8].copy().view(np.uint64), flat[:, EXACT * 8 :].copy().view(np.uint32)
+
+
 def _lanes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return paragraph_sums([split_bytes(t.encode("utf-8")) for t in texts])
 
@@ -136,14 +147,16 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     last row of a partition meets the first of the next one through one edge row for each partition.
 
     Rows: a null text counts as empty, whose fingerprint is all zero; null ids come last; rows of one id are ordered
-    by text; repeated rows follow each other; a single row follows itself; an empty table gives no rows; other columns
-    are ignored. Texts whose lines are the same in another order, or that differ in empty lines alone, have
+    by ``xxhash64`` of the text (null counts as empty), so that many of them can be dealt to several tasks; repeated rows follow each
+    other; a single row follows itself; an empty table gives no rows; other columns are ignored. Texts whose lines are the same in another order, or that differ in empty lines alone, have
     equal fingerprints.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint (hex), near_edited, near_next.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    none = lambda n: [pa.nulls(n, t) for t in _EDGE_TYPES]
+
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, first, held = TaskContext.get().partitionId(), None, None
         for batch in batches:
@@ -154,37 +167,37 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
                 if held is not None:
                     texts, ids = [held[1], *texts], pa.concat_arrays([held[0], ids])
                     lanes = tuple(np.concatenate([h, x]) for h, x in zip(held[2], lanes, strict=True))
-                elif first is None:
-                    first = texts[0]
+                elif first is None and texts:
+                    first = texts[0], _packed(tuple(x[:1] for x in lanes))[0]
+                if not texts:
+                    continue
                 held = ids.slice(len(ids) - 1), texts[-1], tuple(x[-1:] for x in lanes)
                 if len(texts) > 1:
                     out = _compared(texts[:-1], texts[1:], tuple(x[:-1] for x in lanes), tuple(x[1:] for x in lanes))
                     n = len(texts) - 1
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.slice(0, n), *(pa.array(c, t) for c, t in zip(out, _TYPES, strict=True)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.string())],
-                        ["doc_id", *_NAMES, "part", "first_text", "last_text"],
-                    )
+                    yield pa.RecordBatch.from_arrays([ids.slice(0, n), *(pa.array(c, t) for c, t in zip(out, _TYPES, strict=True)), *none(n)], ["doc_id", *_NAMES, *_EDGE])
         if held is not None:
-            yield pa.RecordBatch.from_arrays(
-                [held[0], *(pa.nulls(1, t) for t in _TYPES), pa.array([part], pa.int32()), pa.array([first]), pa.array([held[1]])],
-                ["doc_id", *_NAMES, "part", "first_text", "last_text"],
-            )
+            edge = [part, *first, held[1]]
+            yield pa.RecordBatch.from_arrays([held[0], *(pa.nulls(1, t) for t in _TYPES), *(pa.array([v], t) for v, t in zip(edge, _EDGE_TYPES, strict=True))], ["doc_id", *_NAMES, *_EDGE])
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, then = batch.column("last_text").to_pylist(), batch.column("next_text").to_pylist()
-            out = _compared(texts, then, _lanes(texts), _lanes(then))
+            out = _compared(texts, then, _lanes(texts), _unpacked(batch.column("next_lanes").to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(out, _TYPES, strict=True))], ["doc_id", *_NAMES])
 
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first()]
-    ranged = docs.select("doc_id", "text").repartitionByRange(shuffle_partitions(docs.sparkSession), F.col("doc_id").desc_nulls_last())
-    done = written(
-        ranged.sortWithinPartitions(*order).mapInArrow(stream, f"doc_id {kind}, {_SCHEMA}, part int, first_text string, last_text string"), "fingerprint"
-    )
-    edges = done.filter("part IS NOT NULL").select("doc_id", "part", "first_text", "last_text")
-    by_part = Window.orderBy("part")  # one row for each partition
-    whole = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    edges = edges.select("doc_id", "last_text", F.coalesce(F.lead("first_text").over(by_part), F.first("first_text").over(whole)).alias("next_text"))
-    closed = edges.mapInArrow(close, f"doc_id {kind}, {_SCHEMA}")
+    order = [F.col("doc_id").desc_nulls_last(), F.col("digest"), F.col("salt")]
+    digest = F.xxhash64(F.coalesce("text", F.lit("")))
+    salted = docs.select("doc_id", "text", digest.alias("digest"), F.monotonically_increasing_id().alias("salt"))  # equal rows may be many
+    ranged = salted.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order).select("doc_id", "text")
+    done = written(ranged.mapInArrow(stream, f"doc_id {kind}, {_SCHEMA}, part int, first_text string, first_lanes binary, last_text string"), "fingerprint")
+    edges = done.filter("part IS NOT NULL").select("doc_id", *_EDGE)
+    every = Window.orderBy("part")  # one number for each partition, without texts
+    whole = every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = edges.select("part", F.coalesce(F.lead("part").over(every), F.first("part").over(whole)).alias("then"))
+    firsts = edges.select(F.col("part").alias("then"), F.col("first_text").alias("next_text"), F.col("first_lanes").alias("next_lanes"))
+    needed = F.expr("substring(next_text, 1, length(last_text) DIV 3)").alias("next_text")
+    pairs = edges.select("doc_id", "part", "last_text").join(after, "part").join(firsts, "then").select("doc_id", "last_text", needed, "next_lanes")
+    closed = pairs.mapInArrow(close, f"doc_id {kind}, {_SCHEMA}")
     rows = done.filter("part IS NULL").select("doc_id", *_NAMES).unionByName(closed)
     return rows.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
