@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from placard.llm.bpe import Cached, ranks_of, splitter
+from placard.llm.common import only_one
 from placard.session import written
 
 MAX_LENGTH = 2048
 #: Pieces that a worker keeps; encoding one anew costs little.
 CACHED = 50_000
-_encoders: dict[tuple[str, str, bool], PieceEncoder] = {}
 
 
 def added_ids(path: str) -> dict[str, int]:
@@ -37,44 +37,36 @@ def added_ids(path: str) -> dict[str, int]:
 class PieceEncoder:
     """Packed ids of texts by the vocabulary of a byte-level tokenizer file.
 
-    ``added``: the file's added tokens are found in the text first, the longest where several begin, and have their
-    own ids, as the tokenizers library does by default; else they are ordinary text (its ``encode_special_tokens``).
+    As the tokenizers library does by default, the file's added tokens are found in the text first, the longest where
+    several begin, and have their own ids.
     """
 
-    def __init__(self, path: str, pattern: str, added: bool = False):
+    def __init__(self, path: str, pattern: str):
         self.pieces = splitter(pattern)
         encoding = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks_of(path), special_tokens={})
         self._packed = Cached(lambda piece: np.array(encoding.encode_ordinary(piece), "<u4").tobytes(), limit=CACHED)
-        self._added = {token: np.array([i], "<u4").tobytes() for token, i in (added_ids(path) if added else {}).items()}
-        longest_first = sorted(self._added, key=len, reverse=True)
-        self._split = re.compile(f"({'|'.join(map(re.escape, longest_first))})").split if self._added else None
+        self._added = {token: np.array([i], "<u4").tobytes() for token, i in added_ids(path).items()}
+        self._split = re.compile(f"({'|'.join(map(re.escape, sorted(self._added, key=len, reverse=True)))})").split
 
     def packed(self, text: str) -> bytes:
         known = self._packed
-        if self._split is None:
+        if not any(token in text for token in self._added):
             return b"".join([known[p] for p in self.pieces(text)])
         parts = self._split(text)  # every second one is an added token
         return b"".join([self._added[part] if i % 2 else b"".join([known[p] for p in self.pieces(part)]) for i, part in enumerate(parts)])
 
 
-def encoder(path: str, pattern: str, added: bool = False) -> PieceEncoder:
-    """The worker's encoder for a vocabulary file, built once."""
-    if (path, pattern, added) not in _encoders:
-        _encoders[path, pattern, added] = PieceEncoder(path, pattern, added)
-    return _encoders[path, pattern, added]
-
-
 def piece_lengths(tokens: int, longest: int = MAX_LENGTH) -> list[int]:
     """``tokens`` as whole pieces of ``longest``, then the set bits of the rest, long to short."""
     whole, rest = divmod(tokens, longest)
     return [longest] * whole + [1 << b for b in range(longest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def packed_pieces(docs: DataFrame, vocabulary: str, pattern: str, end_id: int = 1, longest: int = MAX_LENGTH, with_ids: bool = True, added: bool = False) -> DataFrame:
+def packed_pieces(docs: DataFrame, vocabulary: str, pattern: str, end_id: int = 1, longest: int = MAX_LENGTH, with_ids: bool = True) -> DataFrame:
     """Cuts every document into pieces of power-of-two length, and numbers them as sequences, equal lengths together.
 
-    A document is the ids of its text (``added``: with the file's added tokens as such), then ``end_id``. It is cut into pieces of ``longest`` (a power of two) and
-    the binary digits of what is left, so a piece is a whole sequence: none crosses documents, none is padded.
+    A document is the ids of its text, then ``end_id``. It is cut into pieces of ``longest`` (a power of two) and the
+    binary digits of what is left, so a piece is a whole sequence: none crosses documents, none is padded.
     Sequences are numbered from 0: all of the greatest length first, then the next, so a batch of equal lengths is
     a range of numbers. Tasks number their own pieces by length; prefix sums over the counts of each task and
     length (12 rows for a task) make the numbers global.
@@ -88,7 +80,7 @@ def packed_pieces(docs: DataFrame, vocabulary: str, pattern: str, end_id: int =
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, part, seen = encoder(vocabulary, pattern, added), TaskContext.get().partitionId(), {}
+        tokens, part, seen = only_one("packing", (vocabulary, pattern), lambda: PieceEncoder(vocabulary, pattern)), TaskContext.get().partitionId(), {}
         for batch in batches:
             rows, starts, lengths, crcs, totals, numbers, ids = [], [], [], [], [], [], []
             for r, text in enumerate(batch.column("text")):

@@ -10,8 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from placard.llm.bpe import Backtracker, Cached, ranks_of, splitter
-
-_codecs: dict[tuple[str, str], Codec] = {}
+from placard.llm.common import only_one
 
 
 class Codec:
@@ -51,13 +50,6 @@ class Codec:
         return self._bytes[source].tobytes()
 
 
-def codec(path: str, pattern: str) -> Codec:
-    """The worker's codec for a vocabulary file, built once."""
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(path, pattern)
-    return _codecs[path, pattern]
-
-
 def tokenized(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool = True) -> DataFrame:
     """Encodes every whole text of ``docs(doc_id, text)`` and decodes the ids again, in one pass without a shuffle.
 
@@ -70,7 +62,7 @@ def tokenized(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool = T
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(vocabulary, pattern)
+        c = only_one("bpe", (vocabulary, pattern), lambda: Codec(vocabulary, pattern))
         for batch in batches:
             counts, ids_sha, decoded_sha, all_ids = [], [], [], []
             for text in batch.column("text"):
