@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -14,17 +14,18 @@ from placard.llm.common import blocks, mixed, shingle_hashes, text_bytes, words
 from placard.llm.components import components
 from placard.session import shuffle_partitions, written
 
-#: A shingle that so many documents hold comes last in the order that prefixes are taken in; so many are kept.
-HOT_DOCUMENTS, HOT_SHINGLES = 50, 200_000
-#: Shingles that a task counts at a time.
-COUNTED = 1 << 21
+#: Counters that tell frequent shingles from rare ones, and how many of them one row carries.
+COUNTER_BITS, COUNTER_ROW = 18, 4096
+COUNTERS = 1 << COUNTER_BITS
+#: Prefix entries of a counter from which on its runs are dealt to several tasks.
+WIDE_ROWS = 4096
 #: Documents, and shingles, in a block of a run.
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 21
-#: Ids that are broadcast at most; more are joined by a shuffle.
+#: Rows of ids or runs that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 250_000
 FANOUT = 8
-#: Bits of a signature at most.
-MOST_BITS = 1 << 16
+#: Bits of all bitmaps of a tree's level, and words that are compared at a time.
+LEVEL_BITS, COMPARED_WORDS = 1 << 24, 1 << 18
 
 
 @dataclass(frozen=True)
@@ -34,6 +35,12 @@ class Rule:
     words: int = 5
     num: int = 80
     den: int = 100
+    #: Digests that different sets have: these sets go by their second digest.
+    shared: frozenset[int] = frozenset()
+
+    def id_of(self, s: np.ndarray) -> int:
+        own = set_id(s)
+        return set_id(s, 1) if own in self.shared else own
 
     def prefix(self, n: np.ndarray) -> np.ndarray:
         """Of so many first shingles in a common order, a set shares one at least with every set it links with."""
@@ -61,51 +68,98 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
             yield r, np.unique(shingles[at[r - a] : at[r - a + 1]])
 
 
-def set_id(s: np.ndarray) -> int:
-    """A 64-bit digest of a set, as a signed number."""
-    return int(mixed(np.array([mixed(s ^ np.uint64(0x6A09E667F3BCC909)).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
+def set_id(s: np.ndarray, word: int = 0) -> int:
+    """A 64-bit digest of a set, as a signed number; ``word``: which one of its digests."""
+    seed = np.uint64(0xBB67AE8584CAA73B if word else 0x6A09E667F3BCC909)
+    return int(mixed(np.array([mixed(s ^ seed).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
-# The tree
+def counter_of(s: np.ndarray) -> np.ndarray:
+    return ((s >> np.uint64(20)) & np.uint64(COUNTERS - 1)).astype(np.int64)
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    """Bitmap of a set with two to four bits for each shingle, in 64-bit words; at most ``MOST_BITS`` bits."""
-    bits = 1 << int(np.clip(int(2 * len(s) - 1).bit_length(), 8, MOST_BITS.bit_length() - 1))
-    flags = np.zeros(bits, bool)
-    flags[((s >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64)] = True
-    return np.packbits(flags, bitorder="little").view(np.uint64)
+# The tree
 
 
-def folded(sig: np.ndarray, length: int) -> np.ndarray:
-    """The bitmap that fewer bits would have given."""
-    return np.bitwise_or.reduce(sig.reshape(-1, length), axis=0)
+def signature(s: np.ndarray) -> np.ndarray:
+    """The upper 32 bits of each shingle hash of a sorted set, once each: the bits that it has in bitmaps of any width."""
+    upper = (s >> np.uint64(32)).astype(np.uint32)
+    new = np.ones(len(upper), bool)
+    new[1:] = upper[1:] != upper[:-1]
+    return upper[new]
+
+
+def likeness_keys(sigs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers for each set that sets alike mostly share: its lowest and highest place among those that some but
+    not very many of the sets have."""
+    flat = np.concatenate(sigs)
+    _, place, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    often = counts[place]
+    told = (often > 1) & (often <= max(2 * FANOUT, len(sigs) // 8))
+    starts = np.cumsum([0, *map(len, sigs[:-1])])
+    low = np.minimum.reduceat(np.where(told, flat, np.uint32(0xFFFFFFFF)), starts)
+    high = np.maximum.reduceat(np.where(told, flat, np.uint32(0)), starts)
+    return np.where(low == 0xFFFFFFFF, flat[starts], low), high
 
 
 class SignatureTree:
-    """Bitmaps and size ranges of sets, combined upward: a node has the OR of its children's bitmaps, the range of
-    their sizes and the most shingles that share a bit with another one of their set."""
+    """Sets ordered by likeness, and above them nodes of ``FANOUT`` children each. A node has the OR of its sets'
+    bitmaps, the range of their sizes and the most shingles that share a bit with another one of their set.
 
-    def __init__(self, sigs: np.ndarray, sizes: np.ndarray, leads: np.ndarray):
-        self.order = np.lexsort((sizes, leads))  # sets alike often share their least shingle, so they become neighbours
-        sig, n = sigs[self.order], sizes[self.order]
-        self.levels = [(sig, n, n, n - np.bitwise_count(sig).sum(1, dtype=np.int64))]
-        while len(self.levels[-1][0]) > FANOUT:
-            sig, lo, hi, excess = self.levels[-1]
-            cut = np.arange(0, len(sig), FANOUT)
-            self.levels.append((np.bitwise_or.reduceat(sig, cut), np.minimum.reduceat(lo, cut), np.maximum.reduceat(hi, cut), np.maximum.reduceat(excess, cut)))
+    Bitmaps are wider on higher levels, where a node holds the shingles of more sets, so that nodes of unlike sets
+    have few bits in common. ``unit``: the size that widths are made for; trees of one unit can meet.
+    """
 
+    def __init__(self, sigs: list[np.ndarray], sizes: np.ndarray, unit: int):
+        low, high = likeness_keys(sigs)
+        self.order = np.lexsort((sizes, high, low))
+        sigs, n = [sigs[o] for o in self.order], sizes[self.order]
+        self.levels = []
+        lo = hi = n
+        lengths = np.array([len(x) for x in sigs])
+        flat, owner, h = np.concatenate(sigs), np.repeat(np.arange(len(sigs)), lengths), 0
+        while True:
+            bits = level_bits(unit, h)
+            sig = _bitmaps(flat, owner // FANOUT**h, len(lo), bits)
+            if not h:  # a set's size less its bits; wider bitmaps hide less
+                excess = n - np.bitwise_count(sig).sum(1, dtype=np.int64)
+            self.levels.append((sig, lo, hi, excess))
+            if len(lo) <= FANOUT:
+                return
+            cut = np.arange(0, len(lo), FANOUT)
+            lo, hi, excess, h = np.minimum.reduceat(lo, cut), np.maximum.reduceat(hi, cut), np.maximum.reduceat(excess, cut), h + 1
+
+
+def level_bits(unit: int, h: int) -> int:
+    """Width of a level's bitmaps: bits in common by chance grow with the square of what two nodes hold."""
+    nodes = max(1, 2 * BLOCK_ROWS // FANOUT**h)
+    return 1 << (min(4 * unit * FANOUT ** (2 * h), max(4 * unit, LEVEL_BITS // nodes)) - 1).bit_length()
+
+
+def _bitmaps(places: np.ndarray, owner: np.ndarray, rows: int, bits: int) -> np.ndarray:
+    """Bitmaps of ``bits`` bits, as 64-bit words; ``owner`` is sorted and tells the row of each place."""
+    out = np.zeros((rows, bits // 64), np.uint64)
+    step = max(1, (1 << 22) // bits)
+    for a in range(0, rows, step):
+        b = min(rows, a + step)
+        i, j = np.searchsorted(owner, [a, b])
+        flags = np.zeros((b - a) * bits, bool)
+        flags[(owner[i:j] - a) * bits + (places[i:j] & np.uint32(bits - 1))] = True
+        out[a:b] = np.packbits(flags, bitorder="little").view(np.uint64).reshape(b - a, -1)
+    return out
 
-def dual_traversal(x: SignatureTree, y: SignatureTree, rule: Rule, within: bool, chunk: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+
+def dual_traversal(x: SignatureTree, y: SignatureTree, rule: Rule, within: bool, compared: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of sets (positions in the trees' input) that no pair of nodes above them rules out.
 
     Sets below two nodes share at most the common bits of the nodes plus the shingles that hide behind a shared
     bit; where that is too little for the smallest sizes below, or the size ranges are too far apart, none of the pairs
-    below is looked at. ``within``: x and y are one tree, and each pair comes once.
+    below is looked at. ``within``: x and y are one tree, and each pair comes once. ``compared`` gets a level's height, its
+    pairs of nodes looked at, and those kept.
     """
-    height = max(len(x.levels), len(y.levels))
+    top = max(len(x.levels), len(y.levels)) - 1
+    # The lower tree waits at its top, whose bitmaps are narrower: it is compared from where both have a level.
     level = lambda t, h: t.levels[min(h, len(t.levels) - 1)]
-    top = height - 1
     i, j = (g.ravel() for g in np.meshgrid(np.arange(len(level(x, top)[0])), np.arange(len(level(y, top)[0])), indexing="ij"))
     for h in range(top, -1, -1):
         if h < top:
@@ -115,15 +169,21 @@ def dual_traversal(x: SignatureTree, y: SignatureTree, rule: Rule, within: bool,
         if within:
             keep = i < j if h == 0 else i <= j
             i, j = i[keep], j[keep]
+        met = len(i)
         (sx, lx, hx, ex), (sy, ly, hy, ey) = level(x, h), level(y, h)
         keep = (hx[i] * rule.den >= ly[j] * rule.num) & (hy[j] * rule.den >= lx[i] * rule.num)
         i, j = i[keep], j[keep]
-        keep = np.zeros(len(i), bool)
-        for a in range(0, len(i), chunk):
-            p, q = i[a : a + chunk], j[a : a + chunk]
-            most = np.bitwise_count(sx[p] & sy[q]).sum(1, dtype=np.int64) + np.minimum(ex[p], ey[q])
-            keep[a : a + chunk] = rule.links(most, lx[p] + ly[q])
-        i, j = i[keep], j[keep]
+        if sx.shape[1] == sy.shape[1]:
+            keep, chunk = np.zeros(len(i), bool), max(1, COMPARED_WORDS // sx.shape[1])
+            for a in range(0, len(i), chunk):
+                p, q = i[a : a + chunk], j[a : a + chunk]
+                most = np.bitwise_count(sx[p] & sy[q]).sum(1, dtype=np.int64) + np.minimum(ex[p], ey[q])
+                keep[a : a + chunk] = rule.links(most, lx[p] + ly[q])
+            if within:
+                keep |= i == j  # a node always meets itself
+            i, j = i[keep], j[keep]
+        if compared is not None:
+            compared.append((h, met, len(i)))
     return x.order[i], y.order[j]
 
 
@@ -137,28 +197,32 @@ def _children(t: SignatureTree, nodes: np.ndarray, h: int) -> tuple[np.ndarray,
     return all_[all_ < size], source[all_ < size]
 
 
-def candidates(sigs: list[np.ndarray], sizes: np.ndarray, leads: np.ndarray, left: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+def candidates(sigs: list[np.ndarray], sizes: np.ndarray, left: np.ndarray, rule: Rule, compared: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (positions) that the trees can't rule out.
 
-    ``left``: if it isn't the same for all, only pairs of a left and another row are looked at. Sets are put into
-    trees by the length of their bitmaps; neighbouring lengths meet at the smaller one (sizes further apart never link).
+    ``left``: if it isn't the same for all, only pairs of a left and another row are looked at. Trees are made for the
+    sets of each power of two in size, and neighbouring ones meet (sizes further apart never link at 0.5 or more).
     """
-    lengths = np.array([len(s) for s in sigs])
+    units = 1 << np.ceil(np.log2(np.maximum(sizes, 16))).astype(np.int64)
     both = left.all() or not left.any()
     found_i, found_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for size in np.unique(lengths):
-        here, next_ = (np.flatnonzero(lengths == x) for x in (size, 2 * size))
-
-        def tree(rows: np.ndarray, size=size) -> SignatureTree:
-            return SignatureTree(np.stack([sigs[r] if len(sigs[r]) == size else folded(sigs[r], size) for r in rows]), sizes[rows], leads[rows])
-
-        for a, b, within in ((here, here, True), (here, next_, False)):
-            sides = [(a, b)] if both else [(a[left[a]], b[~left[b]])] + [(a[~left[a]], b[left[b]])] * (not within)
+    steps = 2 if 2 * rule.num >= rule.den else 64
+    known = np.unique(units).tolist()
+    for unit in known:
+        made: dict[bytes, SignatureTree] = {}
+
+        def tree(rows: np.ndarray, unit=unit, made=made) -> SignatureTree:
+            if (key := rows.tobytes()) not in made:
+                made[key] = SignatureTree([sigs[r] for r in rows], sizes[rows], unit)
+            return made[key]
+
+        for other in [u for u in known if unit <= u < unit << steps]:
+            here, there = np.flatnonzero(units == unit), np.flatnonzero(units == other)
+            within = unit == other
+            sides = [(here, there)] if both else [(here[left[here]], there[~left[there]])] + [(here[~left[here]], there[left[there]])] * (not within)
             for p, q in sides:
-                if len(p) and len(q):
-                    same = within and both
-                    x = tree(p)
-                    i, j = dual_traversal(x, x if same else tree(q), rule, within=same)
+                if len(p) and len(q) and not (both and within and len(p) < 2):
+                    i, j = dual_traversal(tree(p), tree(q), rule, both and within, compared)
                     found_i.append(p[i])
                     found_j.append(q[j])
     return np.concatenate(found_i), np.concatenate(found_j)
@@ -196,84 +260,104 @@ def forest(sets: list[np.ndarray], groups: np.ndarray, i: np.ndarray, j: np.ndar
 # The job
 
 
-def _hot(docs: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that many documents hold, sorted, and their places in the order from rare to frequent.
+def _counters(docs: DataFrame, rule: Rule) -> np.ndarray:
+    """How many texts hold a shingle of each counter; every shingle of every text counts in its counter.
 
-    Every text is counted. A task reports the shingles that it has met in two texts, so this finds what is
-    frequent; which shingles are found bears on speed alone, as any order gives the same links.
+    Equal texts of one task count once. A task sends ``COUNTERS`` sums, and so does the job to the driver: the size does
+    not grow with the data. Shingles in many texts stand out of their counter's other ones; which
+    shingles count as frequent bears on speed alone, as any order gives the same links.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, seen = [], 0, set()
-
-        def flush() -> pa.RecordBatch:
-            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-            again = counts > 1
-            return pa.RecordBatch.from_arrays([pa.array(tokens[again].view(np.int64)), pa.array(counts[again])], ["token", "n"])
+    def rows(totals: dict[int, np.ndarray] | np.ndarray) -> pa.RecordBatch:
+        found = [(c, x) for c, x in (totals.items() if isinstance(totals, dict) else enumerate(totals.reshape(-1, COUNTER_ROW))) if x.any()]
+        return pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int32()), pa.array([x.astype(np.int64).tobytes() for _, x in found], pa.binary())], ["row", "sums"])
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals, seen = np.zeros(COUNTERS, np.int64), set()
         for batch in batches:
             for _, s in shingle_sets(batch.column("text"), rule.words):
                 key = set_id(s)
                 if len(s) and key not in seen:
                     seen.add(key)
-                    held.append(s)
-                    size += len(s)
-                if size >= COUNTED:
-                    yield flush()
-                    held, size = [], 0
-        if held:
-            yield flush()
+                    np.add.at(totals, counter_of(s), 1)
+        yield rows(totals)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for c, sums in zip(batch.column("row").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+                totals[c] = totals.get(c, 0) + np.frombuffer(sums, np.int64)
+        yield rows(totals)
+
+    sums = docs.select("text").mapInArrow(count, "row int, sums binary").repartition(shuffle_partitions(docs.sparkSession), "row").mapInArrow(add, "row int, sums binary")
+    out = np.zeros((COUNTERS // COUNTER_ROW, COUNTER_ROW), np.int64)
+    for r in sums.toPandas().itertuples():  # COUNTERS / COUNTER_ROW rows at most
+        out[r.row] = np.frombuffer(r.sums, np.int64)
+    return out.ravel()
 
-    counts = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    rows = counts.filter(F.col("n") >= HOT_DOCUMENTS).orderBy(F.desc("n"), "token").limit(HOT_SHINGLES).toPandas()
-    tokens = rows.token.to_numpy(np.int64).view(np.uint64)
-    sorted_ = np.argsort(tokens)
-    return tokens[sorted_], (len(tokens) - np.arange(len(tokens)))[sorted_]
 
+def _keyed(docs: DataFrame, rule: Rule, counters: np.ndarray) -> DataFrame:
+    """doc_id, id and word (two digests of the set), n and the prefix of the set, which only the first row of a set in a task has.
 
-def _keyed(docs: DataFrame, rule: Rule, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, id (digest of the set), n and the prefix of the set, which only the first row of a set in a task has."""
-    kept = docs.sparkSession.sparkContext.broadcast(hot)  # HOT_SHINGLES entries at most
+    Prefixes are taken by rising counter, then by hash.
+    """
+    places = np.minimum(64 * np.log2(1 + counters), (1 << 16) - 1).astype(np.uint16)  # few steps, so that sorting is cheap
+    kept = docs.sparkSession.sparkContext.broadcast(places)
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, places = kept.value
-        seen: set[int] = set()
+        order, seen = kept.value, set()
         for batch in batches:
-            ids, sizes, keys = [], [], []
+            ids, words_, sizes, keys = [], [], [], []
             for _, s in shingle_sets(batch.column("text"), rule.words):
-                n, own = len(s), set_id(s)
+                n, own = len(s), rule.id_of(s)
                 ids.append(own if n else None)
+                words_.append(set_id(s, 1) if n else None)
                 sizes.append(n)
-                if not n or own in seen:
+                if not n or (own, words_[-1]) in seen:
                     keys.append(None)
                     continue
-                seen.add(own)
-                most = int(rule.prefix(np.int64(n)))
-                first = s
-                if len(tokens):
-                    at = np.searchsorted(tokens, s)
-                    at[at == len(tokens)] = 0
-                    is_hot = tokens[at] == s
-                    if is_hot.any():
-                        late = np.argsort(places[at[is_hot]], kind="stable")
-                        first = np.concatenate([s[~is_hot], s[is_hot][late]])
-                keys.append(first[:most].view(np.int64))
+                seen.add((own, words_[-1]))
+                first = s[np.argsort(order[counter_of(s)], kind="stable")[: int(rule.prefix(np.int64(n)))]]
+                keys.append(first.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "id", "n", "keys"]
+                [batch.column("doc_id"), pa.array(ids, pa.int64()), pa.array(words_, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "id", "word", "n", "keys"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(key, f"doc_id {kind}, id long, n long, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(key, f"doc_id {kind}, id long, word long, n long, keys array<long>")
+
+
+def _joined(rows: DataFrame, side: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """``rows`` with the rows of ``side``, at most one for a key: broadcast up to a size, else by a shuffle of two plain
+    tables, in which the engine may split the keys that many rows share."""
+    side = written(side, "shingle-side")
+    return rows.join(F.broadcast(side) if side.count() <= BROADCAST_IDS else side.hint("merge"), on, how)
 
 
 def _live(keyed: DataFrame, rule: Rule) -> DataFrame:
     """run (the shingle), id and n of prefix entries that share their run with another set of a fitting size.
 
-    A run is met in order of size: the smaller set of a pair shows one of its first few shingles (``index``).
+    Entries are counted by the counter of their run first. Those of a full counter are all kept, so that no long run
+    is sorted in one task; the others are sifted run by run.
     """
     index = F.expr(f"pos < n - CAST(ceil(2 * n * {rule.num} / {rule.num + rule.den}D) AS LONG) + 2")  # wide by one against rounding
-    rows = keyed.filter("keys IS NOT NULL").select("id", "n", F.posexplode("keys").alias("pos", "run")).select("run", "n", (~index).alias("probe"), "id")
-    rows = rows.repartition(shuffle_partitions(keyed.sparkSession), "run").sortWithinPartitions("run", "n", "probe", "id")
+    entries = keyed.filter("keys IS NOT NULL").select("id", "n", F.posexplode("keys").alias("pos", "run"))
+    rows = entries.select("run", "n", (~index).alias("probe"), "id")
+    counter = F.shiftrightunsigned("run", 20).bitwiseAND(F.lit(COUNTERS - 1)).cast("int")
+    counts = written(entries.groupBy(counter.alias("counter")).agg(F.count("*").alias("entries")), "shingle-entries")
+    total = counts.agg(F.coalesce(F.sum("entries"), F.lit(0))).first()[0]
+    wide = counts.filter(F.col("entries") > max(WIDE_ROWS, 4 * total // COUNTERS)).select("counter")  # a fourth of all counters at most
+    if not wide.take(1):
+        return _sifted(rows, rule)
+    rows = rows.withColumn("counter", counter)
+    kept = rows.join(F.broadcast(wide), "counter", "left_semi").select("run", "id", "n").distinct()
+    return _sifted(rows.join(F.broadcast(wide), "counter", "left_anti").drop("counter"), rule).unionByName(kept)
+
+
+def _sifted(rows: DataFrame, rule: Rule) -> DataFrame:
+    """A run is met in order of size: the smaller set of a pair shows one of its first few shingles (no ``probe``)."""
+    rows = rows.repartition(shuffle_partitions(rows.sparkSession), "run").sortWithinPartitions("run", "n", "probe", "id")
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, least = None, 0  # the last row, whose fate the next one tells; the largest index size so far in its run, plus one
@@ -308,10 +392,10 @@ def _live(keyed: DataFrame, rule: Rule) -> DataFrame:
     return rows.mapInArrow(sift, "run long, id long, n long")
 
 
-def _of_sets(docs: DataFrame, ids: DataFrame, rule: Rule, made, schema: pa.Schema) -> DataFrame:
+def _of_sets(docs: DataFrame, ids: DataFrame, few: bool, rule: Rule, made, schema: pa.Schema) -> DataFrame:
     """``made(id, set)`` (a result row) of the sets that ``ids(doc_id, id)`` names among ``docs(doc_id, text)``.
 
-    Rows whose text has another set than that (ids of documents may come twice) go. Ids are broadcast up to a bound.
+    Rows whose text has another set than that (ids of documents may come twice) go. ``few``: ids can be broadcast.
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +403,7 @@ def _of_sets(docs: DataFrame, ids: DataFrame, rule: Rule, made, schema: pa.Schem
             expected = batch.column("id").to_pylist()
             rows, size = [], 0
             for r, s in shingle_sets(batch.column("text"), rule.words):
-                if len(s) and set_id(s) == expected[r]:
+                if len(s) and rule.id_of(s) == expected[r]:
                     rows.append(made(expected[r], s))
                     size += 8 * len(s)
                 if size > 1 << 22:
@@ -327,7 +411,6 @@ def _of_sets(docs: DataFrame, ids: DataFrame, rule: Rule, made, schema: pa.Schem
                     rows, size = [], 0
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    few = ids.count() <= BROADCAST_IDS
     chosen = docs.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id").select("text", "id")
     return chosen.mapInArrow(make, ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'binary'}" for f in schema))
 
@@ -335,12 +418,12 @@ def _of_sets(docs: DataFrame, ids: DataFrame, rule: Rule, made, schema: pa.Schem
 def _signatures(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
     """id, n and sig."""
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary())])
-    return _of_sets(docs, ids, rule, lambda i, s: {"id": i, "n": len(s), "sig": signature(s).tobytes()}, schema)
+    return _of_sets(docs, ids, ids.count() <= BROADCAST_IDS, rule, lambda i, s: {"id": i, "n": len(s), "sig": signature(s).tobytes()}, schema)
 
 
-def _sets(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
+def _sets(docs: DataFrame, ids: DataFrame, rule: Rule, few: bool) -> DataFrame:
     """id and set (sorted 64-bit shingle hashes)."""
-    return _of_sets(docs, ids, rule, lambda i, s: {"id": i, "set": s.tobytes()}, pa.schema([("id", pa.int64()), ("set", pa.binary())]))
+    return _of_sets(docs, ids, few, rule, lambda i, s: {"id": i, "set": s.tobytes()}, pa.schema([("id", pa.int64()), ("set", pa.binary())]))
 
 
 _CELL = ["run", "x", "y"]
@@ -380,10 +463,11 @@ def _one_each(rows: list[tuple], id_at: int) -> list[tuple]:
     return [rows[k] for k in first]
 
 
-def _links(dealt: DataFrame, docs: DataFrame, ids: DataFrame, sigs: DataFrame, rule: Rule) -> DataFrame:
+def _links(dealt: DataFrame, docs: DataFrame, ids: DataFrame, sigs: DataFrame, rule: Rule, overlap: bool = False) -> DataFrame:
     """Links a, b found among the rows of each cell of ``dealt(run, x, y, side, id, root)``, a forest for a cell.
 
     First the trees of signatures alone meet, and only for rows that are left in a pair sets are made and dealt.
+    ``overlap``: a row may be in several cells.
     """
 
     def sift(key: tuple, rows: list[tuple]) -> list[tuple]:
@@ -391,7 +475,7 @@ def _links(dealt: DataFrame, docs: DataFrame, ids: DataFrame, sigs: DataFrame, r
         if len(rows) < 2:
             return []
         root = np.array([r[2] for r in rows])
-        i, j = candidates([np.frombuffer(r[4], np.uint64) for r in rows], np.array([r[3] for r in rows]), np.zeros(len(rows)), np.array([bool(r[0]) for r in rows]), rule)
+        i, j = candidates([np.frombuffer(r[4], np.uint32) for r in rows], np.array([r[3] for r in rows]), np.array([bool(r[0]) for r in rows]), rule)
         open_ = root[i] != root[j]
         stay = np.unique(np.concatenate([i[open_], j[open_]]))
         return [(*key, *rows[k][:3]) for k in stay]
@@ -401,37 +485,38 @@ def _links(dealt: DataFrame, docs: DataFrame, ids: DataFrame, sigs: DataFrame, r
         if len(rows) < 2:
             return []
         sets = [np.frombuffer(r[3], np.uint64) for r in rows]
-        i, j = candidates([signature(s) for s in sets], np.array([len(s) for s in sets]), np.array([s[0] for s in sets]), np.array([bool(r[0]) for r in rows]), rule)
+        i, j = candidates([signature(s) for s in sets], np.array([len(s) for s in sets]), np.array([bool(r[0]) for r in rows]), rule)
         return [(rows[a][1], rows[b][1]) for a, b in forest(sets, np.array([r[2] for r in rows]), i, j, rule)]
 
     cell = "run long, x long, y long, side long, id long, root long"
     near = written(_solved(dealt.join(sigs, "id").select(*_CELL, "side", "id", "root", "n", "sig"), sift, cell), "shingle-near")
-    # Cells left with the same rows say the same: one of them stays.
-    kinds = near.groupBy(*_CELL).agg(F.count("*").alias("size"), F.sum(F.xxhash64("id", "side").cast("decimal(20,0)")).alias("members"))
-    kept = kinds.groupBy("size", "members").agg(F.min(F.struct(*_CELL)).alias("c")).select("c.*")
-    near = written(near.join(kept, _CELL, "left_semi"), "shingle-cells")
-    wanted = written(ids.join(near.select("id").distinct(), "id", "left_semi"), "shingle-wanted")
+    if overlap:  # cells left with the same rows say the same: one of them stays
+        kinds = near.groupBy(*_CELL).agg(F.count("*").alias("size"), F.sum(F.xxhash64("id", "side").cast("decimal(20,0)")).alias("members"))
+        kept = kinds.groupBy("size", "members").agg(F.min(F.struct(*_CELL)).alias("c")).select("c.*")
+        near = written(near.join(kept, _CELL, "left_semi"), "shingle-cells")
     few = near.count() <= BROADCAST_IDS
-    full = _sets(docs, wanted, rule).join(F.broadcast(near) if few else near.hint("merge"), "id")
+    wanted = ids.join(near.select("id").distinct(), "id", "left_semi")
+    full = _sets(docs, wanted, rule, few).join(F.broadcast(near) if few else near.hint("merge"), "id")
     return _solved(full.select(*_CELL, "side", "id", "root", "set"), solve, "a long, b long").distinct()
 
 
-def _blocks_of(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds ``blocks``: in how many blocks of bounded rows and shingles the rows of each key are dealt."""
-    need = F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)
-    return rows.join(rows.groupBy(*keys).agg(F.ceil(need).cast("int").alias("blocks")), keys)
+def _need(rows: Column | None = None) -> Column:
+    """In how many blocks of bounded rows and shingles the (chosen) rows of a key are dealt."""
+    n = F.col("n") if rows is None else F.when(rows, F.col("n"))
+    return F.ceil(F.greatest(F.count(n) / BLOCK_ROWS, F.coalesce(F.sum(n), F.lit(0)) / BLOCK_SHINGLES)).cast("int")
 
 
-def _block(blocks: str) -> Column:
-    return F.pmod(F.xxhash64("id", F.lit(5)), F.col(blocks)).cast("int")
+def _block(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("id", F.lit(5)), blocks).cast("int")
 
 
 def _gather(live: DataFrame) -> DataFrame:
     """Cells in which each set meets a block of the fullest run that it is in, once; ``blocks`` of that run."""
-    sizes = live.groupBy("run").agg(F.count("*").alias("size"))
-    own = live.join(sizes, "run").groupBy("id", "n").agg(F.max_by("run", F.struct("size", "run")).alias("run"))
+    sizes = live.groupBy("run").agg(F.count("*").alias("size"), _need().alias("blocks"))
+    run = F.struct("run", "blocks")
+    own = _joined(live, sizes, "run").groupBy("id", "n").agg(F.max_by(run, F.struct("size", "run")).alias("r")).select("id", "r.*")
     zero = F.lit(0).cast("long")
-    return _blocks_of(own, ["run"]).select("run", _block("blocks").cast("long").alias("x"), zero.alias("y"), F.lit(1).cast("long").alias("side"), "id", F.col("id").alias("root"), "blocks")
+    return own.select("run", _block(F.col("blocks")).cast("long").alias("x"), zero.alias("y"), F.lit(1).cast("long").alias("side"), "id", F.col("id").alias("root"), "blocks")
 
 
 def _across(live: DataFrame, roots: DataFrame) -> DataFrame:
@@ -440,18 +525,16 @@ def _across(live: DataFrame, roots: DataFrame) -> DataFrame:
     The largest component of a run is not compared with itself: only blocks of the other sets meet its blocks, and
     each other.
     """
-    rows = live.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rows = written(live.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "shingle-rooted")
     parts = rows.groupBy("run", "root").agg(F.count("*").alias("members"))
     runs = parts.groupBy("run").agg(F.count("*").alias("several"), F.max_by("root", F.struct("members", "root")).alias("major")).filter("several > 1")
-    rows = rows.join(runs.select("run", "major"), "run").withColumn("minor", F.col("root") != F.col("major"))
+    rows = written(_joined(rows, runs.select("run", "major"), "run").withColumn("minor", F.col("root") != F.col("major")), "runs")
     # Runs of the same members say the same: one of them stays.
-    kinds = rows.groupBy("run").agg(F.count("*").alias("size"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("members"))
-    kept = kinds.groupBy("size", "members").agg(F.min("run").alias("run"))
-    rows = written(_blocks_of(rows.join(kept.select("run"), "run", "left_semi"), ["run", "minor"]), "runs")
-    counts = rows.groupBy("run").agg(
-        F.coalesce(F.max(F.when(F.col("minor"), F.col("blocks"))), F.lit(0)).alias("minors"), F.coalesce(F.max(F.when(~F.col("minor"), F.col("blocks"))), F.lit(0)).alias("majors")
+    kinds = rows.groupBy("run").agg(
+        F.count("*").alias("size"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("members"), _need(F.col("minor")).alias("minors"), _need(~F.col("minor")).alias("majors")
     )
-    rows = rows.join(counts, "run").withColumn("block", _block("blocks"))
+    kept = kinds.groupBy("size", "members").agg(F.min_by(F.struct("run", "minors", "majors"), "run").alias("kept")).select("kept.*")
+    rows = _joined(rows, kept, "run").withColumn("block", _block(F.when(F.col("minor"), F.col("minors")).otherwise(F.col("majors"))))
     one = (F.col("minors") == 1) & (F.col("majors") == 1)
     cell = lambda x, y, side: F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), side.cast("long").alias("side"))
     own, zero = F.col("block"), F.lit(0)
@@ -477,8 +560,9 @@ def near_groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     shingles, or the whole sequence if it is shorter. Two documents link when ``den * |A & B| >= num * |A | B|``; a
     group is what links connect. The result is exact up to collisions of 64-bit hashes:
 
-    1. Equal sets are one set. Prefixes of a common order (frequent shingles last) deal sets to runs: sets that link
-       share a prefix shingle. Entries alone in their run, or without a set of fitting size there, go.
+    1. Equal sets are one set (a second digest tells those apart whose first ones collide). Prefixes of a common order (frequent
+       shingles last) deal sets to runs: sets that link share a prefix shingle. Entries alone in their run, or without a
+       set of fitting size there, go.
     2. Each set that is left meets others in a block of one run, whose signature tree is traversed against itself. A
        second pass does the same for the smallest set of each component found.
     3. Runs that hold more than one component are searched whole: blocks of the smaller components against all
@@ -491,17 +575,36 @@ def near_groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
     Returns doc_id, n_shingles, component_id (the smallest doc_id of the group).
     """
-    return _grouped(docs, rule).select("doc_id", "n_shingles", "component_id")
+    return _grouped(docs, rule)[0].select("doc_id", "n_shingles", "component_id")
+
+
+def _joined_up(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Roots after further links."""
+    if not links.take(1):
+        return roots
+    return written(components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(links)), "shingle-roots")
+
+
+def _named(docs: DataFrame, rule: Rule, counters: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """The keyed rows; and for each set its id, its smallest doc_id, and whether different sets have that id."""
+    keyed = written(_keyed(docs, rule, counters), "shingle-keys")
+    differ = (F.min("word") != F.max("word")).alias("differ")
+    return keyed, written(keyed.filter("id IS NOT NULL AND doc_id IS NOT NULL").groupBy("id").agg(F.min("doc_id").alias("doc_id"), differ), "shingle-firsts")
 
 
-def _grouped(docs: DataFrame, rule: Rule) -> DataFrame:
+def _grouped(docs: DataFrame, rule: Rule) -> tuple[DataFrame, Rule]:
     """doc_id, id (digest of the row's set; null without shingles), root (of the group that the set is in; doc_ids may
-    repeat, so component_id alone does not tell groups apart), n_shingles and component_id of every row."""
+    repeat, so component_id alone does not tell groups apart), n_shingles and component_id of every row; and the rule by
+    which digests were made."""
     docs = docs.select("doc_id", "text")
-    spark = docs.sparkSession
-    keyed = written(_keyed(docs, rule, _hot(docs, rule)), "shingle-keys")
+    counters = _counters(docs, rule)
+    keyed, firsts = _named(docs, rule, counters)
+    shared = [r.id for r in firsts.filter("differ").select("id").collect()]  # some in 10^10 sets
+    if shared:
+        rule = replace(rule, shared=frozenset(shared))
+        keyed, firsts = _named(docs, rule, counters)
+    firsts = firsts.drop("differ")
     live = written(_live(keyed, rule), "shingle-runs")
-    firsts = keyed.filter("id IS NOT NULL AND doc_id IS NOT NULL").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
     ids = written(live.select("id").distinct().join(firsts, "id"), "shingle-live")
     sigs = written(_signatures(docs, ids, rule), "shingle-sigs")
 
@@ -512,9 +615,9 @@ def _grouped(docs: DataFrame, rule: Rule) -> DataFrame:
         # The blocks of a large run know nothing of each other: the smallest sets of their components meet next.
         heads = cells.filter("blocks > 1").select("id").join(roots.filter("id <> root").select("id"), "id", "left_anti")
         heads = live.join(heads, "id", "left_semi")
-        links = written(links.unionByName(_links(_gather(heads).drop("blocks"), docs, ids, sigs, rule)), "shingle-links")
-        roots = written(components(links), "shingle-roots")
-    roots = written(components(links.unionByName(_links(_across(live, roots), docs, ids, sigs, rule))), "shingle-roots")
+        more = written(_links(_gather(heads).drop("blocks"), docs, ids, sigs, rule), "shingle-links")
+        roots = _joined_up(roots, more)
+    roots = _joined_up(roots, written(_links(_across(live, roots), docs, ids, sigs, rule, overlap=True), "shingle-links"))
 
     named = ids.join(roots, "id")
     best = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -522,7 +625,7 @@ def _grouped(docs: DataFrame, rule: Rule) -> DataFrame:
     lone = firsts.join(grouped, "id", "left_anti").select("id", F.col("id").alias("root"), F.col("doc_id").alias("component_id"))
     rows = keyed.select("doc_id", "id", F.col("n").alias("n_shingles")).join(grouped.unionByName(lone), "id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return rows.select("doc_id", "id", "root", "n_shingles", component.alias("component_id"))
+    return rows.select("doc_id", "id", "root", "n_shingles", component.alias("component_id")), rule
 
 
 def one_of_each(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -532,7 +635,8 @@ def one_of_each(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
     Where an id repeats, rows are told apart by the id and the digest of their set, which are made anew for that.
     """
-    groups = written(_grouped(docs, rule).filter("doc_id IS NOT NULL"), "groups")
+    groups, rule = _grouped(docs, rule)
+    groups = written(groups.filter("doc_id IS NOT NULL"), "groups")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     if not groups.groupBy("doc_id").count().filter("count > 1").take(1):
         gone = groups.filter("component_id <> doc_id").select("doc_id")
@@ -556,10 +660,10 @@ def one_of_each(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
 
 def _digest(rule: Rule):
-    """``set_id`` of the shingle set of a text column; null for a text without shingles."""
+    """The digest of the shingle set of a text column; null for a text without shingles."""
 
     @F.arrow_udf("long")
     def digest(column: pa.Array) -> pa.Array:
-        return pa.array([set_id(s) if len(s) else None for _, s in shingle_sets(column, rule.words)], pa.int64())
+        return pa.array([rule.id_of(s) if len(s) else None for _, s in shingle_sets(column, rule.words)], pa.int64())
 
     return digest
