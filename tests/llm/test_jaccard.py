@@ -1,7 +1,11 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
+import __spark_entry__
 from placard.llm import jaccard
+from placard.llm.common import text_bytes
+from placard.llm.common import words as word_hashes
 from placard.llm.components import components
 from tests.llm.cases import DOCS, corpus, documents, shingles
 
@@ -30,7 +34,7 @@ def brute(rows, k, num, den):
 @pytest.mark.parametrize(("k", "num", "blocks"), [(4, 85, 1024), (5, 80, 4), (3, 50, 3)])
 def test_groups_equal_brute_force(spark, monkeypatch, k, num, blocks):
     monkeypatch.setattr(jaccard, "BLOCK_ROWS", blocks)  # small blocks: runs are dealt in many cells
-    monkeypatch.setattr(jaccard, "HOT_DOCUMENTS", 4)
+    monkeypatch.setattr(jaccard, "WIDE_ROWS", 4)
     rows = corpus(seed=k)
     got = jaccard.near_groups(documents(spark, rows), jaccard.Rule(k, num, 100)).collect()
     assert sorted(map(tuple, got)) == brute(rows, k, num, 100)
@@ -68,18 +72,75 @@ def test_one_of_each_tells_texts_of_a_repeated_id_apart(spark):
     assert sorted(((r.doc_id, r.text) for r in again), key=str) == kept
 
 
+def random_sets(rng, groups, each, size, shared, lost=0.05):
+    passage, sets = rng.integers(0, 2**63, shared).astype(np.uint64), []
+    for _ in range(groups):
+        base = rng.integers(0, 2**63, size() if callable(size) else size).astype(np.uint64)
+        sets += [np.unique(np.concatenate([base[rng.random(len(base)) > lost], base[:1], passage])) for _ in range(each)]
+    return [sets[k] for k in rng.permutation(len(sets))]
+
+
 def test_traversal_loses_no_pair():
     rng = np.random.default_rng(0)
     rule = jaccard.Rule(5, 80, 100)
-    sets = []
-    for _ in range(40):
-        base = np.unique(rng.integers(0, 2**63, rng.integers(1, 200)).astype(np.uint64))
-        sets += [np.unique(np.concatenate([base[rng.random(len(base)) > 0.06], base[:1]])) for _ in range(5)]
+    sets = random_sets(rng, 40, 5, lambda: rng.integers(1, 200), 0)
     sizes = np.array([len(s) for s in sets])
-    i, j = jaccard.candidates([jaccard.signature(s) for s in sets], sizes, np.array([s[0] for s in sets]), np.ones(len(sets), bool), rule)
-    found = {frozenset(p) for p in zip(i.tolist(), j.tolist(), strict=True)}
-    links = {frozenset((a, b)) for a in range(len(sets)) for b in range(a) if rule.links(len(np.intersect1d(sets[a], sets[b])), sizes[a] + sizes[b])}
-    assert links and links <= found and len(found) < len(sets) * (len(sets) - 1) / 4
+    for left in (np.ones(len(sets), bool), rng.random(len(sets)) > 0.5):
+        i, j = jaccard.candidates([jaccard.signature(s) for s in sets], sizes, left, rule)
+        found = {frozenset(p) for p in zip(i.tolist(), j.tolist(), strict=True)}
+        links = {frozenset((a, b)) for a in range(len(sets)) for b in range(a) if rule.links(len(np.intersect1d(sets[a], sets[b])), sizes[a] + sizes[b])}
+        links = {x for x in links if left.all() or len({bool(left[k]) for k in x}) == 2}
+        assert links and links <= found and len(found) < len(sets) * (len(sets) - 1) / 4
+
+
+@pytest.mark.parametrize(("groups", "each", "size", "shared"), [(256, 4, 120, 0), (256, 4, 120, 60), (60, 10, 400, 100)])
+def test_inner_nodes_discard_most_pairs(groups, each, size, shared):
+    sets = random_sets(np.random.default_rng(1), groups, each, size, shared)
+    compared = []
+    i, _ = jaccard.candidates([jaccard.signature(s) for s in sets], np.array([len(s) for s in sets]), np.ones(len(sets), bool), jaccard.Rule(4, 85, 100), compared)
+    met, kept = ({h: sum(c[k] for c in compared if c[0] == h) for h in (0, 1)} for k in (1, 2))
+    assert met[0] < 0.06 * len(sets) * (len(sets) - 1) / 2 and kept[1] < 0.2 * met[1] and len(i) >= groups * each
+
+
+def test_all_of_a_table(spark):
+    d = "/root/testdata/sf0.01"
+    rows = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
+    got = __spark_entry__.queries()["op1_jaccard"](spark, d).collect()
+    expected = brute(rows, 4, 85, 100)
+    assert sorted(map(tuple, got)) == expected and sum(c != i for i, _, c in expected) > 50
+
+
+def test_runs_of_many_blocks(spark):
+    """One passage in all texts, so that runs are long; pairs of near copies besides, and a large group of them."""
+    rng = np.random.default_rng(3)
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts = []
+    for g in range(700):
+        own = [f"{g}w{i}" for i in range(3)]
+        texts += [f"{passage} {' '.join(own)}", f"{' '.join(own[1:])} {passage}"] if g % 2 else [f"{passage} " + " ".join(f"{g}u{i}" for i in range(40))]
+    base = [f"b{i}" for i in range(200)]
+    texts += [" ".join(base[:k] + [f"x{k}"] + base[k:]) for k in rng.permutation(200)]
+    rows = list(enumerate(texts))
+    got = jaccard.near_groups(documents(spark, rows, 5), jaccard.Rule(4, 85, 100)).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 4, 85, 100)
+
+
+def test_colliding_digests_are_told_apart(spark):
+    rows = corpus(seed=9, groups=4)
+    (_, first), *_ = jaccard.shingle_sets(pa.array([max((t or "" for _, t in rows), key=len)]), 4)
+    rule = jaccard.Rule(4, 85, 100, frozenset([jaccard.set_id(first)]))
+    assert rule.id_of(first) == jaccard.set_id(first, 1) != jaccard.set_id(first)
+    assert sorted(map(tuple, jaccard.near_groups(documents(spark, rows), rule).collect())) == brute(rows, 4, 85, 100)
+
+
+def test_long_words_do_not_collide():
+    morse = "0"
+    for _ in range(12):
+        morse += morse.translate({48: "1", 49: "0"})
+    texts = pa.array([morse.replace("0", "a").replace("1", "b"), morse.replace("0", "b").replace("1", "a")])
+    offsets, data = text_bytes(texts)
+    hashes, *_ = word_hashes(data, offsets)
+    assert len(hashes) == 2 and hashes[0] != hashes[1]
 
 
 def test_components_of_a_path(spark):

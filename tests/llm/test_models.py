@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from placard.llm import jaccard, language, quality, toxicity, training, urls
 from placard.session import table
-from placard.llm.topk import top_k
+from placard.llm.topk import Counts, maxscore, quantized, top_k
 from tests.llm.cases import DOCS, documents
 
 DATA = "/root/testdata/sf0.1"
@@ -23,13 +23,14 @@ def auc(y, s):
     return (ranks[y == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * n0)
 
 
-@pytest.mark.parametrize(("name", "label", "least"), [("op3_quality", "quality", 0.97), ("op10_toxicity", "toxic", 0.92)])
-def test_held_out_scores(spark, name, label, least):
+@pytest.mark.parametrize(("name", "label", "least", "recall", "precision"), [("op3_quality", "quality", 0.97, 0.97, 0.97), ("op10_toxicity", "toxic", 0.92, 0.9, 0.85)])
+def test_held_out_scores(spark, name, label, least, recall, precision):
     got = __spark_entry__.queries()[name](spark, DATA).toPandas()
     labels = pd.read_parquet(f"{DATA}/labels.parquet")
     held = got[got.held_out].merge(labels, on="doc_id")
     assert len(got) == 10_000 and got.score.between(0, 1).all()
     assert auc(held[label], held.score) > least
+    assert held[held[label] == 1].predicted.mean() >= recall and held[held.predicted == 1][label].mean() >= precision
 
 
 def test_held_out_languages(spark):
@@ -55,6 +56,7 @@ def test_language_of_odd_rows(spark):
     assert [got[i].lang_pred for i in (1, 2, 3, 4)] == ["und"] * 4 and got[4].score == 0
     assert got[10].lang_pred == "bb" and got[11].lang_pred == "aa" and got[11].held_out and got[12].lang_pred in samples
     assert {r.doc_id for r in language.spoken(docs, samples).collect()} == {None, 6, 10, 11, 12}  # 5 is long and like neither
+    assert language.spoken(docs, {}).collect() == language.spoken(docs.limit(0), samples).collect() == []
 
 
 def brute_phrases(sample, text):
@@ -67,16 +69,39 @@ def brute_phrases(sample, text):
     return count
 
 
-def test_phrases_equal_greedy_parsing():
-    samples = {"x": b"abracadabra banana bandana " * 3, "y": b"mississippi missed a kiss "}
+@pytest.mark.parametrize("segment", [language.SEGMENT, 64, 7])
+def test_phrases_equal_greedy_parsing(monkeypatch, segment):
+    monkeypatch.setattr(language, "SEGMENT", segment)
+    rng = np.random.default_rng(4)
+    random_text = lambda n, letters: bytes(rng.choice(list(letters), n).astype(np.uint8))
+    samples = {"w": random_text(3000, b"abcd "), "x": b"abracadabra banana bandana " * 3, "y": b"mississippi missed a kiss " + b"ab" * 200, "z": "über straße ".encode() * 9}
     parser = language.Parser(samples)
-    texts = [b"banana miss", b"zzz", b"", b"a", b"abra kiss banana" * 10]
+    texts = [b"banana miss", b"zzz", b"", b"a", b"abra kiss banana" * 10, random_text(10_000, b"abcd q"), b"ab" * 5000, b"q" * 3000, "straße über".encode() * 900, random_text(100, b"abcd") + b" " + random_text(100, b"xyz"), b"abc" * 2000 + random_text(300, b"ab")]
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    got = parser.phrases(np.frombuffer(b"".join(texts), np.uint8), offsets)
-    weights = np.log2([len(samples[k]) for k in "xy"])
-    for r, t in enumerate(texts):
-        expected = [brute_phrases(samples[k], t) for k in "xy"]
-        assert np.allclose(got[r], np.array(expected) * weights / weights.mean())
+    got = parser.counts(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    folded = lambda b: bytes(language.symbols_of(np.frombuffer(b, np.uint8)).astype(np.uint8))
+    assert got.tolist() == [[brute_phrases(folded(samples[k]), folded(t)) for k in "wxyz"] for t in texts]
+    weights = np.log2([len(samples[k]) for k in "wxyz"])
+    assert np.allclose(parser.phrases(np.frombuffer(b"".join(texts), np.uint8), offsets), got * weights / weights.mean())
+
+
+def test_more_languages_than_full_samples(spark):
+    assert language.symbols_each(16) == language.SYMBOLS and language.symbols_each(100) == 9600 and language.symbols_each(10**6) == language.LEAST_SYMBOLS
+    rng = np.random.default_rng(6)
+    words = {f"l{i}": ["".join(chr(97 + (i + j) % 26) for j in rng.integers(0, 5, 6)) for _ in range(30)] for i in range(70)}
+    text = lambda x: " ".join(rng.choice(words[x], 80))
+    docs = spark.createDataFrame([(k * 100 + i, text(x), x) for i, x in enumerate(words) for k in range(4)], "doc_id long, text string, lang string")
+    samples = language.labelled_text(docs.filter("doc_id < 300"), F.lit(True))
+    assert sorted(samples) == sorted(words)
+    got = language.judged(docs.filter("doc_id >= 300"), samples, F.lit(True)).join(docs, "doc_id").collect()
+    assert len(got) == 70 and sum(r.lang_pred == r.lang for r in got) >= 66
+
+
+def test_samples_are_whole_different_texts(spark):
+    docs = spark.createDataFrame([(i, "same text of many rows", "xx") for i in range(50)] + [(90, "another one", "xx"), (91, "a" * 40_000, "xx"), (None, "no id", "xx"), (92, None, "xx"), (93, "", "xx"), (94, "no lang", None)], "doc_id long, text string, lang string")
+    text = language.labelled_text(docs.repartition(3), F.lit(True))
+    assert sorted(text) == ["xx"] and sorted(text["xx"].split(b"\n")) == [b"another one", b"same text of many rows"]
+    assert language.labelled_text(docs.limit(0), F.lit(True)) == {} and language.learned_and_judged(docs.limit(0)).collect() == []
 
 
 def test_attention_prefers_bad_passages():
@@ -91,6 +116,57 @@ def test_attention_prefers_bad_passages():
     assert (model.logits(*quality.passages(data, offsets)) > 0).tolist() == [True, False]
 
 
+def test_quality_forward_and_gradient():
+    rng = np.random.default_rng(1)
+    w = {"W": rng.normal(size=(5, 4)), "b": rng.normal(size=4), "V": rng.normal(size=(4, 3)), "U": rng.normal(size=(4, 3)), "w": rng.normal(size=3), "c": rng.normal(size=4), "c0": np.array(0.3)}
+    x, at, d = rng.normal(size=(7, 5)), np.array([0, 1, 4, 7]), np.array([0.5, -1.0, 2.0])
+    f = quality._forward(w, x, at)
+    for t in range(3):  # passage by passage
+        codes = [np.tanh(w["b"] + sum(p[i] * w["W"][i] for i in range(5))) for p in x[at[t] : at[t + 1]]]
+        marks = [sum(w["w"][k] * np.tanh(h @ w["V"][:, k]) / (1 + np.exp(-(h @ w["U"][:, k]))) for k in range(3)) for h in codes]
+        shares = np.exp(marks) / np.exp(marks).sum()
+        assert np.isclose(f["logit"][t], sum(a * h for a, h in zip(shares, codes, strict=True)) @ w["c"] + w["c0"])
+    grads = quality._backward(w, x, f, d)
+    for k in w:
+        for at_ in [tuple(rng.integers(0, n) for n in w[k].shape) for _ in range(3)]:
+            up, down = ({**w, k: w[k] + s * 1e-6 * (np.indices(w[k].shape).T == at_).all(-1).T if w[k].ndim else w[k] + s * 1e-6} for s in (1, -1))
+            slope = d @ (quality._forward(up, x, at)["logit"] - quality._forward(down, x, at)["logit"]) / 2e-6
+            assert np.isclose(slope, grads[k][at_], rtol=1e-4, atol=1e-6)
+
+
+def brute_subwords(word):
+    marked = f"<{word}>"
+    out = [toxicity.zlib.crc32(marked.encode()) % toxicity.BUCKETS]
+    for n in toxicity.GRAMS:
+        for i in range(len(marked) - n + 1):
+            value = 0
+            for c in marked[i : i + n]:
+                value = (value * 0x9E3779B97F4A7C15 + ord(c) + 1) % 2**64
+            out.append(value * 0xD1342543DE82EF95 % 2**64 >> 64 - toxicity.BUCKET_BITS)
+    return out
+
+
+def test_toxicity_forward_pass_by_hand(monkeypatch):
+    monkeypatch.setattr(toxicity, "CHUNK", 50)
+    rng = np.random.default_rng(2)
+    texts = ["Some words, some_more", "", "日本語" * 40 + " x", "a" * 130 + " straße ÜBER ünï", "!!!", "word " * 60, "Some"]
+    known = np.unique([b for t in texts[:4] for w in toxicity.words_of(t) for b in brute_subwords(w)])[::2]
+    model = toxicity.Model(known, rng.normal(size=(len(known), 6)), rng.normal(size=(6, 2)), rng.normal(size=2))
+    vectors = dict(zip(known.tolist(), model.embeddings, strict=True))
+    for text, logit in zip(texts, model.logits(texts), strict=True):
+        words = [np.mean([vectors.get(b, np.zeros(6)) for b in brute_subwords(w)], axis=0) for w in toxicity.words_of(text)]
+        out = (np.mean(words, axis=0) if words else np.zeros(6)) @ model.weights + model.bias
+        assert np.isclose(logit, out[1] - out[0], atol=1e-5)
+    assert np.allclose(model.scores(texts), [model.scores([t])[0] for t in texts])
+
+
+def test_toxicity_gradient():
+    bag = toxicity.Bag(["one two three", "two three four four", "one four five six", "three five"])
+    rng = np.random.default_rng(0)
+    bucket, text = rng.normal(size=len(bag.rows)), rng.normal(size=4)
+    assert np.isclose(bag.forward(bucket) @ text, bucket @ bag.backward(text))
+
+
 def test_toxicity_reads_long_runs_to_their_end():
     rng = np.random.default_rng(1)
     clean = ["_".join(rng.choice(["alpha", "beta", "gamma", "delta"], 40)) for _ in range(60)]
@@ -98,10 +174,8 @@ def test_toxicity_reads_long_runs_to_their_end():
     assert min(map(len, clean)) > 128
     model = toxicity.fit(clean + toxic, np.array([0.0] * 60 + [1.0] * 60), np.ones(120))
     plain = "_".join(["delta", "gamma", "beta", "alpha"] * 10)
-    assert model.score(plain + "_" + "_".join(["zxqvile"] * 5)) > 0.5 > model.score(plain + "_alpha_beta")
-    for word in ("", "a", "日本語" * 50, plain * 20):
-        counts = toxicity.counted_subwords(word, chunk=100)
-        assert (counts == np.bincount(toxicity.subwords(word), minlength=toxicity.BUCKETS)).all()
+    bad, good = model.scores([plain + "_" + "_".join(["zxqvile"] * 5), plain + "_alpha_beta"])
+    assert bad > 0.5 > good
 
 
 def oracle(d, sql):
@@ -130,6 +204,29 @@ def test_urls_propagate(spark):
     assert got[8].verdict == "allow" and got[7].path == ""
 
 
+def test_max_score_scores_few_of_skewed_vectors():
+    rng = np.random.default_rng(5)
+    vectors = np.zeros((4000, 48), np.int64)
+    for v in vectors:
+        at = rng.choice(48, 5, replace=False)
+        v[at] = rng.pareto(2, 5) * 50 * rng.choice([-1, 1], 5)
+    ids, counts = rng.permutation(4000), Counts()
+    found, scores = maxscore(vectors[::50], vectors, ids[::50], ids, 5, counts)
+    whole = vectors[::50] @ vectors.T
+    for q in range(80):
+        best = [c for c in np.lexsort((ids, -whole[q])) if c != 50 * q][:5]
+        assert found[q].tolist() == best and scores[q].tolist() == whole[q][best].tolist()
+    assert counts["named"] < 0.4 * counts["pairs"] and counts["whole"] < 0.15 * counts["pairs"]
+
+
+def test_top_k_of_odd_rows(spark):
+    rows = [(50, [0.5, 1.0]), (1, [1.0, None]), (2, None), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, []), (6, [2.0]), (7, [-1.0, -1.0, 9.0]), (None, [1.0, 1.0]), (8, [0.5, 1.0])]
+    table_ = spark.createDataFrame([(i, v, 0, "x") for i, v in rows], "vec_id long, embedding array<double>, shard int, score string")
+    got = top_k(quantized(table_), F.col("id") % 50 == 0).collect()
+    assert sorted(map(tuple, got)) == [(50, 1, 8, 128 * 128 + 256 * 256), (50, 2, 6, 128 * 512), (50, 3, 5, 0), (50, 4, 7, -128 * 256 - 256 * 256)]
+    assert top_k(quantized(table_.limit(0)), F.col("id") % 50 == 0).collect() == []
+
+
 def test_top_k_ties_and_repeats(spark):
     rng = np.random.default_rng(2)
     rows = [(int(i), rng.integers(-4, 4, 6).tolist()) for i in range(60)] + [(3, [1] * 6), (None, [9] * 6)]
