@@ -15,12 +15,14 @@ from placard.llm.components import components
 from placard.session import shuffle_partitions, written
 
 #: Counters that tell frequent shingles from rare ones, and how many of them one row carries.
-COUNTER_BITS, COUNTER_ROW = 18, 4096
+COUNTER_BITS, COUNTER_ROW = 20, 1 << 14
 COUNTERS = 1 << COUNTER_BITS
 #: Prefix entries of a counter from which on its runs are dealt to several tasks.
 WIDE_ROWS = 4096
 #: Documents, and shingles, in a block of a run.
-BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 21
+BLOCK_ROWS, BLOCK_SHINGLES = 256, 1 << 20
+#: Rows of a cell up to which all of them are compared by their narrow bitmaps.
+FEW_ROWS = 32
 #: Rows of ids or runs that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 250_000
 FANOUT = 8
@@ -89,6 +91,29 @@ def signature(s: np.ndarray) -> np.ndarray:
     return upper[new]
 
 
+def narrow_bitmap(sig: np.ndarray) -> np.ndarray:
+    """Bitmap with two to four bits for each shingle, as 64-bit words."""
+    bits = 1 << max(8, int(2 * len(sig) - 1).bit_length())
+    return _bitmaps(sig, np.zeros(len(sig), np.int64), 1, bits)[0]
+
+
+def few_candidates(bitmaps: list[np.ndarray], sizes: np.ndarray, left: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """As ``candidates``, of few sets, which are compared pair by pair: a tree of leaves alone. Bitmaps of different widths
+    meet at the narrower one."""
+    i, j = np.triu_indices(len(sizes), 1)
+    keep = (sizes[i] * rule.den >= sizes[j] * rule.num) & (sizes[j] * rule.den >= sizes[i] * rule.num)
+    if not (left.all() or not left.any()):
+        keep &= left[i] != left[j]
+    i, j = i[keep], j[keep]
+    keep = np.zeros(len(i), bool)
+    for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+        words_ = min(len(bitmaps[a]), len(bitmaps[b]))
+        x, y = (np.bitwise_or.reduce(bitmaps[r].reshape(-1, words_), axis=0) for r in (a, b))
+        hidden = min(int(sizes[r]) - int(np.bitwise_count(z).sum()) for r, z in ((a, x), (b, y)))
+        keep[k] = rule.links(int(np.bitwise_count(x & y).sum()) + hidden, sizes[a] + sizes[b])
+    return i[keep], j[keep]
+
+
 def likeness_keys(sigs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Two numbers for each set that sets alike mostly share: its lowest and highest place among those that some but
     not very many of the sets have."""
@@ -416,9 +441,9 @@ def _of_sets(docs: DataFrame, ids: DataFrame, few: bool, rule: Rule, made, schem
 
 
 def _signatures(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
-    """id, n and sig."""
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary())])
-    return _of_sets(docs, ids, ids.count() <= BROADCAST_IDS, rule, lambda i, s: {"id": i, "n": len(s), "sig": signature(s).tobytes()}, schema)
+    """id, n, sig and narrow (bitmap)."""
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("narrow", pa.binary())])
+    return _of_sets(docs, ids, ids.count() <= BROADCAST_IDS, rule, lambda i, s: {"id": i, "n": len(s), "sig": (own := signature(s)).tobytes(), "narrow": narrow_bitmap(own).tobytes()}, schema)
 
 
 def _sets(docs: DataFrame, ids: DataFrame, rule: Rule, few: bool) -> DataFrame:
@@ -466,16 +491,19 @@ def _one_each(rows: list[tuple], id_at: int) -> list[tuple]:
 def _links(dealt: DataFrame, docs: DataFrame, ids: DataFrame, sigs: DataFrame, rule: Rule, overlap: bool = False) -> DataFrame:
     """Links a, b found among the rows of each cell of ``dealt(run, x, y, side, id, root)``, a forest for a cell.
 
-    First the trees of signatures alone meet, and only for rows that are left in a pair sets are made and dealt.
-    ``overlap``: a row may be in several cells.
+    First signatures alone meet, and only for rows that are left in a pair sets are made and dealt. Cells of few rows
+    are compared by their narrow bitmaps, others by trees of whole signatures. ``overlap``: a row may be in several cells.
     """
 
     def sift(key: tuple, rows: list[tuple]) -> list[tuple]:
         rows = _one_each(rows, 1)
         if len(rows) < 2:
             return []
-        root = np.array([r[2] for r in rows])
-        i, j = candidates([np.frombuffer(r[4], np.uint32) for r in rows], np.array([r[3] for r in rows]), np.array([bool(r[0]) for r in rows]), rule)
+        root, sizes, left = np.array([r[2] for r in rows]), np.array([r[3] for r in rows]), np.array([bool(r[0]) for r in rows])
+        if rows[0][4]:
+            i, j = candidates([np.frombuffer(r[5], np.uint32) for r in rows], sizes, left, rule)
+        else:
+            i, j = few_candidates([np.frombuffer(r[5], np.uint64) for r in rows], sizes, left, rule)
         open_ = root[i] != root[j]
         stay = np.unique(np.concatenate([i[open_], j[open_]]))
         return [(*key, *rows[k][:3]) for k in stay]
@@ -489,7 +517,10 @@ def _links(dealt: DataFrame, docs: DataFrame, ids: DataFrame, sigs: DataFrame, r
         return [(rows[a][1], rows[b][1]) for a, b in forest(sets, np.array([r[2] for r in rows]), i, j, rule)]
 
     cell = "run long, x long, y long, side long, id long, root long"
-    near = written(_solved(dealt.join(sigs, "id").select(*_CELL, "side", "id", "root", "n", "sig"), sift, cell), "shingle-near")
+    sizes = dealt.groupBy(*_CELL).agg(F.count("*").alias("members")).filter("members > 1")
+    dealt = written(_joined(dealt, sizes.select(*_CELL, (F.col("members") > FEW_ROWS).alias("many")), _CELL), "shingle-dealt")
+    both = dealt.filter("many").join(sigs.select("id", "n", "sig"), "id").unionByName(dealt.filter("NOT many").join(sigs.select("id", "n", F.col("narrow").alias("sig")), "id"))
+    near = written(_solved(both.select(*_CELL, "side", "id", "root", "n", "many", "sig"), sift, cell), "shingle-near")
     if overlap:  # cells left with the same rows say the same: one of them stays
         kinds = near.groupBy(*_CELL).agg(F.count("*").alias("size"), F.sum(F.xxhash64("id", "side").cast("decimal(20,0)")).alias("members"))
         kept = kinds.groupBy("size", "members").agg(F.min(F.struct(*_CELL)).alias("c")).select("c.*")
