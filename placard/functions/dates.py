@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 from placard.functions.text import collapse
 
 DAY_MS = 86_400_000
-_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+_MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+_BLANKS = " \t\n\x0b\f\r"
+
+#: A day of a month that has 31 at most; what may follow a date in ISO form.
+_ISO = r"^\s*(?!0000)\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?:[T ].*)?$"
+_PROSE = rf"(?i)^\s*({'|'.join(_MONTHS)})[a-z]*\.?\s*(0?[1-9]|[12]\d|3[01])(?:\s*,\s*|\s+)(?!0000)(\d{{4}})\s*$"
 
 # The patterns of dates in prose, and words that head a section.
 #: ``June 26 – September 12, 2026``: start, end (its month may be missing) and year.
@@ -25,28 +30,22 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
 
 
-def _day(year: Column, month: Column, day: Column) -> Column:
-    """A day past its month's end (up to 31) rolls over; other odd values give null."""
-    fits = month.between(1, 12) & day.between(1, 31) & year.between(1, 9999)
-    return F.when(fits, F.date_add(F.make_date(F.when(fits, year), F.when(fits, month), F.lit(1)), F.when(fits, day) - 1))
+def _day(month_start: Column, day: Column) -> Column:
+    """A day past its month's end rolls over."""
+    return F.date_add(month_start.try_cast("date"), day.try_cast("int") - 1)
 
 
 def lenient_date(text: Column) -> Column:
     """A date from ``YYYY-MM-DD`` (and what may follow after ``T`` or a blank) or ``Month d, yyyy``; else null.
 
     A month is told by its first three letters in any case; a full stop, blanks and the comma may vary. Ordinals
-    (``8th``) are no dates.
+    (``8th``) are no dates. A 31st of a shorter month is the first of the next.
     """
-    return bound(text, _lenient)
-
-
-def _lenient(text: Column) -> Column:
-    number = lambda pattern, group: F.regexp_extract(text, pattern, group).try_cast("int")
-    iso = r"^\s*(\d{4})-(\d{2})-(\d{2})(?:[T ].*)?$"
-    prose = r"^\s*([A-Za-z]{3,})\.?\s*(\d{1,2})(?:\s*,\s*|\s+)(\d{4})\s*$"
-    at = F.position(F.lower(F.substring(F.regexp_extract(text, prose, 1), 1, 3)), F.lit(_MONTHS))
-    month = F.when((at > 0) & (F.regexp_extract(text, prose, 1) != "") & ((at - 1) % 3 == 0), ((at - 1) / 3).cast("int") + 1)
-    return F.when(text.rlike(iso), _day(number(iso, 1), number(iso, 2), number(iso, 3))).when(text.rlike(prose), _day(number(prose, 3), month, number(prose, 2)))
+    bare = F.btrim(text, F.lit(_BLANKS))
+    part = lambda g: F.regexp_extract(text, _PROSE, g)
+    month = F.lpad(F.ceil(F.position(F.lower(part(1)), F.lit("".join(_MONTHS))) / 3).cast("string"), 2, "0")
+    plain = _day(F.concat(F.substring(bare, 1, 8), F.lit("01")), F.substring(bare, 9, 2))
+    return F.when(text.rlike(_ISO), plain).when(text.rlike(_PROSE), _day(F.concat(part(3), F.lit("-"), month, F.lit("-01")), part(2)))
 
 
 def iso(date: Column) -> Column:
@@ -110,6 +109,7 @@ def _entry(text: Column) -> dict[str, Column]:
 
 def through_date(text: Column, year: Column, now: Column) -> Column:
     """``through August 8th``: in ``year``, or the next if that is more than 60 days before ``now``."""
+    # Fixed value: the pattern.
     found = r"(?i)through\s+([A-Za-z]+)\s+(\d{1,2})(?:st|nd|rd|th)?"
     spelled = F.concat(F.regexp_extract(text, found, 1), F.lit(" "), F.regexp_extract(text, found, 2), F.lit(", "))
     this, later = (lenient_date(F.concat(spelled, y.cast("string"))) for y in (year, year + 1))
@@ -129,17 +129,14 @@ def _after_range(text: Column) -> Column:
 
 
 def millis(date: Column) -> Column:
-    """Milliseconds of a date's UTC midnight (the session's time zone must be UTC)."""
-    return F.unix_millis(date.cast("timestamp"))
+    """Milliseconds of a date's UTC midnight."""
+    return F.unix_date(date).cast("long") * DAY_MS
 
 
 def instant(text: Column) -> Column:
     """Milliseconds of an ISO timestamp, or of a date's midnight; null if it is neither."""
-    return bound(text, _instant)
-
-
-def _instant(text: Column) -> Column:
-    return F.coalesce(F.unix_millis(F.try_to_timestamp(F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d"), text))), millis(lenient_date(text)))
+    timed = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d"), text)
+    return F.coalesce(F.unix_millis(F.try_to_timestamp(timed)), millis(lenient_date(text)))
 
 
 def status(opens: Column, closes: Column, now: Column, days: int = 7) -> Column:
@@ -148,11 +145,7 @@ def status(opens: Column, closes: Column, now: Column, days: int = 7) -> Column:
     A show closes at the midnight that begins its closing date, and closes soon from ``days`` before, both
     included.
     """
-    return bound(F.struct(opens.alias("o"), (closes - now).alias("left")), lambda x: _status(x["o"], x["left"], now, days))
-
-
-def _status(opens: Column, left: Column, now: Column, days: int) -> Column:
-    return F.when(now < opens, "upcoming").when(left < 0, "closed").when(left <= days * DAY_MS, "closing_soon").otherwise("open")
+    return F.when(now < opens, "upcoming").when(closes < now, "closed").when(closes <= now + days * DAY_MS, "closing_soon").otherwise("open")
 
 
 def days_until(at: Column, now: Column) -> Column:
@@ -170,13 +163,23 @@ def current(opens: Column, closes: Column, now: Column, days: int = 120) -> Colu
     return F.when(F.coalesce(closes, F.lit("")) != "", closes >= today).otherwise(recent_or_future(instant(opens), now, days))
 
 
+def window_of(opens: Column, closes: Column, before: int = 14, after: int = 30) -> Column:
+    """A show's time as from and to (milliseconds), from ``before`` days ahead of it to ``after`` days past it; ``free``
+    if it has no dates. A missing side is open, an unreadable one null."""
+    present = lambda c: F.coalesce(c, F.lit("")) != ""
+    low = F.when(present(opens), instant(opens) - before * DAY_MS).otherwise(F.lit(-(1 << 62)))
+    high = F.when(present(closes), instant(closes) + after * DAY_MS).otherwise(F.lit(1 << 62))
+    return F.struct((~present(opens) & ~present(closes)).alias("free"), low.alias("from"), high.alias("to"))
+
+
+def within(at: Column, window: Column) -> Column:
+    """Whether an instant falls into a window; any does into a free one, and else none that is unknown."""
+    return window["free"] | F.coalesce((at >= window["from"]) & (at <= window["to"]), F.lit(False))
+
+
 def in_window(published: Column, opens: Column, closes: Column, before: int = 14, after: int = 30) -> Column:
-    """Whether an article of ISO time ``published`` falls into a show's time, from ``before`` days ahead of it to
-    ``after`` days past it. Without any dates it does; a missing side is open, an unreadable one never fits."""
-    at, present = instant(published), lambda c: F.coalesce(c, F.lit("")) != ""
-    low = ~present(opens) | (at >= instant(opens) - before * DAY_MS)
-    high = ~present(closes) | (at <= instant(closes) + after * DAY_MS)
-    return F.when(~present(opens) & ~present(closes), True).otherwise(F.coalesce(low & high & at.isNotNull(), F.lit(False)))
+    """Whether an article of ISO time ``published`` falls into a show's time."""
+    return within(instant(published), window_of(opens, closes, before, after))
 
 
 def recency_opacity(fetched: Column, now: Column) -> Column:

@@ -6,22 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from placard.functions.dates import in_window
+from placard.functions.dates import instant, window_of, within
 from placard.functions.text import contains_word, host_of, normalize_name, surname
 from placard.operators.gate import first_of_each
+from placard.session import small, written
 
 #: A surname needs more letters than this to count as a hit.
 SHORT_SURNAME = 2
+# Fixed value.
+#: Articles that are put to the adjudicator in one run.
+BATCH = 25
 
 
 def _haystacks(articles: DataFrame) -> DataFrame:
     text = F.concat_ws(" ", F.coalesce("headline", F.lit("")), F.coalesce("excerpt", F.lit("")))
-    return articles.select(F.col("id").alias("article_id"), "published", normalize_name(text).alias("hay"))
-
-
-def _words(hay: DataFrame) -> DataFrame:
-    return hay.select("article_id", F.explode(F.array_distinct(F.split("hay", " "))).alias("word")).filter("word <> ''")
+    return articles.select(F.col("id").alias("article_id"), instant(F.col("published")).alias("at"), normalize_name(text).alias("hay"))
 
 
 def _surnames(exhibitions: DataFrame) -> DataFrame:
@@ -30,37 +31,56 @@ def _surnames(exhibitions: DataFrame) -> DataFrame:
     return exhibitions.select(F.col("pos").alias("ex_pos"), "venue_id", F.explode(names).alias("word")).filter(F.length("word") > SHORT_SURNAME)
 
 
-def artist_hits(hay: DataFrame, exhibitions: DataFrame) -> DataFrame:
+def _names(venues: DataFrame) -> DataFrame:
+    return venues.select(F.col("id").alias("venue_id"), normalize_name(F.col("name")).alias("name")).filter("name <> ''")
+
+
+def _tokens(hay: DataFrame, *lists: DataFrame) -> DataFrame:
+    """article_id and word, of the words that one of the ``lists(word)`` has; all others go before anything is shuffled
+    (while the lists are small enough to be sent to every task)."""
+    known = lists[0].select("word")
+    for more in lists[1:]:
+        known = known.unionByName(more.select("word"))
+    known = written(known.distinct(), "words")
+    return hay.select("article_id", F.explode(F.array_distinct(F.split("hay", " "))).alias("word")).join(small(known), "word", "left_semi")
+
+
+def artist_hits(hay: DataFrame, exhibitions: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """article_id, ex_pos: an artist's surname stands in the article. A surname is one word, so words are joined."""
-    return _words(hay).join(_surnames(exhibitions), "word").select("article_id", "ex_pos").distinct()
+    names = _surnames(exhibitions)
+    return (tokens if tokens is not None else _tokens(hay, names)).join(names, "word").select("article_id", "ex_pos").distinct()
 
 
-def venue_hits(hay: DataFrame, venues: DataFrame) -> DataFrame:
+def venue_hits(hay: DataFrame, venues: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """article_id, venue_id: the venue's whole name stands in the article.
 
     Joined by the name's rarest word among the articles, then the whole name is looked for.
     """
-    words = _words(hay)
+    parts = _names(venues).withColumn("word", F.explode(F.array_distinct(F.split("name", " "))))
+    words = tokens if tokens is not None else _tokens(hay, parts)
     often = words.groupBy("word").agg(F.count("*").alias("often"))
-    names = venues.select(F.col("id").alias("venue_id"), normalize_name(F.col("name")).alias("name")).filter("name <> ''")
-    keys = names.withColumn("word", F.explode(F.array_distinct(F.split("name", " ")))).join(often, "word", "left").groupBy("venue_id", "name")
+    keys = parts.join(often, "word", "left").groupBy("venue_id", "name")
     keys = keys.agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), F.col("word"))).alias("k")).filter("k.often > 0").select("venue_id", "name", F.col("k.word").alias("word"))
-    return words.join(keys, "word").join(hay.select("article_id", "hay"), "article_id").filter(contains_word(F.col("hay"), F.col("name"))).select("article_id", "venue_id").distinct()
+    likely = words.join(keys, "word").groupBy("article_id").agg(F.collect_list(F.struct("venue_id", "name")).alias("likely"))  # at most one for a venue
+    named = F.filter("likely", lambda v: contains_word(F.col("hay"), v["name"]))
+    return hay.select("article_id", "hay").join(likely, "article_id").select("article_id", F.explode(named).alias("v")).select("article_id", "v.venue_id")
 
 
 def candidates(articles: DataFrame, exhibitions: DataFrame, venues: DataFrame) -> DataFrame:
     """article_id, ex_pos, venue_id, tier: 2 if venue and artist are named and the time fits, 3 if one is named."""
-    hay = _haystacks(articles)
-    shows = exhibitions.join(venues.select(F.col("id").alias("venue_id")), "venue_id", "left_semi").select(F.col("pos").alias("ex_pos"), "venue_id", "opens", "closes")
-    by_venue = venue_hits(hay, venues).join(shows.select("ex_pos", "venue_id"), "venue_id").select("article_id", "ex_pos", F.lit(True).alias("venue_hit"), F.lit(False).alias("artist_hit"))
-    by_artist = artist_hits(hay, exhibitions).select("article_id", "ex_pos", F.lit(False).alias("venue_hit"), F.lit(True).alias("artist_hit"))
+    hay = written(_haystacks(articles), "haystacks")
+    parts = _names(venues).select(F.explode(F.split("name", " ")).alias("word"))
+    tokens = written(_tokens(hay, _surnames(exhibitions), parts), "tokens")
+    shows = exhibitions.join(venues.select(F.col("id").alias("venue_id")), "venue_id", "left_semi").select(F.col("pos").alias("ex_pos"), "venue_id", window_of(F.col("opens"), F.col("closes")).alias("time"))
+    by_venue = venue_hits(hay, venues, tokens).join(shows.select("ex_pos", "venue_id"), "venue_id").select("article_id", "ex_pos", F.lit(True).alias("venue_hit"), F.lit(False).alias("artist_hit"))
+    by_artist = artist_hits(hay, exhibitions, tokens).select("article_id", "ex_pos", F.lit(False).alias("venue_hit"), F.lit(True).alias("artist_hit"))
     pairs = by_venue.unionByName(by_artist).groupBy("article_id", "ex_pos").agg(F.bool_or("venue_hit").alias("v"), F.bool_or("artist_hit").alias("a"))
-    full = pairs.join(shows, "ex_pos").join(hay.select("article_id", "published"), "article_id")
-    sure = F.col("v") & F.col("a") & in_window(F.col("published"), F.col("opens"), F.col("closes"))
+    full = pairs.join(shows, "ex_pos").join(hay.select("article_id", "at"), "article_id")
+    sure = F.col("v") & F.col("a") & within(F.col("at"), F.col("time"))
     return full.select("article_id", "ex_pos", "venue_id", F.when(sure, 2).otherwise(3).alias("tier"))
 
 
-def resolve(articles: DataFrame, exhibitions: DataFrame, venues: DataFrame, cache: DataFrame | None = None, adjudicate: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def resolve(articles: DataFrame, exhibitions: DataFrame, venues: DataFrame, cache: DataFrame | None = None, adjudicate: Callable[[DataFrame], DataFrame] | None = None, batch: int = BATCH) -> DataFrame:
     """``articles`` with exhibition_id, venue_ids, artist_names, link_confidence and outcome.
 
     All three tables have pos, their order. A host that is a venue's (the first such venue counts) decides alone if
@@ -70,7 +90,8 @@ def resolve(articles: DataFrame, exhibitions: DataFrame, venues: DataFrame, cach
     cached verdict, or the candidates' venues (0.3). Outcomes: tier1, tier2, tier3, llm, ambiguous, unlinked.
 
     ``cache(article_id, exhibition_id, confidence)`` has earlier verdicts; ``adjudicate`` may turn the waiting
-    (article_id, candidate_ids) without a verdict into more such rows.
+    (article_id, candidate_ids) without a verdict into more such rows. It gets the first ``batch`` of them by pos; the others
+    stay ambiguous until a later run, whose cache has the verdicts of this one.
     """
     own = first_of_each(venues.select("id", "pos", host_of(F.col("url")).alias("host")).filter("host IS NOT NULL"), "host").select("host", F.col("id").alias("host_venue"))
     shows = exhibitions.groupBy("venue_id").agg(F.count("*").alias("shows"), F.min("pos").alias("only_pos"))
@@ -78,14 +99,17 @@ def resolve(articles: DataFrame, exhibitions: DataFrame, venues: DataFrame, cach
     base = base.withColumn("shows", F.coalesce("shows", F.lit(0)))
     open_ = base.filter("host_venue IS NULL OR shows > 1")
     found = candidates(open_, exhibitions, venues).join(open_.select(F.col("id").alias("article_id"), "host_venue"), "article_id").filter("host_venue IS NULL OR host_venue = venue_id")
-    best = found.groupBy("article_id").agg(F.min("tier").alias("tier"))
-    found = found.join(best, ["article_id", "tier"])
+    best = F.min("tier").over(Window.partitionBy("article_id"))
+    found = written(found.withColumn("best", best).filter("tier = best").drop("best"), "candidates")
     summary = found.groupBy("article_id", "tier").agg(F.count("*").alias("n"), F.min("ex_pos").alias("first_pos"))
     venue_list = found.groupBy("article_id", "venue_id").agg(F.min("ex_pos").alias("p")).groupBy("article_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "venue_id"))), lambda s: s["venue_id"]).alias("named_venues"))
     facts = exhibitions.select(F.col("pos").alias("ex_pos"), F.col("id").alias("ex_id"), F.col("venue_id").alias("ex_venue"), F.coalesce("artists", F.array().cast("array<string>")).alias("ex_artists"))
     verdicts = cache if cache is not None else articles.sparkSession.createDataFrame([], "article_id string, exhibition_id string, confidence double")
     if adjudicate is not None:
-        waiting = found.join(facts, "ex_pos").join(verdicts, "article_id", "left_anti").groupBy("article_id").agg(F.array_sort(F.collect_set("ex_id")).alias("candidate_ids"))
+        lone = F.struct((F.col("tier") == 2).alias("sure"), (F.count("*").over(Window.partitionBy("article_id")) == 1).alias("only"))
+        open_cases = found.withColumn("lone", lone).filter("NOT (lone.sure AND lone.only)").join(verdicts, "article_id", "left_anti")
+        waiting = open_cases.join(facts, "ex_pos").groupBy("article_id").agg(F.array_sort(F.collect_set("ex_id")).alias("candidate_ids"))
+        waiting = waiting.join(articles.select(F.col("id").alias("article_id"), "pos"), "article_id").orderBy("pos", "article_id").limit(batch).drop("pos")
         verdicts = verdicts.unionByName(adjudicate(waiting))
     verdicts = verdicts.dropDuplicates(["article_id"]).select("article_id", F.col("exhibition_id").alias("said"), F.col("confidence").alias("said_confidence"), F.lit(True).alias("has_said"))
     agreed = found.join(facts, "ex_pos").join(verdicts, "article_id").filter("ex_id = said").groupBy("article_id").agg(F.min("ex_pos").alias("said_pos"))
@@ -114,9 +138,9 @@ def link_within_venue(articles: DataFrame, exhibitions: DataFrame) -> DataFrame:
     """For ``articles`` known to be about ``venue_id``: the one exhibition there whose artist they name in its time
     (confidence at least 0.85), else the venue alone. Adds exhibition_id and link_confidence."""
     hay = _haystacks(articles)
-    shows = exhibitions.select(F.col("pos").alias("ex_pos"), F.col("id").alias("exhibition_id"), "venue_id", "opens", "closes")
-    hits = artist_hits(hay, exhibitions).join(shows, "ex_pos").join(articles.select(F.col("id").alias("article_id"), "venue_id", "published"), ["article_id", "venue_id"])
-    hits = hits.filter(in_window(F.col("published"), F.col("opens"), F.col("closes"))).groupBy("article_id").agg(F.count("*").alias("n"), F.min("exhibition_id").alias("exhibition_id")).filter("n = 1")
+    shows = exhibitions.select(F.col("pos").alias("ex_pos"), F.col("id").alias("exhibition_id"), "venue_id", window_of(F.col("opens"), F.col("closes")).alias("time"))
+    hits = artist_hits(hay, exhibitions).join(shows, "ex_pos").join(articles.select(F.col("id").alias("article_id"), "venue_id", instant(F.col("published")).alias("at")), ["article_id", "venue_id"])
+    hits = hits.filter(within(F.col("at"), F.col("time"))).groupBy("article_id").agg(F.count("*").alias("n"), F.min("exhibition_id").alias("exhibition_id")).filter("n = 1")
     rows = articles.join(hits.select(F.col("article_id").alias("id"), "exhibition_id"), "id", "left")
     return rows.withColumn("link_confidence", F.when(F.col("exhibition_id").isNotNull(), F.greatest("link_confidence", F.lit(0.85))).otherwise(F.col("link_confidence")))
 

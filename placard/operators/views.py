@@ -40,7 +40,8 @@ def onsite(kind: Column) -> Column:
 
 def with_status(exhibitions: DataFrame, now: Column) -> DataFrame:
     """Exhibitions with their status at ``now`` (milliseconds) in place of the stored one."""
-    return exhibitions.withColumn("status", status(instant(F.col("opens")), instant(F.col("closes")), now))
+    rows = exhibitions.withColumns({"_opens": instant(F.col("opens")), "_closes": instant(F.col("closes"))})  # worked out once a row
+    return rows.withColumn("status", status(F.col("_opens"), F.col("_closes"), now)).drop("_opens", "_closes")
 
 
 def status_by_district(exhibitions: DataFrame, venues: DataFrame) -> DataFrame:

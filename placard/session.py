@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int = 8, app: str = "placard") -> SparkSession:
@@ -30,28 +32,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_fallback: dict[str, str] = {}
+_scratch: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (local tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base
-    app = spark.sparkContext.applicationId
-    if app not in _fallback:
-        _fallback[app] = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return _fallback[app]
+    """This application's folder below the one that all executors share, ``spark.checkpoint.dir``; it goes when the
+    application ends. Local sessions that name none have a temporary one; on a cluster there must be one."""
+    context = spark.sparkContext
+    app = context.applicationId
+    if app not in _scratch:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        _scratch[app] = f"{base.rstrip('/')}/placard-{app}-{uuid.uuid4().hex[:8]}"
+        folder, files = _hadoop(spark, _scratch[app])
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+    return _scratch[app]
+
+
+def _hadoop(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def clear_written(spark: SparkSession) -> None:
+    """Removes all that ``written`` has made so far; tables that read it can't be used any more."""
+    path = _scratch.pop(spark.sparkContext.applicationId, None)
+    if path:
+        folder, files = _hadoop(spark, path)
+        files.delete(folder, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage and outlives executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/placard-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int = 250_000) -> DataFrame:
+    """``df``, a written or stored table, as the side of a join: sent to every task up to ``most`` rows, else shuffled."""
+    return F.broadcast(df) if df.count() <= most else df.hint("merge")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
