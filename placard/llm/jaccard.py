@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -15,7 +16,7 @@ from placard.llm.components import components
 from placard.session import shuffle_partitions, written
 
 #: Counters that tell frequent shingles from rare ones, and how many of them one row carries.
-COUNTER_BITS, COUNTER_ROW = 20, 1 << 14
+COUNTER_BITS, COUNTER_ROW = 20, 1 << 12
 COUNTERS = 1 << COUNTER_BITS
 #: Prefix entries of a counter from which on its runs are dealt to several tasks.
 WIDE_ROWS = 4096
@@ -26,8 +27,8 @@ FEW_ROWS = 32
 #: Rows of ids or runs that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 250_000
 FANOUT = 8
-#: Bits of all bitmaps of a tree's level, and words that are compared at a time.
-LEVEL_BITS, COMPARED_WORDS = 1 << 24, 1 << 18
+#: Widths of bitmaps, as bits for each shingle of a set: of leaves, and at most; words that are compared at a time.
+LEAF_BITS, MOST_BITS, COMPARED_WORDS = 4, 128, 1 << 18
 
 
 @dataclass(frozen=True)
@@ -83,12 +84,33 @@ def counter_of(s: np.ndarray) -> np.ndarray:
 # The tree
 
 
+def unit_of(sizes: np.ndarray) -> np.ndarray:
+    """The power of two that a set's bitmaps are made for."""
+    return 1 << np.ceil(np.log2(np.maximum(sizes, 16))).astype(np.int64)
+
+
 def signature(s: np.ndarray) -> np.ndarray:
-    """The upper 32 bits of each shingle hash of a sorted set, once each: the bits that it has in bitmaps of any width."""
-    upper = (s >> np.uint64(32)).astype(np.uint32)
+    """Where a sorted set's shingles stand in a bitmap of ``MOST_BITS`` for each of them, once each, as upper bits of 32."""
+    low = 32 - int(MOST_BITS * unit_of(np.int64(len(s)))).bit_length() + 1
+    upper = (s >> np.uint64(32 + max(0, low))).astype(np.uint32)
     new = np.ones(len(upper), bool)
     new[1:] = upper[1:] != upper[:-1]
-    return upper[new]
+    return upper[new] << np.uint32(max(0, low))
+
+
+def packed_signature(sig: np.ndarray, n: int) -> bytes:
+    """The gaps of a signature in bytes; a gap of 255 or more has a byte 255 for each of these before its rest."""
+    low = max(0, 33 - int(MOST_BITS * unit_of(np.int64(n))).bit_length())
+    gaps = np.diff(sig >> np.uint32(low), prepend=np.uint32(0)).astype(np.int64)
+    out = np.full(int((gaps // 255 + 1).sum()), 255, np.uint8)
+    out[np.cumsum(gaps // 255 + 1) - 1] = gaps % 255
+    return out.tobytes()
+
+
+def unpacked_signature(packed: bytes, n: int) -> np.ndarray:
+    low = max(0, 33 - int(MOST_BITS * unit_of(np.int64(n))).bit_length())
+    flat = np.frombuffer(packed, np.uint8)
+    return np.cumsum(flat, dtype=np.uint32)[flat != 255] << np.uint32(low)
 
 
 def narrow_bitmap(sig: np.ndarray) -> np.ndarray:
@@ -97,6 +119,14 @@ def narrow_bitmap(sig: np.ndarray) -> np.ndarray:
     return _bitmaps(sig, np.zeros(len(sig), np.int64), 1, bits)[0]
 
 
+def _folded(bitmap: np.ndarray, words_: int) -> np.ndarray:
+    """The bitmap that half as many bits, or a quarter and so on, would have given: neighbouring bits become one."""
+    while len(bitmap) > words_:
+        flags = np.unpackbits(bitmap.view(np.uint8), bitorder="little").reshape(-1, 2).any(1)
+        bitmap = np.packbits(flags, bitorder="little").view(np.uint64)
+    return bitmap
+
+
 def few_candidates(bitmaps: list[np.ndarray], sizes: np.ndarray, left: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     """As ``candidates``, of few sets, which are compared pair by pair: a tree of leaves alone. Bitmaps of different widths
     meet at the narrower one."""
@@ -108,7 +138,7 @@ def few_candidates(bitmaps: list[np.ndarray], sizes: np.ndarray, left: np.ndarra
     keep = np.zeros(len(i), bool)
     for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
         words_ = min(len(bitmaps[a]), len(bitmaps[b]))
-        x, y = (np.bitwise_or.reduce(bitmaps[r].reshape(-1, words_), axis=0) for r in (a, b))
+        x, y = (_folded(bitmaps[r], words_) for r in (a, b))
         hidden = min(int(sizes[r]) - int(np.bitwise_count(z).sum()) for r, z in ((a, x), (b, y)))
         keep[k] = rule.links(int(np.bitwise_count(x & y).sum()) + hidden, sizes[a] + sizes[b])
     return i[keep], j[keep]
@@ -157,19 +187,18 @@ class SignatureTree:
 
 def level_bits(unit: int, h: int) -> int:
     """Width of a level's bitmaps: bits in common by chance grow with the square of what two nodes hold."""
-    nodes = max(1, 2 * BLOCK_ROWS // FANOUT**h)
-    return 1 << (min(4 * unit * FANOUT ** (2 * h), max(4 * unit, LEVEL_BITS // nodes)) - 1).bit_length()
+    return unit * min(LEAF_BITS * FANOUT ** (2 * h), MOST_BITS)
 
 
 def _bitmaps(places: np.ndarray, owner: np.ndarray, rows: int, bits: int) -> np.ndarray:
-    """Bitmaps of ``bits`` bits, as 64-bit words; ``owner`` is sorted and tells the row of each place."""
+    """Bitmaps of ``bits`` bits (a power of two), as 64-bit words; ``owner`` is sorted and tells the row of each place."""
     out = np.zeros((rows, bits // 64), np.uint64)
     step = max(1, (1 << 22) // bits)
     for a in range(0, rows, step):
         b = min(rows, a + step)
         i, j = np.searchsorted(owner, [a, b])
         flags = np.zeros((b - a) * bits, bool)
-        flags[(owner[i:j] - a) * bits + (places[i:j] & np.uint32(bits - 1))] = True
+        flags[(owner[i:j] - a) * bits + (places[i:j] >> np.uint32(33 - bits.bit_length()))] = True
         out[a:b] = np.packbits(flags, bitorder="little").view(np.uint64).reshape(b - a, -1)
     return out
 
@@ -228,7 +257,7 @@ def candidates(sigs: list[np.ndarray], sizes: np.ndarray, left: np.ndarray, rule
     ``left``: if it isn't the same for all, only pairs of a left and another row are looked at. Trees are made for the
     sets of each power of two in size, and neighbouring ones meet (sizes further apart never link at 0.5 or more).
     """
-    units = 1 << np.ceil(np.log2(np.maximum(sizes, 16))).astype(np.int64)
+    units = unit_of(sizes)
     both = left.all() or not left.any()
     found_i, found_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     steps = 2 if 2 * rule.num >= rule.den else 64
@@ -295,7 +324,7 @@ def _counters(docs: DataFrame, rule: Rule) -> np.ndarray:
 
     def rows(totals: dict[int, np.ndarray] | np.ndarray) -> pa.RecordBatch:
         found = [(c, x) for c, x in (totals.items() if isinstance(totals, dict) else enumerate(totals.reshape(-1, COUNTER_ROW))) if x.any()]
-        return pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int32()), pa.array([x.astype(np.int64).tobytes() for _, x in found], pa.binary())], ["row", "sums"])
+        return pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int32()), pa.array([zlib.compress(x.astype(np.int64).tobytes(), 1) for _, x in found], pa.binary())], ["row", "sums"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals, seen = np.zeros(COUNTERS, np.int64), set()
@@ -311,13 +340,13 @@ def _counters(docs: DataFrame, rule: Rule) -> np.ndarray:
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
             for c, sums in zip(batch.column("row").to_pylist(), batch.column("sums").to_pylist(), strict=True):
-                totals[c] = totals.get(c, 0) + np.frombuffer(sums, np.int64)
+                totals[c] = totals.get(c, 0) + np.frombuffer(zlib.decompress(sums), np.int64)
         yield rows(totals)
 
     sums = docs.select("text").mapInArrow(count, "row int, sums binary").repartition(shuffle_partitions(docs.sparkSession), "row").mapInArrow(add, "row int, sums binary")
     out = np.zeros((COUNTERS // COUNTER_ROW, COUNTER_ROW), np.int64)
     for r in sums.toPandas().itertuples():  # COUNTERS / COUNTER_ROW rows at most
-        out[r.row] = np.frombuffer(r.sums, np.int64)
+        out[r.row] = np.frombuffer(zlib.decompress(r.sums), np.int64)
     return out.ravel()
 
 
@@ -443,7 +472,7 @@ def _of_sets(docs: DataFrame, ids: DataFrame, few: bool, rule: Rule, made, schem
 def _signatures(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
     """id, n, sig and narrow (bitmap)."""
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("narrow", pa.binary())])
-    return _of_sets(docs, ids, ids.count() <= BROADCAST_IDS, rule, lambda i, s: {"id": i, "n": len(s), "sig": (own := signature(s)).tobytes(), "narrow": narrow_bitmap(own).tobytes()}, schema)
+    return _of_sets(docs, ids, ids.count() <= BROADCAST_IDS, rule, lambda i, s: {"id": i, "n": len(s), "sig": packed_signature(own := signature(s), len(s)), "narrow": narrow_bitmap(own).tobytes()}, schema)
 
 
 def _sets(docs: DataFrame, ids: DataFrame, rule: Rule, few: bool) -> DataFrame:
@@ -501,7 +530,7 @@ def _links(dealt: DataFrame, docs: DataFrame, ids: DataFrame, sigs: DataFrame, r
             return []
         root, sizes, left = np.array([r[2] for r in rows]), np.array([r[3] for r in rows]), np.array([bool(r[0]) for r in rows])
         if rows[0][4]:
-            i, j = candidates([np.frombuffer(r[5], np.uint32) for r in rows], sizes, left, rule)
+            i, j = candidates([unpacked_signature(r[5], r[3]) for r in rows], sizes, left, rule)
         else:
             i, j = few_candidates([np.frombuffer(r[5], np.uint64) for r in rows], sizes, left, rule)
         open_ = root[i] != root[j]
