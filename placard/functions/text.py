@@ -45,6 +45,19 @@ def feed_text(html: Column) -> Column:
     return _plain(F.regexp_replace(html, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1"), "", _FEED)
 
 
+# The entities that XML itself knows.
+_XML = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
+
+
+def xml_value(raw: Column) -> Column:
+    """What an XML element's raw content stands for: CDATA as it is written, else with XML's entities decoded."""
+    decoded = raw
+    for spelling, mark in _XML:
+        decoded = F.replace(decoded, F.lit(spelling), F.lit(mark))
+    cdata = r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$"
+    return F.when(raw.rlike(cdata), F.regexp_extract(raw, cdata, 1)).otherwise(decoded)
+
+
 def press_text(html: Column) -> Column:
     return _plain(html, "", _PRESS)
 
@@ -143,11 +156,13 @@ def absolute_url(base: Column, href: Column) -> Column:
 
 
 def hrefs(html: Column) -> Column:
+    # Fixed value: the pattern.
     return F.regexp_extract_all(html, F.lit(r"""(?i)<a\b[^>]*\bhref\s*=\s*["']([^"']+)["']"""), F.lit(1))
 
 
 def page_title(html: Column) -> Column:
     """The title element's text up to the first bar; null without one."""
+    # Fixed value: the pattern.
     raw = F.nullif(F.regexp_extract(html, r"(?i)<title[^>]*>([^<]*)</title>", 1), F.lit(""))
     return F.nullif(F.trim(F.split_part(page_text(raw), F.lit("|"), F.lit(1))), F.lit(""))
 

@@ -95,7 +95,7 @@ def bootstrap(current: DataFrame, now_iso: str, soon_days: int = 7) -> DataFrame
 
 def appended(log: DataFrame, fresh: DataFrame, now_iso: str, days: int = EVENT_WINDOW_DAYS) -> DataFrame:
     """The log without what is older than ``days``, and the fresh events whose key it lacks (the first of each key;
-    they are kept at any age). Order it by ts, then seq, when it is read."""
+    they are kept at any age). ``views.in_order(rows, "log")`` reads it."""
     now = F.unix_millis(F.lit(now_iso).cast("timestamp"))
     kept = log.filter(instant(F.col("ts")) >= now - days * DAY_MS).withColumn("key", F.concat_ws(":", *log_key()))
     first = Window.partitionBy("key").orderBy("seq", "id")

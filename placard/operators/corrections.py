@@ -56,3 +56,9 @@ def filled_spaces(venues: DataFrame, points: DataFrame) -> DataFrame:
         "spaces", lambda s, i: s.withField("lat", F.coalesce(s["lat"], point(i)["lat"])).withField("lng", F.coalesce(s["lng"], point(i)["lng"]))
     )
     return rows.withColumn("spaces", F.when(F.col("found").isNotNull(), spaces).otherwise(F.col("spaces"))).select(*venues.columns)
+
+
+def address_keys(places: DataFrame) -> DataFrame:
+    """address_key of everything that ``geocoded`` looks up for ``places(address)``: whole addresses and simplified ones."""
+    keys = F.array_compact(F.array(normalize_address(F.col("address")), normalize_address(simplify_address(F.col("address")))))
+    return places.select(F.explode(keys).alias("address_key")).distinct()

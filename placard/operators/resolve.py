@@ -80,6 +80,34 @@ def candidates(articles: DataFrame, exhibitions: DataFrame, venues: DataFrame) -
     return full.select("article_id", "ex_pos", "venue_id", F.when(sure, 2).otherwise(3).alias("tier"))
 
 
+def _found(articles: DataFrame, exhibitions: DataFrame, venues: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The articles with their host's venue, and the candidates of the best tier of those that it doesn't decide."""
+    own = first_of_each(venues.select("id", "pos", host_of(F.col("url")).alias("host")).filter("host IS NOT NULL"), "host").select("host", F.col("id").alias("host_venue"))
+    shows = exhibitions.groupBy("venue_id").agg(F.count("*").alias("shows"), F.min("pos").alias("only_pos"))
+    base = articles.withColumn("host", host_of(F.col("url"))).join(own, "host", "left").join(shows.withColumnRenamed("venue_id", "host_venue"), "host_venue", "left")
+    base = base.withColumn("shows", F.coalesce("shows", F.lit(0)))
+    open_ = base.filter("host_venue IS NULL OR shows > 1")
+    found = candidates(open_, exhibitions, venues).join(open_.select(F.col("id").alias("article_id"), "host_venue"), "article_id").filter("host_venue IS NULL OR host_venue = venue_id")
+    best = F.min("tier").over(Window.partitionBy("article_id"))
+    found = written(found.withColumn("best", best).filter("tier = best").drop("best"), "candidates")
+    return base, found
+
+
+def questions(articles: DataFrame, exhibitions: DataFrame, venues: DataFrame, cache: DataFrame, batch: int = BATCH) -> DataFrame:
+    """article_id, candidate_ids: what an adjudicator is asked in one run, the first ``batch`` open cases by pos without a
+    verdict in ``cache``; the others stay ambiguous until a later run."""
+    _, found = _found(articles, exhibitions, venues)
+    return _questions(articles, exhibitions, found, cache, batch)
+
+
+def _questions(articles: DataFrame, exhibitions: DataFrame, found: DataFrame, cache: DataFrame, batch: int) -> DataFrame:
+    only = F.count("*").over(Window.partitionBy("article_id")) == 1
+    open_ = found.withColumn("settled", only & (F.col("tier") == 2)).filter("NOT settled").join(cache, "article_id", "left_anti")
+    ids = exhibitions.select(F.col("pos").alias("ex_pos"), F.col("id").alias("ex_id"))
+    waiting = open_.join(ids, "ex_pos").groupBy("article_id").agg(F.array_sort(F.collect_set("ex_id")).alias("candidate_ids"))
+    return waiting.join(articles.select(F.col("id").alias("article_id"), "pos"), "article_id").orderBy("pos", "article_id").limit(batch).drop("pos")
+
+
 def resolve(articles: DataFrame, exhibitions: DataFrame, venues: DataFrame, cache: DataFrame | None = None, adjudicate: Callable[[DataFrame], DataFrame] | None = None, batch: int = BATCH) -> DataFrame:
     """``articles`` with exhibition_id, venue_ids, artist_names, link_confidence and outcome.
 
@@ -93,23 +121,13 @@ def resolve(articles: DataFrame, exhibitions: DataFrame, venues: DataFrame, cach
     (article_id, candidate_ids) without a verdict into more such rows. It gets the first ``batch`` of them by pos; the others
     stay ambiguous until a later run, whose cache has the verdicts of this one.
     """
-    own = first_of_each(venues.select("id", "pos", host_of(F.col("url")).alias("host")).filter("host IS NOT NULL"), "host").select("host", F.col("id").alias("host_venue"))
-    shows = exhibitions.groupBy("venue_id").agg(F.count("*").alias("shows"), F.min("pos").alias("only_pos"))
-    base = articles.withColumn("host", host_of(F.col("url"))).join(own, "host", "left").join(shows.withColumnRenamed("venue_id", "host_venue"), "host_venue", "left")
-    base = base.withColumn("shows", F.coalesce("shows", F.lit(0)))
-    open_ = base.filter("host_venue IS NULL OR shows > 1")
-    found = candidates(open_, exhibitions, venues).join(open_.select(F.col("id").alias("article_id"), "host_venue"), "article_id").filter("host_venue IS NULL OR host_venue = venue_id")
-    best = F.min("tier").over(Window.partitionBy("article_id"))
-    found = written(found.withColumn("best", best).filter("tier = best").drop("best"), "candidates")
+    base, found = _found(articles, exhibitions, venues)
     summary = found.groupBy("article_id", "tier").agg(F.count("*").alias("n"), F.min("ex_pos").alias("first_pos"))
     venue_list = found.groupBy("article_id", "venue_id").agg(F.min("ex_pos").alias("p")).groupBy("article_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "venue_id"))), lambda s: s["venue_id"]).alias("named_venues"))
     facts = exhibitions.select(F.col("pos").alias("ex_pos"), F.col("id").alias("ex_id"), F.col("venue_id").alias("ex_venue"), F.coalesce("artists", F.array().cast("array<string>")).alias("ex_artists"))
     verdicts = cache if cache is not None else articles.sparkSession.createDataFrame([], "article_id string, exhibition_id string, confidence double")
     if adjudicate is not None:
-        lone = F.struct((F.col("tier") == 2).alias("sure"), (F.count("*").over(Window.partitionBy("article_id")) == 1).alias("only"))
-        open_cases = found.withColumn("lone", lone).filter("NOT (lone.sure AND lone.only)").join(verdicts, "article_id", "left_anti")
-        waiting = open_cases.join(facts, "ex_pos").groupBy("article_id").agg(F.array_sort(F.collect_set("ex_id")).alias("candidate_ids"))
-        waiting = waiting.join(articles.select(F.col("id").alias("article_id"), "pos"), "article_id").orderBy("pos", "article_id").limit(batch).drop("pos")
+        waiting = _questions(articles, exhibitions, found, verdicts, batch)
         verdicts = verdicts.unionByName(adjudicate(waiting))
     verdicts = verdicts.dropDuplicates(["article_id"]).select("article_id", F.col("exhibition_id").alias("said"), F.col("confidence").alias("said_confidence"), F.lit(True).alias("has_said"))
     agreed = found.join(facts, "ex_pos").join(verdicts, "article_id").filter("ex_id = said").groupBy("article_id").agg(F.min("ex_pos").alias("said_pos"))

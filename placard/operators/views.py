@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from placard.functions.dates import DAY_MS, days_until, instant, status
+from placard.functions.dates import DAY_MS, days_until, instant, recency_opacity, status
 from placard.functions.geo import within_metres
 
 LAYERS = ("openings", "on_view", "closing", "institutions", "artist_run", "nexus", "press", "offsite", "dark", "coverage")
@@ -49,11 +49,11 @@ def status_by_district(exhibitions: DataFrame, venues: DataFrame) -> DataFrame:
     return rows.groupBy("district", "status").agg(F.count("*").alias("shows"))
 
 
-def coverage(venues: DataFrame, exhibitions: DataFrame) -> DataFrame:
-    """One row: venues by health (``suspect`` counts nowhere), and those without any exhibition."""
+def coverage(venues: DataFrame, exhibitions: DataFrame, *keys: str) -> DataFrame:
+    """Venues by health (``suspect`` counts nowhere), and those without any exhibition: one row, or one for each value of ``keys``."""
     shown = exhibitions.select(F.col("venue_id").alias("id"), F.lit(True).alias("shown")).distinct()
     health = F.col("status")
-    return venues.select("id", "status").join(shown, "id", "left").agg(
+    return venues.select("id", "status", *keys).join(shown, "id", "left").groupBy(*keys).agg(
         F.count_if(health == "ok").alias("live"), F.count_if(health == "stale").alias("stale"), F.count_if(F.col("shown").isNull()).alias("dark"),
         F.count_if(health == "blocked").alias("blocked"), F.count_if(health == "unknown").alias("no_adapter"),
     )
@@ -147,7 +147,7 @@ def search(venues: DataFrame, exhibitions: DataFrame, query: str) -> DataFrame:
 
 
 def ticker(events: DataFrame, exhibitions: DataFrame, venues: DataFrame, now: Column, reach: str = "7d") -> DataFrame:
-    """Events of a time range with a readable label ``venue — title``; order by ts descending to show them.
+    """Events of a time range with a readable label ``venue — title``; ``in_order(rows, "ticker")`` shows the newest first.
 
     ``events`` has id, ts, type, venue_id, exhibition_id, title, headline (of their payload).
     """
@@ -225,3 +225,69 @@ def point_features(rows: DataFrame) -> DataFrame:
     point = F.struct(F.lit("Point").alias("type"), F.array("lng", "lat").alias("coordinates"))
     feature = F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), F.struct("district", "score").alias("properties"))
     return rows.select("district", F.to_json(feature).alias("feature"))
+
+
+def line_features(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """id, other_id and a GeoJSON line between the venues of each of ``pairs(id, other_id, metres)``, with whole metres."""
+    at = lambda name: points.select(F.col("id").alias(name), F.array("lng", "lat").alias(f"{name}_at"))
+    rows = pairs.join(at("id"), "id").join(at("other_id"), "other_id")
+    line = F.struct(F.lit("LineString").alias("type"), F.array("id_at", "other_id_at").alias("coordinates"))
+    feature = F.struct(F.lit("Feature").alias("type"), line.alias("geometry"), F.struct(F.round("metres").cast("long").alias("distance")).alias("properties"))
+    return rows.select("id", "other_id", F.to_json(feature).alias("feature"))
+
+
+def marker_shows(exhibitions: DataFrame) -> DataFrame:
+    """venue_id, exhibition_id, status and fetched_at of the first onsite exhibition (by pos) of each venue, which its marker
+    stands for."""
+    rows = exhibitions.filter(onsite(F.col("kind"))).groupBy("venue_id").agg(F.min_by(F.struct("id", "status", "fetched_at"), "pos").alias("s"))
+    return rows.select("venue_id", F.col("s.id").alias("exhibition_id"), "s.status", "s.fetched_at")
+
+
+# Shapes of markers by kind of venue (a square for any other).
+MARKER_SHAPES = {"museum": "diamond", "institution": "diamond", "artist_run": "circle", "nonprofit": "circle", "fair_site": "triangle"}
+
+
+def markers(venues: DataFrame, exhibitions: DataFrame, now: Column) -> DataFrame:
+    """id, colour, shape, size in pixels and opacity of every venue's marker."""
+    rows = venues.select("id", "kind").join(marker_shows(exhibitions).withColumnRenamed("venue_id", "id"), "id", "left")
+    return rows.select(
+        "id", marker_colour(F.coalesce("status", F.lit(""))).alias("colour"), _one_of(MARKER_SHAPES, F.col("kind"), F.lit("square")).alias("shape"),
+        F.when(F.col("kind") == "museum", 14).otherwise(10).alias("size"), F.when(F.col("exhibition_id").isNotNull(), recency_opacity(instant(F.col("fetched_at")), now)).otherwise(0.5).alias("opacity"),
+    )
+
+
+def visible_nexus(nexus: DataFrame, layers: list[str]) -> DataFrame:
+    """The nexus with coordinates while their layer is active, else none."""
+    return nexus.filter(F.lit("nexus" in layers) & F.col("lat").isNotNull() & F.col("lng").isNotNull())
+
+
+def manual_status(venues: DataFrame, records: DataFrame) -> DataFrame:
+    """venue_id, name, records: venues kept by hand that have records, the most first."""
+    counts = records.groupBy("venue_id").agg(F.count("*").alias("records"))
+    names = venues.select(F.col("id").alias("venue_id"), "name")
+    return in_order(counts.join(names, "venue_id", "left").select("venue_id", "name", "records"), "records")
+
+
+def fingerprints(sites: DataFrame, now_iso: str) -> dict[str, DataFrame]:
+    """Of ``sites(id, url, notes, platform, signature, blocked)``: ``counts`` of platforms (the most first), ``blocked`` and
+    ``without_url``, and ``noted``: the notes with what was found appended."""
+    has = F.coalesce("url", F.lit("")) != ""
+    seen = sites.filter(has & ~F.col("blocked"))
+    found = F.when(has & ~F.col("blocked"), F.concat(F.lit(f"Fingerprint ({now_iso[:10]}): "), "platform", F.lit(" — "), "signature", F.lit(".")))
+    notes = F.concat_ws("\n\n", F.nullif("notes", F.lit("")), found)
+    return {
+        "counts": in_order(seen.groupBy("platform").agg(F.count("*").alias("sites")), "sites"), "blocked": sites.filter("blocked").select("id", "url"),
+        "without_url": sites.filter(~has).select("id"), "noted": sites.select("id", F.when(found.isNotNull(), notes).otherwise(F.col("notes")).alias("notes")),
+    }
+
+
+# How rows are shown: columns that order them, and whether they fall.
+_ORDERS = {
+    "log": [("ts", False), ("seq", False), ("id", False)], "ticker": [("ts", True), ("id", False)], "neighbours": [("metres", False), ("other_id", False)],
+    "confidence": [("confidence", False), ("id", False)], "records": [("records", True), ("venue_id", False)], "sites": [("sites", True), ("platform", False)],
+}
+
+
+def in_order(rows: DataFrame, what: str) -> DataFrame:
+    """Rows in the order that they are shown in: ``log``, ``ticker``, ``neighbours``, ``confidence``, ``records`` or ``sites``."""
+    return rows.orderBy(*(F.col(c).desc() if falls else F.col(c).asc() for c, falls in _ORDERS[what]))

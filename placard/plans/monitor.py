@@ -88,10 +88,10 @@ class Monitor:
     def neighbours(self, venue_id: str, metres: float = 400) -> DataFrame:
         points = self.venues.select("id", "lat", "lng")
         opened = views.open_venues(self.shows).withColumnRenamed("venue_id", "id")
-        return views.within_metres(points.filter(F.col("id") == venue_id), points.join(opened, "id", "left_semi"), metres)
+        return views.in_order(views.within_metres(points.filter(F.col("id") == venue_id), points.join(opened, "id", "left_semi"), metres), "neighbours")
 
     def ticker(self, reach: str = "7d") -> DataFrame:
-        return views.ticker(self.events, self.exhibitions, self.venues, self.now, reach)
+        return views.in_order(views.ticker(self.events, self.exhibitions, self.venues, self.now, reach), "ticker")
 
     def dossier(self, venue_id: str) -> DataFrame:
         return views.about_selection(self.articles, self.exhibitions, venue_id)

@@ -12,7 +12,8 @@ from placard.functions.geo import haversine
 from placard.operators import changes, corrections, gate, resolve, views
 from placard.plans import stand_ins as st
 from placard.session import table
-from placard.sources.pages import platform
+from placard.sources import feeds
+from placard.sources.pages import platform, robots_allow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -129,26 +130,22 @@ def ticker(s, d):
     return views.ticker(_log(s, d), st.shows(s, d), st.venues(s, d), _now(st.EVENTS_NOW))
 
 
-@query(_with("""SELECT coalesce(a.venue_id, b.venue_id) AS venue_id, coalesce(had, 0) AS had, coalesce(got, 0) AS got, coalesce(matches, 0) AS matches,
- CASE WHEN coalesce(had, 0) = 0 THEN 'ok' WHEN coalesce(got, 0) = 0 THEN 'emptied' WHEN coalesce(matches, 0) < 3 THEN 'ok' WHEN moved THEN 'dates_shifted' WHEN retitled THEN 'retitled' ELSE 'ok' END AS verdict
- FROM (SELECT venue_id, count(*) AS had FROM before GROUP BY ALL) a FULL JOIN (SELECT venue_id, count(*) AS got FROM after GROUP BY ALL) b ON a.venue_id = b.venue_id
- LEFT JOIN (SELECT n.venue_id, count(*) AS matches, bool_and(n.opens IS DISTINCT FROM o.opens OR n.closes IS DISTINCT FROM o.closes) AS moved, bool_and(n.title IS DISTINCT FROM o.title) AS retitled
-  FROM after n JOIN before o ON n.venue_id = o.venue_id AND n.source_url = o.source_url GROUP BY n.venue_id) m ON m.venue_id = coalesce(a.venue_id, b.venue_id)"""))
+@query(_with("SELECT * FROM judged"))
 def gate_verdicts(s, d):
     shows = _shows(s, d)
     return gate.verdicts(st.after(shows), st.before(shows))
 
 
-@query(_with("""SELECT venue_id, id, title, closes FROM after UNION ALL SELECT venue_id, id, title, closes FROM before WHERE venue_id NOT IN (SELECT venue_id FROM after)"""))
+@query(_with("""SELECT venue_id, id, title, closes FROM after WHERE venue_id IN (SELECT venue_id FROM judged WHERE verdict = 'ok')
+ UNION ALL SELECT venue_id, id, title, closes FROM before WHERE venue_id IN (SELECT venue_id FROM judged WHERE verdict <> 'ok')"""))
 def gate_published(s, d):
     shows = _shows(s, d)
     new, old = (f(shows).select("venue_id", "id", "title", "closes", "opens", "source_url", "pos") for f in (st.after, st.before))
     return gate.published(new, old, gate.verdicts(new, old)).select("venue_id", "id", "title", "closes")
 
 
-@query(_with("""SELECT v.id AS venue_id, CASE WHEN b.had > 0 AND a.got IS NULL THEN consecutive_failures + 1 WHEN b.had > 0 OR a.got > 0 THEN 0 ELSE consecutive_failures END AS consecutive_failures,
- CASE WHEN b.had > 0 AND a.got IS NULL THEN CASE WHEN consecutive_failures >= 2 THEN 'stale' ELSE 'suspect' END WHEN b.had > 0 OR a.got > 0 THEN 'ok' ELSE status END AS status
- FROM venues v LEFT JOIN (SELECT venue_id, count(*) AS had FROM before GROUP BY ALL) b ON b.venue_id = v.id LEFT JOIN (SELECT venue_id, count(*) AS got FROM after GROUP BY ALL) a ON a.venue_id = v.id"""))
+@query(_with("""SELECT v.id AS venue_id, CASE WHEN verdict <> 'ok' THEN consecutive_failures + 1 WHEN verdict = 'ok' THEN 0 ELSE consecutive_failures END AS consecutive_failures,
+ CASE WHEN verdict <> 'ok' THEN CASE WHEN consecutive_failures >= 2 THEN 'stale' ELSE 'suspect' END WHEN verdict = 'ok' THEN 'ok' ELSE status END AS status FROM venues v LEFT JOIN judged j ON j.venue_id = v.id"""))
 def gate_health(s, d):
     shows = _shows(s, d)
     none = F.lit(None).cast("string")
@@ -159,7 +156,7 @@ def gate_health(s, d):
 _CHANGES = """SELECT exhibition_id, venue_id, unnest(types) AS type FROM (SELECT n.id AS exhibition_id, n.venue_id, list_filter([
   CASE WHEN o.id IS NULL THEN 'ANNOUNCED' END, CASE WHEN o.status <> 'open' AND n.status = 'open' THEN 'OPENED' END, CASE WHEN o.status <> 'closing_soon' AND n.status = 'closing_soon' THEN 'CLOSING_SOON' END,
   CASE WHEN o.status <> 'closed' AND n.status = 'closed' THEN 'CLOSED' END, CASE WHEN n.closes > o.closes THEN 'EXTENDED' END, CASE WHEN o.images = 0 AND n.images > 0 THEN 'DOCUMENTATION_POSTED' END,
-  CASE WHEN o.release = '' AND n.release <> '' THEN 'PRESS_RELEASE_POSTED' END], lambda x: x IS NOT NULL) AS types FROM after n LEFT JOIN before o ON o.id = n.id)
+  CASE WHEN o.release = '' AND n.release <> '' THEN 'PRESS_RELEASE_POSTED' END, CASE WHEN o.works = 0 AND n.works > 0 THEN 'CHECKLIST_POSTED' END], lambda x: x IS NOT NULL) AS types FROM after n LEFT JOIN before o ON o.id = n.id)
  UNION ALL SELECT NULL, id, 'VENUE_DARK' FROM venues WHERE id NOT IN (SELECT venue_id FROM after) AND id IN (SELECT venue_id FROM before)"""
 
 
@@ -190,7 +187,7 @@ def event_log(s, d):
 
 
 def _resolved(s: SparkSession, d: str) -> DataFrame:
-    rows = resolve.resolve(st.articles(s, d), st.press_shows(s, d), st.press_venues(s, d))
+    rows = resolve.resolve(st.articles(s, d), st.press_shows(s, d), st.press_venues(s, d), st.verdicts(s, d))
     return rows.select("id", "exhibition_id", F.array_join("venue_ids", ",").alias("venue_ids"), F.array_join("artist_names", ",").alias("artist_names"), "link_confidence", "outcome")
 
 
@@ -208,7 +205,7 @@ def resolution_stats(s, d):
  SELECT count(*) AS total, count(*) FILTER (list_contains(string_split(venue_ids, ','), known)) AS correct,
  count(*) FILTER (venue_ids <> '' AND NOT list_contains(string_split(venue_ids, ','), known)) AS wrong, count(*) FILTER (venue_ids = '') AS no_guess FROM resolved JOIN truth USING (id)""")
 def resolution_validation(s, d):
-    rows = resolve.resolve(st.articles(s, d), st.press_shows(s, d), st.press_venues(s, d))
+    rows = resolve.resolve(st.articles(s, d), st.press_shows(s, d), st.press_venues(s, d), st.verdicts(s, d))
     truth = table(s, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.concat(F.lit("b"), (F.col("doc_id") % 40)).alias("venue_id"))
     return resolve.validation(rows, truth)
 
@@ -225,7 +222,7 @@ def review_unhealthy(s, d):
 
 @query(f"WITH {st.PRESS}, n AS (SELECT r.id, unnest(string_split(venue_ids, ',')) AS v, generate_subscripts(string_split(venue_ids, ','), 1) AS p FROM resolved r WHERE exhibition_id IS NULL AND venue_ids <> '') SELECT n.id, string_agg(name, ', ' ORDER BY p) AS venue_names FROM n JOIN press_venues v ON v.id = n.v GROUP BY n.id")
 def review_unsettled(s, d):
-    rows = resolve.resolve(st.articles(s, d), st.press_shows(s, d), st.press_venues(s, d))
+    rows = resolve.resolve(st.articles(s, d), st.press_shows(s, d), st.press_venues(s, d), st.verdicts(s, d))
     return views.unsettled(rows, st.press_venues(s, d)).select("id", "venue_names")
 
 
@@ -281,20 +278,48 @@ def page_texts(s, d):
     return table(s, d, "pages").select("page_id", F.md5(text.page_text(F.col("html")).cast("binary")).alias("digest"))
 
 
+_LINKED = """html || '<a href="https://www.ext' || CAST(page_id % 7 AS STRING) || '.org/a' || CASE WHEN page_id % 3 = 0 THEN '.pdf' ELSE '' END || '">'"""
 _HOST = "lower(regexp_extract({}, '^[A-Za-z][A-Za-z0-9+.-]*://(?:www\\.)?([^/?#:]+)', 1))"
 
 
-@query(f"""SELECT page_id, link, {_HOST.format("link")} AS host FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '(?i)<a\\b[^>]*\\bhref\\s*=\\s*["'']([^"'']+)["'']', 1)) AS link FROM pages)
+@query(f"""SELECT page_id, link, {_HOST.format("link")} AS host FROM (SELECT page_id, url, unnest(regexp_extract_all({_LINKED.replace("STRING", "VARCHAR")}, '(?i)<a\\b[^>]*\\bhref\\s*=\\s*["'']([^"'']+)["'']', 1)) AS link FROM pages)
  WHERE regexp_matches(link, '(?i)^https?://') AND {_HOST.format("link")} <> {_HOST.format("url")} AND NOT regexp_matches(link, '(?i)\\.pdf([?#]|$)')""")
 def outbound_links(s, d):
-    rows = table(s, d, "pages").select("page_id", text.host_of(F.col("url")).alias("own"), F.explode(text.hrefs(F.col("html"))).alias("link"))
+    rows = table(s, d, "pages").select("page_id", text.host_of(F.col("url")).alias("own"), F.explode(text.hrefs(F.expr(_LINKED))).alias("link"))
     return rows.filter(text.outbound(F.col("link"), F.col("own"))).select("page_id", "link", text.host_of(F.col("link")).alias("host"))
 
 
-@query("""SELECT CASE WHEN regexp_matches(html, '(?i)wp-content') THEN 'wordpress' WHEN regexp_matches(html, '__NEXT_DATA__') THEN 'nextdata' ELSE 'sitemap' END AS platform, count(*) AS sites FROM pages GROUP BY ALL""")
+_SIGNED = """html || CASE page_id % 11 WHEN 0 THEN 'cdn.sanity.io' WHEN 1 THEN 'x.artlogic.net' WHEN 2 THEN 'ExhibiteGallery' WHEN 3 THEN '/wp-json/' WHEN 4 THEN '/wp-content/' WHEN 5 THEN '__NEXT_DATA__'
+ WHEN 6 THEN '<script type="application/ld+json">{"@type": "ExhibitionEvent"}' WHEN 7 THEN 'static1.sqsp' ELSE '' END"""
+
+
+@query(f"""SELECT CASE WHEN regexp_matches(h, '(?i)cdn\\.sanity\\.io|apicdn\\.sanity\\.io') THEN 'sanity' WHEN regexp_matches(h, '(?i)artlogic\\.net') THEN 'artlogic' WHEN regexp_matches(h, '(?i)exhibit-e|exhibitegallery') THEN 'exhibite'
+ WHEN (regexp_matches(h, '(?i)wp-content|wp-json|wp-includes') OR page_id % 22 = 9) AND (page_id % 4 = 1 OR regexp_matches(h, '(?i)wp-content')) THEN 'wordpress' WHEN regexp_matches(h, '__NEXT_DATA__|"buildId"\\s*:') THEN 'nextdata'
+ WHEN regexp_matches(h, '(?i)<script[^>]+type=["'']application/ld\\+json["'']') AND regexp_matches(h, '(?i)"@type"\\s*:\\s*"(Event|ExhibitionEvent)"') THEN 'jsonld'
+ WHEN regexp_matches(h, '(?i)squarespace-cdn|static1\\.sqsp') OR page_id % 11 = 8 THEN 'squarespace' ELSE 'sitemap' END AS platform, count(*) AS sites FROM (SELECT page_id, {_SIGNED} AS h FROM pages) GROUP BY ALL""")
 def platforms(s, d):
-    none = F.lit(None).cast("string")
-    return table(s, d, "pages").groupBy(platform(F.col("html"), none, none, F.lit(False)).alias("platform")).agg(F.count("*").alias("sites"))
+    server = F.when(F.col("page_id") % 11 == 8, "Squarespace")
+    made_by = F.when(F.col("page_id") % 22 == 9, "PHP, WordPress 6")
+    rows = table(s, d, "pages").select(platform(F.expr(_SIGNED), server, made_by, F.col("page_id") % 4 == 1).alias("platform"))
+    return views.in_order(rows.groupBy("platform").agg(F.count("*").alias("sites")), "sites")
+
+
+@query("""SELECT 'article-o-' || left(sha1('https://f.org/?a=' || page_id || '&b=1'), 12) AS id, 'Out' AS outlet, 'P & ' || page_id AS headline, 'https://f.org/?a=' || page_id || '&b=1' AS url, 'Text & ' || page_id AS excerpt,
+ '2024-06-' || lpad(CAST(1 + page_id % 28 AS VARCHAR), 2, '0') || CASE WHEN page_id % 2 = 0 THEN 'T15:00:00.000Z' ELSE 'T10:00:00.000Z' END AS published, CASE WHEN page_id % 3 = 0 THEN 'A. Writer' END AS byline FROM pages""")
+def feed_items(s, d):
+    """One feed with an item for each page, written as feeds usually are: entities in addresses, escaped markup, zone names."""
+    item = """'<item><title>P &amp;amp; ' || page_id || '</title><link>https://f.org/?a=' || page_id || '&amp;b=1</link><pubDate>Sat, ' || (1 + page_id % 28) || ' Jun 2024 10:00:00 ' || CASE WHEN page_id % 2 = 0 THEN 'EST' ELSE 'GMT' END
+ || '</pubDate>' || CASE WHEN page_id % 3 = 0 THEN '<dc:creator><![CDATA[A. Writer]]></dc:creator>' ELSE '' END || '<description>&lt;p&gt;Text &amp;amp; ' || page_id || '&lt;/p&gt;</description></item>'"""
+    # One landed body for each page, as a feed of its own address; the outlet's address differs by page too.
+    bodies = table(s, d, "pages").select(F.expr("'https://f.org/rss/' || page_id").alias("url"), F.lit(200).alias("status"), F.concat(F.lit("<rss><channel>"), F.expr(item), F.lit("</channel></rss>")).alias("body"))
+    outlets = bodies.select(F.lit("o").alias("id"), F.lit("Out").alias("name"), F.col("url").alias("rss_url"), F.lit("ok").alias("status"))
+    return feeds.feed_articles(outlets, bodies, st.NOW).select("id", "outlet", "headline", "url", "excerpt", "published", "byline")
+
+
+@query("""SELECT page_id, page_id % 4 <> 0 AS allowed FROM pages""")
+def robots_verdicts(s, d):
+    texts = "CASE page_id % 4 WHEN 0 THEN 'User-agent: other\nDisallow:\nUser-agent: *\nDisallow: /' WHEN 1 THEN 'User-agent: other\nDisallow: /' WHEN 2 THEN 'user-agent: *\r\nAllow: /x\nDisallow:\nDisallow: /' END"
+    return table(s, d, "pages").select("page_id", robots_allow(F.expr(texts)).alias("allowed"))
 
 
 @query(r"""SELECT doc_id, md5(trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g'))) AS name_digest, string_split(trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')), ' ')[-1] AS surname FROM documents""")
@@ -310,6 +335,19 @@ def dates_in_prose(s, d):
     return rows.select("o_orderkey", dates.iso(dates.lenient_date(F.col("a"))).alias("opens"), dates.iso(dates.lenient_date(F.col("b"))).alias("closes"))
 
 
+@query("""SELECT o_orderkey, strftime(make_date(CAST(year(c) AS INTEGER), CAST(month(o) AS INTEGER), CAST(day(o) AS INTEGER)), '%Y-%m-%d') AS opens, strftime(c, '%Y-%m-%d') AS closes,
+ strftime(CASE WHEN year(c) > year(o) THEN make_date(CAST(year(o) AS INTEGER), CAST(month(o) AS INTEGER), CAST(day(o) AS INTEGER)) ELSE o END, '%Y-%m-%d') AS strict_opens, 'then it rains' AS after
+ FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS o, CAST(o_orderdate AS DATE) + 20 AS c FROM orders) WHERE NOT (month(o) = 2 AND day(o) = 29)""")
+def ranges_in_prose(s, d):
+    """Ranges written out in a sentence and read back: both ends in the year at the end, or the opening in its own."""
+    day = F.col("o_orderdate").cast("date")
+    rows = table(s, d, "orders").filter(~((F.month(day) == 2) & (F.dayofmonth(day) == 29)))
+    said = F.concat(F.lit("On view: "), F.date_format(day, "MMMM d"), F.lit(" – "), F.date_format(F.date_add(day, 20), "MMMM d, yyyy"), F.lit(" then it rains"))
+    rows = rows.select("o_orderkey", said.alias("t"))
+    (opens, closes), strict = dates.range_in_prose(F.col("t")), dates.range_in_prose(F.col("t"), strict_year=True)[0]
+    return rows.select("o_orderkey", opens.alias("opens"), closes.alias("closes"), strict.alias("strict_opens"), dates.excerpt_after_range(F.col("t")).alias("after"))
+
+
 @query("""SELECT o_orderkey, 'ex-c' || o_custkey || '-' || left(sha1(CASE WHEN o_orderstatus = 'P' THEN 'c' || o_custkey || ':Show ' || o_orderkey ELSE 'https://show.org/' || o_orderkey END), 10) AS id,
  'article-' || o_orderstatus || '-' || left(sha1('https://show.org/' || o_orderkey), 12) AS article_id FROM orders""")
 def stable_ids(s, d):
@@ -335,13 +373,19 @@ def distances(s, d):
     return st.venues(s, d).select("id", F.round(far, 3).alias("metres"), (F.col("lat").between(40.71, 40.8) & F.col("lng").between(-74, -73.98)).alias("in_view"))
 
 
+@query(_with("""SELECT v.id, CASE WHEN s.status = 'closing_soon' THEN 'red' WHEN s.status IN ('open', 'upcoming') THEN 'orange' ELSE 'dim' END AS colour,
+ CASE WHEN kind IN ('museum', 'institution') THEN 'diamond' WHEN kind IN ('artist_run', 'nonprofit') THEN 'circle' WHEN kind = 'fair_site' THEN 'triangle' ELSE 'square' END AS shape, CASE WHEN kind = 'museum' THEN 14 ELSE 10 END AS size
+ FROM venues v LEFT JOIN (SELECT venue_id, arg_min(status, pos) AS status FROM shows WHERE kind <> 'offsite' GROUP BY venue_id) s ON s.venue_id = v.id"""))
+def markers(s, d):
+    return views.markers(st.venues(s, d), _shows(s, d), _now()).select("id", "colour", "shape", "size")
+
+
 @query(_with("SELECT kind, count(*) AS venues FROM venues GROUP BY ALL"))
 def venues_by_kind(s, d):
     return st.venues(s, d).groupBy("kind").agg(F.count("*").alias("venues"))
 
 
-@query(_with("SELECT venue_id, count(*) AS records FROM shows WHERE state = 'F' GROUP BY ALL"))
+@query(_with("SELECT venue_id, v.name, count(*) AS records FROM shows s LEFT JOIN venues v ON v.id = s.venue_id WHERE state = 'F' GROUP BY ALL"))
 def manual_records(s, d):
-    """Venues that have hand-entered records, and how many."""
-    by_hand = st.shows(s, d).filter("state = 'F'").groupBy("venue_id").agg(F.count("*").alias("records"))
-    return st.venues(s, d).select(F.col("id").alias("venue_id")).join(by_hand, "venue_id").select("venue_id", "records")
+    """Venues that have hand-entered records, and how many, the most first."""
+    return views.manual_status(st.venues(s, d), st.shows(s, d).filter("state = 'F'"))

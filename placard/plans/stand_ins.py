@@ -38,10 +38,16 @@ CATALOGUE = f"""
 venues AS ({sql(VENUE, _CUSTOMERS)}),
 shows0 AS ({sql(SHOW, "orders")}),
 shows AS (SELECT *, {_STATUS} AS status FROM shows0),
-before AS (SELECT * REPLACE (CASE WHEN pos % 7 = 3 THEN 'open' ELSE status END AS status), pos % 5 AS images, CASE WHEN pos % 9 = 0 THEN '' ELSE 'r' END AS release
+before AS (SELECT * REPLACE (CASE pos % 7 WHEN 3 THEN 'open' WHEN 5 THEN 'upcoming' ELSE status END AS status), pos % 5 AS images, pos % 6 AS works, CASE WHEN pos % 9 = 0 THEN '' ELSE 'r' END AS release
            FROM shows WHERE opens < '2000-01-01'),
-after AS (SELECT * REPLACE (CASE WHEN pos % 13 = 1 THEN CAST(CAST(closes AS DATE) + 3 AS VARCHAR) ELSE closes END AS closes), pos % 4 AS images, 'r' AS release
-          FROM shows WHERE state <> 'P')
+after AS (SELECT * REPLACE (CASE WHEN pos % 13 = 1 OR CAST(substr(venue_id, 2) AS BIGINT) % 11 = 2 THEN CAST(CAST(closes AS DATE) + 3 AS VARCHAR) ELSE closes END AS closes,
+           CASE WHEN CAST(substr(venue_id, 2) AS BIGINT) % 11 = 3 THEN title || '!' ELSE title END AS title), pos % 4 AS images, pos % 4 AS works, 'r' AS release
+          FROM shows WHERE state <> 'P'),
+judged AS (SELECT coalesce(a.venue_id, b.venue_id) AS venue_id, coalesce(had, 0) AS had, coalesce(got, 0) AS got, coalesce(matches, 0) AS matches,
+ CASE WHEN coalesce(had, 0) = 0 THEN 'ok' WHEN coalesce(got, 0) = 0 THEN 'emptied' WHEN coalesce(matches, 0) < 3 THEN 'ok' WHEN moved THEN 'dates_shifted' WHEN retitled THEN 'retitled' ELSE 'ok' END AS verdict
+ FROM (SELECT venue_id, count(*) AS had FROM before GROUP BY ALL) a FULL JOIN (SELECT venue_id, count(*) AS got FROM after GROUP BY ALL) b ON a.venue_id = b.venue_id
+ LEFT JOIN (SELECT n.venue_id, count(*) AS matches, bool_and(n.opens IS DISTINCT FROM o.opens OR n.closes IS DISTINCT FROM o.closes) AS moved, bool_and(n.title IS DISTINCT FROM o.title) AS retitled
+  FROM after n JOIN before o ON n.venue_id = o.venue_id AND n.source_url = o.source_url GROUP BY n.venue_id) m ON m.venue_id = coalesce(a.venue_id, b.venue_id))
 """
 
 
@@ -55,21 +61,28 @@ def shows(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("artists", F.array("artist")).drop("artist")
 
 
-def _images(rows: DataFrame, count: Column) -> DataFrame:
-    return rows.withColumn("image_urls", F.when(count > 0, F.array_repeat(F.lit("i"), count.cast("int"))).otherwise(F.array().cast("array<string>"))).withColumn("works", F.array().cast("array<string>"))
+def _listed(count: Column) -> Column:
+    return F.when(count > 0, F.array_repeat(F.lit("i"), count.cast("int"))).otherwise(F.array().cast("array<string>"))
+
+
+def _images(rows: DataFrame, images: Column, works: Column) -> DataFrame:
+    return rows.withColumns({"image_urls": _listed(images), "works": _listed(works)})
 
 
 def before(with_status: DataFrame) -> DataFrame:
     rows = with_status.filter("opens < '2000-01-01'")
-    rows = rows.withColumns({"status": F.when(F.col("pos") % 7 == 3, "open").otherwise(F.col("status")), "press_release_url": F.when(F.col("pos") % 9 == 0, "").otherwise("r")})
-    return _images(rows, F.col("pos") % 5)
+    rows = rows.withColumns({"status": F.when(F.col("pos") % 7 == 3, "open").when(F.col("pos") % 7 == 5, "upcoming").otherwise(F.col("status")), "press_release_url": F.when(F.col("pos") % 9 == 0, "").otherwise("r")})
+    return _images(rows, F.col("pos") % 5, F.col("pos") % 6)
 
 
 def after(with_status: DataFrame) -> DataFrame:
     rows = with_status.filter("state <> 'P'")
-    later = F.date_add(F.col("closes").cast("date"), 3).cast("string")
-    rows = rows.withColumns({"closes": F.when(F.col("pos") % 13 == 1, later).otherwise(F.col("closes")), "press_release_url": F.lit("r")})
-    return _images(rows, F.col("pos") % 4)
+    later, group = F.date_add(F.col("closes").cast("date"), 3).cast("string"), F.substring("venue_id", 2, 20).cast("long") % 11
+    rows = rows.withColumns({
+        "closes": F.when((F.col("pos") % 13 == 1) | (group == 2), later).otherwise(F.col("closes")), "press_release_url": F.lit("r"),
+        "title": F.when(group == 3, F.concat("title", F.lit("!"))).otherwise(F.col("title")),
+    })
+    return _images(rows, F.col("pos") % 4, F.col("pos") % 4)
 
 
 # Articles and what they may be about: documents, and names drawn from the benchmark's words.
@@ -77,8 +90,9 @@ def after(with_status: DataFrame) -> DataFrame:
 
 def press_venues(spark: SparkSession, d: str) -> DataFrame:
     words = F.split(normalize_name(F.col("text")), " ")
+    name = F.when(F.col("item_id") % 4 == 1, F.concat(F.lit("House "), "item_id")).otherwise(F.concat_ws(" ", F.get(words, F.lit(0)), F.get(words, F.lit(1))))
     return table(spark, d, "benchmark").select(
-        F.concat(F.lit("b"), "item_id").alias("id"), F.concat_ws(" ", F.get(words, F.lit(0)), F.get(words, F.lit(1))).alias("name"),
+        F.concat(F.lit("b"), "item_id").alias("id"), name.alias("name"),
         F.concat(F.lit("https://www.src"), "item_id", F.lit(".org")).alias("url"), F.col("item_id").alias("pos"),
     )
 
@@ -89,15 +103,25 @@ def press_shows(spark: SparkSession, d: str) -> DataFrame:
     opens = F.date_add(F.lit("2024-01-01").cast("date"), ((F.col("item_id") * 9) % 300).cast("int"))
     return rows.select(
         F.concat(F.lit("x"), "item_id", F.lit("-"), "k").alias("id"), F.concat(F.lit("b"), "item_id").alias("venue_id"), F.concat(F.lit("Show "), "k").alias("title"),
-        F.array(F.concat(F.lit("Ada "), F.get("w", F.col("k") + 1))).alias("artists"), opens.cast("string").alias("opens"), F.date_add(opens, 40).cast("string").alias("closes"),
+        F.array(F.concat(F.lit("Ada "), F.when(F.col("item_id") % 4 == 1, F.concat(F.lit("zq"), "item_id")).otherwise(F.get("w", F.col("k") + 1)))).alias("artists"), opens.cast("string").alias("opens"), F.date_add(opens, 40).cast("string").alias("closes"),
         (F.col("item_id") * 10 + F.col("k")).alias("pos"),
     )
 
 
+#: Every fourth document names an artist, every eighth also where they show.
+NAMED = "text || CASE WHEN doc_id % 4 = 1 THEN ' zq' || CAST(doc_id % 60 AS STRING) ELSE '' END || CASE WHEN doc_id % 8 = 1 THEN ' at House ' || CAST(doc_id % 60 AS STRING) ELSE '' END"
+
+
+def verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Earlier answers of an adjudicator about every third document."""
+    third = table(spark, d, "documents").filter("doc_id % 3 = 0")
+    return third.select(F.concat(F.lit("d"), "doc_id").alias("article_id"), F.concat(F.lit("x"), F.col("doc_id") % 40, F.lit("-1")).alias("exhibition_id"), F.lit(0.5).alias("confidence"))
+
+
 def articles(spark: SparkSession, d: str) -> DataFrame:
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int"))
     return table(spark, d, "documents").select(
-        F.concat(F.lit("d"), "doc_id").alias("id"), F.concat(F.lit("https://"), "source", F.lit(".org/"), "doc_id").alias("url"), F.col("text").alias("headline"),
+        F.concat(F.lit("d"), "doc_id").alias("id"), F.concat(F.lit("https://"), "source", F.lit(".org/"), "doc_id").alias("url"), F.expr(NAMED).alias("headline"),
         F.lit("").alias("excerpt"), day.cast("string").alias("published"), F.col("doc_id").alias("pos"),
     )
 
@@ -106,11 +130,11 @@ _NORMAL = "trim(regexp_replace(lower(strip_accents({})), '[^a-z0-9]+', ' ', 'g')
 #: For DuckDB: press_venues, press_shows, articles, pairs (article, show, tier) and best (candidates of the best tier).
 PRESS = f"""
 bw AS (SELECT item_id, string_split({_NORMAL.format("text")}, ' ') AS w FROM benchmark),
-press_venues AS (SELECT 'b' || item_id AS id, concat_ws(' ', w[1], w[2]) AS name, 'src' || item_id || '.org' AS host, item_id AS pos FROM bw),
-press_shows AS (SELECT 'x' || item_id || '-' || k AS id, 'b' || item_id AS venue_id, w[k + 2] AS surname, 'Ada ' || w[k + 2] AS artist,
+press_venues AS (SELECT 'b' || item_id AS id, CASE WHEN item_id % 4 = 1 THEN 'house ' || item_id ELSE concat_ws(' ', w[1], w[2]) END AS name, 'src' || item_id || '.org' AS host, item_id AS pos FROM bw),
+press_shows AS (SELECT 'x' || item_id || '-' || k AS id, 'b' || item_id AS venue_id, CASE WHEN item_id % 4 = 1 THEN 'zq' || item_id ELSE w[k + 2] END AS surname, 'Ada ' || CASE WHEN item_id % 4 = 1 THEN 'zq' || item_id ELSE w[k + 2] END AS artist,
   DATE '2024-01-01' + CAST((item_id * 9) % 300 AS INTEGER) AS opens, item_id * 10 + k AS pos
   FROM bw, LATERAL (SELECT unnest(generate_series(1, item_id % 4)) AS k)),
-articles AS (SELECT 'd' || doc_id AS id, source || '.org' AS host, ' ' || {_NORMAL.format("text")} || ' ' AS hay, DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER) AS day, doc_id AS pos FROM documents),
+articles AS (SELECT 'd' || doc_id AS id, source || '.org' AS host, ' ' || {_NORMAL.format(NAMED.replace("STRING", "VARCHAR"))} || ' ' AS hay, DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER) AS day, doc_id AS pos FROM documents),
 own AS (SELECT a.id, v.id AS host_venue, (SELECT count(*) FROM press_shows s WHERE s.venue_id = v.id) AS shows FROM articles a LEFT JOIN press_venues v ON a.host = v.host),
 vh AS (SELECT a.id AS article_id, v.id AS venue_id FROM articles a JOIN press_venues v ON v.name <> '' AND contains(a.hay, ' ' || v.name || ' ')),
 sh AS (SELECT a.id AS article_id, s.surname FROM articles a JOIN (SELECT DISTINCT surname FROM press_shows WHERE length(surname) > 2) s ON contains(a.hay, ' ' || s.surname || ' ')),
@@ -124,16 +148,18 @@ pairs AS (SELECT p.article_id, p.ex_pos, s.venue_id, CASE WHEN p.v AND p.a AND a
 best AS (SELECT * FROM pairs p WHERE tier = (SELECT min(tier) FROM pairs q WHERE q.article_id = p.article_id)),
 summary AS (SELECT article_id, min(tier) AS tier, count(*) AS n, min(ex_pos) AS first_pos FROM best GROUP BY article_id),
 named AS (SELECT article_id, string_agg(venue_id, ',' ORDER BY p) AS venue_ids FROM (SELECT article_id, venue_id, min(ex_pos) AS p FROM best GROUP BY ALL) GROUP BY article_id),
+said AS (SELECT 'd' || doc_id AS id, 'x' || (doc_id % 40) || '-1' AS said FROM documents WHERE doc_id % 3 = 0),
+agreed AS (SELECT b.article_id, min(b.ex_pos) AS said_pos FROM best b JOIN press_shows s ON s.pos = b.ex_pos JOIN said ON said.id = b.article_id AND said.said = s.id GROUP BY b.article_id),
 outcomes AS (
-  SELECT o.id, o.host_venue, o.shows, s.tier, s.n, s.first_pos, n.venue_ids,
+  SELECT o.id, o.host_venue, o.shows, s.tier, s.n, s.first_pos, n.venue_ids, g.said_pos,
     CASE WHEN o.host_venue IS NOT NULL AND o.shows <= 1 THEN 'tier1' WHEN o.host_venue IS NOT NULL AND s.n IS NULL THEN 'tier1' WHEN s.n IS NULL THEN 'unlinked'
-         WHEN s.tier = 2 AND s.n = 1 THEN 'tier2' ELSE 'ambiguous' END AS outcome
-  FROM own o LEFT JOIN summary s ON s.article_id = o.id LEFT JOIN named n ON n.article_id = o.id),
+         WHEN s.tier = 2 AND s.n = 1 THEN 'tier2' WHEN g.said_pos IS NOT NULL THEN CASE WHEN s.tier = 3 THEN 'tier3' ELSE 'llm' END WHEN said.id IS NOT NULL THEN 'unlinked' ELSE 'ambiguous' END AS outcome
+  FROM own o LEFT JOIN summary s ON s.article_id = o.id LEFT JOIN named n ON n.article_id = o.id LEFT JOIN said ON said.id = o.id LEFT JOIN agreed g ON g.article_id = o.id),
 resolved AS (
   SELECT o.id, x.id AS exhibition_id,
     CASE WHEN x.id IS NOT NULL THEN x.venue_id WHEN outcome = 'tier1' THEN host_venue WHEN outcome = 'ambiguous' THEN venue_ids ELSE '' END AS venue_ids,
     coalesce(x.artist, '') AS artist_names,
-    CASE outcome WHEN 'tier1' THEN CASE WHEN shows = 1 THEN 0.95 ELSE 0.6 END WHEN 'tier2' THEN CASE WHEN host_venue IS NOT NULL THEN 0.9 ELSE 0.85 END WHEN 'ambiguous' THEN 0.3 ELSE 0.0 END::DOUBLE AS link_confidence,
+    CASE outcome WHEN 'tier1' THEN CASE WHEN shows = 1 THEN 0.95 ELSE 0.6 END WHEN 'tier2' THEN CASE WHEN host_venue IS NOT NULL THEN 0.9 ELSE 0.85 END WHEN 'ambiguous' THEN 0.3 WHEN 'tier3' THEN 0.5 WHEN 'llm' THEN 0.5 ELSE 0.0 END::DOUBLE AS link_confidence,
     outcome
-  FROM outcomes o LEFT JOIN press_shows x ON x.pos = CASE WHEN o.host_venue IS NOT NULL AND o.shows = 1 THEN (SELECT min(pos) FROM press_shows s WHERE s.venue_id = o.host_venue) WHEN outcome = 'tier2' THEN o.first_pos END)
+  FROM outcomes o LEFT JOIN press_shows x ON x.pos = CASE WHEN o.host_venue IS NOT NULL AND o.shows = 1 THEN (SELECT min(pos) FROM press_shows s WHERE s.venue_id = o.host_venue) WHEN outcome = 'tier2' THEN o.first_pos WHEN outcome IN ('tier3', 'llm') THEN o.said_pos END)
 """

@@ -7,14 +7,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from placard.functions.dates import lenient_date
-from placard.functions.text import article_id, excerpt, feed_text, host_of, hrefs, outbound, outlet_of, press_text
+from placard.functions.text import article_id, excerpt, feed_text, host_of, hrefs, outbound, outlet_of, press_text, xml_value
+from placard.sources.markup import extracted, news_entries
+from placard.sources.pages import permitted
 
 
+# Zone names of dates in feeds, in hours from UTC.
+_ZONES = {"GMT": "+0000", "UTC": "+0000", "UT": "+0000", "Z": "+0000", "EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
+
 
 def published_at(raw: Column, now_iso: Column) -> Column:
-    """ISO time of a feed's date (``Tue, 09 Sep 2025 10:00:00 +0000`` or ISO); ``now_iso`` if it is none."""
-    bare = F.regexp_replace(F.regexp_replace(raw, r"^\s*[A-Za-z]{3},\s*", ""), r"\s*(GMT|UTC|Z)$", " +0000")
-    tries = [F.try_to_timestamp(bare, F.lit(f)) for f in ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm Z")]
+    """ISO time of a feed's date (``Tue, 09 Sep 2025 10:00:00 EST`` or ISO); ``now_iso`` if it is none."""
+    bare = F.regexp_replace(F.trim(raw), r"^[A-Za-z]{3,9},?\s+(?=\d)", "")
+    zone = F.upper(F.regexp_extract(bare, r"\d\s*([A-Za-z]{1,3})$", 1))
+    known = F.try_element_at(F.create_map(*(F.lit(x) for pair in _ZONES.items() for x in pair)), zone)
+    spelled = F.when(zone == "", bare).otherwise(F.concat(F.regexp_replace(bare, r"\s*[A-Za-z]{1,3}$", " "), known))
+    tries = [F.try_to_timestamp(spelled, F.lit(f)) for f in ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm Z")]
     when = F.coalesce(*tries, F.try_to_timestamp(F.when(raw.rlike(r"^\d{4}-\d{2}-\d{2}"), raw)), lenient_date(raw).cast("timestamp"))
     return F.coalesce(F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), now_iso)
 
@@ -39,8 +47,8 @@ def feed_articles(outlets: DataFrame, pages: DataFrame, now_iso: str) -> DataFra
     items = feeds.select("id", "name", F.explode(whole).alias("xml"))
 
     def field(*names: str) -> Column:
-        found = [F.nullif(F.trim(F.regexp_replace(F.regexp_extract("xml", rf"(?is)<{n}\b[^>]*>(.*?)</{n}>", 1), r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$", "$1")), F.lit("")) for n in names]
-        return F.coalesce(*found)
+        """The first of these elements that holds something."""
+        return F.coalesce(*(F.nullif(F.trim(xml_value(F.regexp_extract("xml", rf"(?is)<{n}\b[^>]*>(.*?)</{n}>", 1))), F.lit("")) for n in names))
 
     headline, url = feed_text(F.coalesce(field("title"), F.lit(""))), field("link", "guid")
     rows = items.select(
@@ -63,6 +71,24 @@ def category_press(venues: DataFrame, posts: DataFrame) -> DataFrame:
     return rows.select("venue_id", outlet_of(F.col("url")).alias("outlet"), "headline", F.lit(None).cast("string").alias("byline"), "published", "url")
 
 
+def grid_entries(pages: DataFrame) -> DataFrame:
+    """Entries of the news grids in ``pages(key, url, body)``, key being the venue, as ``grid_press`` takes them."""
+    rows = extracted(pages.withColumn("setting", F.lit(None).cast("string")), news_entries)
+    return rows.select(F.col("key").alias("venue_id"), F.col("source_url").alias("page_url"), "pos", F.col("title").alias("headline"), F.col("space_label").alias("outlet"), "date_text", F.col("image_urls").alias("links"))
+
+
+def venue_press(venues: DataFrame, posts: DataFrame, pages: DataFrame, robots: DataFrame) -> DataFrame:
+    """Articles of the venues' own press pages.
+
+    ``venues(id, url, press)``: press is how a venue's press is read, ``category`` (its ``posts``) or ``grid`` (the
+    news grid in its ``pages(key, url, body)``); any other value, or a robots text that shuts crawlers out, gives none.
+    """
+    open_ = permitted(venues.filter(F.col("press").isin("category", "grid")), robots)
+    by_posts = category_press(open_.filter("press = 'category'"), posts)
+    by_grid = grid_press(open_.filter("press = 'grid'"), grid_entries(pages))
+    return press_articles(by_posts.unionByName(by_grid))
+
+
 def grid_press(venues: DataFrame, entries: DataFrame, most: int = 25) -> DataFrame:
     """Press items of a news grid's entries ``(venue_id, page_url, pos, headline, outlet, date_text, links)``, whose links
     are absolute; entries without headline, readable date or a fitting link go, and ``most`` are kept for a venue."""

@@ -133,3 +133,29 @@ def robots_allow(robots: Column) -> Column:
         return F.struct(applies.alias("applies"), F.when(decides, value != "/").otherwise(state["verdict"]).alias("verdict"))
 
     return F.coalesce(F.aggregate(lines, start, step)["verdict"], F.lit(True))
+
+
+def origin_of(url: Column) -> Column:
+    """Scheme, host and port of a url, in lower case."""
+    return F.lower(F.regexp_extract(url, r"^\s*([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1))
+
+
+def shut_out(venues: DataFrame, robots: DataFrame) -> DataFrame:
+    """id of ``venues(id, url)`` whose origin's text in ``robots(origin, body)`` shuts crawlers out; no text lets them in."""
+    texts = robots.select(F.lower("origin").alias("origin"), "body").dropDuplicates(["origin"])
+    rows = venues.select("id", origin_of(F.col("url")).alias("origin")).join(texts, "origin")
+    return rows.filter(~robots_allow(F.col("body"))).select("id")
+
+
+def permitted(venues: DataFrame, robots: DataFrame) -> DataFrame:
+    return venues.join(shut_out(venues, robots), "id", "left_anti")
+
+
+def landed_posts(bodies: DataFrame) -> DataFrame:
+    """Posts of landed REST answers ``(venue_id, body)``, body a JSON array: venue_id, link, date, date_gmt, title, content.
+
+    Bodies that are no such array give none.
+    """
+    post = "array<struct<link: string, date: string, date_gmt: string, title: struct<rendered: string>, content: struct<rendered: string>>>"
+    rows = bodies.select("venue_id", F.explode(F.from_json("body", post)).alias("p")).filter("p.link IS NOT NULL")
+    return rows.select("venue_id", "p.link", "p.date", "p.date_gmt", F.coalesce("p.title.rendered", F.lit("")).alias("title"), F.coalesce("p.content.rendered", F.lit("")).alias("content"))

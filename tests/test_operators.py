@@ -1,4 +1,5 @@
 import glob
+import json
 import os
 
 import duckdb
@@ -7,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from placard import session
 from placard.functions import text
 from placard.operators import changes, gate, resolve, views
-from placard.plans import crawl
+from placard.plans import crawl, registry
 from placard.plans.monitor import Monitor, State
 from placard.plans.queries import QUERIES, SQL
 from placard.sources import cms, feeds, files, markup, pages
@@ -235,3 +237,129 @@ def test_display(spark):
     df = spark.createDataFrame([("CLOSING_SOON", 0.8, ["a", "b"]), ("X", 0.39, [])], "k string, c double, a array<string>")
     got = df.select(views.event_label(F.col("k")), views.event_colour(F.col("k")), views.link_style(F.col("c")), views.kind_of_count(F.col("a"))).collect()
     assert [tuple(r) for r in got] == [("CLOSING SOON", "red", "solid", "two_person"), ("X", "dim", "dotted", "solo")] and text.SPACE
+
+
+def test_feeds_decode_entities_and_zones(spark):
+    outlets = spark.createDataFrame([("o", "Out", "https://f", "ok")], "id string, name string, rss_url string, status string")
+    item = "<item><title>{}</title><link>{}</link><pubDate>{}</pubDate><description>{}</description></item>"
+    items = [
+        item.format("Q &amp;amp; A", "https://x/?a=1&amp;b=2", "Tue, 09 Sep 2025 10:00:00 EST", "&lt;p&gt;Hello &amp;amp; &lt;b&gt;you&lt;/b&gt;&lt;/p&gt;"),
+        item.format("<![CDATA[<i>C</i> &amp; D]]>", "<![CDATA[https://x/2]]>", "9 Sep 2025 10:00 PDT", "<![CDATA[<p>plain</p>]]>"), item.format("E", "https://x/3", "Tuesday, 9 Sep 2025 10:00:00 -0130", ""),
+        item.format("F", "https://x/4", "9 Sep 2025 10:00:00 XYZ", "") + item.format("&lt;b&gt;&lt;/b&gt;", "https://x/5", "", ""),
+    ]
+    landed = spark.createDataFrame([("https://f", 200, f"<rss>{''.join(items)}</rss>"), ("https://g", 200, None)], "url string, status int, body string")
+    got = {r.headline: (r.url, r.published, r.excerpt) for r in feeds.feed_articles(outlets, landed, NOW).collect()}
+    assert got == {
+        "Q & A": ("https://x/?a=1&b=2", "2025-09-09T15:00:00.000Z", "Hello & you"), "C & D": ("https://x/2", "2025-09-09T17:00:00.000Z", "plain"),
+        "E": ("https://x/3", "2025-09-09T11:30:00.000Z", ""), "F": ("https://x/4", NOW, ""),
+    }
+
+
+def landed(spark, robots="", sanity=(), pages_=()):
+    body = "venue_id string, body string"
+    post = '[{"link": "https://w.org/p1", "date": "2026-06-01T00:00:00", "date_gmt": "2026-06-01T00:00:00", "title": {"rendered": "Post &amp; one"}, "content": {"rendered": "<a href=\'https://mag.com/r\'>"}}, {"date": "x"}]'
+    sites = [
+        ("https://w.org/p1", "<title>x</title> June 1 - 30, 2026 long text"), ("https://q.org/now?format=json", '{"mainContent": "CURRENT Lee September 10 - October 17, 2026"}'),
+        ("https://a.org/exhibitions", '<div class="grid-container"><h4>Current</h4><div class="entry"><a href="/exhibitions/one"><h1>One</h1><h3>June 1 - July 2, 2026</h3></a></div></div>'),
+        ("https://g.org/news", '<div class="entry"><div class="titles"><b class="title">Grid news</b><b class="subtitle">Mag</b><b class="date">June 1, 2026</b></div><a href="https://m.com/r"></a></div>'),
+        ("https://feed.org/rss", "<rss><item><title>Ann Ruiz at Sanity House</title><link>https://feed.org/1</link><pubDate>Tue, 09 Jun 2026 10:00:00 GMT</pubDate></item></rss>"), *pages_,
+    ]
+    return registry.Landed(
+        spark.createDataFrame([(u, 200, b) for u, b in sites], "url string, status int, body string"), spark.createDataFrame([("s", b) for b in sanity], body), spark.createDataFrame([("w", post), ("w", "oops")], body),
+        spark.createDataFrame([("w", post)], body), spark.createDataFrame([("https://shut.org", "User-agent: *\nDisallow: /"), ("https://w.org", robots)], "origin string, body string"),
+        spark.createDataFrame([("m", "Hand", ["Bo Stone"], "2026-06-01", "2026-06-20", [], None, [], "https://m.org/x", 1.0)], RAW),
+    )
+
+
+def test_from_registry_files_to_a_second_version(spark, tmp_path):
+    """Registry files and landed bodies, through every adapter, to two versions with city and world snapshots and caches."""
+    home = tmp_path / "registry"
+    (home / "venues").mkdir(parents=True)
+    health = {"last_attempt": None, "last_success": None, "record_count": 0, "consecutive_failures": 0, "status": "unknown"}
+    venues = {
+        "m": ("manual", {}), "s": ("sanity", {"sanity": {"schema": "nested"}}), "w": ("wordpress", {"wordpress": {"mode": "custom-post-type", "restBase": "x"}, "gallerypress": {"type": "wordpress-category", "categoryId": 3}}),
+        "a": ("artlogic", {}), "q": ("squarespace", {"squarespace": {"path": "/now"}}), "g": ("none", {"gallerypress": {"type": "artlogic-news-grid", "path": "/news"}}), "shut": ("sanity", {"sanity": {"schema": "flat"}}),
+    }
+    for v, (adapter, config) in venues.items():
+        row = {"id": v, "name": "Sanity House" if v == "s" else f"Venue {v}", "kind": "gallery", "city": "nyc" if v != "q" else "tokyo", "district": "d", "url": f"https://{v}.org", "spaces": [{"address": "1 Main Street, Suite 5", "lat": None, "lng": None}], "adapter": adapter, "config": config, "paths": {}, "health": health}
+        (home / f"venues/{v}.json").write_text(json.dumps(row))
+    (home / "venues/broken.json").write_text("<<<<<<<")
+    (home / "outlets.json").write_text(json.dumps([{"id": "o", "name": "Out", "rss_url": "https://feed.org/rss", "status": "ok"}]))
+    (home / "nexus.json").write_text(json.dumps([{"id": "n", "name": "Fair", "fairground_address": "2 Pier"}, {"id": "k", "name": "Known", "lat": 1.0, "lng": 2.0}]))
+    (home / "offsite-overrides.json").write_text(json.dumps([{"venue_id": "m", "title_match": "hand", "nexus_id": "n"}]))
+    record = '{"title": "S show", "artists": ["Ann Ruiz"], "opens": "2026-06-01", "closes": "2026-07-01", "slug": "s1"}'
+    root = str(tmp_path / "out")
+    first = registry.run(spark, str(home), landed(spark, sanity=[record]), root, "v1", NOW, adjudicate=lambda q: q.select("article_id", F.get("candidate_ids", F.lit(0)).alias("exhibition_id"), F.lit(0.5).alias("confidence")))
+    shown = {r.venue_id: (r.title, r.kind, r.space_label, r.city) for r in spark.read.parquet(f"{first}/exhibitions").collect()}
+    assert shown == {"m": ("Hand", "offsite", "Fair", "nyc"), "s": ("S show", "group", None, "nyc"), "w": ("Post & one", "group", None, "nyc"), "a": ("One", "group", None, "nyc"), "q": ("Lee", "group", None, "tokyo")} | {"a": (shown["a"][0], shown["a"][1], None, "nyc")}
+    assert os.path.isdir(f"{first}/exhibitions/city=tokyo")
+    status = {r.id: r.status for r in spark.read.parquet(f"{first}/venues").collect()}
+    assert status == {"m": "ok", "s": "ok", "w": "ok", "a": "ok", "q": "ok", "g": "unknown", "shut": "blocked"}
+    articles = {r.headline: (r.venue_ids, r.outcome, r.link_confidence) for r in spark.read.parquet(f"{first}/articles").collect()}
+    assert articles == {"Ann Ruiz at Sanity House": (["s"], "tier2", 0.85), "Post & one": (["w"], "press", 0.9), "Grid news": (["g"], "press", 0.9)}
+    cities = {r.city: r.coverage.asDict() for r in spark.read.parquet(f"{first}/cities").collect()}
+    assert cities["tokyo"] == {"live": 1, "stale": 0, "dark": 0, "blocked": 0, "no_adapter": 0} and cities["nyc"] == {"live": 4, "stale": 0, "dark": 2, "blocked": 1, "no_adapter": 1}
+    world = spark.read.parquet(f"{first}/world").first()
+    assert world.cities == ["nyc", "tokyo"] and [n.id for n in world.nexus] == ["k", "n"] and world.coverage.live == 5 and world.schema_version == "1.0.0"
+    report = {r.metric: r.value for r in spark.read.parquet(f"{first}/report").collect()}
+    assert report["articles:linked"] == 1 and report["articles:venue_only"] == 2 and report["coverage:live"] == 5 and report["press:total"] == 2 and report["adapter:wordpress"] == 1
+
+    second = registry.run(spark, str(home), landed(spark, robots="User-agent: *\nDisallow: /"), root, "v2", "2026-06-16T00:00:00.000Z")
+    assert {r.id: r.status for r in spark.read.parquet(f"{second}/venues").collect()} == status | {"s": "suspect", "w": "blocked"}
+    kept = {r.venue_id for r in spark.read.parquet(f"{second}/exhibitions").collect()}
+    assert kept == {"m", "s", "a", "q"} and crawl.latest(spark, root) == second
+    log = views.in_order(spark.read.parquet(f"{second}/log"), "log").collect()
+    assert [r.ts for r in log] == sorted(r.ts for r in log) and any(r.type == "VENUE_DARK" and r.venue_id == "w" for r in log)
+
+    opened = files.sound(files.venues(spark, str(home)))
+    point = "address_key string, lat double, lng double"
+    located = registry.located(opened, files.sound(files.nexus(spark, str(home))), spark.createDataFrame([("old", 5.0, 5.0)], point), spark.createDataFrame([("1 main street", 40.5, -74.0)], point))
+    assert {r.spaces[0].lat for r in located["venues"].collect()} == {40.5} and {r.id: r.lat for r in located["nexus"].collect()} == {"n": None, "k": 1.0}
+    assert {r.address_key: r.lat for r in located["geocode_cache"].collect()} == {"old": 5.0, "1 main street, suite 5": None, "1 main street": 40.5, "2 pier": None}
+
+
+def test_adjudicator_gets_one_batch(spark):
+    venues = spark.createDataFrame([("v", "V", "https://v.org", 0), ("w", "W", "https://w.org", 1)], "id string, name string, url string, pos long")
+    shows = spark.createDataFrame([(f"e{v}{i}", v, "T", ["Ann Ruiz"], None, None, k * 2 + i) for k, v in enumerate("vw") for i in range(2)], "id string, venue_id string, title string, artists array<string>, opens string, closes string, pos long")
+    articles = spark.createDataFrame([(f"a{i:02}", "https://x.com", "Ruiz", "", "2026-01-20", i) for i in range(40)], "id string, url string, headline string, excerpt string, published string, pos long")
+    cache = spark.createDataFrame([("a03", None, None)], "article_id string, exhibition_id string, confidence double")
+    asked = resolve.questions(articles, shows, venues, cache).collect()
+    assert [r.article_id for r in asked] == [f"a{i:02}" for i in range(26) if i != 3] and asked[0].candidate_ids == ["ev0", "ev1", "ew0", "ew1"]
+    got = resolve.resolve(articles, shows, venues, cache, adjudicate=lambda q: q.select("article_id", F.lit("ew1").alias("exhibition_id"), F.lit(0.6).alias("confidence"))).collect()
+    assert sorted(r.outcome for r in got) == ["ambiguous"] * 14 + ["tier3"] * 25 + ["unlinked"]
+
+
+def test_robots_by_origin(spark):
+    venues = spark.createDataFrame([("a", "https://A.org/x"), ("b", "https://b.org:8080/y"), ("c", "https://b.org/z"), ("d", None)], "id string, url string")
+    robots = spark.createDataFrame([("https://a.org", "User-agent: *\nDisallow: /"), ("https://b.org", "User-agent: Bot\nDisallow: /\nUser-agent: *\nDisallow:"), ("https://b.org:8080", None)], "origin string, body string")
+    assert [r.id for r in pages.shut_out(venues, robots).collect()] == ["a"] and sorted(r.id for r in pages.permitted(venues, robots).collect()) == ["b", "c", "d"]
+
+
+def test_markers_and_reports(spark):
+    venues = spark.createDataFrame([("a", "museum", "A", 40.7, -74.0), ("b", "gallery", "B", 40.703, -74.0)], "id string, kind string, name string, lat double, lng double")
+    shows = spark.createDataFrame([("x", "a", "offsite", "open", NOW, 0), ("y", "a", "group", "closing_soon", NOW, 2), ("z", "a", "group", "open", NOW, 1)], "id string, venue_id string, kind string, status string, fetched_at string, pos long")
+    now = F.unix_millis(F.lit(NOW).cast("timestamp"))
+    assert sorted(map(tuple, views.markers(venues, shows, now).collect())) == [("a", "orange", "diamond", 14, 1.0), ("b", "dim", "square", 10, 0.5)]
+    pairs = spark.createDataFrame([("a", "b", 333.6)], "id string, other_id string, metres double")
+    assert json.loads(views.line_features(pairs, venues).first().feature) == {"type": "Feature", "geometry": {"type": "LineString", "coordinates": [[-74.0, 40.7], [-74.0, 40.703]]}, "properties": {"distance": 334}}
+    nexus = spark.createDataFrame([("n", 1.0, 2.0), ("k", None, 1.0)], "id string, lat double, lng double")
+    assert [r.id for r in views.visible_nexus(nexus, ["nexus"]).collect()] == ["n"] and views.visible_nexus(nexus, ["press"]).count() == 0
+    records = spark.createDataFrame([("b",), ("b",), ("zz",)], "venue_id string")
+    assert [tuple(r) for r in views.manual_status(venues, records).collect()] == [("b", "B", 2), ("zz", None, 1)]
+    sites = spark.createDataFrame([("a", "https://a", "old", "wordpress", "wp-content", False), ("b", "https://b", None, "wordpress", "wp-content", False), ("c", "", "n", None, None, False), ("d", "https://d", "n", None, None, True)], "id string, url string, notes string, platform string, signature string, blocked boolean")
+    found = views.fingerprints(sites, NOW)
+    assert [tuple(r) for r in found["counts"].collect()] == [("wordpress", 2)] and [r.id for r in found["blocked"].collect()] == ["d"] and [r.id for r in found["without_url"].collect()] == ["c"]
+    assert {r.id: r.notes for r in found["noted"].collect()} == {"a": "old\n\nFingerprint (2026-06-15): wordpress — wp-content.", "b": "Fingerprint (2026-06-15): wordpress — wp-content.", "c": "n", "d": "n"}
+    dated = shows.withColumn("confidence", F.lit(0.5))
+    assert [r.id for r in views.in_order(dated, "confidence").collect()] == ["x", "y", "z"]
+
+
+def test_scratch_needs_a_shared_folder(spark, monkeypatch):
+    monkeypatch.setattr(session, "_scratch", {})
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(spark)
+    monkeypatch.undo()
+    kept = session.written(spark.range(3), "some")
+    folder = session.shared_dir(spark).removeprefix("file://")
+    assert kept.count() == 3 and os.listdir(folder)
