@@ -278,10 +278,14 @@ def labelled_text(docs: DataFrame, learned: Column) -> dict[str, bytes]:
     usable = usable.select("doc_id", "lang", "text", F.octet_length("text").cast("long").alias("bytes")).filter(F.col("bytes").between(1, TEXT_BYTES))
     known = usable.groupBy("lang", F.xxhash64("text").alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.min("bytes").alias("bytes"))
     known = known.groupBy("lang", "doc_id").agg(F.min(F.struct("bytes", "digest")).alias("b")).select("lang", "doc_id", "b.bytes", "b.digest")  # an id may have many texts
-    languages = known.select("lang").distinct().count()
-    most = symbols_each(languages)
+    counts = known.groupBy("lang").agg(F.count("*").alias("texts"))  # a row for each language
+    most = symbols_each(counts.count())
+    places = most // 64  # enough unless all are tiny
+    # Of many texts only those with low hashes are ordered, some times as many as there are places.
+    low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) * F.col("texts") < F.lit(4 * places << 30)
+    few = known.join(F.broadcast(counts), "lang").filter(low).drop("texts")
     order = Window.partitionBy("lang").orderBy(~F.col("bytes").between(400, 4000), F.xxhash64("doc_id"), "doc_id")
-    picks = known.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most // 64)  # enough unless all are tiny
+    picks = few.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= places)
     picks = picks.withColumn("before", F.sum("bytes").over(Window.partitionBy("lang").orderBy("place")) - F.col("bytes")).filter(F.col("before") < most)
     chosen = usable.withColumn("digest", F.xxhash64("text")).join(F.broadcast(picks.select("doc_id", "lang", "digest", "place")), ["doc_id", "lang", "digest"])
     rows = chosen.groupBy("lang", "place").agg(F.min("text").alias("text")).toPandas()  # rows may be repeated
