@@ -679,9 +679,9 @@ def _grouped(docs: DataFrame, rule: Rule) -> tuple[DataFrame, Rule]:
         roots = _joined_up(roots, more)
     roots = _joined_up(roots, written(_links(_across(live, roots), docs, ids, sigs, rule, overlap=True), "shingle-links"))
 
-    named = ids.join(roots, "id")
+    named = written(ids.join(roots, "id"), "shingle-named")
     best = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    grouped = named.join(best, "root").select("id", "root", "component_id")
+    grouped = _joined(named, best, "root").select("id", "root", "component_id")
     lone = firsts.join(grouped, "id", "left_anti").select("id", F.col("id").alias("root"), F.col("doc_id").alias("component_id"))
     rows = keyed.select("doc_id", "id", F.col("n").alias("n_shingles")).join(grouped.unionByName(lone), "id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
