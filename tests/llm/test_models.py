@@ -8,10 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from placard.llm import jaccard, language, quality, toxicity, training, urls
+from placard.llm import jaccard, language, packing, quality, toxicity, training, urls
 from placard.session import table
 from placard.llm.topk import Counts, maxscore, quantized, top_k
-from tests.llm.cases import DOCS, documents
+from tests.llm.cases import DOCS, documents, shingles
 
 DATA = "/root/testdata/sf0.1"
 ODD = [(1, None), (2, ""), (3, " \n"), (4, "1234 %%%"), (5, "word " * 40_000), (6, "ok"), (6, "ok"), (None, "x y z")]
@@ -280,3 +280,74 @@ def test_pipeline_stages(spark):
     assert sorted(lone.doc_id) == sorted(groups[groups.doc_id == groups.component_id].doc_id)
     empty = corpus_pipeline.near_copy_stage(spark, docs.limit(0), d)
     assert corpus_pipeline.packing_stage(spark, empty, d).collect() == [] and DOCS
+
+
+def near_groups_by_hand(rows, k, num):
+    """Smallest id of each row's group, over all pairs."""
+    sets, root = [shingles(t, k) for _, t in rows], list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= num * len(a | sets[j]):
+                root = [root[j] if r == root[i] else r for r in root]
+    return [min(rows[j][0] for j in range(len(rows)) if root[j] == root[i]) for i in range(len(rows))]
+
+
+def test_pipeline_equals_plain_python(spark, tmp_path):
+    """``run`` on a small folder against each stage by hand: model scores text by text, all pairs of sets, the library's ids."""
+    import corpus_pipeline
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from placard.llm.common import text_bytes
+    from placard.llm.training import labelled_sample
+
+    source = pd.read_parquet("/root/testdata/sf0.01/documents.parquet").head(160)
+    texts = source.text.tolist()
+    texts[3:9] = [texts[0], texts[1] + " end", "", None, "12 34", "zxqj vwkp " * 30]
+    source["text"] = texts
+    source["verdict"], source["run"] = "x", 1  # names that stages use themselves
+    labels = pd.read_parquet("/root/testdata/sf0.01/labels.parquet").merge(source[["doc_id"]], on="doc_id")
+    for name, frame in (("documents", source), ("labels", labels)):
+        frame.to_parquet(f"{tmp_path}/{name}.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    sample = labelled_sample(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"), "quality", F.lit(True))
+    model = quality.fit(sample.text.tolist(), sample.y.to_numpy(np.float64), sample.weight.to_numpy(np.float64))
+
+    def accepted(text):
+        offsets, data = text_bytes(pa.array([text or ""]))
+        return model.logits(*quality.passages(data, offsets))[0] >= 0
+
+    kept = [(i, t, x) for i, t, x in zip(source.doc_id, source.text, source.lang, strict=True) if accepted(t)]
+    learned = language.labelled_text(spark.createDataFrame(kept, "doc_id long, text string, lang string"), training.remainder(F.col("doc_id"), 5) != 0)
+    folded = lambda b: bytes(language.symbols_of(np.frombuffer(b, np.uint8)).astype(np.uint8))
+    spoken = []
+    for i, t, _ in kept:
+        raw = (t or "").encode()
+        known = {c for x in learned.values() for c in folded(x)}
+        counts = {x: brute_phrases(folded(sample_), folded(raw)) * np.log2(len(sample_)) for x, sample_ in sorted(learned.items())}
+        mean = np.mean([np.log2(len(s)) for s in learned.values()])
+        if known and language._LETTER.search(t or "") and min(counts.values()) / mean < len(raw) * language.FOREIGN + language.SURPLUS:
+            spoken.append((i, t))
+    least = near_groups_by_hand(spoken, 5, 80)
+    tokenizer, expected = Tokenizer.from_file(corpus_pipeline.public_tokenizers.path("byte_bpe_50k.json")), []
+    for (i, t), first in zip(spoken, least, strict=True):
+        ids, start = [*tokenizer.encode(t, add_special_tokens=False).ids, 1], 0
+        for length in packing.piece_lengths(len(ids)) if i == first else []:
+            expected.append((i, start, ids[start : start + length]))
+            start += length
+    assert sorted((r.doc_id, r.start, r.ids) for r in got) == sorted(expected) and 20 < len({r.doc_id for r in got}) < len(spoken) < len(kept) < len(source)
+
+
+def test_pipeline_stages_bear_odd_rows(spark):
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    odd = [(None, None), (1, None), (2, ""), (3, " \n"), (4, "1234"), (5, "the text " * 3000), (6, "a b c d e f"), (6, "a b c d e f"), (None, "no id here")]
+    docs = spark.createDataFrame([(i, t, None, "s", 1, "x", 2) for i, t in odd], "doc_id long, text string, lang string, source string, n_chars long, verdict string, digest int")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        full, none = stage(spark, docs, d), stage(spark, docs.limit(0), d)
+        assert full.columns == none.columns == docs.columns and none.collect() == [], name
+        assert {(r.doc_id, r.text) for r in full.collect()} <= set(odd), name
+    assert len({(r.doc_id, r.start) for r in corpus_pipeline.packing_stage(spark, docs, d).collect()}) > len(odd)
