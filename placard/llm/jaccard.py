@@ -547,9 +547,9 @@ def _links(dealt: DataFrame, docs: DataFrame, ids: DataFrame, sigs: DataFrame, r
 
     cell = "run long, x long, y long, side long, id long, root long"
     sizes = dealt.groupBy(*_CELL).agg(F.count("*").alias("members")).filter("members > 1")
-    dealt = written(_joined(dealt, sizes.select(*_CELL, (F.col("members") > FEW_ROWS).alias("many")), _CELL), "shingle-dealt")
-    both = dealt.filter("many").join(sigs.select("id", "n", "sig"), "id").unionByName(dealt.filter("NOT many").join(sigs.select("id", "n", F.col("narrow").alias("sig")), "id"))
-    near = written(_solved(both.select(*_CELL, "side", "id", "root", "n", "many", "sig"), sift, cell), "shingle-near")
+    dealt = _joined(dealt, sizes.select(*_CELL, (F.col("members") > FEW_ROWS).alias("many")), _CELL)
+    bits = F.when(F.col("many"), F.col("sig")).otherwise(F.col("narrow")).alias("bits")
+    near = written(_solved(dealt.join(sigs, "id").select(*_CELL, "side", "id", "root", "n", "many", bits), sift, cell), "shingle-near")
     if overlap:  # cells left with the same rows say the same: one of them stays
         kinds = near.groupBy(*_CELL).agg(F.count("*").alias("size"), F.sum(F.xxhash64("id", "side").cast("decimal(20,0)")).alias("members"))
         kept = kinds.groupBy("size", "members").agg(F.min(F.struct(*_CELL)).alias("c")).select("c.*")
