@@ -90,7 +90,7 @@ def after(with_status: DataFrame) -> DataFrame:
 
 def press_venues(spark: SparkSession, d: str) -> DataFrame:
     words = F.split(normalize_name(F.col("text")), " ")
-    name = F.when(F.col("item_id") % 4 == 1, F.concat(F.lit("House "), "item_id")).otherwise(F.concat_ws(" ", F.get(words, F.lit(0)), F.get(words, F.lit(1))))
+    name = F.when(F.col("item_id") % 4 == 1, F.concat(F.lit("house "), "item_id")).otherwise(F.concat_ws(" ", F.get(words, F.lit(0)), F.get(words, F.lit(1))))
     return table(spark, d, "benchmark").select(
         F.concat(F.lit("b"), "item_id").alias("id"), name.alias("name"),
         F.concat(F.lit("https://www.src"), "item_id", F.lit(".org")).alias("url"), F.col("item_id").alias("pos"),
@@ -112,6 +112,13 @@ def press_shows(spark: SparkSession, d: str) -> DataFrame:
 NAMED = "text || CASE WHEN doc_id % 4 = 1 THEN ' zq' || CAST(doc_id % 60 AS STRING) ELSE '' END || CASE WHEN doc_id % 8 = 1 THEN ' at House ' || CAST(doc_id % 60 AS STRING) ELSE '' END"
 
 
+#: Day of the year 2024 that a document is of; those that name a venue fall into its show's time.
+_DAY = "CASE WHEN doc_id % 8 = 1 THEN ((doc_id % 60) * 9) % 300 + 3 ELSE doc_id % 365 END"
+
+
+_SITE = "CASE WHEN doc_id % 8 = 1 THEN 'elsewhere' ELSE source END"
+
+
 def verdicts(spark: SparkSession, d: str) -> DataFrame:
     """Earlier answers of an adjudicator about every third document."""
     third = table(spark, d, "documents").filter("doc_id % 3 = 0")
@@ -119,9 +126,9 @@ def verdicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, d: str) -> DataFrame:
-    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int"))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.expr(_DAY).cast("int"))
     return table(spark, d, "documents").select(
-        F.concat(F.lit("d"), "doc_id").alias("id"), F.concat(F.lit("https://"), "source", F.lit(".org/"), "doc_id").alias("url"), F.expr(NAMED).alias("headline"),
+        F.concat(F.lit("d"), "doc_id").alias("id"), F.concat(F.lit("https://"), F.expr(_SITE), F.lit(".org/"), "doc_id").alias("url"), F.expr(NAMED).alias("headline"),
         F.lit("").alias("excerpt"), day.cast("string").alias("published"), F.col("doc_id").alias("pos"),
     )
 
@@ -134,7 +141,7 @@ press_venues AS (SELECT 'b' || item_id AS id, CASE WHEN item_id % 4 = 1 THEN 'ho
 press_shows AS (SELECT 'x' || item_id || '-' || k AS id, 'b' || item_id AS venue_id, CASE WHEN item_id % 4 = 1 THEN 'zq' || item_id ELSE w[k + 2] END AS surname, 'Ada ' || CASE WHEN item_id % 4 = 1 THEN 'zq' || item_id ELSE w[k + 2] END AS artist,
   DATE '2024-01-01' + CAST((item_id * 9) % 300 AS INTEGER) AS opens, item_id * 10 + k AS pos
   FROM bw, LATERAL (SELECT unnest(generate_series(1, item_id % 4)) AS k)),
-articles AS (SELECT 'd' || doc_id AS id, source || '.org' AS host, ' ' || {_NORMAL.format(NAMED.replace("STRING", "VARCHAR"))} || ' ' AS hay, DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER) AS day, doc_id AS pos FROM documents),
+articles AS (SELECT 'd' || doc_id AS id, {_SITE} || '.org' AS host, ' ' || {_NORMAL.format(NAMED.replace("STRING", "VARCHAR"))} || ' ' AS hay, DATE '2024-01-01' + CAST({_DAY} AS INTEGER) AS day, doc_id AS pos FROM documents),
 own AS (SELECT a.id, v.id AS host_venue, (SELECT count(*) FROM press_shows s WHERE s.venue_id = v.id) AS shows FROM articles a LEFT JOIN press_venues v ON a.host = v.host),
 vh AS (SELECT a.id AS article_id, v.id AS venue_id FROM articles a JOIN press_venues v ON v.name <> '' AND contains(a.hay, ' ' || v.name || ' ')),
 sh AS (SELECT a.id AS article_id, s.surname FROM articles a JOIN (SELECT DISTINCT surname FROM press_shows WHERE length(surname) > 2) s ON contains(a.hay, ' ' || s.surname || ' ')),
