@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placard.llm import fingerprint, jaccard, language, packing, periodic, quality, sharding, tokenize, topk, toxicity, urls
+from placard.llm import covertree, fingerprint, jaccard, language, packing, periodic, quality, sharding, tokenize, topk, toxicity, urls
 from placard.session import small_batches, table
 
 
@@ -59,13 +59,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.learned_and_scored(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op12_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_vectors(table(spark, sf_dir, "embeddings"), 0.9)
+
+
 def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     return periodic.digests(periodic.periodic_runs(_documents(spark, sf_dir), crc, periodic.periodic_tail))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_jaccard, op2_fingerprint, op3_quality, op4_urls, op5_sharding, op6_topk, op7_bpe, op8_packing, op9_language, op10_toxicity, op13_runs)
+    every = (op1_jaccard, op2_fingerprint, op3_quality, op4_urls, op5_sharding, op6_topk, op7_bpe, op8_packing, op9_language, op10_toxicity, op12_covertree, op13_runs)
     return {f.__name__: f for f in every}
 
 
@@ -86,4 +90,4 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_urls": urls.sql(), "op6_topk": _TOP_K}
+    return {"op4_urls": urls.sql(), "op6_topk": _TOP_K, "op12_covertree": covertree.sql()}
