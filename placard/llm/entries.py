@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placard.llm import covertree, fingerprint, jaccard, language, packing, periodic, quality, sharding, tokenize, topk, toxicity, urls
+from placard.llm import covertree, fingerprint, jaccard, language, packing, periodic, quality, sharding, tokenize, topk, toxicity, trie, urls
 from placard.session import small_batches, table
 
 
@@ -59,6 +59,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.learned_and_scored(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return trie.conversation_trie(table(spark, sf_dir, "conversations")).drop("last_turn")
+
+
 def op12_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_vectors(table(spark, sf_dir, "embeddings"), 0.9)
 
@@ -69,7 +74,7 @@ def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_jaccard, op2_fingerprint, op3_quality, op4_urls, op5_sharding, op6_topk, op7_bpe, op8_packing, op9_language, op10_toxicity, op12_covertree, op13_runs)
+    every = (op1_jaccard, op2_fingerprint, op3_quality, op4_urls, op5_sharding, op6_topk, op7_bpe, op8_packing, op9_language, op10_toxicity, op11_trie, op12_covertree, op13_runs)
     return {f.__name__: f for f in every}
 
 
@@ -90,4 +95,4 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_urls": urls.sql(), "op6_topk": _TOP_K, "op12_covertree": covertree.sql()}
+    return {"op4_urls": urls.sql(), "op6_topk": _TOP_K, "op11_trie": trie.sql(), "op12_covertree": covertree.sql()}
