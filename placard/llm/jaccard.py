@@ -20,10 +20,8 @@ COUNTER_BITS, COUNTER_ROW = 20, 1 << 12
 COUNTERS = 1 << COUNTER_BITS
 #: Prefix entries of a counter from which on its runs are dealt to several tasks.
 WIDE_ROWS = 4096
-#: Documents, and shingles, in a block of a run.
-BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 21
-#: Rows of a cell up to which all of them are compared by their narrow bitmaps.
-FEW_ROWS = 32
+#: Documents, and shingles, in a block of a run, and about so many in a cell that several runs share.
+BLOCK_ROWS, BLOCK_SHINGLES = 2048, 1 << 21
 #: Rows of ids or runs that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 250_000
 FANOUT = 8
@@ -113,37 +111,6 @@ def unpacked_signature(packed: bytes, n: int) -> np.ndarray:
     return np.cumsum(flat, dtype=np.uint32)[flat != 255] << np.uint32(low)
 
 
-def narrow_bitmap(sig: np.ndarray) -> np.ndarray:
-    """Bitmap with two to four bits for each shingle, as 64-bit words."""
-    bits = 1 << max(8, int(2 * len(sig) - 1).bit_length())
-    return _bitmaps(sig, np.zeros(len(sig), np.int64), 1, bits)[0]
-
-
-def _folded(bitmap: np.ndarray, words_: int) -> np.ndarray:
-    """The bitmap that half as many bits, or a quarter and so on, would have given: neighbouring bits become one."""
-    while len(bitmap) > words_:
-        flags = np.unpackbits(bitmap.view(np.uint8), bitorder="little").reshape(-1, 2).any(1)
-        bitmap = np.packbits(flags, bitorder="little").view(np.uint64)
-    return bitmap
-
-
-def few_candidates(bitmaps: list[np.ndarray], sizes: np.ndarray, left: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """As ``candidates``, of few sets, which are compared pair by pair: a tree of leaves alone. Bitmaps of different widths
-    meet at the narrower one."""
-    i, j = np.triu_indices(len(sizes), 1)
-    keep = (sizes[i] * rule.den >= sizes[j] * rule.num) & (sizes[j] * rule.den >= sizes[i] * rule.num)
-    if not (left.all() or not left.any()):
-        keep &= left[i] != left[j]
-    i, j = i[keep], j[keep]
-    keep = np.zeros(len(i), bool)
-    for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-        words_ = min(len(bitmaps[a]), len(bitmaps[b]))
-        x, y = (_folded(bitmaps[r], words_) for r in (a, b))
-        hidden = min(int(sizes[r]) - int(np.bitwise_count(z).sum()) for r, z in ((a, x), (b, y)))
-        keep[k] = rule.links(int(np.bitwise_count(x & y).sum()) + hidden, sizes[a] + sizes[b])
-    return i[keep], j[keep]
-
-
 def likeness_keys(sigs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Two numbers for each set that sets alike mostly share: its lowest and highest place among those that some but
     not very many of the sets have."""
@@ -470,9 +437,9 @@ def _of_sets(docs: DataFrame, ids: DataFrame, few: bool, rule: Rule, made, schem
 
 
 def _signatures(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
-    """id, n, sig and narrow (bitmap)."""
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("narrow", pa.binary())])
-    return _of_sets(docs, ids, ids.count() <= BROADCAST_IDS, rule, lambda i, s: {"id": i, "n": len(s), "sig": packed_signature(own := signature(s), len(s)), "narrow": narrow_bitmap(own).tobytes()}, schema)
+    """id, n and sig."""
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary())])
+    return _of_sets(docs, ids, ids.count() <= BROADCAST_IDS, rule, lambda i, s: {"id": i, "n": len(s), "sig": packed_signature(signature(s), len(s))}, schema)
 
 
 def _sets(docs: DataFrame, ids: DataFrame, rule: Rule, few: bool) -> DataFrame:
@@ -517,11 +484,10 @@ def _one_each(rows: list[tuple], id_at: int) -> list[tuple]:
     return [rows[k] for k in first]
 
 
-def _links(dealt: DataFrame, docs: DataFrame, ids: DataFrame, sigs: DataFrame, rule: Rule, overlap: bool = False) -> DataFrame:
+def _links(dealt: DataFrame, docs: DataFrame, ids: DataFrame, sigs: DataFrame, rule: Rule) -> DataFrame:
     """Links a, b found among the rows of each cell of ``dealt(run, x, y, side, id, root)``, a forest for a cell.
 
-    First signatures alone meet, and only for rows that are left in a pair sets are made and dealt. Cells of few rows
-    are compared by their narrow bitmaps, others by trees of whole signatures. ``overlap``: a row may be in several cells.
+    First the trees of signatures alone meet, and only for rows that are left in a pair sets are made and dealt.
     """
 
     def sift(key: tuple, rows: list[tuple]) -> list[tuple]:
@@ -529,10 +495,7 @@ def _links(dealt: DataFrame, docs: DataFrame, ids: DataFrame, sigs: DataFrame, r
         if len(rows) < 2:
             return []
         root, sizes, left = np.array([r[2] for r in rows]), np.array([r[3] for r in rows]), np.array([bool(r[0]) for r in rows])
-        if rows[0][4]:
-            i, j = candidates([unpacked_signature(r[5], r[3]) for r in rows], sizes, left, rule)
-        else:
-            i, j = few_candidates([np.frombuffer(r[5], np.uint64) for r in rows], sizes, left, rule)
+        i, j = candidates([unpacked_signature(r[4], r[3]) for r in rows], sizes, left, rule)
         open_ = root[i] != root[j]
         stay = np.unique(np.concatenate([i[open_], j[open_]]))
         return [(*key, *rows[k][:3]) for k in stay]
@@ -546,14 +509,7 @@ def _links(dealt: DataFrame, docs: DataFrame, ids: DataFrame, sigs: DataFrame, r
         return [(rows[a][1], rows[b][1]) for a, b in forest(sets, np.array([r[2] for r in rows]), i, j, rule)]
 
     cell = "run long, x long, y long, side long, id long, root long"
-    sizes = dealt.groupBy(*_CELL).agg(F.count("*").alias("members")).filter("members > 1")
-    dealt = _joined(dealt, sizes.select(*_CELL, (F.col("members") > FEW_ROWS).alias("many")), _CELL)
-    bits = F.when(F.col("many"), F.col("sig")).otherwise(F.col("narrow")).alias("bits")
-    near = written(_solved(dealt.join(sigs, "id").select(*_CELL, "side", "id", "root", "n", "many", bits), sift, cell), "shingle-near")
-    if overlap:  # cells left with the same rows say the same: one of them stays
-        kinds = near.groupBy(*_CELL).agg(F.count("*").alias("size"), F.sum(F.xxhash64("id", "side").cast("decimal(20,0)")).alias("members"))
-        kept = kinds.groupBy("size", "members").agg(F.min(F.struct(*_CELL)).alias("c")).select("c.*")
-        near = written(near.join(kept, _CELL, "left_semi"), "shingle-cells")
+    near = written(_solved(dealt.join(sigs, "id").select(*_CELL, "side", "id", "root", "n", "sig"), sift, cell), "shingle-near")
     few = near.count() <= BROADCAST_IDS
     wanted = ids.join(near.select("id").distinct(), "id", "left_semi")
     full = _sets(docs, wanted, rule, few).join(F.broadcast(near) if few else near.hint("merge"), "id")
@@ -570,22 +526,36 @@ def _block(blocks: Column) -> Column:
     return F.pmod(F.xxhash64("id", F.lit(5)), blocks).cast("int")
 
 
+def _shelf(rows: DataFrame) -> Column:
+    """Which one of the cells that runs of few sets share, so that these have about ``BLOCK_ROWS`` sets; ``rows`` (run, n) has all."""
+    n, shingles = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return F.pmod(F.xxhash64("run"), F.lit(max(1, -(-n // BLOCK_ROWS), -(-shingles // BLOCK_SHINGLES))))
+
+
 def _gather(live: DataFrame) -> DataFrame:
-    """Cells in which each set meets a block of the fullest run that it is in, once; ``blocks`` of that run."""
+    """Cells in which each set meets a block of the fullest run that it is in, once; ``blocks`` of that run. Runs of one
+    block share cells, whose trees tell their sets apart."""
     sizes = live.groupBy("run").agg(F.count("*").alias("size"), _need().alias("blocks"))
     run = F.struct("run", "blocks")
-    own = _joined(live, sizes, "run").groupBy("id", "n").agg(F.max_by(run, F.struct("size", "run")).alias("r")).select("id", "r.*")
-    zero = F.lit(0).cast("long")
-    return own.select("run", _block(F.col("blocks")).cast("long").alias("x"), zero.alias("y"), F.lit(1).cast("long").alias("side"), "id", F.col("id").alias("root"), "blocks")
+    own = _joined(live, sizes, "run").groupBy("id", "n").agg(F.max_by(run, F.struct("size", "run")).alias("r")).select("id", "n", "r.*")
+    own = written(own, "shingle-own")
+    one, zero = F.col("blocks") == 1, F.lit(0).cast("long")
+    return own.select(
+        F.when(one, _shelf(own)).otherwise(F.col("run")).alias("run"), F.when(one, -1).otherwise(_block(F.col("blocks"))).cast("long").alias("x"), zero.alias("y"),
+        F.lit(1).cast("long").alias("side"), "id", F.col("id").alias("root"), "blocks",
+    )
 
 
 def _across(live: DataFrame, roots: DataFrame) -> DataFrame:
     """Cells in which all pairs of runs that still hold several components meet, but those of one component.
 
-    The largest component of a run is not compared with itself: only blocks of the other sets meet its blocks, and
-    each other.
+    Runs that have their member of smallest hash in common are one run, so that a set is in few of them. The largest
+    component of a run is not compared with itself: only blocks of the other sets meet its blocks, and each
+    other. Runs of one block share cells.
     """
     rows = written(live.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "shingle-rooted")
+    several = rows.groupBy("run").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min_by("id", F.xxhash64("id", F.lit(11))).alias("least")).filter("a <> b").select("run", "least")
+    rows = written(_joined(rows, several, "run").groupBy("least", "id").agg(F.first("n").alias("n"), F.first("root").alias("root")).withColumnRenamed("least", "run"), "shingle-merged")
     parts = rows.groupBy("run", "root").agg(F.count("*").alias("members"))
     runs = parts.groupBy("run").agg(F.count("*").alias("several"), F.max_by("root", F.struct("members", "root")).alias("major")).filter("several > 1")
     rows = written(_joined(rows, runs.select("run", "major"), "run").withColumn("minor", F.col("root") != F.col("major")), "runs")
@@ -594,15 +564,16 @@ def _across(live: DataFrame, roots: DataFrame) -> DataFrame:
         F.count("*").alias("size"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("members"), _need(F.col("minor")).alias("minors"), _need(~F.col("minor")).alias("majors")
     )
     kept = kinds.groupBy("size", "members").agg(F.min_by(F.struct("run", "minors", "majors"), "run").alias("kept")).select("kept.*")
-    rows = _joined(rows, kept, "run").withColumn("block", _block(F.when(F.col("minor"), F.col("minors")).otherwise(F.col("majors"))))
+    rows = written(_joined(rows, kept, "run").withColumn("block", _block(F.when(F.col("minor"), F.col("minors")).otherwise(F.col("majors")))), "shingle-blocks")
     one = (F.col("minors") == 1) & (F.col("majors") == 1)
+    shared = rows.filter(one).select(_shelf(rows.filter(one)).alias("run"), F.lit(-1).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(1).cast("long").alias("side"), "id", "root").distinct()
+    rows = rows.filter(~one)
     cell = lambda x, y, side: F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), side.cast("long").alias("side"))
     own, zero = F.col("block"), F.lit(0)
     minor_blocks, major_blocks = F.sequence(zero, F.col("minors") - 1), F.sequence(zero, F.col("majors") - 1)
     # x is a block of others; y is a block of others (from 0), or of the largest component (from -1 downward).
     cells = (
-        F.when(one, F.array(cell(zero, zero, F.lit(1))))
-        .when(~F.col("minor"), F.transform(minor_blocks, lambda b: cell(b, -1 - own, F.lit(0))))
+        F.when(~F.col("minor"), F.transform(minor_blocks, lambda b: cell(b, -1 - own, F.lit(0))))
         .otherwise(
             F.concat(
                 F.transform(major_blocks, lambda b: cell(own, -1 - b, F.lit(1))),
@@ -610,7 +581,7 @@ def _across(live: DataFrame, roots: DataFrame) -> DataFrame:
             )
         )
     )
-    return rows.select("run", "id", "root", F.explode(cells).alias("c")).select("run", "c.x", "c.y", "c.side", "id", "root")
+    return rows.select("run", "id", "root", F.explode(cells).alias("c")).select("run", "c.x", "c.y", "c.side", "id", "root").unionByName(shared)
 
 
 def near_groups(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -677,7 +648,7 @@ def _grouped(docs: DataFrame, rule: Rule) -> tuple[DataFrame, Rule]:
         heads = live.join(heads, "id", "left_semi")
         more = written(_links(_gather(heads).drop("blocks"), docs, ids, sigs, rule), "shingle-links")
         roots = _joined_up(roots, more)
-    roots = _joined_up(roots, written(_links(_across(live, roots), docs, ids, sigs, rule, overlap=True), "shingle-links"))
+    roots = _joined_up(roots, written(_links(_across(live, roots), docs, ids, sigs, rule), "shingle-links"))
 
     named = written(ids.join(roots, "id"), "shingle-named")
     best = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -147,3 +147,22 @@ def test_components_of_a_path(spark):
     path = spark.range(60).selectExpr("id AS a", "id + 1 AS b").unionByName(spark.createDataFrame([(100, 100), (None, 3)], "a long, b long"))
     got = dict(map(tuple, components(path).collect()))
     assert got == {i: 0 for i in range(61)}
+
+
+def test_cells_of_a_table_are_searched_by_trees(spark):
+    """On given data the cells hold many runs, and their trees, of two inner levels at least, leave few pairs to compare."""
+    docs, rule = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text"), jaccard.Rule(4, 85, 100)
+    keyed, firsts = jaccard._named(docs, rule, jaccard._counters(docs, rule))
+    live = jaccard.written(jaccard._live(keyed, rule), "live")
+    ids = live.select("id").distinct().join(firsts, "id")
+    rows = jaccard._gather(live).join(jaccard._signatures(docs, ids, rule), "id").select("run", "x", "n", "sig").collect()
+    cells, met, pairs, deep = {}, 0, 0, 0
+    for r in rows:
+        cells.setdefault((r.run, r.x), []).append(r)
+    for cell in cells.values():
+        compared = []
+        i, _ = jaccard.candidates([jaccard.unpacked_signature(r.sig, r.n) for r in cell], np.array([r.n for r in cell]), np.ones(len(cell), bool), rule, compared)
+        met, pairs = met + sum(c[1] for c in compared if c[0] == 0), pairs + len(cell) * (len(cell) - 1) // 2
+        deep += len(cell) * (max(c[0] for c in compared) >= 2)
+    print(f"{len(rows)} sets in {len(cells)} cells; {met} of {pairs} pairs compared as leaves")
+    assert len(cells) < len(rows) / 200 and deep > 0.9 * len(rows) and met < pairs / 10
