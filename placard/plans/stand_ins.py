@@ -90,33 +90,41 @@ def after(with_status: DataFrame) -> DataFrame:
 
 def press_venues(spark: SparkSession, d: str) -> DataFrame:
     words = F.split(normalize_name(F.col("text")), " ")
-    name = F.when(F.col("item_id") % 4 == 1, F.concat(F.lit("house "), "item_id")).otherwise(F.concat_ws(" ", F.get(words, F.lit(0)), F.get(words, F.lit(1))))
+    item = F.col("item_id")
+    name = F.when(item % 4 == 1, F.concat(F.lit("house "), item)).when(item % 8 == 2, F.concat(F.lit("hall "), item)).otherwise(F.concat_ws(" ", F.get(words, F.lit(0)), F.get(words, F.lit(1))))
     return table(spark, d, "benchmark").select(
         F.concat(F.lit("b"), "item_id").alias("id"), name.alias("name"),
         F.concat(F.lit("https://www.src"), "item_id", F.lit(".org")).alias("url"), F.col("item_id").alias("pos"),
     )
 
 
+def _surname() -> Column:
+    item = F.col("item_id")
+    made = F.concat(F.lit("zq"), item)
+    return F.when(item % 4 == 1, made).when(item % 8 == 2, F.concat(made, F.when(F.col("k") == 1, "a").otherwise("b"))).otherwise(F.get("w", F.col("k") + 1))
+
+
 def press_shows(spark: SparkSession, d: str) -> DataFrame:
     words = F.split(normalize_name(F.col("text")), " ")
     rows = table(spark, d, "benchmark").select("item_id", words.alias("w"), F.explode(F.sequence(F.lit(0), (F.col("item_id") % 4).cast("int"))).alias("k")).filter(F.col("k") > 0)
     opens = F.date_add(F.lit("2024-01-01").cast("date"), ((F.col("item_id") * 9) % 300).cast("int"))
     return rows.select(
         F.concat(F.lit("x"), "item_id", F.lit("-"), "k").alias("id"), F.concat(F.lit("b"), "item_id").alias("venue_id"), F.concat(F.lit("Show "), "k").alias("title"),
-        F.array(F.concat(F.lit("Ada "), F.when(F.col("item_id") % 4 == 1, F.concat(F.lit("zq"), "item_id")).otherwise(F.get("w", F.col("k") + 1)))).alias("artists"), opens.cast("string").alias("opens"), F.date_add(opens, 40).cast("string").alias("closes"),
+        F.array(F.concat(F.lit("Ada "), _surname())).alias("artists"), opens.cast("string").alias("opens"), F.date_add(opens, 40).cast("string").alias("closes"),
         (F.col("item_id") * 10 + F.col("k")).alias("pos"),
     )
 
 
-#: Every fourth document names an artist, every eighth also where they show.
-NAMED = "text || CASE WHEN doc_id % 4 = 1 THEN ' zq' || CAST(doc_id % 60 AS STRING) ELSE '' END || CASE WHEN doc_id % 8 = 1 THEN ' at House ' || CAST(doc_id % 60 AS STRING) ELSE '' END"
+#: Every fourth document names an artist, every eighth also where they show; another eighth names one artist or both of a hall.
+_HALL = "' zq' || CAST(doc_id % 60 AS STRING) || 'a' || CASE WHEN doc_id % 3 = 0 THEN ' zq' || CAST(doc_id % 60 AS STRING) || 'b' ELSE '' END || ' at Hall ' || CAST(doc_id % 60 AS STRING)"
+NAMED = f"text || CASE WHEN doc_id % 8 = 2 THEN {_HALL} ELSE '' END || CASE WHEN doc_id % 4 = 1 THEN ' zq' || CAST(doc_id % 60 AS STRING) ELSE '' END || CASE WHEN doc_id % 8 = 1 THEN ' at House ' || CAST(doc_id % 60 AS STRING) ELSE '' END"
 
 
 #: Day of the year 2024 that a document is of; those that name a venue fall into its show's time.
-_DAY = "CASE WHEN doc_id % 8 = 1 THEN ((doc_id % 60) * 9) % 300 + 3 ELSE doc_id % 365 END"
+_DAY = "CASE WHEN doc_id % 8 IN (1, 2) THEN ((doc_id % 60) * 9) % 300 + 3 ELSE doc_id % 365 END"
 
 
-_SITE = "CASE WHEN doc_id % 8 = 1 THEN 'elsewhere' ELSE source END"
+_SITE = "CASE WHEN doc_id % 16 = 2 THEN 'src' || CAST(doc_id % 60 AS STRING) WHEN doc_id % 8 IN (1, 2) THEN 'elsewhere' ELSE source END"
 
 
 def verdicts(spark: SparkSession, d: str) -> DataFrame:
@@ -134,14 +142,15 @@ def articles(spark: SparkSession, d: str) -> DataFrame:
 
 
 _NORMAL = "trim(regexp_replace(lower(strip_accents({})), '[^a-z0-9]+', ' ', 'g'))"
+_SURNAME = "CASE WHEN item_id % 4 = 1 THEN 'zq' || item_id WHEN item_id % 8 = 2 THEN 'zq' || item_id || CASE WHEN k = 1 THEN 'a' ELSE 'b' END ELSE w[k + 2] END"
 #: For DuckDB: press_venues, press_shows, articles, pairs (article, show, tier) and best (candidates of the best tier).
 PRESS = f"""
 bw AS (SELECT item_id, string_split({_NORMAL.format("text")}, ' ') AS w FROM benchmark),
-press_venues AS (SELECT 'b' || item_id AS id, CASE WHEN item_id % 4 = 1 THEN 'house ' || item_id ELSE concat_ws(' ', w[1], w[2]) END AS name, 'src' || item_id || '.org' AS host, item_id AS pos FROM bw),
-press_shows AS (SELECT 'x' || item_id || '-' || k AS id, 'b' || item_id AS venue_id, CASE WHEN item_id % 4 = 1 THEN 'zq' || item_id ELSE w[k + 2] END AS surname, 'Ada ' || CASE WHEN item_id % 4 = 1 THEN 'zq' || item_id ELSE w[k + 2] END AS artist,
+press_venues AS (SELECT 'b' || item_id AS id, CASE WHEN item_id % 4 = 1 THEN 'house ' || item_id WHEN item_id % 8 = 2 THEN 'hall ' || item_id ELSE concat_ws(' ', w[1], w[2]) END AS name, 'src' || item_id || '.org' AS host, item_id AS pos FROM bw),
+press_shows AS (SELECT 'x' || item_id || '-' || k AS id, 'b' || item_id AS venue_id, {_SURNAME} AS surname, 'Ada ' || {_SURNAME} AS artist,
   DATE '2024-01-01' + CAST((item_id * 9) % 300 AS INTEGER) AS opens, item_id * 10 + k AS pos
   FROM bw, LATERAL (SELECT unnest(generate_series(1, item_id % 4)) AS k)),
-articles AS (SELECT 'd' || doc_id AS id, {_SITE} || '.org' AS host, ' ' || {_NORMAL.format(NAMED.replace("STRING", "VARCHAR"))} || ' ' AS hay, DATE '2024-01-01' + CAST({_DAY} AS INTEGER) AS day, doc_id AS pos FROM documents),
+articles AS (SELECT 'd' || doc_id AS id, {_SITE.replace("STRING", "VARCHAR")} || '.org' AS host, ' ' || {_NORMAL.format(NAMED.replace("STRING", "VARCHAR"))} || ' ' AS hay, DATE '2024-01-01' + CAST({_DAY} AS INTEGER) AS day, doc_id AS pos FROM documents),
 own AS (SELECT a.id, v.id AS host_venue, (SELECT count(*) FROM press_shows s WHERE s.venue_id = v.id) AS shows FROM articles a LEFT JOIN press_venues v ON a.host = v.host),
 vh AS (SELECT a.id AS article_id, v.id AS venue_id FROM articles a JOIN press_venues v ON v.name <> '' AND contains(a.hay, ' ' || v.name || ' ')),
 sh AS (SELECT a.id AS article_id, s.surname FROM articles a JOIN (SELECT DISTINCT surname FROM press_shows WHERE length(surname) > 2) s ON contains(a.hay, ' ' || s.surname || ' ')),
