@@ -21,10 +21,10 @@ def _event(when: Column, kind: str, ts: Column, payload: Column) -> Column:
     return F.when(when, F.struct(ts.alias("ts"), F.lit(kind).alias("type"), payload.alias("payload")))
 
 
-def _events(rows: DataFrame, candidates: list[Column]) -> DataFrame:
-    """One row for each event that applies, in the order given."""
-    events = rows.select("venue_id", F.col("id").alias("exhibition_id"), F.posexplode(F.array_compact(F.array(*candidates))).alias("seq", "e"))
-    return with_ids(events.select(F.col("e.ts").alias("ts"), F.col("e.type").alias("type"), "venue_id", "exhibition_id", F.lit(None).cast("string").alias("article_id"), F.col("e.payload").alias("payload"), "seq"))
+def _events(rows: DataFrame, candidates: list[Column], *more: str) -> DataFrame:
+    """One row for each event that applies, in the order given; ``more``: columns of ``rows`` to keep."""
+    events = rows.select(*more, "venue_id", F.col("id").alias("exhibition_id"), F.posexplode(F.array_compact(F.array(*candidates))).alias("seq", "e"))
+    return with_ids(events.select(F.col("e.ts").alias("ts"), F.col("e.type").alias("type"), "venue_id", "exhibition_id", F.lit(None).cast("string").alias("article_id"), F.col("e.payload").alias("payload"), "seq", *more))
 
 
 def log_key() -> list[Column]:
@@ -43,15 +43,25 @@ def changes(prior: DataFrame, current: DataFrame, venues: DataFrame, now_iso: st
     status; EXTENDED for a later closing date; DOCUMENTATION_POSTED, PRESS_RELEASE_POSTED, CHECKLIST_POSTED for what came
     up. A venue of ``venues(id, name)`` that had exhibitions and has none is VENUE_DARK.
     """
-    p, ts = F.col("p"), F.lit(now_iso)
     old = last_of_each(prior.filter("id IS NOT NULL"), "id").select("id", F.struct("status", "closes", "image_urls", "press_release_url", "works").alias("p"))
-    rows = current.join(old, "id", "left")
+    found = compared(current.join(old, "id", "left"), F.lit(now_iso))
+    gone = (
+        venues.select(F.col("id").alias("venue_id"), "name")
+        .join(current.select("venue_id").distinct(), "venue_id", "left_anti")
+        .join(prior.select("venue_id").distinct(), "venue_id", "left_semi")
+    )
+    return found.unionByName(dark(gone, F.lit(now_iso)))
+
+
+def compared(rows: DataFrame, ts: Column, *more: str) -> DataFrame:
+    """Events at ``ts`` of exhibitions with what they were before as ``p`` (null if they were not); ``more``: columns to keep."""
+    p = F.col("p")
     known, title = p.isNotNull(), F.col("title")
     turned = lambda s: known & ~p["status"].eqNullSafe(F.lit(s)) & (F.col("status") == s)
     count = lambda c: F.coalesce(F.size(c), F.lit(0))
     present = lambda c: F.coalesce(c, F.lit("")) != ""
     later = present(p["closes"]) & present(F.col("closes")) & (instant(F.col("closes")) > instant(p["closes"]))
-    found = _events(
+    return _events(
         rows,
         [
             _event(~known, "ANNOUNCED", ts, _payload(title=title, opens=F.col("opens"))),
@@ -63,15 +73,14 @@ def changes(prior: DataFrame, current: DataFrame, venues: DataFrame, now_iso: st
             _event(known & ~present(p["press_release_url"]) & present(F.col("press_release_url")), "PRESS_RELEASE_POSTED", ts, _payload(title=title)),
             _event(known & (count(p["works"]) <= 0) & (count(F.col("works")) > 0), "CHECKLIST_POSTED", ts, _payload(title=title, count=count(F.col("works")))),
         ],
+        *more,
     )
-    dark = (
-        venues.select(F.col("id").alias("venue_id"), "name")
-        .join(current.select("venue_id").distinct(), "venue_id", "left_anti")
-        .join(prior.select("venue_id").distinct(), "venue_id", "left_semi")
-    )
+
+
+def dark(venues: DataFrame, ts: Column, *more: str) -> DataFrame:
+    """VENUE_DARK at ``ts`` for each of ``venues(venue_id, name)``."""
     none = F.lit(None).cast("string")
-    dark = with_ids(dark.select(ts.alias("ts"), F.lit("VENUE_DARK").alias("type"), "venue_id", none.alias("exhibition_id"), none.alias("article_id"), _payload(name=F.col("name")).alias("payload"), F.lit(0).alias("seq")))
-    return found.unionByName(dark)
+    return with_ids(venues.select(ts.alias("ts"), F.lit("VENUE_DARK").alias("type"), "venue_id", none.alias("exhibition_id"), none.alias("article_id"), _payload(name=F.col("name")).alias("payload"), F.lit(0).alias("seq"), *more))
 
 
 def bootstrap(current: DataFrame, now_iso: str, soon_days: int = 7) -> DataFrame:
@@ -97,7 +106,13 @@ def appended(log: DataFrame, fresh: DataFrame, now_iso: str, days: int = EVENT_W
     """The log without what is older than ``days``, and the fresh events whose key it lacks (the first of each key;
     they are kept at any age). ``views.in_order(rows, "log")`` reads it."""
     now = F.unix_millis(F.lit(now_iso).cast("timestamp"))
-    kept = log.filter(instant(F.col("ts")) >= now - days * DAY_MS).withColumn("key", F.concat_ws(":", *log_key()))
+    kept = log.filter(instant(F.col("ts")) >= now - days * DAY_MS)
+    return kept.unionByName(unseen(kept, fresh), allowMissingColumns=True)
+
+
+def unseen(kept: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The first of the fresh events of each key that ``kept`` lacks."""
+    kept = kept.withColumn("key", F.concat_ws(":", *log_key()))
     first = Window.partitionBy("key").orderBy("seq", "id")
     new = fresh.withColumn("key", F.concat_ws(":", *log_key())).withColumn("place", F.row_number().over(first)).filter("place = 1").drop("place")
-    return kept.unionByName(new.join(kept.select("key"), "key", "left_anti"), allowMissingColumns=True).drop("key")
+    return new.join(kept.select("key"), "key", "left_anti").drop("key")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,30 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def names_in(spark: SparkSession, pattern: str) -> list[str]:
+    """Names of the files and folders that fit a pattern."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return [f.getPath().getName() for f in hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop) or []]
+
+
+def new_file(spark: SparkSession, path: str, text: str) -> None:
+    """Creates a file, which only one writer can; FileExistsError if there is one."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        out = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).create(hadoop, False)
+    except Py4JJavaError as e:
+        if "AlreadyExists" in str(e.java_exception):
+            raise FileExistsError(path) from e
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def json_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of JSON files, each one object or array; ``file`` is the name without suffix. No file gives no rows.
 
