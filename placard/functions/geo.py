@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RADIUS_M = 6_371_000.0
+#: Points of a cell that meet their neighbours in one piece.
+PIECE = 2000
 
 
 def haversine(lat1: Column, lng1: Column, lat2: Column, lng2: Column, radius: float = RADIUS_M) -> Column:
@@ -38,3 +41,29 @@ def within_metres(left: DataFrame, right: DataFrame, metres: float) -> DataFrame
         near = near.withColumn(n, F.explode(F.array(*(F.col(n) + d for d in (-1, 0, 1)))))
     far = haversine(F.col("lat"), F.col("lng"), F.col("lat2"), F.col("lng2"))
     return own.join(near, names).filter(F.col("id") != F.col("other_id")).select("id", "other_id", far.alias("metres")).filter(F.col("metres") <= metres)
+
+
+def near_each_other(points: DataFrame, metres: float, piece: int = PIECE) -> DataFrame:
+    """Pairs of ``points(id, lat, lng, wanted)`` with other ids and at most ``metres`` between, whose other point is wanted.
+
+    Of the 27 cells around a point only its own and the 13 after it are looked at, as each pair of neighbouring cells is met
+    from one side; a pair then gives a row for each of its wanted points. The points of a cell with very many of them are dealt
+    into pieces of about ``piece``, each of which meets a copy of all its neighbours. Rows without an id or
+    coordinates pair with nothing. Returns id, other_id, metres.
+    """
+    side = 2 * math.sin(min(metres, RADIUS_M) / (2 * RADIUS_M)) or 1e-9
+    rows = points.filter("id IS NOT NULL AND lat IS NOT NULL AND lng IS NOT NULL")
+    rows = rows.select("id", "lat", "lng", F.coalesce("wanted", F.lit(False)).alias("wanted"), F.struct(*(c.alias(n) for c, n in zip(_cube(F.col("lat"), F.col("lng"), side), "xyz", strict=True))).alias("cell"))
+    dense = rows.groupBy("cell").agg(F.ceil(F.count("*") / piece).cast("int").alias("pieces")).filter("pieces > 1")
+    dense = F.broadcast(dense)  # at most one for each ``piece`` points
+    pieces = F.coalesce("pieces", F.lit(1))
+    own = rows.join(dense, "cell", "left").withColumn("slot", F.pmod(F.xxhash64("id"), pieces).cast("int")).drop("pieces")
+    after = [s for s in product((-1, 0, 1), repeat=3) if s >= (0, 0, 0)]
+    at = F.array(*(F.struct(*((F.col("cell")[n] - d).alias(n) for n, d in zip("xyz", s, strict=True)), F.lit(s == (0, 0, 0)).alias("home")) for s in after))
+    near = rows.select(F.col("id").alias("other_id"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2"), F.col("wanted").alias("other_wanted"), F.explode(at).alias("a"))
+    near = near.select("other_id", "lat2", "lng2", "other_wanted", F.struct("a.x", "a.y", "a.z").alias("cell"), "a.home").join(dense, "cell", "left")
+    near = near.withColumn("slot", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("pieces")
+    far = haversine(F.col("lat"), F.col("lng"), F.col("lat2"), F.col("lng2")).alias("metres")
+    pairs = own.join(near, ["cell", "slot"]).filter("id <> other_id AND (wanted OR other_wanted) AND (NOT home OR id < other_id)").select("id", "other_id", "wanted", "other_wanted", far)
+    both = F.array(F.struct("id", "other_id", F.col("other_wanted").alias("take")), F.struct(F.col("other_id").alias("id"), F.col("id").alias("other_id"), F.col("wanted").alias("take")))
+    return pairs.filter(F.col("metres") <= metres).select("metres", F.explode(both).alias("p")).filter("p.take").select("p.id", "p.other_id", "metres")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from placard.functions.dates import DAY_MS, days_until, instant, recency_opacity, status
-from placard.functions.geo import within_metres
+from placard.functions.geo import near_each_other, within_metres  # noqa: F401  the monitor asks for one venue's
 
 LAYERS = ("openings", "on_view", "closing", "institutions", "artist_run", "nexus", "press", "offsite", "dark", "coverage")
 #: Days that a time range of the ticker reaches back.
@@ -66,9 +66,11 @@ def press_counts(articles: DataFrame) -> DataFrame:
 
 def activity(venues: DataFrame, exhibitions: DataFrame, press: DataFrame, now: Column, days: int = 7) -> DataFrame:
     """district, openings, closings, press, score: onsite openings and closings within ``days`` of now and press
-    mentions, over the greatest district's sum. Districts without any are left out."""
+    mentions, over the greatest district's sum. Districts without any are left out. Exhibitions may be counted facts
+    with ``n`` (``history.facts``)."""
+    n = F.col("n") if "n" in exhibitions.columns else F.lit(1)
     places = venues.filter("district IS NOT NULL AND district <> ''").select(F.col("id").alias("venue_id"), "district")
-    near = lambda c: F.coalesce(days_until(instant(F.col(c)), now).between(-days, days), F.lit(False)).cast("long")
+    near = lambda c: F.coalesce(days_until(instant(F.col(c)), now).between(-days, days), F.lit(False)).cast("long") * n
     shows = exhibitions.filter(onsite(F.col("kind"))).select("venue_id", near("opens").alias("openings"), near("closes").alias("closings"), F.lit(0).cast("long").alias("press"))
     said = press.select("venue_id", F.lit(0).cast("long").alias("openings"), F.lit(0).cast("long").alias("closings"), F.col("press").cast("long"))
     sums = shows.groupBy("venue_id").agg(*(F.sum(c).alias(c) for c in ("openings", "closings", "press"))).unionByName(said)
@@ -131,8 +133,8 @@ def open_venues(exhibitions: DataFrame) -> DataFrame:
 
 def neighbours(points: DataFrame, exhibitions: DataFrame, metres: float = 400) -> DataFrame:
     """id, other_id, metres: venues with something open within ``metres`` of each venue of ``points(id, lat, lng)``."""
-    opened = open_venues(exhibitions).withColumnRenamed("venue_id", "id")
-    return within_metres(points, points.join(opened, "id", "left_semi"), metres)
+    opened = open_venues(exhibitions).select(F.col("venue_id").alias("id"), F.lit(True).alias("wanted"))
+    return near_each_other(points.join(opened, "id", "left"), metres)
 
 
 def search(venues: DataFrame, exhibitions: DataFrame, query: str) -> DataFrame:

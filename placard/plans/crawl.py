@@ -7,26 +7,28 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from placard import schemas
 from placard.functions.dates import instant, status
 from placard.functions.text import excerpt, exhibition_id
 from placard.operators import changes, corrections, gate, resolve, views
 from placard.session import written
-from placard.sources.files import exists
 
 
 def normalized(raw: DataFrame, now_iso: str) -> DataFrame:
-    """Exhibitions of ``raw`` records with venue_id; those without a title go."""
+    """Exhibitions of ``raw`` records with venue_id; those without a title go. Other columns of a raw record that no
+    source gave are null."""
     now = F.unix_millis(F.lit(now_iso).cast("timestamp"))
-    has = lambda c: F.col(c) if c in raw.columns else F.lit(None).cast("string")
+    kinds = {f.name: f.dataType for f in StructType.fromDDL(schemas.RAW_EXHIBITION)}
+    has = lambda c: F.col(c) if c in raw.columns else F.lit(None).cast(kinds[c])
     rows = raw.filter("title IS NOT NULL AND title <> ''")
     return rows.select(
-        exhibition_id(F.col("venue_id"), F.col("source_url"), F.col("title")).alias("id"), "venue_id", has("space_label").alias("space_label"), "title", "artists",
-        F.coalesce(has("kind"), F.lit("group")).alias("kind"), "opens", "closes", has("opening_reception").alias("opening_reception"),
-        status(instant(F.col("opens")), instant(F.col("closes")), now).alias("status"), excerpt(F.coalesce(has("excerpt"), has("body"), F.lit(""))).alias("excerpt"),
-        has("press_release_url").alias("press_release_url"), "image_urls", has("image_credit").alias("image_credit"), "works", "source_url",
-        F.coalesce(has("fetched_at"), F.lit(now_iso)).alias("fetched_at"), "confidence",
+        exhibition_id(F.col("venue_id"), has("source_url"), F.col("title")).alias("id"), "venue_id", has("space_label").alias("space_label"), "title", has("artists").alias("artists"),
+        F.coalesce(has("kind"), F.lit("group")).alias("kind"), has("opens").alias("opens"), has("closes").alias("closes"), has("opening_reception").alias("opening_reception"),
+        status(instant(has("opens")), instant(has("closes")), now).alias("status"), excerpt(F.coalesce(has("excerpt"), has("body"), F.lit(""))).alias("excerpt"),
+        has("press_release_url").alias("press_release_url"), has("image_urls").alias("image_urls"), has("image_credit").alias("image_credit"), has("works").alias("works"), has("source_url").alias("source_url"),
+        F.coalesce(has("fetched_at"), F.lit(now_iso)).alias("fetched_at"), has("confidence").alias("confidence"),
     )
 
 
@@ -72,7 +74,9 @@ def plan(inputs: Inputs, now_iso: str, adapters: tuple[str, ...] = ("sanity", "a
     outcome = verdicts.select("venue_id", "got", "verdict").unionByName(hand).unionByName(quiet)
     health_columns = ["last_attempt", "last_success", "record_count", "consecutive_failures", "status"]
     health = gate.next_health(inputs.venues.select(F.col("id").alias("venue_id"), *health_columns), outcome, F.lit(now_iso))
-    health = health.join(inputs.blocked.select("venue_id", F.lit(True).alias("shut")), "venue_id", "left").withColumn("status", F.when(F.col("shut"), "blocked").otherwise(F.col("status"))).drop("shut")
+    health = health.join(inputs.blocked.select("venue_id", F.lit(True).alias("shut")).distinct(), "venue_id", "left")
+    tried = {"status": F.lit("blocked"), "last_attempt": F.lit(now_iso)}
+    health = health.withColumns({c: F.when(F.col("shut"), v).otherwise(F.col(c)) for c, v in tried.items()}).drop("shut")
     venues = written(inputs.venues.drop(*health_columns).join(health.withColumnRenamed("venue_id", "id"), "id"), "venues")
     cache = inputs.cache if inputs.cache is not None else spark.createDataFrame([], "article_id string, exhibition_id string, confidence double")
     if adjudicate is not None:
@@ -129,28 +133,3 @@ def report(venues: DataFrame, exhibitions: DataFrame, articles: DataFrame, event
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
-
-
-def commit(tables: dict[str, DataFrame], root: str, version: str) -> str:
-    """Writes a run's tables below ``root/version`` as a new version, so that what a run reads is never overwritten, and
-    a marker last; returns the folder. Exhibitions and venues are parted by city where they have one. A run that fails
-    leaves no marker, and its version is not read."""
-    folder = f"{root}/{version}"
-    spark = next(iter(tables.values())).sparkSession
-    cities = tables["venues"].select(F.col("id").alias("venue_id"), "city") if "city" in tables.get("venues", spark.range(0)).columns else None
-    for name, rows in tables.items():
-        if name == "exhibitions" and cities is not None:
-            rows = rows.join(cities, "venue_id", "left")
-        parts = ["city"] if name in ("exhibitions", "venues") and "city" in rows.columns else []
-        rows.write.mode("overwrite").partitionBy(*parts).parquet(f"{folder}/{name}")
-    spark.createDataFrame([(version, schemas.SCHEMA_VERSION)], "version string, schema_version string").coalesce(1).write.mode("overwrite").json(f"{folder}/_complete")
-    return folder
-
-
-def latest(spark: SparkSession, root: str) -> str | None:
-    """Folder of the newest complete version."""
-    if not exists(spark, f"{root}/*/_complete"):
-        return None
-    rows = spark.read.schema("version string, schema_version string").json(f"{root}/*/_complete").filter(F.col("schema_version") == schemas.SCHEMA_VERSION)
-    newest = rows.agg(F.max("version")).first()[0]
-    return f"{root}/{newest}" if newest else None

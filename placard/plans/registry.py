@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from placard import schemas
 from placard.functions.text import absolute_url
 from placard.operators import corrections
-from placard.plans import crawl
+from placard.plans import crawl, versions
 from placard.session import written
 from placard.sources import cms, feeds, files, pages
 
+log = logging.getLogger(__name__)
+
 HEALTH = ("last_attempt", "last_success", "record_count", "consecutive_failures", "status")
 
 
@@ -33,7 +37,7 @@ class Landed:
 
 def opened(venues: DataFrame) -> DataFrame:
     """Venues of the registry's files with health as columns, pos (their order by id), and their source's settings:
-    mode, page_url, setting, shape, and press, press_url for their press page."""
+    mode, page_url, setting, shape, and press, press_url, press_limit for their press page."""
     said = lambda path: F.try_variant_get("config", path, "string")
     wordpress, squarespace, press = (said(f"$.{k}") for k in ("wordpress.mode", "squarespace.path", "gallerypress.type"))
     below = lambda path: absolute_url(F.col("url"), path)
@@ -45,6 +49,7 @@ def opened(venues: DataFrame) -> DataFrame:
         F.col("id").alias("pos"),
         F.coalesce(wordpress, F.when(squarespace.isNotNull(), "wrapped")).alias("mode"), F.coalesce(below(path), listing).alias("page_url"),
         F.coalesce(said("$.wordpress.locationLabel"), said("$.wordpress.typeName")).alias("setting"), said("$.sanity.schema").alias("shape"), press_kind.alias("press"), below(said("$.gallerypress.path")).alias("press_url"),
+        F.try_variant_get("config", "$.gallerypress.maxEntries", "long").alias("press_limit"),
     )
 
 
@@ -101,11 +106,16 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def gathered(venues: DataFrame, landed: Landed, now_iso: str, adapters: dict[str, Callable[[DataFrame, Landed, str], DataFrame]] | None = None) -> DataFrame:
     """Raw exhibitions of all ``adapters``, each over its own venues that robots texts let crawlers into (those kept by
-    hand need no leave), with pos."""
+    hand need no leave), with pos. An adapter that fails gives nothing, so its venues keep what the gate lets them keep."""
     open_ = pages.permitted(venues, landed.robots)
     adapters = ADAPTERS if adapters is None else adapters
     # Each adapter's pages are parsed once, whatever reads the records later.
-    parts = [written(read((venues if name == "manual" else open_).filter(F.col("adapter") == name), landed, now_iso), f"raw-{name}") for name, read in adapters.items()]
+    parts = [venues.sparkSession.createDataFrame([], f"venue_id string, {schemas.RAW_EXHIBITION}")]
+    for name, read in adapters.items():
+        try:
+            parts.append(written(read((venues if name == "manual" else open_).filter(F.col("adapter") == name), landed, now_iso), f"raw-{name}"))
+        except Exception:  # whatever an adapter raises, also in its job, is its own venues' loss
+            log.exception("the adapter %s failed", name)
     return _union(parts).withColumn("pos", F.monotonically_increasing_id())
 
 
@@ -117,7 +127,7 @@ def inputs(spark: SparkSession, registry: str, landed: Landed, now_iso: str, pri
     ordered = lambda rows: written(rows.withColumn("pos", F.monotonically_increasing_id()), "ordered")
     articles = ordered(feeds.feed_articles(outlets, landed.pages, now_iso))
     press = feeds.venue_press(venues, pages.landed_posts(landed.press_posts), _at(venues.filter("press = 'grid'"), landed, F.col("press_url")), landed.robots)
-    read = lambda name: spark.read.parquet(f"{prior}/{name}") if prior else None
+    read = lambda name: versions.stored(spark, prior, name) if prior else None
     blocked = pages.shut_out(venues.filter(F.col("adapter").isin(*ADAPTERS) & (F.col("adapter") != "manual")), landed.robots).withColumnRenamed("id", "venue_id")
     return crawl.Inputs(
         venues, gathered(venues, landed, now_iso), articles, ordered(files.sound(files.overrides(spark, registry))), nexus, blocked,
@@ -152,8 +162,21 @@ def merged(old: DataFrame, fresh: DataFrame, key: str, known: str | None = None)
     return rows.groupBy(F.col(key).alias("_key")).agg(kept.alias("row")).select("row.*")
 
 
-def run(spark: SparkSession, registry: str, landed: Landed, root: str, version: str, now_iso: str, adjudicate=None) -> str:
-    """One whole run: reads the registry and the last version below ``root``, and writes a new version."""
-    given = inputs(spark, registry, landed, now_iso, crawl.latest(spark, root))
-    return crawl.commit(crawl.plan(given, now_iso, adapters=tuple(ADAPTERS), adjudicate=adjudicate), root, version)
+def run(spark: SparkSession, registry: str, landed: Landed, root: str, version: str, now_iso: str, adjudicate=None, lookup: DataFrame | None = None) -> str:
+    """One whole run: reads the registry and the last version below ``root``, and writes a new version.
+
+    Missing coordinates of spaces and nexus come from the last version's geocode cache (the registry's on the first run)
+    and from ``lookup(address_key, lat, lng)``, what a geocoder answered; the cache is a table of the version. If
+    another run has written a version meanwhile, this one fails (``versions.Conflict``).
+    """
+    number, prior = versions.head(spark, root)
+    given = inputs(spark, registry, landed, now_iso, prior)
+    point = "address_key string, lat double, lng double"
+    cache = versions.stored(spark, prior, "geocode_cache") if prior else None
+    if cache is None:
+        cache = files.geocode_cache(spark, registry).select("address_key", "lat", "lng")
+    found = located(given.venues, given.nexus, cache, lookup if lookup is not None else spark.createDataFrame([], point))
+    given = replace(given, venues=written(found["venues"], "venues"), nexus=written(found["nexus"], "nexus"))
+    tables = crawl.plan(given, now_iso, adapters=tuple(ADAPTERS), adjudicate=adjudicate)
+    return versions.commit(tables | {"nexus": given.nexus, "geocode_cache": found["geocode_cache"]}, root, version, read=number)
 
