@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,11 +10,14 @@ from pyspark.sql import functions as F
 
 from placard.functions import dates, text
 from placard.functions.geo import haversine
-from placard.operators import changes, corrections, gate, resolve, views
+from placard.operators import changes, corrections, gate, history, resolve, views
+from placard.operators import search as trigrams
 from placard.plans import stand_ins as st
-from placard.session import table
+from placard.plans import versions
+from placard.session import shared_dir, table, written
 from placard.sources import feeds
-from placard.sources.pages import platform, robots_allow
+from placard.sources.pages import platform, robots_allow, signature
+from placard.streaming import gate as gate_stream_job
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -145,12 +149,13 @@ def gate_published(s, d):
 
 
 @query(_with("""SELECT v.id AS venue_id, CASE WHEN verdict <> 'ok' THEN consecutive_failures + 1 WHEN verdict = 'ok' THEN 0 ELSE consecutive_failures END AS consecutive_failures,
- CASE WHEN verdict <> 'ok' THEN CASE WHEN consecutive_failures >= 2 THEN 'stale' ELSE 'suspect' END WHEN verdict = 'ok' THEN 'ok' ELSE status END AS status FROM venues v LEFT JOIN judged j ON j.venue_id = v.id"""))
+ CASE WHEN verdict <> 'ok' THEN CASE WHEN consecutive_failures >= 2 THEN 'stale' ELSE 'suspect' END WHEN verdict = 'ok' THEN 'ok' ELSE status END AS status FROM venues v LEFT JOIN judged j ON j.venue_id = v.id AND CAST(substr(v.id, 2) AS BIGINT) % 9 <> 0"""))
 def gate_health(s, d):
     shows = _shows(s, d)
     none = F.lit(None).cast("string")
     health = st.venues(s, d).select(F.col("id").alias("venue_id"), none.alias("last_attempt"), none.alias("last_success"), F.lit(0).cast("bigint").alias("record_count"), "consecutive_failures", "status")
-    return gate.next_health(health, gate.verdicts(st.after(shows), st.before(shows)), F.lit(st.NOW)).select("venue_id", "consecutive_failures", "status")
+    turn = gate.verdicts(st.after(shows), st.before(shows)).filter(F.substring("venue_id", 2, 20).cast("long") % 9 != 0)
+    return gate.next_health(health, turn, F.lit(st.NOW)).select("venue_id", "consecutive_failures", "status")
 
 
 _CHANGES = """SELECT exhibition_id, venue_id, unnest(types) AS type FROM (SELECT n.id AS exhibition_id, n.venue_id, list_filter([
@@ -247,14 +252,16 @@ def offsite_corrections(s, d):
     return corrections.offsite(shows, rules, nexus).select("id", "kind", "space_label")
 
 
-@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'cache' WHEN p_partkey % 3 = 1 THEN 'lookup_simplified' END AS source,
- CASE WHEN p_partkey % 3 = 0 THEN p_size::DOUBLE WHEN p_partkey % 3 = 1 THEN p_size + 0.5 END::DOUBLE AS lat FROM part""")
+@query("""SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'cache' WHEN 1 THEN 'lookup_simplified' WHEN 2 THEN 'lookup' WHEN 3 THEN 'cache_simplified' END AS source,
+ CASE WHEN p_partkey % 5 IN (0, 3) THEN p_size WHEN p_partkey % 5 IN (1, 2) THEN p_size + 0.5 END::DOUBLE AS lat FROM part""")
 def geocoding(s, d):
     part = table(s, d, "part")
     places = part.select(F.col("p_partkey").alias("id"), F.concat(F.lit(" "), "p_partkey", F.lit("  Main  Street, Suite 5")).alias("address"))
     point = lambda rows, key, lat: rows.select(key.alias("address_key"), lat.cast("double").alias("lat"), F.lit(1.0).alias("lng"))
-    cache = point(part.filter("p_partkey % 3 = 0"), F.concat("p_partkey", F.lit(" main street, suite 5")), F.col("p_size"))
-    lookup = point(part.filter("p_partkey % 3 = 1"), F.concat("p_partkey", F.lit(" main street")), F.col("p_size") + 0.5)
+    whole, short = (F.concat("p_partkey", F.lit(end)) for end in (" main street, suite 5", " main street"))
+    rest = lambda n: part.filter(F.col("p_partkey") % 5 == n)
+    cache = point(rest(0), whole, F.col("p_size")).unionByName(point(rest(3), short, F.col("p_size")))
+    lookup = point(rest(2), whole, F.col("p_size") + 0.5).unionByName(point(rest(1), short, F.col("p_size") + 0.5))
     return corrections.geocoded(places, cache, lookup).select("id", "source", "lat")
 
 
@@ -389,3 +396,100 @@ def venues_by_kind(s, d):
 def manual_records(s, d):
     """Venues that have hand-entered records, and how many, the most first."""
     return views.manual_status(st.venues(s, d), st.shows(s, d).filter("state = 'F'"))
+
+
+@query(_with(f"""SELECT platform, signature, count(*) AS sites FROM (SELECT CASE WHEN regexp_matches(h, '(?i)cdn\\.sanity\\.io|apicdn\\.sanity\\.io') THEN ['sanity', 'cdn.sanity.io reference in HTML'] WHEN regexp_matches(h, '(?i)artlogic\\.net') THEN ['artlogic', 'artlogic.net reference in HTML']
+ WHEN regexp_matches(h, '(?i)exhibit-e|exhibitegallery') THEN ['exhibite', 'exhibit-e/exhibitegallery reference in HTML'] WHEN regexp_matches(h, '(?i)wp-content|wp-json|wp-includes') AND page_id % 4 = 1 THEN ['wordpress', '/wp-json/ reachable']
+ WHEN regexp_matches(h, '(?i)wp-content') THEN ['wordpress', 'wp-content path in HTML, /wp-json/ unreachable'] WHEN regexp_matches(h, '__NEXT_DATA__|"buildId"\\s*:') THEN ['nextdata', '__NEXT_DATA__ present']
+ WHEN regexp_matches(h, '(?i)<script[^>]+type=["'']application/ld\\+json["'']') AND regexp_matches(h, '(?i)"@type"\\s*:\\s*"(Event|ExhibitionEvent)"') THEN ['jsonld', 'JSON-LD Event/ExhibitionEvent block present']
+ WHEN regexp_matches(h, '(?i)squarespace-cdn|static1\\.sqsp') THEN ['squarespace', 'squarespace-cdn reference in HTML'] ELSE ['sitemap', 'no known platform signature matched'] END AS f, f[1] AS platform, f[2] AS signature FROM (SELECT page_id, {_SIGNED} AS h FROM pages)) GROUP BY ALL"""))
+def platform_signatures(s, d):
+    none, reachable = F.lit(None).cast("string"), F.col("page_id") % 4 == 1
+    rows = table(s, d, "pages").select(platform(F.expr(_SIGNED), none, none, reachable).alias("platform"), reachable.alias("reachable"))
+    return rows.groupBy("platform", signature(F.col("platform"), F.col("reachable")).alias("signature")).agg(F.count("*").alias("sites"))
+
+
+@query(_with("""SELECT venue_id, count(*) FILTER (n = 1) AS rows, bool_or(odd) AS changed FROM (SELECT venue_id, id, title, closes, n, count(*) OVER (PARTITION BY venue_id, id, title, closes) = 1 AS odd FROM
+ (SELECT venue_id, id, title, closes, 1 AS n FROM after UNION ALL SELECT venue_id, id, title, closes, 0 FROM before)) GROUP BY venue_id HAVING count(*) FILTER (n = 1) > 0"""))
+def changed_groups(s, d):
+    """What a version has to write anew when it is kept by venue: groups whose digest differs from the one before."""
+    shows = _shows(s, d)
+    new, old = (versions.digests(f(shows).select("venue_id", "id", "title", "closes"), "venue_id").withColumnRenamed("city", "venue_id") for f in (st.after, st.before))
+    was = old.select("venue_id", F.struct("rows", "digest").alias("was"))
+    return new.join(was, "venue_id", "left").select("venue_id", "rows", (~F.struct("rows", "digest").eqNullSafe(F.col("was"))).alias("changed"))
+
+
+def _history(s: SparkSession, d: str) -> DataFrame:
+    """Three versions: before, after, and before once more."""
+    shows = _shows(s, d)
+    old, new = st.before(shows), st.after(shows)
+    return written(history.intervals(history.stacked([old, new.select(*old.columns), old])), "history")
+
+
+@query(_with("""SELECT id, CAST(min(k) AS BIGINT) AS since, CAST(CASE WHEN max(k) < 2 THEN max(k) + 1 ELSE -1 END AS BIGINT) AS until FROM (
+ SELECT *, sum(new) OVER (PARTITION BY id ORDER BY k) AS stretch FROM (SELECT *, CASE WHEN lag(k) OVER w = k - 1 AND lag(h) OVER w = h THEN 0 ELSE 1 END AS new FROM (
+  SELECT 0 AS k, id, concat_ws('|', venue_id, title, status, closes, images, works, release) AS h FROM before UNION ALL SELECT 1, id, concat_ws('|', venue_id, title, status, closes, images, works, release) FROM after
+  UNION ALL SELECT 2, id, concat_ws('|', venue_id, title, status, closes, images, works, release) FROM before) WINDOW w AS (PARTITION BY id ORDER BY k))) GROUP BY id, stretch"""))
+def show_history(s, d):
+    return _history(s, d).select("id", "since", F.coalesce("until", F.lit(-1)).alias("until"))
+
+
+@query(_with(f"""SELECT CAST(1 AS BIGINT) AS number, exhibition_id, venue_id, type FROM ({_CHANGES}) UNION ALL
+ SELECT CAST(2 AS BIGINT), exhibition_id, venue_id, type FROM ({_CHANGES.replace("after", "AFTER0").replace("before", "after").replace("AFTER0", "before")})"""))
+def history_events(s, d):
+    """Events of both steps of the history, from its intervals."""
+    times = s.createDataFrame([(0, st.NOW), (1, st.NOW), (2, st.NOW)], "number long, ts string")
+    return history.events(_history(s, d), st.venues(s, d), times).select("number", "exhibition_id", "venue_id", "type")
+
+
+@query(_with(f"""SELECT district, openings, closings, press, round(total / greatest(1, max(total) OVER ()), 6) AS score FROM (
+ SELECT district, sum(o)::BIGINT AS openings, sum(c)::BIGINT AS closings, sum(p)::BIGINT AS press, sum(o + c + p) AS total FROM (
+  SELECT venue_id, (date_diff('day', DATE '1998-06-15', CAST(opens AS DATE)) BETWEEN -7 AND 7)::INT AS o, (date_diff('day', DATE '1998-06-15', CAST(closes AS DATE)) BETWEEN -7 AND 7)::INT AS c, 0 AS p
+  FROM after WHERE kind <> 'offsite' UNION ALL SELECT venue_id, 0, 0, press FROM ({_MENTIONS})) x JOIN venues v ON v.id = x.venue_id GROUP BY district) WHERE total > 0"""))
+def activity_refreshed(s, d):
+    """Activity in the second version, from the facts of the first and what the second changed."""
+    shows = _shows(s, d)
+    old, new = st.before(shows), st.after(shows)
+    kept = history.intervals(history.stacked([old, new.select(*old.columns)]))
+    facts = history.refreshed(history.facts(old), history.deltas(kept, 1))
+    return views.activity(st.venues(s, d), facts, _mentions(s, d), _now()).withColumn("score", F.round("score", 6))
+
+
+@query(_with("SELECT id FROM venues WHERE contains(lower(name), 'artist 1') OR id IN (SELECT venue_id FROM shows WHERE contains(lower(title), 'artist 1') OR contains(lower(artist), 'artist 1'))"))
+def search_indexed(s, d):
+    index = {name: written(rows, name) for name, rows in trigrams.index(trigrams.texts(st.venues(s, d), st.shows(s, d))).items()}
+    return trigrams.indexed_search(index["search_grams"], index["search_texts"], "ARTIST 1")
+
+
+@query("""SELECT 'article-o-' || left(sha1('https://d.org/' || doc_id), 12) AS id, 'Doc ' || doc_id AS headline, 'https://d.org/' || doc_id AS url,
+ left(trim(regexp_replace(regexp_replace(left(text, 200), '[^A-Za-z0-9 ]+', '', 'g') || ' & end', ' +', ' ', 'g')), 300) AS excerpt, CASE WHEN doc_id % 2 = 0 THEN 'First' END AS byline FROM documents""")
+def feed_items_parsed(s, d):
+    """A feed for each document, with what only a parser reads rightly: an end tag within CDATA, attributes, elements given twice."""
+    item = """'<item><title>Doc ' || doc_id || '</title><title>again</title><guid isPermaLink="true">https://d.org/' || doc_id || '</guid><description kind="text"><![CDATA[' || regexp_replace(left(text, 200), '[^A-Za-z0-9 ]+', '') || '</item> & end]]></description>'
+ || CASE WHEN doc_id % 2 = 0 THEN '<dc:creator a="1">First</dc:creator><dc:creator>Second</dc:creator>' ELSE '' END || '</item>'"""
+    bodies = table(s, d, "documents").select(F.expr("'https://d.org/rss/' || doc_id").alias("url"), F.lit(200).alias("status"), F.concat(F.lit("<rss><channel><title>x</title>"), F.expr(item), F.lit("</channel></rss>")).alias("body"))
+    outlets = bodies.select(F.lit("o").alias("id"), F.lit("Out").alias("name"), F.col("url").alias("rss_url"), F.lit("ok").alias("status"))
+    return feeds.feed_articles(outlets, bodies, st.NOW).select("id", "headline", "url", "excerpt", "byline")
+
+
+@query(_with("""SELECT venue_id, verdict, title, closes FROM (SELECT a.venue_id, verdict, a.title, a.closes FROM after a JOIN judged j ON j.venue_id = a.venue_id AND verdict = 'ok'
+ UNION ALL SELECT b.venue_id, verdict, b.title, b.closes FROM before b JOIN judged j ON j.venue_id = b.venue_id AND verdict <> 'ok')"""))
+def gate_stream(s, d):
+    """The gate as a stream over two runs, the state before and the one after; what the second run publishes."""
+    shows = _shows(s, d)
+    turns = [(f(shows), run) for run, f in enumerate((st.before, st.after))]
+    every = turns[0][0].select("venue_id").unionByName(turns[1][0].select("venue_id")).distinct()
+    home = f"{shared_dir(s)}/gate-stream-{uuid.uuid4().hex}"
+    columns = ["pos", "source_url", "title", "opens", "closes"]
+    for rows, run in turns:
+        named = rows.select("venue_id", F.lit(run).cast("long").alias("run"), *columns)
+        named.unionByName(every.withColumn("run", F.lit(run).cast("long")), allowMissingColumns=True).write.mode("append").parquet(f"{home}/runs")
+    key, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    own = s.conf.get(key)
+    s.conf.set(key, store)
+    try:
+        stream = gate_stream_job.gated(s.readStream.schema(gate_stream_job.RUNS).parquet(f"{home}/runs"))
+        stream.writeStream.format("parquet").option("path", f"{home}/gated").option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        s.conf.set(key, own)
+    return s.read.schema(gate_stream_job.GATED).parquet(f"{home}/gated").filter("run = 1 AND title IS NOT NULL").select("venue_id", "verdict", "title", "closes")

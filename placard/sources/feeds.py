@@ -33,6 +33,17 @@ def _unlinked(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"links": links, "link_confidence": F.lit(0.0)})
 
 
+#: Elements of a feed's item that articles are made of; the column of bodies that the parser can't read.
+_FIELDS, _UNREAD = ("title", "link", "guid", "pubDate", "dc:date", "dc:creator", "description", "content:encoded"), "_unread"
+
+
+def _by_patterns(body: Column, item: str) -> Column:
+    """The items of a feed that is no sound XML, each field as a list of at most one."""
+    whole = F.regexp_extract_all(body, F.lit(r"(?is)(<item\b.*?</item>)"), F.lit(1))
+    text = lambda xml, n: xml_value(F.regexp_extract(xml, rf"(?is)<{n}\b[^>]*>(.*?)</{n}>", 1))
+    return F.transform(whole, lambda xml: F.struct(*(F.array(text(xml, n)).alias(n) for n in _FIELDS)).cast(item))
+
+
 def wanted(outlets: DataFrame) -> DataFrame:
     return outlets.filter(F.col("rss_url").isNotNull() & (F.col("rss_url") != "") & (F.col("status") == "ok"))
 
@@ -40,15 +51,18 @@ def wanted(outlets: DataFrame) -> DataFrame:
 def feed_articles(outlets: DataFrame, pages: DataFrame, now_iso: str) -> DataFrame:
     """Articles of the landed feeds of outlets that are wanted; items without headline or address go.
 
-    ``pages(url, status, body)``: bodies that failed or hold no items give none.
+    ``pages(url, status, body)``: bodies that failed or hold no items give none. Feeds are read by Spark's XML parser, so
+    attributes, CDATA and repeated elements (the first counts) are what they are in XML; feeds that are no sound XML are read by patterns.
     """
     feeds = wanted(outlets).join(pages.filter("status BETWEEN 200 AND 299").select(F.col("url").alias("rss_url"), "body"), "rss_url")
-    whole = F.regexp_extract_all("body", F.lit(r"(?is)(<item\b.*?</item>)"), F.lit(1))
-    items = feeds.select("id", "name", F.explode(whole).alias("xml"))
+    item = f"struct<{', '.join(f'`{n}`: array<string>' for n in _FIELDS)}>"
+    parsed = F.from_xml("body", f"channel struct<item: array<{item}>>, item array<{item}>, {_UNREAD} string", {"columnNameOfCorruptRecord": _UNREAD, "ignoreSurroundingSpaces": "true"})
+    feeds = feeds.withColumn("feed", parsed)
+    items = feeds.select("id", "name", F.explode(F.when(F.col(f"feed.{_UNREAD}").isNull(), F.coalesce("feed.channel.item", "feed.item")).otherwise(_by_patterns(F.col("body"), item))).alias("item"))
 
     def field(*names: str) -> Column:
         """The first of these elements that holds something."""
-        return F.coalesce(*(F.nullif(F.trim(xml_value(F.regexp_extract("xml", rf"(?is)<{n}\b[^>]*>(.*?)</{n}>", 1))), F.lit("")) for n in names))
+        return F.coalesce(*(F.nullif(F.trim(F.get(F.col("item").getField(n), F.lit(0))), F.lit("")) for n in names))
 
     headline, url = feed_text(F.coalesce(field("title"), F.lit(""))), field("link", "guid")
     rows = items.select(
@@ -81,7 +95,7 @@ def venue_press(venues: DataFrame, posts: DataFrame, pages: DataFrame, robots: D
     """Articles of the venues' own press pages.
 
     ``venues(id, url, press)``: press is how a venue's press is read, ``category`` (its ``posts``) or ``grid`` (the
-    news grid in its ``pages(key, url, body)``); any other value, or a robots text that shuts crawlers out, gives none.
+    news grid in its ``pages(key, url, body)``, up to its ``press_limit`` if it has one); any other value, or a robots text that shuts crawlers out, gives none.
     """
     open_ = permitted(venues.filter(F.col("press").isin("category", "grid")), robots)
     by_posts = category_press(open_.filter("press = 'category'"), posts)
@@ -91,11 +105,13 @@ def venue_press(venues: DataFrame, posts: DataFrame, pages: DataFrame, robots: D
 
 def grid_press(venues: DataFrame, entries: DataFrame, most: int = 25) -> DataFrame:
     """Press items of a news grid's entries ``(venue_id, page_url, pos, headline, outlet, date_text, links)``, whose links
-    are absolute; entries without headline, readable date or a fitting link go, and ``most`` are kept for a venue."""
-    rows = entries.join(venues.select(F.col("id").alias("venue_id"), host_of(F.col("url")).alias("own")), "venue_id")
+    are absolute; entries without headline, readable date or a fitting link go, and a venue keeps its ``press_limit`` of them,
+    or ``most`` where it sets none."""
+    limit = F.coalesce("press_limit", F.lit(most)) if "press_limit" in venues.columns else F.lit(most)
+    rows = entries.join(venues.select(F.col("id").alias("venue_id"), host_of(F.col("url")).alias("own"), limit.alias("limit")), "venue_id")
     href = F.get(F.filter("links", lambda h: outbound(h, F.col("own"))), F.lit(0))
     rows = rows.withColumns({"url": href, "day": lenient_date(F.col("date_text"))}).filter("headline <> '' AND url IS NOT NULL AND day IS NOT NULL")
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("venue_id").orderBy("pos"))).filter(F.col("place") <= most)
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("venue_id").orderBy("pos"))).filter(F.col("place") <= F.col("limit"))
     published = F.date_format(F.col("day").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     outlet = F.coalesce(F.nullif("outlet", F.lit("")), outlet_of(F.col("url")))
     return rows.select("venue_id", outlet.alias("outlet"), "headline", F.lit(None).cast("string").alias("byline"), published.alias("published"), "url")

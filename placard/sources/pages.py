@@ -121,6 +121,22 @@ def platform(html: Column, server: Column, powered_by: Column, api_reachable: Co
     )
 
 
+# What is said of each platform's sign.
+SIGNATURES = {
+    "sanity": "cdn.sanity.io reference in HTML", "artlogic": "artlogic.net reference in HTML", "exhibite": "exhibit-e/exhibitegallery reference in HTML",
+    "wordpress": "/wp-json/ reachable", "nextdata": "__NEXT_DATA__ present", "jsonld": "JSON-LD Event/ExhibitionEvent block present",
+    "squarespace": "squarespace-cdn reference in HTML", "sitemap": "no known platform signature matched",
+}
+UNREACHABLE = "wp-content path in HTML, /wp-json/ unreachable"
+
+
+def signature(name: Column, api_reachable: Column, failure: Column | None = None) -> Column:
+    """The sign by which ``platform`` found ``name``; of a site that could not be read, why (``failure``)."""
+    said = F.try_element_at(F.create_map(*(F.lit(x) for pair in SIGNATURES.items() for x in pair)), name)
+    said = F.when((name == "wordpress") & ~F.coalesce(api_reachable, F.lit(False)), UNREACHABLE).otherwise(said)
+    return said if failure is None else F.when(failure.isNotNull(), F.concat(F.lit("fetch failed: "), failure)).otherwise(said)
+
+
 def robots_allow(robots: Column) -> Column:
     """Whether a robots text lets all agents in: the first rule for ``*`` that disallows all or nothing decides."""
     lines = F.transform(F.split(F.coalesce(robots, F.lit("")), "\n"), lambda s: F.trim(F.regexp_replace(s, "[\r\t]", " ")))

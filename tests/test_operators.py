@@ -11,7 +11,7 @@ import __spark_entry__
 from placard import session
 from placard.functions import text
 from placard.operators import changes, gate, resolve, views
-from placard.plans import crawl, registry
+from placard.plans import crawl, registry, versions
 from placard.plans.monitor import Monitor, State
 from placard.plans.queries import QUERIES, SQL
 from placard.sources import cms, feeds, files, markup, pages
@@ -122,12 +122,13 @@ def test_a_run_twice(spark, tmp_path):
     nexus = spark.createDataFrame([("n", "Fair")], "id string, name string")
     blocked = spark.createDataFrame([("x",)], "venue_id string")
     first = crawl.plan(crawl.Inputs(venues, raw(spark, records), articles, overrides, nexus, blocked), NOW)
-    folder = crawl.commit(first, str(tmp_path), "v1")
-    assert crawl.latest(spark, str(tmp_path)).endswith("/v1") and crawl.latest(spark, str(tmp_path / "no")) is None
-    shown = spark.read.parquet(f"{folder}/exhibitions")
+    folder = versions.commit(first, str(tmp_path), "v1")
+    assert versions.latest(spark, str(tmp_path)).endswith("/v1") and versions.latest(spark, str(tmp_path / "no")) is None
+    shown = versions.stored(spark, folder, "exhibitions")
     assert {(r.venue_id, r.kind, r.space_label) for r in shown.collect()} == {("a", "group", None), ("b", "offsite", "Fair")}
     second = crawl.plan(crawl.Inputs(spark.read.parquet(f"{folder}/venues"), raw(spark, records[:1]), articles, overrides, nexus, blocked, prior=shown, log=spark.read.parquet(f"{folder}/log")), "2026-06-16T00:00:00.000Z")
     assert {r.id: r.status for r in second["venues"].collect()} == {"a": "ok", "b": "suspect", "c": "unknown", "x": "blocked"}
+    assert {r.id: r.last_attempt for r in second["venues"].collect()}["x"] == "2026-06-16T00:00:00.000Z"
     assert second["exhibitions"].count() == 2 and second["events"].count() == 0 and second["log"].count() == first["log"].count()
     assert {r.metric: r.value for r in second["report"].collect()}["withheld"] == 1.0
     assert first["articles"].first().exhibition_id is not None
@@ -289,11 +290,14 @@ def test_from_registry_files_to_a_second_version(spark, tmp_path):
     (home / "offsite-overrides.json").write_text(json.dumps([{"venue_id": "m", "title_match": "hand", "nexus_id": "n"}]))
     record = '{"title": "S show", "artists": ["Ann Ruiz"], "opens": "2026-06-01", "closes": "2026-07-01", "slug": "s1"}'
     root = str(tmp_path / "out")
-    first = registry.run(spark, str(home), landed(spark, sanity=[record]), root, "v1", NOW, adjudicate=lambda q: q.select("article_id", F.get("candidate_ids", F.lit(0)).alias("exhibition_id"), F.lit(0.5).alias("confidence")))
-    shown = {r.venue_id: (r.title, r.kind, r.space_label, r.city) for r in spark.read.parquet(f"{first}/exhibitions").collect()}
+    point = "address_key string, lat double, lng double"
+    read = lambda folder, name: versions.stored(spark, folder, name)
+    first = registry.run(spark, str(home), landed(spark, sanity=[record]), root, "v1", NOW, lookup=spark.createDataFrame([("1 main street", 40.5, -74.0)], point), adjudicate=lambda q: q.select("article_id", F.get("candidate_ids", F.lit(0)).alias("exhibition_id"), F.lit(0.5).alias("confidence")))
+    shown = {r.venue_id: (r.title, r.kind, r.space_label, r.city) for r in read(first, "exhibitions").collect()}
     assert shown == {"m": ("Hand", "offsite", "Fair", "nyc"), "s": ("S show", "group", None, "nyc"), "w": ("Post & one", "group", None, "nyc"), "a": ("One", "group", None, "nyc"), "q": ("Lee", "group", None, "tokyo")} | {"a": (shown["a"][0], shown["a"][1], None, "nyc")}
-    assert os.path.isdir(f"{first}/exhibitions/city=tokyo")
-    status = {r.id: r.status for r in spark.read.parquet(f"{first}/venues").collect()}
+    assert len(glob.glob(f"{first}/exhibitions/part=*")) == 2 and [r.title for r in versions.stored(spark, first, "exhibitions", "tokyo").collect()] == ["Lee"]
+    status = {r.id: r.status for r in read(first, "venues").collect()}
+    assert {r.spaces[0].lat for r in read(first, "venues").collect()} == {40.5} and {r.address_key: r.lat for r in read(first, "geocode_cache").collect()} == {"1 main street, suite 5": None, "1 main street": 40.5, "2 pier": None}
     assert status == {"m": "ok", "s": "ok", "w": "ok", "a": "ok", "q": "ok", "g": "unknown", "shut": "blocked"}
     articles = {r.headline: (r.venue_ids, r.outcome, r.link_confidence) for r in spark.read.parquet(f"{first}/articles").collect()}
     assert articles == {"Ann Ruiz at Sanity House": (["s"], "tier2", 0.85), "Post & one": (["w"], "press", 0.9), "Grid news": (["g"], "press", 0.9)}
@@ -305,14 +309,15 @@ def test_from_registry_files_to_a_second_version(spark, tmp_path):
     assert report["articles:linked"] == 1 and report["articles:venue_only"] == 2 and report["coverage:live"] == 5 and report["press:total"] == 2 and report["adapter:wordpress"] == 1
 
     second = registry.run(spark, str(home), landed(spark, robots="User-agent: *\nDisallow: /"), root, "v2", "2026-06-16T00:00:00.000Z")
-    assert {r.id: r.status for r in spark.read.parquet(f"{second}/venues").collect()} == status | {"s": "suspect", "w": "blocked"}
-    kept = {r.venue_id for r in spark.read.parquet(f"{second}/exhibitions").collect()}
-    assert kept == {"m", "s", "a", "q"} and crawl.latest(spark, root) == second
-    log = views.in_order(spark.read.parquet(f"{second}/log"), "log").collect()
-    assert [r.ts for r in log] == sorted(r.ts for r in log) and any(r.type == "VENUE_DARK" and r.venue_id == "w" for r in log)
+    assert {r.spaces[0].lat for r in read(second, "venues").collect()} == {40.5}  # from the cache of the version before
+    assert {r.id: r.status for r in read(second, "venues").collect()} == status | {"s": "suspect", "w": "blocked"}
+    kept = {r.venue_id for r in read(second, "exhibitions").collect()}
+    assert kept == {"m", "s", "a", "q"} and versions.latest(spark, root) == second
+    log = views.in_order(read(second, "log"), "log").collect()
+    in_files = [r.ts for f in sorted(glob.glob(f"{second}/log/*.parquet")) for r in spark.read.parquet(f).coalesce(1).collect()]
+    assert in_files == [r.ts for r in log] == sorted(r.ts for r in log) and any(r.type == "VENUE_DARK" and r.venue_id == "w" for r in log)
 
     opened = files.sound(files.venues(spark, str(home)))
-    point = "address_key string, lat double, lng double"
     located = registry.located(opened, files.sound(files.nexus(spark, str(home))), spark.createDataFrame([("old", 5.0, 5.0)], point), spark.createDataFrame([("1 main street", 40.5, -74.0)], point))
     assert {r.spaces[0].lat for r in located["venues"].collect()} == {40.5} and {r.id: r.lat for r in located["nexus"].collect()} == {"n": None, "k": 1.0}
     assert {r.address_key: r.lat for r in located["geocode_cache"].collect()} == {"old": 5.0, "1 main street, suite 5": None, "1 main street": 40.5, "2 pier": None}
@@ -357,6 +362,7 @@ def test_markers_and_reports(spark):
 def test_scratch_needs_a_shared_folder(spark, monkeypatch):
     monkeypatch.setattr(session, "_scratch", {})
     monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, *default: default[0])  # a session may have the setting
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_dir(spark)
     monkeypatch.undo()
