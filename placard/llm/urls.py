@@ -67,9 +67,10 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, rounds: int = ROUN
     Hosts are nodes; links between different hosts are weighted edges. Pages that an allow rule fits give their
     host trust seeds, pages that a block rule fits give it distrust seeds, one unit each. Trust walks forward along
     links, distrust backward (who links to a bad host is suspect): personalised PageRank on integers,
-    ``rounds`` rounds, so results do not depend on the order of sums. A url without a rule takes its host's verdict:
-    block if distrust exceeds trust and is at least ``threshold`` percent of what the host's pages could carry,
-    else allow. All of it is DataFrame operations; edges, seeds and scores are sums for each host or pair of hosts.
+    ``rounds`` rounds, so results do not depend on the order of sums. What reaches a host that has no link to pass it on goes
+    back to the seeds, in proportion. A url without a rule takes its host's verdict:
+    block if distrust exceeds trust and is at least ``threshold`` percent of what the host's pages could carry (if all were
+    seeds; without links to pass it on they keep it all), else allow. All of it is DataFrame operations; edges, seeds and scores are sums for each host or pair of hosts.
 
     Rows: a null url, or one without ``://``, has an empty host and path and no rule, and is allowed; null html has
     no links; repeated rows and null ids pass through; an empty table gives no rows; other columns are ignored.
@@ -103,28 +104,35 @@ def _blocked_hosts(seeds: DataFrame, edges: DataFrame, rounds: int, threshold: i
     """Hosts to block, as host and bad = true."""
     edges, seeds = written(edges, "host-edges"), written(seeds, "host-seeds")
     start = seeds.selectExpr("host", "stack(2, 'trust', trusted, 'distrust', blocked) AS (kind, seed)").filter("seed > 0")
-    score = start.withColumnRenamed("seed", "mass")
+    score, linked = start.withColumnRenamed("seed", "mass"), None
     if edges.take(1):
         moves = edges.selectExpr("stack(2, 'trust', src, dst, 'distrust', dst, src) AS (kind, giver, taker)", "links")
         out = moves.groupBy("kind", "giver").agg(F.sum("links").alias("all_links"))
         moves = written(moves.join(out, ["kind", "giver"]), "host-moves")
+        givers = moves.select("kind", F.col("giver").alias("host")).distinct()
+        linked = givers.filter("kind = 'distrust'").select("host", F.lit(True).alias("linked"))
+        total = F.broadcast(written(start.groupBy("kind").agg(F.sum("seed").alias("total")), "host-totals"))  # two rows
         for r in range(rounds):
             gained = moves.join(score.withColumnRenamed("host", "giver"), ["kind", "giver"]).select(
                 "kind", F.col("taker").alias("host"), F.expr(f"CAST(mass * {DAMPING} DIV 100 AS DECIMAL(20,0)) * CAST(links AS DECIMAL(18,0)) DIV CAST(all_links AS DECIMAL(18,0))").alias("mass")
             )
             kept = start.select("kind", "host", F.expr(f"seed * {100 - DAMPING} DIV 100").alias("mass"))
-            score = gained.unionByName(kept).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
+            loose = score.join(givers, ["kind", "host"], "left_anti").groupBy("kind").agg(F.sum("mass").alias("loose"))  # two rows
+            back = start.join(F.broadcast(loose), "kind").join(total, "kind").select(
+                "kind", "host", F.expr(f"CAST(loose * {DAMPING} DIV 100 AS DECIMAL(20,0)) * CAST(seed AS DECIMAL(18,0)) DIV CAST(total AS DECIMAL(18,0))").alias("mass")
+            )
+            score = gained.unionByName(kept).unionByName(back).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
             if r % 4 == 3 and r + 1 < rounds:
                 score = written(score, "host-scores")
-    else:  # nothing moves: each seed keeps its own part
-        score = start.select("kind", "host", F.expr(f"seed * {100 - DAMPING} DIV 100").alias("mass"))
     both = score.groupBy("host").agg(
         F.sum(F.when(F.col("kind") == "trust", F.col("mass")).otherwise(0)).alias("trust"),
         F.sum(F.when(F.col("kind") == "distrust", F.col("mass")).otherwise(0)).alias("distrust"),
     )
-    most = F.expr(f"pages * {UNIT} * {100 - DAMPING} DIV 100")
+    both = both.join(seeds.select("host", "pages"), "host")
+    both = both.join(linked, "host", "left") if linked is not None else both.withColumn("linked", F.lit(False))  # without links nothing moves
+    most = F.expr(f"pages * {UNIT} * IF(linked, {100 - DAMPING}, 100) DIV 100")
     return (
-        both.join(seeds.select("host", "pages"), "host")
+        both
         .filter((F.col("distrust") > F.col("trust")) & (F.col("distrust") * 100 >= most * threshold))
         .select("host", F.lit(True).alias("bad"))
     )
@@ -148,6 +156,10 @@ def sql(rules: tuple[Rule, ...] = RULES, rounds: int = ROUNDS, threshold: int =
     SELECT m.kind, m.taker AS host, CAST((CAST(s.mass * {DAMPING} // 100 AS HUGEINT) * m.links) // m.all_links AS BIGINT) AS mass
     FROM moves m JOIN {before} s ON m.kind = s.kind AND m.giver = s.host
     UNION ALL SELECT kind, host, seed * {100 - DAMPING} // 100 FROM start
+    UNION ALL SELECT t.kind, t.host, CAST((CAST(l.loose * {DAMPING} // 100 AS HUGEINT) * t.seed) // a.total AS BIGINT)
+    FROM start t JOIN all_seeds a ON a.kind = t.kind JOIN (
+      SELECT kind, CAST(sum(mass) AS BIGINT) AS loose FROM {before} s
+      WHERE NOT EXISTS (SELECT 1 FROM moves m WHERE m.kind = s.kind AND m.giver = s.host) GROUP BY kind) l ON l.kind = t.kind
   ) GROUP BY kind, host)""")
     final = f"score{rounds}"
     chain = "".join(s + ",\n" for s in steps)
@@ -175,13 +187,14 @@ WITH seen0 AS (
 ), start AS MATERIALIZED (
   SELECT * FROM (SELECT host, 'trust' AS kind, trusted AS seed FROM seeds
                  UNION ALL SELECT host, 'distrust', blocked FROM seeds) WHERE seed > 0
-), score0 AS (SELECT kind, host, seed AS mass FROM start),
+), all_seeds AS (SELECT kind, CAST(sum(seed) AS BIGINT) AS total FROM start GROUP BY kind),
+score0 AS (SELECT kind, host, seed AS mass FROM start),
 {chain}totals AS (
   SELECT host, sum(CASE WHEN kind = 'trust' THEN mass ELSE 0 END) AS trust,
          sum(CASE WHEN kind = 'distrust' THEN mass ELSE 0 END) AS distrust FROM {final} GROUP BY host
 ), bad AS (
   SELECT host FROM totals JOIN seeds USING (host)
-  WHERE distrust > trust AND distrust * 100 >= pages * {UNIT} * {100 - DAMPING} // 100 * {threshold}
+  WHERE distrust > trust AND distrust * 100 >= pages * {UNIT} * CASE WHEN host IN (SELECT giver FROM moves WHERE kind = 'distrust') THEN {100 - DAMPING} ELSE 100 END // 100 * {threshold}
 )
 SELECT page_id, host, path, rule,
        coalesce(ruled, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict

@@ -204,6 +204,37 @@ def test_urls_propagate(spark):
     assert got[8].verdict == "allow" and got[7].path == ""
 
 
+def _pages_of_a_graph(seed):
+    """Pages with links between few hosts, some of which no one links to or which link to no one, and odd rows."""
+    rng = np.random.default_rng(seed)
+    hosts = [f"{'bad' if k % 4 == 0 else 'ok'}{k}.{'net' if k % 4 == 0 else 'com' if k % 4 == 1 else 'org'}" for k in range(40)]
+    pages = []
+    for i in range(400):
+        host = hosts[rng.integers(40)]
+        path = rng.choice(["/es/a", "/x", "/"]) if host.endswith("net") else rng.choice(["/a", "/b?q"])
+        links = "".join(f'<a href="http://{hosts[t]}/">' for t in rng.integers(0, 30, rng.integers(0, 4))) if int(host[2:].strip("d").split(".")[0]) < 25 else ""
+        pages.append((i, f"http://{host}{path}", links))
+    return [*pages, (None, None, None), (None, "http://ok2.org/", None), (5, "", "x" * 200_000), (5, "http://", "<a href=//x>")]
+
+
+@pytest.mark.parametrize("seed", [None, 1, 2])
+def test_urls_equal_their_sql(spark, seed):
+    import duckdb
+
+    pages = _pages_of_a_graph(seed) if seed else [
+        (1, "http://bad.net/es/x", '<a href="http://c.org/">'), (2, "http://c.org/a?x", '<a href="http://bad.net/es/x"> <a href="/y">'), (3, "https://WWW.example.com/en/q", None),
+        (4, "http://sub.example.com/en/q", None), (5, "nothing", None), (6, None, "x"), (7, "http://ok.com", '<a href="//d.org/z">'), (8, "http://d.org/#f", None), (7, "http://ok.com", None),
+    ]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", pages)
+    got = urls.judged(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(con.execute(urls.sql()).fetchall(), key=str)
+    assert any(r.rule is None and r.verdict == "block" for r in got)
+    empty = urls.judged(spark.createDataFrame([], "page_id long, url string, html string"))
+    assert empty.collect() == []
+
+
 def test_max_score_scores_few_of_skewed_vectors():
     rng = np.random.default_rng(5)
     vectors = np.zeros((4000, 48), np.int64)
