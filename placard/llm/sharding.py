@@ -23,7 +23,8 @@ def sharded(docs: DataFrame, shards: int = 24, overhead: int = ROW_OVERHEAD, sla
     that is within ``slack`` of a shard, so small groups stay whole; larger groups are cut where the target is.
 
     Rows: a null text counts as no bytes, and null and empty texts are separate groups; null ids sort first;
-    repeated rows each get a slot; an empty table gives no rows. Other columns of ``docs`` are ignored.
+    repeated rows each get a slot, and any number of equal ones are spread over range partitions like other rows; an
+    empty table gives no rows. Other columns of ``docs`` are ignored.
 
     Returns doc_id, size, text_crc32, law (``bytes``), shard, slot (gapless from 0 in a shard), grown_shard (null).
     """
@@ -34,7 +35,9 @@ def sharded(docs: DataFrame, shards: int = 24, overhead: int = ROW_OVERHEAD, sla
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
         F.md5(F.col("text").cast("binary")).alias("digest"),
     )
-    order = [F.col("digest").asc_nulls_first(), F.col("doc_id").asc_nulls_first()]
+    # A number for each row, so that range partitions cut between rows that are equal in all else.
+    rows = rows.withColumn("row", F.xxhash64(F.monotonically_increasing_id()))
+    order = [F.col("digest").asc_nulls_first(), F.col("doc_id").asc_nulls_first(), F.col("row").asc()]
     ranged = rows.repartitionByRange(shuffle_partitions(spark), *order).withColumn("part", F.spark_partition_id())
     # The bounds of a range partitioning come from a sample, so they are fixed by writing the rows once.
     ranged = written(ranged, "sharding")
@@ -46,10 +49,10 @@ def sharded(docs: DataFrame, shards: int = 24, overhead: int = ROW_OVERHEAD, sla
         F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("bytes_before"),
         F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("rows_before"),
     )
-    inside = Window.partitionBy("part").orderBy(*order, "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     placed = (
         ranged.withColumn("run_bytes", F.sum("size").over(inside))
-        .withColumn("run_rows", F.row_number().over(Window.partitionBy("part").orderBy(*order, "size")))
+        .withColumn("run_rows", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
         .join(F.broadcast(offsets), "part")
         .select(
             "doc_id", "size", "text_crc32", "digest",
@@ -57,6 +60,7 @@ def sharded(docs: DataFrame, shards: int = 24, overhead: int = ROW_OVERHEAD, sla
             (F.col("rows_before") + F.col("run_rows") - 1).alias("rank"),
         )
     )
+    placed = written(placed, "sharding-places")  # read for the cuts and for the result
     cuts = _cuts(placed, totals, shards, slack)
     ranks = [rank for _, rank in cuts]
     shard = sum((F.when(F.col("rank") >= r, 1).otherwise(0) for r in ranks), F.lit(0)) if ranks else F.lit(0)

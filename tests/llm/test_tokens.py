@@ -2,6 +2,7 @@ import hashlib
 import random
 import zlib
 from base64 import b64decode
+from itertools import accumulate
 
 import numpy as np
 import public_tokenizers
@@ -86,7 +87,7 @@ def cut_by_hand(data, shards, slack=sharding.SLACK):
     digest = lambda t: "" if t is None else hashlib.md5(t.encode()).hexdigest()
     order = sorted(data, key=lambda r: (r[1] is not None, digest(r[1]), r[0] is not None, r[0] or 0))
     sizes = [len((t or "").encode()) + 8 for _, t in order]
-    first = [sum(sizes[:i]) for i in range(len(sizes) + 1)]
+    first = [0, *accumulate(sizes)]
     cuts = []
     for k in range(1, shards):
         target = -(-first[-1] * k // shards)
@@ -112,6 +113,17 @@ def test_shards_equal_cuts_by_hand(spark, shards, slack):
     assert sorted(map(tuple, got), key=str) == sorted(cut_by_hand(data, shards, slack), key=str)
 
 
+def test_shards_of_a_hot_row(spark, monkeypatch):
+    """A hundred thousand equal rows without an id: no task gets many more than its share."""
+    made, write = [], sharding.written
+    monkeypatch.setattr(sharding, "written", lambda df, label: (made.append(write(df, label)), made[-1])[1])
+    data = [(None, "hot")] * 100_000 + [(i, f"row {i}") for i in range(1000)]
+    got = sharding.sharded(documents(spark, data, 8), shards=5, slack=0.02).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard").collect()
+    parts = [r["count"] for r in made[0].groupBy("part").count().collect()]
+    assert len(parts) == 8 and max(parts) < 1.5 * len(data) / 8
+    assert sorted(map(tuple, got), key=str) == sorted(cut_by_hand(data, 5, 0.02), key=str)
+
+
 def test_shards_of_odd_tables(spark):
     assert sharding.sharded(spark.createDataFrame([], DOCS)).collect() == []
     one = sharding.sharded(documents(spark, [(None, None)])).collect()
