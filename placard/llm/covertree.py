@@ -376,8 +376,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
         found = classes.select("k1", "k2", F.lit(0).alias("links"), F.col("id").alias("least"))
     else:
         linked = written(_linked(classes, cosine).join(classes.select("cid", "k1", "k2", "id"), "cid"), "vector-groups")
-        least = linked.groupBy("root").agg(F.min("id").alias("least"))
-        found = written(linked.join(least.hint("merge"), "root").select("k1", "k2", F.col("links") - 1, "least").toDF("k1", "k2", "links", "least"), "vector-found")
+        least = written(linked.groupBy("root").agg(F.min("id").alias("least")), "vector-least")
+        found = written(linked.join(small(least), "root").select("k1", "k2", F.col("links") - 1, "least").toDF("k1", "k2", "links", "least"), "vector-found")
     known = F.when(F.col("id").isNotNull(), F.col("k1")).alias("k1")
     out = keyed.select("id", known, "k2").join(small(found), ["k1", "k2"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("least", "id"))
