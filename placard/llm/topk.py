@@ -17,7 +17,11 @@ PROBED = 8
 
 
 def quantized(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
-    """``id`` and ``terms`` = floor(scale * component) of every vector of ``vectors`` that is whole and finite."""
+    """``id`` and ``terms`` = floor(scale * component) of every vector of ``vectors`` that is whole and finite.
+
+    Rows: vectors that are null or hold null or non-finite components go; an empty vector has no terms; null and repeated ids pass
+    through; an empty table gives no rows; other columns are ignored.
+    """
     v = F.col(vector_col)
     whole = v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     terms = F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("long"))
@@ -50,18 +54,15 @@ class Postings:
             return np.arange(len(self.rows)) if need <= 0 else np.zeros(0, np.int64)
         rest = sums[first - 1] if first else 0
         share = (need - rest) / bound[essential].sum()
-        parts, size = [], 0
+        met = np.zeros(len(self.rows), bool)
         for t, least in zip(essential.tolist(), np.floor(base[essential] + share * (1 - 1e-9) * bound[essential]).tolist(), strict=True):
             q = int(query[t])
             if q > 0:
-                parts.append(self.order[t, np.searchsorted(self.sorted[t], -(-least // q), "left") :])
+                met[self.order[t, np.searchsorted(self.sorted[t], -(-least // q), "left") :]] = True
             else:
-                parts.append(self.order[t, : np.searchsorted(self.sorted[t], least // q, "right")])
-            size += len(parts[-1])
-            if size >= 4 * len(self.rows):  # what so many postings name is nearly all
-                return np.arange(len(self.rows))
-        met = np.zeros(len(self.rows), bool)
-        met[np.concatenate(parts)] = True
+                met[self.order[t, : np.searchsorted(self.sorted[t], least // q, "right")]] = True
+            if met.all():  # further postings name no other rows
+                break
         return np.flatnonzero(met)
 
 
