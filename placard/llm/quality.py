@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placard.llm.common import blocks, text_bytes, words
-from placard.llm.training import calibrated, labelled_sample, remainder, sigmoid
+from placard.llm.training import calibrated, dealt, labelled_sample, leaning, remainder, sigmoid
 
 #: Words of a passage.
 PASSAGE = 48
@@ -114,7 +114,8 @@ def _backward(w: dict[str, np.ndarray], x: np.ndarray, f: dict[str, np.ndarray],
 
 def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, seed: int = 5) -> Model:
     """Trains by Adam on all texts at once; classes weigh the same. Every fifth text of a class is kept aside to set
-    the scale and offset of the logits, where ``weights`` give the classes their true shares."""
+    the scale and offset of the logits, where ``weights`` give the classes their true shares. Few rows of a class draw all scores
+    towards the share of label 1 (``leaning``), which is the score without rows of both classes."""
     column = pa.array(texts, pa.large_string())
     offsets, data = text_bytes(column)
     parts = [passages(data[offsets[a] : offsets[b]], offsets[a : b + 1]) for a, b in blocks(offsets)]
@@ -125,17 +126,14 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, seed: int = 5
     rng = np.random.default_rng(seed)
     start = lambda *shape: rng.normal(size=shape) / np.sqrt(shape[0])
     w = {"W": start(WIDTH, HIDDEN), "b": np.zeros(HIDDEN), "V": start(HIDDEN, GATE), "U": start(HIDDEN, GATE), "w": start(GATE), "c": start(HIDDEN), "c0": np.array(0.0)}
-    if min((labels == 0).sum(), (labels == 1).sum()) < 10:
-        # Too little to learn from: the share of label 1, if there are any labels.
-        share = (labels.sum() + 0.5) / (len(labels) + 1) if len(labels) else 0.5
-        return Model(centre, scale, w | {"c": np.zeros(HIDDEN), "c0": np.array(np.log(share / (1 - share)))})
-    aside = np.zeros(len(labels), bool)
-    for y in (0, 1):
-        aside[np.flatnonzero(labels == y)[::5]] = True
+    counts, towards = leaning(labels, weights)
+    if not counts:
+        return Model(centre, scale, w | {"c": np.zeros(HIDDEN), "c0": np.array(towards)})
+    train, aside = dealt(labels)
     x = (features - centre) * scale
     take = lambda mask: (x[np.repeat(mask, np.diff(at))], np.concatenate([[0], np.cumsum(np.diff(at)[mask])]))
-    (xa, aa), (xb, ab) = take(~aside), take(aside)
-    y = labels[~aside]
+    (xa, aa), (xb, ab) = take(train), take(aside)
+    y = labels[train]
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
     moment, square = ({k: np.zeros_like(p) for k, p in w.items()} for _ in range(2))
     for step in range(1, STEPS + 1):
@@ -147,6 +145,7 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, seed: int = 5
             square[k] = 0.99 * square[k] + 0.01 * g * g
             w[k] = w[k] - RATE * (1 - step / (STEPS + 1)) * (moment[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-8)
     by, offset = calibrated(_forward(w, xb, ab)["logit"], labels[aside], weights[aside])
+    by, offset = by * counts, offset * counts + towards
     return Model(centre, scale, w | {"c": w["c"] * by, "c0": w["c0"] * by + offset})
 
 
@@ -185,11 +184,16 @@ def learned(docs: DataFrame, labels: DataFrame, among: Column | None = None) ->
 
 
 def learned_and_scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Learns outside the held-out third of ids and scores all rows."""
+    """Learns outside the held-out third of ids and scores all rows.
+
+    Rows are as in ``scored``; labels of null ids, and null labels, teach nothing; without labels of both classes every score is
+    their share (0.5 without any); an empty table gives no rows.
+    """
     held_out = remainder(F.col("doc_id"), 3) == 1
     return scored(docs, learned(docs, labels, ~held_out), held_out)
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text scores ``threshold`` or more; null counts as empty."""
+    """The rows of ``docs``, with all their columns, whose text scores ``threshold`` or more; null counts as empty, whatever the id is,
+    and an empty table gives no rows."""
     return docs.filter(score_of(docs.sparkSession, model, F.col("text")) >= threshold)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placard.llm.common import only_one
-from placard.llm.training import calibrated, labelled_sample, remainder, sigmoid
+from placard.llm.training import calibrated, dealt, labelled_sample, leaning, remainder, sigmoid
 
 BUCKET_BITS, DIMENSIONS = 20, 6
 BUCKETS = 1 << BUCKET_BITS
@@ -103,19 +103,18 @@ class Model:
 def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> Model:
     """Trains on four fifths of the texts; the rest chooses the shrinkage and sets the softmax's scale and bias.
 
-    ``weights`` give the classes their true shares there; classes weigh the same in training.
+    ``weights`` give the classes their true shares there; classes weigh the same in training. Few rows of a class draw all scores
+    towards the share of label 1 (``leaning``), which is the score without rows of both classes.
     """
-    if min((labels == 0).sum(), (labels == 1).sum()) < 10:
-        # No class can be told from so few: the share of label 1, if there are any labels.
-        share = (labels.sum() + 0.5) / (len(labels) + 1) if len(labels) else 0.02
+    counts, towards = leaning(labels, weights)
+    train, rest = dealt(labels)
+    bag = Bag([t for t, r in zip(texts, train, strict=True) if r]) if counts else None
+    if bag is None or not len(bag.rows):  # nothing is in two texts
+        share = ((weights * labels).sum() + 0.5) / (weights.sum() + 1) if len(labels) else 0.02
         return Model(np.zeros(0, np.int64), np.zeros((0, DIMENSIONS)), np.zeros((DIMENSIONS, 2)), np.array([0.0, np.log(share / (1 - share))]))
-    rest = np.zeros(len(texts), bool)
-    for y in (0, 1):
-        rest[np.flatnonzero(labels == y)[::5]] = True
-    bag = Bag([t for t, r in zip(texts, rest, strict=True) if not r])
     aside, best = [t for t, r in zip(texts, rest, strict=True) if r], None
     for shrink in SHRINK:
-        model = _trained(bag, labels[~rest], shrink)
+        model = _trained(bag, labels[train], shrink)
         logits = model.logits(aside)
         scale, offset = calibrated(logits, labels[rest], weights[rest])
         p = sigmoid(scale * logits + offset)
@@ -124,6 +123,7 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> Model:
             best = loss, model, scale, offset
     _, model, scale, offset = best
     gap = float(model.bias[1] - model.bias[0])
+    scale, offset = scale * counts, offset * counts + towards
     return Model(model.rows, model.embeddings.astype(np.float32), model.weights * scale, np.array([0.0, scale * gap + offset]))
 
 
@@ -241,7 +241,11 @@ def scored(docs: DataFrame, model: Model, held_out: Column, threshold: float = 0
 
 
 def learned_and_scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Fits on a bounded sample of ``labels(doc_id, toxic)`` outside the held-out quarter of ids and scores all rows."""
+    """Fits on a bounded sample of ``labels(doc_id, toxic)`` outside the held-out quarter of ids and scores all rows.
+
+    Rows are as in ``scored``; labels of null ids, and null labels, teach nothing; without labels of both classes every score is
+    their share (0.02 without any); an empty table gives no rows.
+    """
     held_out = remainder(F.col("doc_id"), 4) == 2
     sample = labelled_sample(docs, labels, "toxic", ~held_out)
     model = fit(sample.text.tolist(), sample.y.to_numpy(np.float64), sample.weight.to_numpy(np.float64))

@@ -39,6 +39,26 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learned: Col
     return rows
 
 
+def dealt(labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows to train on, and which to set the logits' scale and offset by: every fifth of a class. These are kept out of the
+    training, but for classes of fewer than five, that train on all they have."""
+    train, aside = np.ones(len(labels), bool), np.zeros(len(labels), bool)
+    for y in (0, 1):
+        own = np.flatnonzero(labels == y)
+        aside[own[::5]] = True
+        train[own[::5]] = len(own) < 5
+    return train, aside
+
+
+def leaning(labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
+    """How much of a model's logit counts, and what of the logit of label 1's share is added: the less rows the smaller class
+    has, the nearer is every score to that share; rows of one class alone give it."""
+    fewest = min((labels == 0).sum(), (labels == 1).sum())
+    share = ((weights * labels).sum() + 0.5) / (weights.sum() + 1)
+    kept = fewest / (fewest + 1)
+    return float(kept), float((1 - kept) * np.log(share / (1 - share)))
+
+
 def calibrated(logits: np.ndarray, labels: np.ndarray, weights: np.ndarray, rounds: int = 50) -> tuple[float, float]:
     """Scale and offset that make ``sigmoid(scale * logit + offset)`` fit weighted labels (ridge towards 1 and 0)."""
     x, beta = np.stack([logits, np.ones_like(logits)], 1), np.array([1.0, 0.0])

@@ -4,6 +4,7 @@ import os
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -384,3 +385,40 @@ def test_pipeline_stages_bear_odd_rows(spark):
         assert full.columns == none.columns == docs.columns and none.collect() == [], name
         assert {(r.doc_id, r.text) for r in full.collect()} <= set(odd), name
     assert len({(r.doc_id, r.start) for r in corpus_pipeline.packing_stage(spark, docs, d).collect()}) > len(odd)
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_few_labelled_rows_lean_towards_their_share(module):
+    """Two rows of a class are enough for scores that differ; the fewer there are, the nearer all are to the share of label 1."""
+    good, bad = "A plain and quiet sentence about gardens, rivers and the weather of late spring. ", "xx zq!! zq xx 99 zq xx ## "
+    texts = [good * 3, good * 5, bad * 4, bad * 7]
+    one = lambda model, text: float(_score(model, [text])[0])
+    both = module.fit(texts, np.array([1.0, 1, 0, 0]), np.ones(4))
+    assert one(both, good * 4) > 0.55 > 0.45 > one(both, bad * 4)
+    gaps = []
+    for n in (1, 2, 4, 8, 30):
+        model = module.fit([good * (k % 7 + 1) for k in range(n)] + [bad * (k % 7 + 1) for k in range(n)], np.repeat([1.0, 0.0], n), np.ones(2 * n))
+        gaps.append(one(model, good * 4) - one(model, bad * 4))
+    assert 0 <= gaps[0] < gaps[-1] and all(np.isfinite(gaps)) and gaps[-1] > 0.8
+    for y in (1.0, 0.0):  # one class alone
+        model = module.fit(texts, np.full(4, y), np.ones(4))
+        assert one(model, good) == one(model, bad) == pytest.approx((4 * y + 0.5) / 5)
+    nothing = module.fit([], np.zeros(0), np.zeros(0))
+    assert one(nothing, good) == pytest.approx(0.5 if module is quality else 0.02)
+    assert np.isfinite(_score(module.fit(["", "a"], np.array([0.0, 1]), np.ones(2)), ["", "a", "b"])).all()
+
+
+def _score(model, texts):
+    if isinstance(model, toxicity.Model):
+        return model.scores(texts)
+    from placard.llm.common import text_bytes
+
+    offsets, data = text_bytes(pa.array(texts, pa.large_string()))
+    return training.sigmoid(model.logits(*quality.passages(data, offsets)))
+
+
+def test_rows_for_training_and_for_the_scale():
+    labels = np.array([1.0] * 12 + [0.0] * 3)
+    train, aside = training.dealt(labels)
+    assert np.flatnonzero(aside).tolist() == [0, 5, 10, 12] and train[12:].all() and not train[[0, 5, 10]].any()
+    assert training.leaning(labels, np.ones(15))[0] == 0.75
