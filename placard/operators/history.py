@@ -45,6 +45,12 @@ def intervals(rows: DataFrame) -> DataFrame:
     return one.crossJoin(F.broadcast(newest)).select("id", "since", until.alias("until"), "row.*")  # one row
 
 
+def started(current: DataFrame, number: int) -> DataFrame:
+    """The history that begins with ``current(id, ...)`` as version ``number``."""
+    begun = [F.lit(number).cast("long").alias("since"), F.lit(None).cast("long").alias("until")]
+    return current.filter("id IS NOT NULL").select("id", *begun, *(c for c in TRACKED if c in current.columns))
+
+
 def extended(history: DataFrame, current: DataFrame, number: int) -> DataFrame:
     """``history`` with one more version ``number`` of ``current(id, ...)``: only intervals that still last are compared with it."""
     columns = [c for c in TRACKED if c in history.columns]

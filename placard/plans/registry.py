@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from placard import schemas
 from placard.functions.text import absolute_url
-from placard.operators import corrections
+from placard.operators import corrections, history, search
+from placard.operators.gate import last_of_each
 from placard.plans import crawl, versions
 from placard.session import written
 from placard.sources import cms, feeds, files, pages
@@ -166,7 +167,8 @@ def run(spark: SparkSession, registry: str, landed: Landed, root: str, version:
     """One whole run: reads the registry and the last version below ``root``, and writes a new version.
 
     Missing coordinates of spaces and nexus come from the last version's geocode cache (the registry's on the first run)
-    and from ``lookup(address_key, lat, lng)``, what a geocoder answered; the cache is a table of the version. If
+    and from ``lookup(address_key, lat, lng)``, what a geocoder answered; the cache is a table of the version, and so are
+    what later reads start from (``derived``). If
     another run has written a version meanwhile, this one fails (``versions.Conflict``).
     """
     number, prior = versions.head(spark, root)
@@ -178,5 +180,20 @@ def run(spark: SparkSession, registry: str, landed: Landed, root: str, version:
     found = located(given.venues, given.nexus, cache, lookup if lookup is not None else spark.createDataFrame([], point))
     given = replace(given, venues=written(found["venues"], "venues"), nexus=written(found["nexus"], "nexus"))
     tables = crawl.plan(given, now_iso, adapters=tuple(ADAPTERS), adjudicate=adjudicate)
-    return versions.commit(tables | {"nexus": given.nexus, "geocode_cache": found["geocode_cache"]}, root, version, read=number)
+    tables |= {"nexus": given.nexus, "geocode_cache": found["geocode_cache"]} | derived(tables["venues"], tables["exhibitions"], number + 1, prior)
+    return versions.commit(tables, root, version, read=number)
+
+
+def derived(venues: DataFrame, exhibitions: DataFrame, number: int, prior: str | None) -> dict[str, DataFrame]:
+    """Tables that version ``number`` keeps for later reads, from those of the version before where it has them: the ``history`` of
+    exhibitions, their ``facts`` (both follow what changed), and the search index."""
+    spark = venues.sparkSession
+    current = written(last_of_each(exhibitions.filter("id IS NOT NULL"), "id"), "current")
+    known = {name: versions.stored(spark, prior, name) if prior else None for name in ("history", "facts")}
+    if known["history"] is None or known["facts"] is None:
+        kept, facts = history.started(current, number), history.facts(current)
+    else:
+        kept = written(history.extended(known["history"], current, number), "history")
+        facts = history.refreshed(known["facts"], history.deltas(kept, number))
+    return {"history": kept, "facts": facts} | search.index(search.texts(venues, exhibitions))
 

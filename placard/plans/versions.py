@@ -14,7 +14,7 @@ from placard.session import written
 from placard.sources.files import exists, names_in, new_file
 
 #: Tables that are kept by city, and those besides of which a version has only what changed; others belong to one run.
-BY_CITY, KEPT = ("exhibitions", "venues"), ("exhibitions", "venues", "nexus", "resolution_cache", "geocode_cache")
+BY_CITY, KEPT = ("exhibitions", "venues"), ("exhibitions", "venues", "nexus", "resolution_cache", "geocode_cache", "history", "facts")
 _MANIFEST = "name string, city string, path string, rows bigint, digest string, columns string"
 
 

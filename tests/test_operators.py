@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from placard import session
 from placard.functions import text
-from placard.operators import changes, gate, resolve, views
+from placard.operators import changes, gate, history, resolve, search, views
 from placard.plans import crawl, registry, versions
 from placard.plans.monitor import Monitor, State
 from placard.plans.queries import QUERIES, SQL
@@ -314,6 +314,10 @@ def test_from_registry_files_to_a_second_version(spark, tmp_path):
     kept = {r.venue_id for r in read(second, "exhibitions").collect()}
     assert kept == {"m", "s", "a", "q"} and versions.latest(spark, root) == second
     log = views.in_order(read(second, "log"), "log").collect()
+    kept_history = read(second, "history")
+    assert {(r.venue_id, r.since, r.until) for r in kept_history.collect()} >= {("w", 1, 2), ("m", 1, None)} and {r.venue_id for r in history.as_of(kept_history, 1).collect()} == {"m", "s", "w", "a", "q"}
+    assert sorted(map(str, read(second, "facts").collect())) == sorted(map(str, history.facts(read(second, "exhibitions")).collect()))
+    assert [r.id for r in search.indexed_search(read(second, "search_grams"), read(second, "search_texts"), "NITY hou").collect()] == ["s"]
     in_files = [r.ts for f in sorted(glob.glob(f"{second}/log/*.parquet")) for r in spark.read.parquet(f).coalesce(1).collect()]
     assert in_files == [r.ts for r in log] == sorted(r.ts for r in log) and any(r.type == "VENUE_DARK" and r.venue_id == "w" for r in log)
 
