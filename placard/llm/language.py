@@ -296,6 +296,10 @@ def labelled_text(docs: DataFrame, learned: Column) -> dict[str, bytes]:
 
 
 def learned_and_judged(docs: DataFrame) -> DataFrame:
-    """Learns from a bounded sample of ``docs(doc_id, text, lang)`` outside the held-out fifth of ids; judges all rows."""
+    """Learns from a bounded sample of ``docs(doc_id, text, lang)`` outside the held-out fifth of ids; judges all rows.
+
+    Rows are as in ``judged``; null ids are judged, but neither learned from nor held out; a null lang teaches nothing; without any
+    lang every text is ``und``; an empty table gives no rows. Of languages with equally many phrases the first by name wins.
+    """
     held_out = remainder(F.col("doc_id"), 5) == 0
     return judged(docs, labelled_text(docs, ~held_out), held_out)

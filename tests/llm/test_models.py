@@ -57,6 +57,8 @@ def test_language_of_odd_rows(spark):
     assert [got[i].lang_pred for i in (1, 2, 3, 4)] == ["und"] * 4 and got[4].score == 0
     assert got[10].lang_pred == "bb" and got[11].lang_pred == "aa" and got[11].held_out and got[12].lang_pred in samples
     assert {r.doc_id for r in language.spoken(docs, samples).collect()} == {None, 6, 10, 11, 12}  # 5 is long and like neither
+    same = {"zz": samples["aa"], "mm": samples["aa"]}  # as many phrases in both: the smaller name
+    assert {r.doc_id: r.lang_pred for r in language.judged(docs, same, docs["doc_id"] == 11).collect()}[11] == "mm"
     assert language.spoken(docs, {}).collect() == language.spoken(docs.limit(0), samples).collect() == []
 
 
