@@ -217,6 +217,44 @@ def kind_of_count(artists: Column) -> Column:
     return F.when(n == 1, "solo").when(n == 2, "two_person").otherwise("group")
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """A number with so many digits after the point; null for none."""
+    return F.when(value.isNotNull(), F.format_string(f"%.{digits}f", value))
+
+
+def percent(share: Column) -> Column:
+    return F.concat(fixed(share * 100, 0), F.lit("%"))
+
+
+def shown_day(iso: Column) -> Column:
+    """The day of an ISO time; a dash without one."""
+    return F.coalesce(F.substring(iso, 1, 10), F.lit("—"))
+
+
+def shown_minute(iso: Column, year: bool = False) -> Column:
+    """Month, day and minute of an ISO time, with the year if asked for."""
+    return F.replace(F.substring(iso, 1, 16) if year else F.substring(iso, 6, 11), F.lit("T"), F.lit(" "))
+
+
+def utc_clock(at: Column) -> Column:
+    """The time of day of an instant in milliseconds."""
+    of_day = F.pmod(F.floor(at / 1000), F.lit(DAY_MS // 1000)).cast("int")
+    return F.format_string("%02d:%02d:%02d UTC", F.floor(of_day / 3600).cast("int"), F.floor(of_day % 3600 / 60).cast("int"), of_day % 60)
+
+
+def shown_place(space: Column) -> Column:
+    """A space's address, and its coordinates if it has both."""
+    point = F.concat(F.lit(" · "), fixed(space["lat"], 4), F.lit(", "), fixed(space["lng"], 4))
+    return F.concat(F.coalesce(space["address"], F.lit("")), F.coalesce(point, F.lit("")))
+
+
+def manual_line(name: Column, records: Column, venue_id: Column) -> Column:
+    """A line of the list of hand-entered records: names filled up to 40 characters (longer ones stay), counts to 2."""
+    count = records.cast("string")
+    padded = F.when(F.length(name) < 40, F.rpad(name, 40, " ")).otherwise(name)
+    return F.concat(F.lit("  "), padded, F.lit(" "), F.when(F.length(count) < 2, F.lpad(count, 2, " ")).otherwise(count), F.lit(" record(s)  registry/manual/"), venue_id, F.lit(".json"))
+
+
 def heat(score: Column) -> tuple[Column, Column]:
     """Radius in pixels and opacity of a district's wash."""
     return score * 90, score * 0.18

@@ -493,3 +493,69 @@ def gate_stream(s, d):
     finally:
         s.conf.set(key, own)
     return s.read.schema(gate_stream_job.GATED).parquet(f"{home}/gated").filter("run = 1 AND title IS NOT NULL").select("venue_id", "verdict", "title", "closes")
+
+
+@query(_with("""SELECT id, 'CONFIDENCE ' || printf('%.0f', confidence * 100) || '% · FETCHED ' || coalesce(left(fetched_at, 10), '—') AS line FROM shows"""))
+def shown_records(s, d):
+    rows = st.shows(s, d)
+    return rows.select("id", F.concat(F.lit("CONFIDENCE "), views.percent(F.col("confidence")), F.lit(" · FETCHED "), views.shown_day(F.col("fetched_at"))).alias("line"))
+
+
+@query("""SELECT event_id, strftime(ts, '%m-%d %H:%M') AS short, strftime(ts, '%Y-%m-%d %H:%M') AS long, strftime(ts, '%H:%M:%S') || ' UTC' AS clock FROM events""")
+def shown_times(s, d):
+    text_of = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    rows = table(s, d, "events").select("event_id", text_of.alias("t"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
+    return rows.select("event_id", views.shown_minute(F.col("t")).alias("short"), views.shown_minute(F.col("t"), year=True).alias("long"), views.utc_clock(F.col("at")).alias("clock"))
+
+
+@query(_with("""SELECT id, name || CASE WHEN CAST(substr(id, 2) AS BIGINT) % 3 > 0 THEN ' · ' || printf('%.4f', lat) || ', ' || printf('%.4f', lng) ELSE '' END AS place FROM venues"""))
+def shown_places(s, d):
+    known = F.substring("id", 2, 20).cast("long") % 3 > 0
+    space = F.struct(F.col("name").alias("address"), F.when(known, F.col("lat")).alias("lat"), F.col("lng"))
+    return st.venues(s, d).select("id", views.shown_place(space).alias("place"))
+
+
+@query(_with("""SELECT venue_id, '  ' || rpad(v.name, 40, ' ') || ' ' || CASE WHEN n < 10 THEN ' ' ELSE '' END || n || ' record(s)  registry/manual/' || venue_id || '.json' AS line
+ FROM (SELECT venue_id, count(*) AS n FROM shows WHERE state = 'F' GROUP BY venue_id) s JOIN venues v ON v.id = s.venue_id"""))
+def manual_lines(s, d):
+    rows = views.manual_status(st.venues(s, d), st.shows(s, d).filter("state = 'F'"))
+    return rows.select("venue_id", views.manual_line(F.col("name"), F.col("records"), F.col("venue_id")).alias("line"))
+
+
+@query("""SELECT 'c' || c_custkey AS id FROM customer WHERE c_custkey % 4 IN (0, 1)""")
+def venues_without_coordinates(s, d):
+    """Venues with no space, one without a point, two of which one has one, and one with a point, by turns."""
+    key, space = F.col("c_custkey"), lambda lat: F.struct(lat.cast("double").alias("lat"), F.lit(-74.0).alias("lng"))
+    none, some = space(F.lit(None)), space(F.col("c_custkey") / 1000)
+    spaces = F.when(key % 4 == 0, F.array().cast("array<struct<lat: double, lng: double>>")).when(key % 4 == 1, F.array(none)).when(key % 4 == 2, F.array(none, some)).otherwise(F.array(some))
+    return views.without_coordinates(table(s, d, "customer").select(F.concat(F.lit("c"), key).alias("id"), spaces.alias("spaces"))).select("id")
+
+
+@query("""SELECT p_partkey AS id, 2 * 6371 * asin(sqrt(pow(sin(radians((p_size * 0.05) / 2)), 2))) > 75 AS suspect FROM part""")
+def suspect_points(s, d):
+    """Points north of the centre by the part's size; further than 75 km they are suspect, and taken all the same."""
+    part = table(s, d, "part")
+    places = part.select(F.col("p_partkey").alias("id"), F.concat("p_partkey", F.lit(" Main Street")).alias("address"))
+    found = part.select(F.concat("p_partkey", F.lit(" main street")).alias("address_key"), (F.lit(40.7) + F.col("p_size") * 0.05).alias("lat"), F.lit(-74.0).alias("lng"))
+    return corrections.geocoded(places, found.limit(0), found, centre=(40.7, -74.0)).filter("lat IS NOT NULL").select("id", "suspect")
+
+
+@query(_with("""SELECT id, CASE WHEN pos % 13 = 0 THEN true ELSE fetched_at >= '1998-02-15' END AS recent, CASE WHEN pos % 5 > 0 THEN closes >= '1998-06-15' WHEN pos % 7 = 0 THEN true ELSE opens >= '1998-02-15' END AS shown FROM shows"""))
+def recent_records(s, d):
+    """What was fetched, or has opened without a closing date, within 120 days; an unknown time counts as recent."""
+    rows, pos = st.shows(s, d), F.col("pos")
+    fetched = dates.instant(F.when(pos % 13 != 0, F.col("fetched_at")))
+    closes, opens = F.when(pos % 5 > 0, F.col("closes")), F.when((pos % 5 > 0) | (pos % 7 != 0), F.col("opens"))
+    return rows.select("id", dates.recent_or_future(fetched, _now(), 120).alias("recent"), dates.current(opens, closes, _now()).alias("shown"))
+
+
+@query(_with(f"""SELECT a.district, round(score * 90, 6) AS radius, round(score * 0.18, 6) AS opacity, round(lat, 6) AS lat, round(lng, 6) AS lng FROM (
+ SELECT district, total / greatest(1, max(total) OVER ()) AS score FROM (SELECT district, sum(n) AS total FROM (
+  SELECT venue_id, (date_diff('day', DATE '1998-06-15', CAST(opens AS DATE)) BETWEEN -7 AND 7)::INT + (date_diff('day', DATE '1998-06-15', CAST(closes AS DATE)) BETWEEN -7 AND 7)::INT AS n
+  FROM shows WHERE kind <> 'offsite' UNION ALL SELECT venue_id, press FROM ({_MENTIONS})) x JOIN venues v ON v.id = x.venue_id GROUP BY district) WHERE total > 0) a
+ JOIN (SELECT district, avg(lat) AS lat, avg(lng) AS lng FROM venues GROUP BY district) c ON c.district = a.district"""))
+def district_heat(s, d):
+    venues = st.venues(s, d)
+    radius, opacity = views.heat(F.col("score"))
+    rows = views.activity(venues, st.shows(s, d), _mentions(s, d), _now()).join(views.centroids(venues), "district")
+    return rows.select("district", F.round(radius, 6).alias("radius"), F.round(opacity, 6).alias("opacity"), F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))

@@ -240,6 +240,15 @@ def test_display(spark):
     assert [tuple(r) for r in got] == [("CLOSING SOON", "red", "solid", "two_person"), ("X", "dim", "dotted", "solo")] and text.SPACE
 
 
+def test_lines_and_times(spark):
+    df = spark.createDataFrame([("Short", 7, "v", 0.575, "2026-06-09T05:04:03.000Z", 1780981443999), ("A name of forty characters and some more", 123, "w", None, None, None)], "n string, c int, v string, s double, t string, at long")
+    space = F.struct(F.lit("1 Main").alias("address"), F.col("s").alias("lat"), F.lit(-74.0).alias("lng"))
+    t = F.col("t")
+    got = df.select(views.manual_line(F.col("n"), F.col("c"), F.col("v")), views.percent(F.col("s")), views.shown_day(t), views.shown_minute(t), views.shown_minute(t, year=True), views.utc_clock(F.col("at")), views.shown_place(space)).collect()
+    assert tuple(got[0]) == (f"  {'Short':<40}  7 record(s)  registry/manual/v.json", "57%", "2026-06-09", "06-09 05:04", "2026-06-09 05:04", "05:04:03 UTC", "1 Main · 0.5750, -74.0000")
+    assert tuple(got[1])[:3] == ("  A name of forty characters and some more 123 record(s)  registry/manual/w.json", None, "—") and got[1][6] == "1 Main"
+
+
 def test_feeds_decode_entities_and_zones(spark):
     outlets = spark.createDataFrame([("o", "Out", "https://f", "ok")], "id string, name string, rss_url string, status string")
     item = "<item><title>{}</title><link>{}</link><pubDate>{}</pubDate><description>{}</description></item>"
