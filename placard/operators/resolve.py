@@ -123,13 +123,14 @@ def evidence(articles: DataFrame, exhibitions: DataFrame, venues: DataFrame) ->
     firsts = known.groupBy("venue_id").agg(F.min("pos").alias("p"))
     hosts = hay.select("article_id", "host_venue")
     named = written(venue_hits(hay, venues, tokens).join(firsts, "venue_id").join(hosts, "article_id").filter(_HOSTED).select("article_id", "venue_id", "p"), "named-venues")
+    side = F.broadcast if names.count() <= SMALL_ROWS else lambda rows: rows.hint("merge")
     both = tokens.join(named.select("article_id", "venue_id"), "article_id")
-    sure = both.join(small(names), ["word", "venue_id"]).join(hay.select("article_id", "at"), "article_id").filter(within(F.col("at"), F.col("time")))
+    sure = both.join(side(names), ["word", "venue_id"]).join(hay.select("article_id", "at"), "article_id").filter(within(F.col("at"), F.col("time")))
     sure = written(sure.select("article_id", "ex_pos", "venue_id").distinct(), "sure")
     # A host's shows alone count for what is on its pages; for other articles any surname will do.
     at_home = hosts.filter("host_venue IS NOT NULL").join(tokens, "article_id").join(names.select("word", F.col("venue_id").alias("host_venue")).distinct(), ["word", "host_venue"], "left_semi")
-    anywhere = tokens.join(small(written(names.select("word").distinct(), "surname-words")), "word", "left_semi").join(hosts.filter("host_venue IS NULL"), "article_id", "left_semi")
-    vague = written(named.select("article_id").unionByName(at_home.select("article_id")).unionByName(anywhere.select("article_id")).distinct(), "vague")
+    anywhere = tokens.join(side(names.select("word").distinct()), "word", "left_semi").join(hosts.filter("host_venue IS NULL"), "article_id", "left_semi")
+    vague = named.select("article_id").unionByName(at_home.select("article_id")).unionByName(anywhere.select("article_id")).distinct()
     return Evidence(base, hosts, tokens, names, named, sure, vague)
 
 
