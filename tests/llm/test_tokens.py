@@ -204,3 +204,12 @@ def test_fingerprints_are_homomorphic():
     a, b = fingerprint.Fingerprint.of(["x y", "z", "z"]), fingerprint.Fingerprint.of(["z", "x y"])
     assert b.insert(["z"]).tobytes() == a.tobytes() and a.delete(["z"]).tobytes() == b.tobytes() and a.tobytes() != b.tobytes()
     assert a.likeness(a) == 1.0 and 0 <= a.likeness(b) < 1
+
+
+def test_fingerprints_of_a_hot_row(spark):
+    """Many equal rows without an id follow each other; the last of them is followed by the first row of all."""
+    data = [(None, "hot text of a row")] * 30_000 + [(i, f"row {i}") for i in range(50)]
+    got = fingerprint.fingerprinted(documents(spark, data, 6)).toPandas()
+    hot = got[got.doc_id.isna()]
+    assert len(got) == len(data) and len(hot) == 30_000 and hot.fingerprint.nunique() == 1
+    assert (hot.near_next == 1).sum() == 29_999 and hot.edited_sha256.nunique() == 2
