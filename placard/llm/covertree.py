@@ -316,7 +316,11 @@ def _classes(keyed: DataFrame) -> DataFrame:
 
 def _linked(classes: DataFrame, cosine: float) -> DataFrame:
     """cid, links (weights, its own included) and root (of its component) of every vector of ``classes``."""
-    spark, n = classes.sparkSession, classes.count()
+    spark = classes.sparkSession
+    n, short, long = classes.agg(F.count("*"), F.min(F.size("vector")), F.max(F.size("vector"))).first()
+    if short < long:
+        zero = F.lit(0).cast(classes.schema["vector"].dataType.elementType)
+        classes = classes.withColumn("vector", F.concat("vector", F.array_repeat(zero, F.lit(long) - F.size("vector"))))
     kind = np.dtype(np.float32) if "float" in classes.schema["vector"].dataType.simpleString() else np.dtype(np.float64)
     share = F.pmod(F.xxhash64("k2", "k1"), F.lit(1 << 20)) < max(1, (SAMPLE_ROWS << 20) // max(1, n))
     sample = [r.vector for r in classes.filter(share).select("vector").limit(2 * SAMPLE_ROWS).collect()] or [classes.select("vector").first().vector]
@@ -359,8 +363,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
 
     Rows: a vector that is null, empty or zero, or has null or non-finite components, links with nothing, and so does a row with a
     null id (its component is null and it is not kept). Repeated rows and repeated ids are vectors of their own that count as links
-    of each other where they link. Vectors of another length than most can't be compared and raise an error. An empty table
-    gives no rows; other columns are ignored.
+    of each other where they link. Shorter vectors count as filled up with zeros. An empty table gives no rows; other columns
+    are ignored.
 
     Returns the id, n_links (other rows linked directly), component_id (the smallest id reachable by links, itself
     included), kept (the id is the component's).

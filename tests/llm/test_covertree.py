@@ -12,7 +12,8 @@ SCHEMA = "vec_id long, embedding array<double>, cell long, links string"
 def brute(rows, cosine=0.9):
     """(vec_id, n_links, component_id, kept), pair by pair."""
     known = [k for k, (i, v) in enumerate(rows) if i is not None and v and None not in v and np.isfinite(v).all() and any(v)]
-    x = unit(np.array([rows[k][1] for k in known])) if known else np.zeros((0, 2))
+    width = max((len(rows[k][1]) for k in known), default=2)
+    x = unit(np.array([rows[k][1] + [0.0] * (width - len(rows[k][1])) for k in known])) if known else np.zeros((0, 2))
     near = x @ x.T >= cosine
     links, root = dict(zip(known, (near.sum(1) - 1).tolist(), strict=True)), {}
     for k in range(len(known)):
@@ -57,6 +58,7 @@ def test_links_equal_brute_force(spark, monkeypatch, block):
 
 def test_odd_rows(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [1.0, 0.1]), (2, [1.0, 0.1]), (3, [0.0, 0.0]), (4, None), (5, [1.0, None]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (None, [1.0, 0.0]), (8, [-1.0, 0.0]), (9, [])]
+    assert found(spark, [*rows, (10, [3.0]), (11, [1.0, 0.0, 0.2]), (12, [0.0, 0.0, 1.0])]) == brute([*rows, (10, [3.0]), (11, [1.0, 0.0, 0.2]), (12, [0.0, 0.0, 1.0])])
     assert found(spark, rows) == brute(rows)
     assert found(spark, [(i, v) for i, v in rows if i in (3, 4)]) == [(3, 0, 3, True), (4, 0, 4, True)]
     assert covertree.near_vectors(spark.createDataFrame([], SCHEMA)).collect() == []
