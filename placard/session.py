@@ -66,11 +66,12 @@ def clear_written(spark: SparkSession) -> None:
         files.delete(folder, True)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage and outlives executors."""
+def written(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: cuts lineage and outlives executors. ``codec``: how it is compressed,
+    if not as the session says."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
