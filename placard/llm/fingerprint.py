@@ -190,7 +190,7 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     digest = F.xxhash64(F.coalesce("text", F.lit("")))
     salted = docs.select("doc_id", "text", digest.alias("digest"), F.monotonically_increasing_id().alias("salt"))  # equal rows may be many
     ranged = salted.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order).select("doc_id", "text")
-    done = written(ranged.mapInArrow(stream, f"doc_id {kind}, {_SCHEMA}, part int, first_text string, first_lanes binary, last_text string"), "fingerprint")
+    done = written(ranged.mapInArrow(stream, f"doc_id {kind}, {_SCHEMA}, part int, first_text string, first_lanes binary, last_text string"), "fingerprint", "zstd")
     edges = done.filter("part IS NOT NULL").select("doc_id", *_EDGE)
     every = Window.orderBy("part")  # one number for each partition, without texts
     whole = every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
