@@ -131,10 +131,11 @@ def open_venues(exhibitions: DataFrame) -> DataFrame:
     return exhibitions.filter(onsite(F.col("kind")) & F.col("status").isin("open", "closing_soon")).select("venue_id").distinct()
 
 
-def neighbours(points: DataFrame, exhibitions: DataFrame, metres: float = 400) -> DataFrame:
-    """id, other_id, metres: venues with something open within ``metres`` of each venue of ``points(id, lat, lng)``."""
+def neighbours(points: DataFrame, exhibitions: DataFrame, metres: float = 400, digits: int | None = None) -> DataFrame:
+    """id, other_id, metres: venues with something open within ``metres`` (rounded to ``digits``, if given) of each venue of
+    ``points(id, lat, lng)``."""
     opened = open_venues(exhibitions).select(F.col("venue_id").alias("id"), F.lit(True).alias("wanted"))
-    return near_each_other(points.join(opened, "id", "left"), metres)
+    return near_each_other(points.join(opened, "id", "left"), metres, digits=digits)
 
 
 def search(venues: DataFrame, exhibitions: DataFrame, query: str) -> DataFrame:

@@ -111,7 +111,7 @@ _HAVERSINE = "2 * 6371000 * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) +
 @query(_with(f""", opened AS (SELECT DISTINCT venue_id FROM shows WHERE kind <> 'offsite' AND status IN ('open', 'closing_soon'))
  SELECT * FROM (SELECT a.id, b.id AS other_id, round({_HAVERSINE}, 3) AS metres FROM venues a JOIN venues b ON a.id <> b.id AND b.id IN (SELECT venue_id FROM opened) AND abs(a.lat - b.lat) < 0.01) WHERE metres <= 400"""))
 def neighbours(s, d):
-    return views.neighbours(st.venues(s, d).select("id", "lat", "lng"), _shows(s, d)).withColumn("metres", F.round("metres", 3))
+    return views.neighbours(st.venues(s, d).select("id", "lat", "lng"), _shows(s, d), digits=3)
 
 
 @query(_with("SELECT id FROM venues WHERE contains(lower(name), 'artist 1') OR id IN (SELECT venue_id FROM shows WHERE contains(lower(title), 'artist 1') OR contains(lower(artist), 'artist 1'))"))

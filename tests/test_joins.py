@@ -88,6 +88,25 @@ def test_near_pairs_in_a_dense_city(spark, piece):
     assert {("n", "m"), ("m", "n"), ("e", "w")} <= {tuple(r)[:2] for r in got.filter("id IN ('n', 'm', 'e')").collect()}
 
 
+def test_points_of_one_spot_meet_as_one(spark):
+    points = [(f"p{i}", 40.7 + 0.001 * (i % 4), -74.0, i % 5 == 0) for i in range(400)] + [("p0", 40.7, -74.0, False), ("z", 40.7, -73.9, True)]
+    rows = spark.createDataFrame(points, "id string, lat double, lng double, wanted boolean")
+    want = geo.within_metres(rows, rows.filter("wanted"), 150).select("id", "other_id", F.round("metres", 3).alias("metres"))
+    for piece in (30, 2000):
+        got = geo.near_each_other(rows, 150, piece, digits=3)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        # 5 spots, of which lists of ids meet; pairs of points are 20,000 nearly
+        assert want.count() > 19_000 and rows_made(got) < 1000
+
+
+def test_distances_are_rounded_before_they_are_compared(spark):
+    rows = spark.createDataFrame([("a", 0.0, 0.0, True), ("b", 0.0, 0.001, True), ("c", 0.0, 0.0035, True)], "id string, lat double, lng double, wanted boolean")
+    far = 111.195  # a and b are 111.19493 m from each other
+    assert {(r.id, r.other_id, r.metres) for r in geo.near_each_other(rows, far, digits=3).collect()} == {("a", "b", far), ("b", "a", far)}
+    assert {(r.id, r.other_id) for r in geo.near_each_other(rows, 111.19, digits=2).collect()} == {("a", "b"), ("b", "a")}
+    assert geo.near_each_other(rows, 111.19).count() == 0
+
+
 def test_indexed_search(spark, tmp_path):
     venues = spark.createDataFrame([("a", "Alpha House"), ("b", "Beta"), ("c", "Ça va, Ünïté"), ("d", "xy"), ("e", None)], "id string, name string")
     shows = spark.createDataFrame([("b", "alp and haus", ["Zed Alphonse"]), ("b", None, None), ("d", "aaaa", []), ("zz", "alpha", [])], "venue_id string, title string, artists array<string>")
