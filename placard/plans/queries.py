@@ -477,18 +477,15 @@ def feed_items_parsed(s, d):
 def gate_stream(s, d):
     """The gate as a stream over two runs, the state before and the one after; what the second run publishes."""
     shows = _shows(s, d)
-    turns = [(f(shows), run) for run, f in enumerate((st.before, st.after))]
-    every = turns[0][0].select("venue_id").unionByName(turns[1][0].select("venue_id")).distinct()
+    before, after = (f(shows).select("venue_id", F.lit(run).cast("long").alias("run"), "pos", "source_url", "title", "opens", "closes") for run, f in enumerate((st.before, st.after)))
     home = f"{shared_dir(s)}/gate-stream-{uuid.uuid4().hex}"
-    columns = ["pos", "source_url", "title", "opens", "closes"]
-    for rows, run in turns:
-        named = rows.select("venue_id", F.lit(run).cast("long").alias("run"), *columns)
-        named.unionByName(every.withColumn("run", F.lit(run).cast("long")), allowMissingColumns=True).write.mode("append").parquet(f"{home}/runs")
+    gate_stream_job.turns(before.unionByName(after), 2).write.parquet(f"{home}/turns")
+    keys = s.read.schema(gate_stream_job.TURNS).parquet(f"{home}/turns").count() // (2 * gate_stream_job.VENUES_OF_A_KEY) + 1
     key, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     own = s.conf.get(key)
     s.conf.set(key, store)
     try:
-        stream = gate_stream_job.gated(s.readStream.schema(gate_stream_job.RUNS).parquet(f"{home}/runs"))
+        stream = gate_stream_job.gated_turns(s.readStream.schema(gate_stream_job.TURNS).parquet(f"{home}/turns"), keys=keys)
         stream.writeStream.format("parquet").option("path", f"{home}/gated").option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     finally:
         s.conf.set(key, own)

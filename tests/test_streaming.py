@@ -81,6 +81,40 @@ def test_the_gate_as_a_stream(rocks, tmp_path):
     assert seen == {"ok", "emptied", "dates_shifted", "retitled"} and any(r.status == "stale" for r in got)
 
 
+def test_venues_that_share_a_key(rocks, tmp_path):
+    spark, given = rocks, [r for rows in runs(4, seed=2) for r in rows] + [("odd", 1, 0, 'a"],\\', "t\n\u20ac", None, "]")]
+    rows, shown = spark.createDataFrame(given, stream.RUNS), []
+    plain, packed = str(tmp_path / "rows"), str(tmp_path / "turns")
+    every = stream.turns(rows, 4)
+    assert every.count() == 15 * 4 and every.dtypes == spark.createDataFrame([], stream.TURNS).dtypes
+    for step in ("run < 1", "run IN (1, 2)", "run = 3"):  # the state of a key with many venues is taken up anew
+        rows.filter(step).unionByName(every.filter(step).select("venue_id", "run"), allowMissingColumns=True).coalesce(1).write.mode("append").parquet(plain)
+        every.filter(step).coalesce(1).write.mode("append").parquet(packed)
+        for name, frame in (("plain", stream.gated(spark.readStream.schema(stream.RUNS).parquet(plain))), ("packed", stream.gated_turns(spark.readStream.schema(stream.TURNS).parquet(packed), keys=3))):
+            query = frame.writeStream.format("parquet").option("path", str(tmp_path / name / "out")).option("checkpointLocation", str(tmp_path / name / "checkpoint"))
+            query.trigger(availableNow=True).start().awaitTermination(240)
+    for name in ("plain", "packed"):
+        shown.append(sorted(map(repr, map(tuple, spark.read.schema(stream.GATED).parquet(str(tmp_path / name / "out")).collect()))))
+    assert shown[0] == shown[1] and len(shown[0]) > 100 and any("odd" in r and "\u20ac" in r for r in shown[0])
+
+
+def test_a_key_asks_for_its_state_once():
+    calls = []
+
+    class State:
+        def get(self):
+            calls.append("get")
+
+        def update(self, value):
+            calls.append(value)
+
+    gate_ = stream.Gate()
+    gate_.state = State()
+    turns = [stream.Row(venue_id=f"v{i % 40}", run=i // 40, records='[{"pos":1,"title":"t"}]') for i in range(120)]
+    out = list(gate_.handleInputRows((0,), iter(turns), None))
+    assert len(out) == 120 and {r.verdict for r in out} == {"ok"} and len(calls) == 2 and len(calls[1][0]) == 40
+
+
 def events(spark, keys):
     rows = [(f"evt-{t}-{v}-{ts}", ts, t, v, "e", None, None, i) for i, (t, v, ts) in enumerate(keys)]
     return spark.createDataFrame(rows, f"{EVENT}, seq int")
