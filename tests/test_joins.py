@@ -119,3 +119,18 @@ def test_indexed_search(spark, tmp_path):
     assert "PushedFilters: [In(gram, [alp,lph])" in plan
     with pytest.raises(ValueError):
         search.indexed_search(grams, texts, "al")
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_tasks_of_a_search_grow_with_the_texts(spark, monkeypatch, few):
+    monkeypatch.setattr(search, "ROWS", 100)
+    monkeypatch.setattr(search, "FEW", few)
+    venues = spark.createDataFrame([(f"v{i}", f"House {i}") for i in range(30)], "id string, name string")
+    shows = spark.createDataFrame([(f"v{i % 33}", f"Show {i}", [f"Artist {i % 7}"]) for i in range(600)], "venue_id string, title string, artists array<string>")
+    made = search.index(search.texts(venues, shows))
+    for rows in made.values():
+        sizes = [len(p) for p in rows.rdd.glom().collect()]
+        assert len(sizes) * 100 >= sum(sizes) > 700 and max(sizes) < 300
+    for query in ("artist 1", "show 5", "house 2", "how", "nothing"):
+        got = search.indexed_search(made["search_grams"], made["search_texts"], query)
+        assert sorted(r.id for r in got.collect()) == sorted(r.id for r in views.search(venues, shows, query).collect()), query
