@@ -34,7 +34,8 @@ def index(texts: DataFrame) -> dict[str, DataFrame]:
     texts = written(texts, "search-texts")
     n, letters = texts.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     places = F.sequence(F.lit(1), F.length("text") - (GRAM - 1))
-    grams = texts.filter(F.length("text") >= GRAM).select("text_id", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring("text", i, F.lit(GRAM))))).alias("gram"))
+    # Dealt anew, so that no task makes more trigrams than others sort.
+    grams = texts.filter(F.length("text") >= GRAM).repartition(_tasks(letters), "text_id").select("text_id", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring("text", i, F.lit(GRAM))))).alias("gram"))
     # A trigram that many texts hold is spread over tasks by the id.
     grams = grams.select("gram", "text_id").repartitionByRange(_tasks(letters), "gram", "text_id").sortWithinPartitions("gram", "text_id")
     return {"search_grams": grams, "search_texts": texts.repartitionByRange(_tasks(n), "text_id").sortWithinPartitions("text_id")}
